@@ -29,6 +29,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.pii import field_of, labelled_table, pii
+
+    found = pii(table(spark, sf_dir, "documents"), field_of(labelled_table(spark)))
+    of = lambda k: F.size(F.regexp_extract_all("base", F.lit(f"(?:^|,){k}:"), 0)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(of, ("email", "ip", "card", "phone")), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
