@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from palimpsest.llm._io import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.substring import dedup
+
+    out = dedup(table(spark, sf_dir, "documents"), n=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 THRESHOLD = 0.3  # of the quality score
 
 
