@@ -17,6 +17,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.ngram_join import join
+
+    return join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 THRESHOLD = 0.3  # of the quality score
 
 
