@@ -1,8 +1,80 @@
-"""The training-data pipeline."""
+"""From crawled documents to token ids, in five stages.
 
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor
+kept; all but the last return the columns of ``documents``.  A stage's result is
+written as Parquet and read again by the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import bpe, decontaminate, ngram_join, pii, quality
+from palimpsest.llm._io import stored, table
+from palimpsest.llm.queries import THRESHOLD, contaminated
+
+#: Near duplicates: five-word shingles, similarity of 0.8 or more.
+SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, keep=tuple(docs.columns))
+    return scored.where(F.col("score") >= THRESHOLD).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    found = stored(ngram_join.join(docs, SHINGLE_WORDS, SIMILARITY_PERCENT), "near")
+    gone = found.where("component_id != doc_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return left
+    # rows that repeat: of those with one id and one text, one stays
+    return left.withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.where(contaminated()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked; n_chars follows the new text."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = pii.pii(docs, pii.field_of(pii.labelled_table(spark)), keep=rest).withColumn("text", F.col("redacted"))
+    if "n_chars" in rest:
+        found = found.withColumn("n_chars", F.when(F.length("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit), their digests, and those of the decoded bytes."""
+    import public_tokenizers
+
+    encoded = bpe.bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("personal_data", personal_data),
+    ("byte_bpe", byte_bpe),
+]
+
+#: SQL can't express these stages; tests hold them against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
