@@ -61,6 +61,13 @@ def contaminated():
     return ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.html_text import labelled_table, main_text, weights_of
+
+    found = main_text(table(spark, sf_dir, "pages"), weights_of(labelled_table(spark)))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
