@@ -36,7 +36,7 @@ from palimpsest.llm._pack import from_low_bytes, low_bytes, pack, squeeze, unpac
 from palimpsest.llm._words import SPACED, U, Words, buffers, chunks, mix, windows, words
 
 LAST = np.iinfo(np.int64).max  # stands for a null id
-STRETCH_BYTES = 12 << 20
+STRETCH_BYTES = 6 << 20
 _FLAGS = "docs binary, tags binary, counts binary, places binary"
 
 
