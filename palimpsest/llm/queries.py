@@ -23,6 +23,21 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.url_lists import captures_of, entries_of, evaluate
+
+    pages = table(spark, sf_dir, "pages")
+    return evaluate(captures_of(pages), entries_of(pages))
+
+
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.warc import lookup, write
+
+    pages = table(spark, sf_dir, "pages")
+    folder, directory = write(pages)
+    return lookup(folder, directory, pages, payload=False).drop("payload")
+
+
 THRESHOLD = 0.3  # of the quality score
 
 
@@ -79,4 +94,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from palimpsest.llm import url_lists
+
+    return {"op3_url_lists": url_lists.ORACLE}
