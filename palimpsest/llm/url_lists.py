@@ -41,7 +41,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     The window is over one pattern's history in one list.
     """
     known = entries.select("list", "kind", F.lower("pattern").alias("pattern"), "verdict", "action", "dated").dropna().distinct()
-    known = known.withColumn("pattern", F.when(F.col("kind") == "prefix", F.col("pattern")).otherwise(F.rtrim(F.lit("."), F.col("pattern"))))
+    known = known.withColumn("pattern", F.when(F.col("kind") == "prefix", F.col("pattern")).otherwise(F.rtrim(F.col("pattern"), F.lit("."))))
     w = Window.partitionBy("list", "kind", "pattern", "verdict").orderBy("dated", "action")
     steps = known.withColumn("before", F.lag("action").over(w)).where("before is null or before != action")
     spans = steps.withColumn("valid_to", F.lead("dated").over(w)).where("action = 'add'")
