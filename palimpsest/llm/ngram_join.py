@@ -3,18 +3,24 @@
 A text's set holds the hashes of its distinct word n-grams; equal sets form one
 class, and only classes are compared.  Under any one global order of all n-grams,
 two sets whose Jaccard similarity reaches t share an n-gram among the first
-size - ceil(t * size) + 1 of each.  Three orders are used, each rare-first by its
-own counting table over the whole corpus (fixed size, so rarity is approximate,
-while the order is exact) with its own tie-breaking hash.
+size - ceil(t * size) + 1 of each.  Three orders are used, each rare-first by a
+counting table over the whole corpus (fixed size and half octaves, so rarity is
+approximate, while the order is exact) with its own tie-breaking hash.
 
 1. The first order's prefixes are dealt to buckets by hash, as packed arrays; a
    stretch of the corpus sends a class once, so copies are combined before they
-   move.  A key with several classes yields one pair per class, with the key's hub.
-2. Pairs must also share a prefix n-gram under the other two orders.
-3. What is left is verified on the full sets.  Verified links make components.
-4. Pairs of one key that are still in different components are then filtered and
-   verified too.  Pairs inside a component can change nothing, so no group of
-   copies is ever expanded into all pairs, and no link between components is lost.
+   move.  Of a key's classes those stay together whose sizes allow a link; such a
+   group yields one pair per class, with the group's hub.
+2. A class's profile counts its n-grams in 32 parts of the hash space; what two
+   profiles differ by is a lower bound of what the sets differ by.  Members of a hub
+   whose profile allows a link with no other member go.
+3. Pairs must also share a prefix n-gram under the other two orders; what is left is
+   verified on the full sets.  Verified links make components.
+4. Two classes of one key that are not its hub are both members of its hub.  Where a
+   hub's members lie in different components, they are compared in blocks by matrix
+   products, after the same filters; only links come out.  Pairs inside a component
+   can change nothing, so no group of copies is ever expanded into rows of pairs, and
+   no link between components is lost.
 
 Classes are told apart by 64 bits of hash, n-grams by 64 (48 within a pair).
 
@@ -39,10 +45,12 @@ from palimpsest.llm._words import SPACED, U, buffers, chunks, mix, windows, word
 from palimpsest.llm.components import components
 
 ORDERS = 3
-TABLE_BITS = 20  # of each order's counting table
+TABLE_BITS = 22  # of the counting table
 SLICES = 64
 MARK_BITS = 23  # of the table of candidate classes
-STRETCH_BYTES = 8 << 20
+STRETCH_BYTES = 3 << 20
+BLOCK = 1024  # classes that a task compares at once
+PARTS = 32  # of a class's profile
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,21 +90,28 @@ def classes(first: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.where(size > 0, np.where(c == 0, U(1), c), U(0)).view(np.int64)
 
 
-def _slot(value: np.ndarray, order: int) -> np.ndarray:
-    return (mix(value, 0xA0 + order) >> U(64 - TABLE_BITS)).astype(np.int64)
+def profiles(first: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """How many n-grams of each set lie in each part, at most 255."""
+    part = (mix(value, 0x9F) >> U(64 - 5)).astype(np.int64)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return np.minimum(np.bincount(text * PARTS + part, minlength=(len(first) - 1) * PARTS), 255).astype(np.uint8).reshape(-1, PARTS)
 
 
-def prefixes(first: np.ndarray, value: np.ndarray, counts: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, n-gram) of every set's prefix under one order."""
+def _slot(value: np.ndarray) -> np.ndarray:
+    return (mix(value, 0xA0) >> U(64 - TABLE_BITS)).astype(np.int64)
+
+
+def prefixes(first: np.ndarray, value: np.ndarray, counts: np.ndarray, order: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, place from 0) of every set's prefix under one order."""
     size = np.diff(first)
     most = size - -(-percent * size // 100) + 1
     text = np.repeat(np.arange(len(size)), size)
-    rank = np.minimum(counts[order][_slot(value, order)].astype(U), U((1 << 24) - 1)) << U(40) | mix(value, 0xB0 + order) >> U(24)
+    rank = counts[_slot(value)].astype(U) << U(40) | mix(value, 0xB0 + order) >> U(24)
     by = np.argsort(rank, kind="stable")
     by = by[np.argsort(text[by].astype(np.uint16) if len(size) <= 1 << 16 else text[by], kind="stable")]
     place = np.arange(len(value)) - np.repeat(first[:-1], size)
     keep = place < np.repeat(most, size)
-    return text[keep], value[by[keep]]
+    return text[keep], value[by[keep]], place[keep]
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -119,22 +134,21 @@ def _once(first: np.ndarray, value: np.ndarray, names: np.ndarray, seen: set[int
 
 
 def _counted(kept: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, int]:
-    """(id, class, size) of each row; each order's counting table; the sum of sizes."""
+    """(id, class, size, profile) of each row; the counting table in half octaves; the sum of sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((ORDERS, 1 << TABLE_BITS), np.int64)
-        names = ["id", "class", "size", "slice", "counts"]
+        table = np.zeros(1 << TABLE_BITS, np.int64)
+        names = ["id", "class", "size", "profile", "slice", "counts"]
         for part, first, value, name in _stretches(batches, n):
-            for o in range(ORDERS):
-                table[o] += np.bincount(_slot(value, o), minlength=1 << TABLE_BITS)
+            table += np.bincount(_slot(value), minlength=1 << TABLE_BITS)
             m = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(name), pa.array(np.diff(first), pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(name), pa.array(np.diff(first), pa.int64()), pa.array([p.tobytes() for p in profiles(first, value)], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         own = table.reshape(SLICES, -1)
         some = [k for k in range(SLICES) if own[k].any()]
         none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), pa.array([pack(own[k]) for k in some], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([pack(own[k]) for k in some], pa.binary())], names=names)
 
-    both = stored(kept.mapInArrow(run, "id long, class long, size long, slice int, counts binary"), "classes")
+    both = stored(kept.mapInArrow(run, "id long, class long, size long, profile binary, slice int, counts binary"), "classes")
 
     def add(t: pa.Table) -> pa.Table:
         total = None
@@ -143,17 +157,49 @@ def _counted(kept: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, int]:
             total = c if total is None else total + c
         return pa.table({"slice": t.column("slice").slice(0, 1), "counts": pa.array([pack(total)], pa.binary())})
 
-    part = both.where("slice is not null").select("slice", "counts", (F.xxhash64("counts") % 64).alias("way"))
+    part = both.where("slice is not null").select("slice", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("way"))
     part = part.groupBy("slice", "way").applyInArrow(add, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
-    table = np.zeros((SLICES, ORDERS * (1 << TABLE_BITS) // SLICES), np.int64)
-    for r in part.collect():  # SLICES rows of fixed size
+    table = np.zeros((SLICES, (1 << TABLE_BITS) // SLICES), np.int64)
+    for r in part.toLocalIterator():  # SLICES rows of fixed size
         table[r["slice"]] = unpack(r["counts"])
-    table = table.reshape(ORDERS, -1)
-    return both.where("slice is null").select("id", "class", "size"), np.minimum(table, np.iinfo(np.int32).max).astype(np.int32), int(table[0].sum())
+    level = np.floor(2 * np.log2(table.reshape(-1) + 1)).astype(np.uint8)
+    return both.where("slice is null").select("id", "class", "size", "profile"), level, int(table.sum())
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """True where a sorted row differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    if len(out):
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _can_link(key: np.ndarray, size: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Rows, sorted by key and size, that some other row of their key may link with.
+
+    Were the key their first common n-gram, the sets could share no more than ``rest``
+    n-grams; a link needs percent / (100 + percent) of both sizes.  Rows of groups of
+    more than 64 all stay."""
+    n = len(key)
+    keep = np.zeros(n, bool)
+    for d in range(1, 65):
+        if d >= n:
+            break
+        i = np.flatnonzero(key[d:] == key[:-d])
+        if not len(i):
+            return keep
+        j = i + d
+        need = percent * (size[i] + size[j])
+        ok = (100 * size[i] >= percent * size[j]) & ((100 + percent) * rest[i] >= need) & ((100 + percent) * rest[j] >= need)
+        keep[i[ok]] = keep[j[ok]] = True
+    if n > 64:
+        i = np.flatnonzero(key[64:] == key[:-64])
+        keep |= np.isin(key, key[i])
+    return keep
 
 
 def _members(kept: DataFrame, counts, n: int, percent: int, total: int) -> DataFrame:
-    """(key, class, size, hub) of every first-order prefix key that several classes share."""
+    """(class, hub): classes of like size that share a first-order prefix n-gram, as stars."""
     bits = max(6, (total // (1 << 21)).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,17 +208,17 @@ def _members(kept: DataFrame, counts, n: int, percent: int, total: int) -> DataF
             if len(seen) > 200_000:
                 seen.clear()
             first, value, name = _once(first, value, name, seen)
-            text, key = prefixes(first, value, counts.value, 0, percent)
+            text, key, place = prefixes(first, value, counts.value, 0, percent)
             to = (mix(key, 0xDEA1) >> U(64 - bits)).astype(np.int64)
             order = np.argsort(to.astype(np.uint16) if bits <= 16 else to, kind="stable")
-            text, key, to = text[order], key[order], to[order]
+            text, key, place, to = text[order], key[order], place[order], to[order]
             edge = np.searchsorted(to, np.arange((1 << bits) + 1))
             size, rows = np.diff(first), []
             for k in np.flatnonzero(np.diff(edge)).tolist():
                 t = text[edge[k] : edge[k + 1]]
                 new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                rows.append((k, key[edge[k] : edge[k + 1]].tobytes(), name[t[new]].tobytes(), pack(size[t[new]]), pack(np.diff(np.append(new, len(t))))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, [pa.int32(), *[pa.binary()] * 4])], names=["bucket", "keys", "classes", "sizes", "counts"])
+                rows.append((k, key[edge[k] : edge[k + 1]].tobytes(), name[t[new]].tobytes(), pack(size[t[new]]), pack(np.diff(np.append(new, len(t)))), pack(place[edge[k] : edge[k + 1]])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, [pa.int32(), *[pa.binary()] * 5])], names=["bucket", "keys", "classes", "sizes", "counts", "places"])
 
     def shared(t: pa.Table) -> pa.Table:
         rows = t.to_pydict()
@@ -180,6 +226,7 @@ def _members(kept: DataFrame, counts, n: int, percent: int, total: int) -> DataF
         times = [unpack(b) for b in rows["counts"]]
         name = np.concatenate([np.repeat(np.frombuffer(b, "<i8"), c) for b, c in zip(rows["classes"], times)])
         size = np.concatenate([np.repeat(unpack(b), c) for b, c in zip(rows["sizes"], times)])
+        place = np.concatenate([unpack(b) for b in rows["places"]])
         # only keys that stand more than once go on
         order = np.argsort(key, kind="stable")
         k = key[order]
@@ -187,17 +234,21 @@ def _members(kept: DataFrame, counts, n: int, percent: int, total: int) -> DataF
         twice[1:-1] = k[1:] == k[:-1]
         order = order[twice[1:] | twice[:-1]]
         order = order[np.lexsort((name[order], key[order]))]
-        key, name, size = key[order], name[order], size[order]
-        own = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])]) if len(key) else np.zeros(0, bool)
-        key, name, size = key[own], name[own], size[own]
-        head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else own
+        order = order[_heads(key[order], name[order])]
+        order = order[np.lexsort((size[order], key[order]))]
+        key, name, size, place = key[order], name[order], size[order], place[order]
+        keep = _can_link(key, size, size - place, percent)
+        key, name, size = key[keep], name[keep], size[keep]
+        # a key's classes by size, cut where two neighbours are too far apart for any link across
+        head = _heads(key)
+        head[1:] |= 100 * size[:-1] < percent * size[1:]
         group = np.cumsum(head) - 1
-        many = np.bincount(group)[group] > 1 if len(key) else own
-        hub = name[np.flatnonzero(head)][group] if len(key) else name
-        return pa.table({"key": pa.array(key.view(np.int64)[many]), "class": pa.array(name[many]), "size": pa.array(size[many], pa.int64()), "hub": pa.array(hub[many])})
+        many = np.bincount(group)[group] > 1 if len(key) else head
+        hub = np.minimum.reduceat(name, np.flatnonzero(head))[group] if len(key) else name
+        return pa.table({"class": pa.array(name[many]), "hub": pa.array(hub[many])})
 
-    sent = kept.mapInArrow(send, "bucket int, keys binary, classes binary, sizes binary, counts binary")
-    return stored(sent.groupBy("bucket").applyInArrow(shared, "key long, class long, size long, hub long"), "members")
+    sent = kept.mapInArrow(send, "bucket int, keys binary, classes binary, sizes binary, counts binary, places binary")
+    return stored(sent.groupBy("bucket").applyInArrow(shared, "class long, hub long").where("class != hub").distinct(), "members")
 
 
 def _sets_of(kept: DataFrame, wanted: DataFrame, counts, n: int, percent: int) -> DataFrame:
@@ -218,14 +269,14 @@ def _sets_of(kept: DataFrame, wanted: DataFrame, counts, n: int, percent: int) -
             first, value, name = _once(first, value, np.where(marked, name, 0))
             filters = []
             for o in range(1, ORDERS):
-                text, key = prefixes(first, value, counts.value, o, percent)
+                text, key, _ = prefixes(first, value, counts.value, o, percent)
                 edge = np.searchsorted(text, np.arange(len(name) + 1))
                 filters.append([np.sort(key[a:b].astype(np.uint32)).tobytes() for a, b in zip(edge[:-1], edge[1:])])
             full = [low_bytes(np.sort(value[a:b] & U(0xFFFFFFFFFFFF)), 6) for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.diff(first), pa.int64()), pa.array(full, pa.binary()), *(pa.array(f, pa.binary()) for f in filters)], names=["class", "size", "set", "filter2", "filter3"])
 
     found = kept.mapInArrow(run, "class long, size long, set binary, filter2 binary, filter3 binary")
-    # a class comes once from each stretch: any of its equal rows will do
+    # a class comes once from each stretch, always with the same row
     return stored(found.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sets")
 
 
@@ -259,27 +310,121 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return stored(few.join(side("a", "set"), "a").join(side("b", "set"), "b").mapInArrow(verified, "a long, b long"), "links")
 
 
+def _incidence(cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(row, column, columns) of the values that stand in more than one cell."""
+    row = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    _, column, times = np.unique(np.concatenate(cells), return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    number = np.cumsum(times > 1) - 1
+    return row[keep], number[column[keep]], int((times > 1).sum())
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each left cell shares with each right cell, by blocks of a matrix product."""
+    row, column, width = _incidence([*left, *right])
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, width, 4096):
+        a, b = np.searchsorted(column, [c, c + 4096])
+        m = np.zeros((len(left) + len(right), min(4096, width - c)), np.float32)
+        m[row[a:b], column[a:b] - c] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _dealt(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Members dealt to pairs of blocks (i <= j) of their hub; ``hubs`` has hub and blocks."""
+    own = members.join(hubs, "hub").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+
+
+def _possible(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The members, and the hubs as members of their own, whose profile and size allow a
+    link with another member."""
+    every = members.unionByName(members.select(F.col("hub").alias("class"), "hub").distinct())
+    hubs = every.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    known = rows.where("class != 0").select("class", "size", "profile").dropDuplicates(["class"])
+
+    def prune(t: pa.Table) -> pa.Table:
+        r = t.to_pydict()
+        same = r["i"][0] == r["j"][0]
+        side = np.array(r["block"]) == r["i"][0]
+        left = np.flatnonzero(side)
+        right = left if same else np.flatnonzero(~side)
+        size = np.array(r["size"], np.int64)
+        profile = np.frombuffer(b"".join(r["profile"]), np.uint8).reshape(-1, PARTS).astype(np.int16)
+        keep = np.zeros(len(size), bool)
+        for a in range(0, len(left), 64):
+            at = left[a : a + 64]
+            total = np.add.outer(size[at], size[right])
+            differ = np.abs(profile[at][:, None, :] - profile[right][None, :, :]).sum(2, dtype=np.int64)
+            # common = (total - difference) / 2 must reach percent / (100 + percent) of the total
+            ok = (100 + percent) * (total - differ) >= 2 * percent * total
+            if same:
+                ok[np.arange(len(at)), a + np.arange(len(at))] = False
+            keep[at[ok.any(1)]] = True
+            keep[right[ok.any(0)]] = True
+        return pa.table({"class": pa.array(np.array(r["class"], np.int64)[keep]), "hub": pa.array(np.array(r["hub"], np.int64)[keep])})
+
+    rows = _dealt(every, hubs).join(known, "class").select("hub", "i", "j", "block", "class", "size", "profile")
+    return stored(rows.groupBy("hub", "i", "j").applyInArrow(prune, "class long, hub long").distinct(), "possible")
+
+
+def _linked_around_hubs(members: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one hub that are in different components.
+
+    Any two classes that share a key are members of its hub (or the hub itself, whose
+    pairs are tested already).  Hubs whose members are all in one component are done.
+    Of the others, members are dealt to blocks of about BLOCK; a task compares two
+    blocks by a matrix product and returns only links."""
+    named = members.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("hub", "class", F.coalesce("label", "class").alias("label"))
+    named = stored(named, "named")
+    open_hubs = named.groupBy("hub").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = _dealt(named, open_hubs)
+    rows = dealt.join(full, "class")
+
+    def compare(t: pa.Table) -> pa.Table:
+        r = t.to_pydict()
+        same = r["i"][0] == r["j"][0]
+        side = np.array(r["block"]) == r["i"][0]
+        at = [np.flatnonzero(side), np.flatnonzero(side if same else ~side)]
+        name, label, size = np.array(r["class"]), np.array(r["label"]), np.array(r["size"])
+        ok = label[at[0]][:, None] != label[at[1]][None, :]
+        small, large = np.minimum.outer(size[at[0]], size[at[1]]), np.maximum.outer(size[at[0]], size[at[1]])
+        ok &= 100 * small >= percent * large
+        if same:
+            ok = np.triu(ok, 1)
+        for c in ("filter2", "filter3"):  # a prefix n-gram in common under the other orders
+            if ok.any():
+                cells = [np.frombuffer(b, "<u4") for b in r[c]]
+                ok &= _common([cells[k] for k in at[0]], [cells[k] for k in at[1]]) > 0
+        i, j = np.nonzero(ok)
+        if len(i):
+            cells = [from_low_bytes(b, 6) for b in r["set"]]
+            rows, back = np.unique(i, return_inverse=True)
+            cols, down = np.unique(j, return_inverse=True)
+            common = _common([cells[k] for k in at[0][rows]], [cells[k] for k in at[1][cols]])[back, down].astype(np.int64)
+            linked = 100 * common >= percent * (size[at[0][i]] + size[at[1][j]] - common)
+            i, j = i[linked], j[linked]
+        return pa.table({"a": pa.array(name[at[0][i]], pa.int64()), "b": pa.array(name[at[1][j]], pa.int64())})
+
+    return stored(rows.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "links")
+
+
 def join(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id (an integer), n_shingles, component_id (the smallest id reachable by links)."""
     kept = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     rows, table, total = _counted(kept, n)
     known = kept.where("__id is not null")
-    counts = kept.sparkSession.sparkContext.broadcast(table)  # ORDERS tables of fixed size
+    counts = kept.sparkSession.sparkContext.broadcast(table)  # one byte per slot
     members = _members(known, counts, n, percent, total)
-    compatible = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
+    members = _possible(members, rows, percent)
     full = _sets_of(known, members.select("class").distinct(), counts, n, percent)
-    star = members.where("class != hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    links = _linked(star, full, percent)
+    links = _linked(members.where("class != hub").select(F.col("hub").alias("a"), F.col("class").alias("b")), full, percent)
     labels = components(links)
-
-    grouped = members.select("key", "class", "size").join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("key", "class", "size", F.coalesce("label", "class").alias("label"))
-    grouped = stored(grouped, "grouped")
-    open_keys = grouped.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    left = grouped.join(open_keys, "key", "left_semi")
-    x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "label"))) for s in "xy")
-    rest = x.join(y, "key").where((F.col("class_x") < F.col("class_y")) & (F.col("label_x") != F.col("label_y")) & compatible(F.col("size_x"), F.col("size_y")))
-    rest = rest.select(F.col("class_x").alias("a"), F.col("class_y").alias("b")).distinct().join(star.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
-    more = _linked(rest, full, percent)
+    more = _linked_around_hubs(members, labels, full, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
