@@ -38,6 +38,7 @@ from palimpsest.llm._words import chunks
 
 BLOCK_RECORDS = 512
 BOUNDS_AT_ONCE = 50_000  # archives whose first keys are sent to the tasks together
+MAX_BROADCAST_PAYLOADS = 100_000  # shared payloads (50 bytes each) that are broadcast
 DATE = "2024-01-01T00:00:00Z"
 _DIRECTORY = "archive string, block int, first_key string, first_id long, records int, index_offset long, index_bytes long"
 Key = tuple[str, int]
@@ -111,6 +112,9 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     own = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).cast("string").alias("__url"), payload.alias("__html"))
     own = own.withColumn("__sha", F.sha1("__html"))
     shared = own.where(F.octet_length("__html") >= min_payload).groupBy("__sha").agg(F.max("__id").alias("__last"), F.count("*").alias("n")).where("n > 1").select("__sha", "__last")
+    shared = stored(shared, "payloads")
+    if shared.count() <= MAX_BROADCAST_PAYLOADS:  # else both sides move
+        shared = F.broadcast(shared)
     marked = own.join(shared, "__sha", "left").select("__id", "__url", "__html", url_key(F.col("__url")).alias("__key"), F.when((F.octet_length("__html") >= min_payload) & ~F.col("__last").eqNullSafe(F.col("__id")), F.col("__last")).alias("__to"))
     ranged = marked.repartitionByRange("__key", "__id").sortWithinPartitions("__key", F.col("__id").asc_nulls_first())
 
