@@ -337,7 +337,7 @@ def compressed(text: Column, least_saving: int = 40) -> Column:
     import pandas as pd
 
     @F.pandas_udf("text string, format string")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(texts):
         return pd.DataFrame([(None, None) if t is None else compress_json(t, least_saving) for t in texts], columns=["text", "format"])
 
     return run(text)

@@ -198,7 +198,7 @@ query("j10_similar_pairs", _PAIRS + " select agent, a, b, round(s, 5) as similar
 query("j11_co_activated", "select least(a.memory_id, b.memory_id) as a, greatest(a.memory_id, b.memory_id) as b, count(*) as n from activations a join activations b on a.agent = b.agent and a.event_id < b.event_id and a.memory_id != b.memory_id and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000 group by 1, 2")(
     lambda t: W.co_activated(t.activations, 3600)
 )
-query("j12_resolved_feedback", "select f.event_id as feedback_id, f.useful, max_by(a.event_id, epoch_us(a.ts) * 1000000 + a.event_id) as activation_id from feedback f join activations a on a.memory_id = f.memory_id and a.ts <= f.ts and epoch_us(f.ts) - epoch_us(a.ts) <= 86400000000 group by 1, 2")(
+query("j12_resolved_feedback", "select f.event_id as feedback_id, f.useful, max_by(a.event_id, epoch_us(a.ts)::hugeint * 1000000 + a.event_id) as activation_id from feedback f join activations a on a.memory_id = f.memory_id and a.ts <= f.ts and epoch_us(f.ts) - epoch_us(a.ts) <= 86400000000 group by 1, 2")(
     lambda t: W.resolved_feedback(t.feedback, t.activations, 86400).select("feedback_id", "useful", "activation_id")
 )
 query("j13_w4_previous_links", "select src, id as dst, 0.3::double as weight from (select id, lag(id) over (partition by agent order by created_at, id) as src from memories) where src is not null")(lambda t: W.previous_links(t.memories).select("src", "dst", "weight"))
@@ -296,3 +296,226 @@ query("w9_coalesced_pulses")(lambda t: W.coalesced(t.events.withColumnRenamed("u
 query("k7_breaker", "with e as (select *, event_type = 'error' as bad from events), g as (select *, sum((not bad)::int) over (partition by user_id order by ts, event_id) as g from e), f as (select *, sum(bad::int) over (partition by user_id, g order by ts, event_id) as failures from g), x as (select event_id, coalesce(lag(failures) over w, 0) as before, epoch_us(ts) - lag(epoch_us(ts)) over w as since from f window w as (partition by user_id order by ts, event_id)) select event_id, case when before < 2 then 'closed' when since >= 86400000000 then 'half_open' else 'open' end as state from x")(
     lambda t: W.breaker_states(t.events.withColumnRenamed("user_id", "agent").withColumn("ok", F.col("event_type") != "error"), threshold=2, cooldown_seconds=86400).select("event_id", "state")
 )
+
+# Scoring functions.
+
+_AGE = f"(epoch_us({_NOW}) - epoch_us(created_at)) / 86400e6"
+_IDLE = f"(epoch_us({_NOW}) - epoch_us(last_accessed)) / 86400e6"
+_EDGE_DAYS = f"(epoch_us({_NOW}) - epoch_us(last_activated)) / 86400e6"
+
+
+def _age():
+    return S.days_between(now(), F.col("created_at"))
+
+
+def _idle():
+    return S.days_between(now(), F.col("last_accessed"))
+
+
+query("f1_base_level", f"select id, round(ln(access_count + 1) - 0.5 * ln(greatest({_AGE}, 0.001) / (access_count + 1)), 6) as base from memories")(lambda t: t.memories.select("id", r6(S.base_level("access_count", _age()), "base")))
+query("f2_softplus", "select event_id, round(ln(1 + exp(value / 50 - 2)), 6) as y from events where value / 50 - 2 < 300")(lambda t: t.events.where("value / 50 - 2 < 300").select("event_id", r6(S.softplus(F.col("value") / 50 - 2), "y")))
+query("f3_composite", f"select id, round(salience * ln(1 + exp(ln(access_count + 1) - 0.5 * ln(greatest({_AGE}, 0.001) / (access_count + 1)) + 0.3)) * confidence, 6) as score from memories")(lambda t: t.memories.select("id", r6(S.composite_score("salience", S.base_level("access_count", _age()), 0.3, "confidence"), "score")))
+query("f4_strengthen", "select src, dst, round(least(exp(ln(greatest(weight, 0.001)) + ln(1.25)), 5) + 0.0000013, 4) as weight from edges")(lambda t: t.edges.select("src", "dst", F.round(S.strengthen("weight") + 0.0000013, 4).alias("weight")))
+query("f5_decay_edge", f"select src, dst, round(greatest(weight * power(1 + {_EDGE_DAYS} / 7, -0.8), 0.001), 6) as weight from edges")(lambda t: t.edges.select("src", "dst", r6(S.decay_edge("weight", S.days_between(now(), F.col("last_activated"))), "weight")))
+query("f6_touch", "select id, round(least(0.85, least(0.85, confidence + 0.02 / (1 + sqrt(access_count))) + 0.02 / (1 + sqrt(access_count + 1))), 6) as confidence from memories")(lambda t: t.memories.select("id", r6(S.touched_confidence("confidence", "access_count", 2), "confidence")))
+query("f7_feedback", "select id, round(greatest(0, least(1, confidence + case when id % 2 = 0 then 0.05 else -0.1 end)), 6) as confidence from memories")(lambda t: t.memories.select("id", r6(S.with_feedback("confidence", F.col("id") % 2 == 0), "confidence")))
+query("f8_archive_days", "select id, round(least(30 * (1 + 0.6 * ln(1 + access_count)) * (1 + 3 * greatest(0, (confidence - 0.5) / 0.5)), 360), 6) as days from memories")(lambda t: t.memories.select("id", r6(S.archive_after_days("access_count", "confidence"), "days")))
+query("f9_half_life", "select id, round(least(7 * (1 + 2 * greatest(0, (confidence - 0.5) / 0.5)) * least(2, 1 + 0.5 * ln(1 + access_count)), 42), 6) as days from memories")(lambda t: t.memories.select("id", r6(S.edge_half_life("confidence", "access_count"), "days")))
+query("f10_access_factor", "select id, round(least(1, 0.3 + 0.7 * ln(1 + access_count + id % 7) / ln(21)), 6) as af from memories")(lambda t: t.memories.select("id", r6(S.access_factor("access_count", F.col("id") % 7), "af")))
+query("f11_sigmoid", "select event_id, round(1 / (1 + exp(-value / 100)), 6) as y from events")(lambda t: t.events.select("event_id", r6(S.sigmoid(F.col("value") / 100), "y")))
+query("f12_saturate", "select event_id, round(value / (1 + value), 6) as y from events")(lambda t: t.events.select("event_id", r6(S.saturate("value"), "y")))
+query("f13_novelty", "select id, round(case when id % 5 = 0 then 1 else greatest(0.05, least(0.95, 1 - salience * salience - case when id % 2 = 0 then 0.3 else 0 end)) end, 6) as novelty from memories")(lambda t: t.memories.select("id", r6(S.novelty(F.when(F.col("id") % 5 != 0, F.col("salience")), F.col("id") % 2 == 0), "novelty")))
+query("r3_text_match", "select event_id, round(case when k > 0 and v > 0 then 0.5 * greatest(k, v) + 0.3 * least(k, v) + 0.2 * k * v else greatest(k, v) end, 6) as y from (select event_id, case when event_id % 3 = 0 then 0 else least(1, value / 100) end as k, (event_id % 10) / 10 as v from events)")(
+    lambda t: t.events.select("event_id", F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("value") / 100)).alias("k"), ((F.col("event_id") % 10) / 10).alias("v")).select("event_id", r6(S.text_match("k", "v"), "y"))
+)
+query("r4_decay_exponent", "select id, round(greatest(0.2, 0.5 - 0.2 * greatest(0, (confidence - 0.5) / 0.5) - least(0.1, 0.05 * ln(1 + access_count))), 6) as d from memories")(lambda t: t.memories.select("id", r6(S.decay_exponent(0.5, "confidence", "access_count"), "d")))
+query("r5_r6_composite", f"""with {_ENDS}, s as (select id, count(*) as n, sum(weight) as w from ends group by id), m as (select m.*, coalesce(s.n, 0) as n, coalesce(s.w, 0) as w from memories m left join s using (id)),
+  x as (select *, salience as tm, least(case when n > 0 then w / n else 0 end, 0.5) as h, case when n > 0 then least(0.1, 0.03 * ln(1 + w)) else 0 end as ce, case when confidence > 0.55 then least(0.15, 0.3 * greatest(0, confidence - 0.5)) else 0 end as fb,
+    greatest(0.2, 0.5 - 0.2 * greatest(0, (confidence - 0.5) / 0.5) - least(0.1, 0.05 * ln(1 + access_count))) as d from m),
+  y as (select *, least(ln(1 + exp(ln(access_count + 1) - d * ln(greatest({_AGE}, 0.001) / (access_count + 1)) + h)), 3) / 3 as te, case when tm > 0.1 then tm else 0 end as g from x)
+  select id, round((0.6 * tm + 0.4 * te * g + ce * g + fb * g) * confidence, 6) as composite from y""")(
+    lambda t: t.memories.join(G.edge_stats(t.edges, t.memories), "id").select("id", r6(S.gated_composite("salience", F.least(S.softplus(S.base_level("access_count", _age(), S.decay_exponent(0.5, "confidence", "access_count")) + F.when(F.col("n") > 0, F.least(F.col("sum_weight") / F.col("n"), F.lit(0.5))).otherwise(0.0)), F.lit(3.0)) / 3, S.centrality("n", "sum_weight"), S.feedback_bonus("confidence"), "confidence", 0.6, 0.4), "composite"))
+)
+
+# Text functions.
+
+_W = "list_filter(string_split(regexp_replace(lower({c}), '\\s+', ' ', 'g'), ' '), lambda w: length(w) > 2 and w not in (" + _STOP + "))"
+query("tx3_tokens", f"select id, list_sort(list_distinct({_W.format(c='content')})) as tokens from memories")(lambda t: t.memories.select("id", F.array_sort(T.tokens(F.col("content"))).alias("tokens")))
+query("tx4_u5_jaccard", f"with x as (select id, list_distinct({_W.format(c='concept')}) as a, list_distinct({_W.format(c='content')}) as b, list_distinct({_W.format(c=repr(SEARCH))}) as q from memories) select id, round(0.6 * case when len(a) > 0 then len(list_intersect(q, a)) / (len(q) + len(a) - len(list_intersect(q, a))) else 0 end + 0.4 * case when len(b) > 0 then len(list_intersect(q, b)) / (len(q) + len(b) - len(list_intersect(q, b))) else 0 end, 6) as score from x")(
+    lambda t: t.memories.select("id", r6(T.keyword_score(T.tokens(F.lit(SEARCH)), T.tokens(F.col("concept")), T.tokens(F.col("content"))), "score"))
+)
+query("tx7_classify", "with x as (select id, concept as c, len(list_filter(string_split(regexp_replace(concept, '\\s+', ' ', 'g'), ' '), lambda w: w != '')) as n from memories), s as (select id, case when n <= 5 then 2 when n <= 8 then 1 else 0 end - case when n > 15 then 2 when n > 10 then 1 else 0 end + case when regexp_matches(c, '[A-Z]+-\\d+') then 2 else 0 end + case when regexp_matches(c, '[a-z][A-Z]') then 1 else 0 end + case when regexp_matches(c, '\\w+_\\w+') then 1 else 0 end + case when regexp_matches(lower(c), '[0-9a-f]{8}-[0-9a-f]{4}') then 2 else 0 end + case when regexp_matches(c, '[\"'']') then 1 else 0 end + case when regexp_matches(c, '[/\\\\]') then 1 else 0 end + case when regexp_matches(trim(c), '\\.\\w{1,4}$') then 1 else 0 end - case when regexp_matches(c, '(?i)^(what|how|why|when|where|who|which|can|does|is|are)\\b') then 1 else 0 end - case when regexp_matches(lower(c), '\\b(overview|general|about|related|similar|like|broad|concept|idea|approach|strategy)\\b') then 1 else 0 end - case when regexp_matches(lower(c), '\\b(any|all|everything|anything)\\b') then 1 else 0 end as s from x) select id, case when s >= 2 then 'targeted' when s <= -2 then 'exploratory' else 'balanced' end as mode from s")(
+    lambda t: t.memories.select("id", T.classify_query(F.col("concept")).alias("mode"))
+)
+query("tx10_auto_tags")(lambda t: t.memories.select("id", T.auto_tags(F.col("concept"), F.col("content")).alias("auto_tags")))
+query("tx11_entities", "with e as (select id, list_distinct(list_filter(regexp_extract_all(content, '\\b([A-Z][a-z]{2,}(?:\\s+[A-Z][a-z]+)*)\\b', 1), lambda x: length(x) <= 40 and x not in (" + ", ".join(f"'{w}'" for w in T.ENTITY_STOPWORDS) + "))) as e from memories where regexp_matches(content, '^[\\x00-\\x7f]*$')) select id, len(e) as n from e")(lambda t: t.memories.where(F.col("content").rlike(r"^[\x00-\x7f]*$")).select("id", F.size(T.entities(F.col("content"))).cast("long").alias("n")))
+query("tx12_detectors", "select id, regexp_matches(content, '" + T.ROUTINE_VERBS + "') and regexp_matches(content, '" + T.ROUTINE_NOUNS + "') and length(trim(content, ' ')) <= 150 as routine from memories")(lambda t: t.memories.select("id", T.is_routine(F.col("content")).alias("routine")))
+query("tx13_memory_type", "select id, case when regexp_matches(content, '(?i)\\bhow to\\b|\\bsteps?:') or regexp_matches(content, '(?m)^\\s*\\d+[.)]\\s') or regexp_matches(content, '(?i)\\bthen run\\b|\\bfirst,?\\s') then 'procedural' when regexp_matches(content, '(?i)\\b(discovered|debugged|fixed|encountered|happened|resolved|found that|we did|i did|yesterday|last week|today)\\b') then 'episodic' when regexp_matches(content, '(?i)\\b(is|are|should|always|never|must|uses?|requires?|means|pattern|decision|rule|convention)\\b') and length(content) < 500 then 'semantic' else 'unclassified' end as type from memories")(lambda t: t.memories.select("id", T.memory_type(F.col("content")).alias("type")))
+query("tx14_keywords", "select id, list_filter(string_split(regexp_replace(regexp_replace(lower(concept), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: length(w) >= 4 and w not in (" + ", ".join(f"'{w}'" for w in T.KEYWORD_STOPWORDS) + "))[1:8] as keywords from memories")(lambda t: t.memories.select("id", T.keywords(F.col("concept")).alias("keywords")))
+query("tx15_failure_mode", "select event_id, case when r like '%stale%' then 'agent_stale' when r like '%timed out%' then 'timeout' when r like '%schema%' then 'output_invalid' when r like '%conflict%' then 'merge_conflict' else 'unknown' end as mode from (select event_id, case event_id % 6 when 0 then 'worker stale' when 1 then 'it timed out' when 2 then 'bad schema' when 3 then 'merge conflict' when 4 then 'odd' end as r from events)")(
+    lambda t: t.events.select("event_id", T.failure_mode(F.expr("case event_id % 6 when 0 then 'Worker STALE' when 1 then 'it timed out' when 2 then 'bad schema' when 3 then 'merge conflict' when 4 then 'odd' end")).alias("mode"))
+)
+query("tx16_completion_gate", "select id, length(trim(content, ' ')) >= 20 and regexp_matches(content, '" + T.ACTION_WORDS + "') as accepted from memories where regexp_matches(content, '^[\\x00-\\x7f]*$')")(lambda t: t.memories.where(F.col("content").rlike(r"^[\x00-\x7f]*$")).select("id", T.completion_accepted(F.col("content")).alias("accepted")))
+query("tx17_merge_content", "with x as (select id, concept as o, trim(substr(content, 100, 80), ' ') as n, substr(content, 1, 1460) as big from memories) select id, case when n = '' or contains(big, n) then big when length(big) + length(n) + 22 <= 1500 then big || chr(10) || chr(10) || '--- reinforced ---' || chr(10) || n else n end as content from x")(
+    lambda t: t.memories.select("id", T.merge_content(F.substring("content", 1, 1460), F.substring("content", 100, 80)).alias("content"))
+)
+query("tx18_fade", "select id, rtrim(substr(content, 1, 150), ' ') || '… [faded]' as content from memories")(lambda t: t.memories.select("id", T.fade(F.col("content")).alias("content")))
+query("tx6_snippets")(lambda t: t.memories.select("id", T.snippet(F.col("content"), T.tokens(F.lit(SEARCH)), 200).alias("snippet")))
+query("tx20_explain", "select id, concat_ws(' | ', case when salience > 0 then 'text=' || format('{:.3f}', salience) end, case when confidence > 0 then 'links=' || format('{:.3f}', confidence) end) as why from memories")(lambda t: t.memories.select("id", T.explain({"text": F.col("salience"), "links": F.col("confidence")}).alias("why")))
+query("tx21_compress")(lambda t: t.events.groupBy((F.col("event_id") % 50).alias("k")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", "user_id", "event_type")))).alias("j")).select("k", T.compressed(F.col("j")).alias("c")).select("k", "c.text", "c.format"))
+query("tx19_c4_synthesis", f"""with m as (select id, confidence, content, list_filter(tags, lambda x: starts_with(x, 'topic='))[1][7:] as value from memories where {LIVE}), z as (select value, count(*) as n, avg(confidence) as c from m group by 1 having count(*) >= 3 order by n desc, value limit 5),
+  w as (select value, unnest(string_split(regexp_replace(regexp_replace(lower(regexp_replace(content, '[^a-zA-Z0-9_\\s]', '', 'g')), '\\s+', ' ', 'g'), '^ | $', '', 'g'), ' ')) as word from m where value in (select value from z)),
+  k as (select value, word, count(*) as n from w where length(word) > 3 and word not in ({_STOP}) group by 1, 2), t as (select value, word, row_number() over (partition by value order by n desc, word) as rn from k)
+  select value, n, round(c, 6) as confidence, 'Session ' || value || ': ' || n || ' memories. Topics: ' || (select string_agg(word, ', ' order by rn) from t where t.value = z.value and rn <= 10) as content from z""")(
+    lambda t: C.synthesis(t.memories, "topic=").select("value", "n", r6("confidence", "confidence"), "content")
+)
+
+# The graph and its upkeep.
+
+query("m8_upsert", "with c as (select src, dst, 0.5::double as w from edges where src % 3 = 0 union all select id, id + 1, 0.9::double from memories where id < 50 and id % 2 = 0) select coalesce(e.src, c.src) as src, coalesce(e.dst, c.dst) as dst, coalesce(e.type, 'hebbian') as type, round(coalesce(c.w, e.weight), 6) as weight, case when e.src is null then 1 else e.activation_count + case when c.src is null then 0 else 1 end end as activation_count from edges e full join (select src, dst, max(w) as w from c group by 1, 2) c on e.src = c.src and e.dst = c.dst")(
+    lambda t: G.upsert(t.edges, t.edges.where("src % 3 = 0").select("src", "dst", F.lit(0.5).alias("weight")).unionByName(t.memories.where("id < 50 and id % 2 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.9).alias("weight"))).groupBy("src", "dst").agg(F.max("weight").alias("weight")).withColumn("type", F.lit("hebbian")).withColumn("confidence", F.lit(0.8)).withColumn("last_activated", F.lit(None).cast("timestamp_ntz"))).select("src", "dst", "type", r6("weight", "weight"), "activation_count")
+)
+query("m15_edge_decay", f"with d as (select *, {_EDGE_DAYS} as days from edges), n as (select *, case when days < 0.5 then weight else greatest(weight * power(1 + days / 7, -0.8), 0.001) end as w from d) select src, dst, round(case when abs(weight - w) > 0.001 then w else weight end, 6) as weight from n where days < 0.5 or w >= 0.01")(lambda t: G.decayed(t.edges, now()).select("src", "dst", r6("weight", "weight")))
+query("c6_confident_decay", f"with j as (select e.src, e.dst, e.weight, {_EDGE_DAYS} as days, greatest(a.confidence, b.confidence) as c, greatest(a.access_count, b.access_count) as n from edges e join memories a on a.id = e.src join memories b on b.id = e.dst), h as (select *, least(7 * (1 + 2 * greatest(0, (c - 0.5) / 0.5)) * least(2, 1 + 0.5 * ln(1 + n)), 42) as life from j), w as (select *, case when days < 0.5 then weight else greatest(weight * power(1 + days / life, -0.8), 0.001) end as w from h) select src, dst, round(w, 6) as weight from w where w >= 0.01")(
+    lambda t: G.decayed_by_confidence(t.edges, t.memories, now()).select("src", "dst", r6("weight", "weight"))
+)
+query("c7_homeostasis", "with t as (select *, sum(weight) over (partition by src) as total from edges) select src, dst, round(case when total > 10 then weight * 10 / total else weight end, 6) as weight from t where total <= 10 or weight * 10 / total >= 0.01")(lambda t: G.balanced(t.edges).select("src", "dst", r6("weight", "weight")))
+query("r18_hebbian_feedback", "with p as (select src, dst, case when (src + dst) % 2 = 0 then 1 else -1 end as s from edges where src % 5 = 0) select p.src, p.dst, round(case when s >= 0 then least(exp(ln(greatest(weight, 0.1)) + ln(1.25)), 5) else greatest(0.001, weight * 0.7) end + 0.0000013, 4) as weight from p join edges e on e.src = p.src and e.dst = p.dst")(
+    lambda t: G.strengthened(t.edges, t.edges.where("src % 5 = 0").select("src", "dst", F.when((F.col("src") + F.col("dst")) % 2 == 0, 1.0).otherwise(-1.0).alias("signal"))).select("src", "dst", F.round(F.col("weight") + 0.0000013, 4).alias("weight"))
+)
+_UND = "u as (select src as id, dst as other, type, weight from edges union all select dst, src, type, weight from edges where src != dst)"
+query("m11_inherited_edges", f"with {_UND}, c as (select id as old, id + 1 as new from memories where retracted), x as (select c.new, u.other, u.type, u.weight from u join c on c.old = u.id where u.weight >= 0.4 and u.type not in ('invalidation', 'causal', 'temporal') and u.other in (select id from memories where not retracted) and u.other != c.new) select new as src, other as dst, type, round(weight * 0.7, 6) as weight from x qualify row_number() over (partition by new order by weight desc, other) <= 10")(
+    lambda t: G.inherited_edges(t.edges, t.memories, t.memories.where("retracted").select(F.col("id").alias("old"), (F.col("id") + 1).alias("new"))).select("src", "dst", "type", r6("weight", "weight"))
+)
+query("m12_cohesion")(lambda t: G.cohesion(t.edges, t.memories, 7).select("inner", "outer", r6("density", "density"), r6("overlap", "overlap"), r6("cohesion", "cohesion")))
+query("m13_penalties", f"with {_UND}, v as (select * from u where type != 'invalidation'), g as (select id from memories where id in (17, 34)), o as (select other as id, max(weight) as w from v where id in (select id from g) and other not in (select id from g) group by 1), s as (select other as id, max(weight) as w from v where id in (select id from o) and other not in (select id from g) and other not in (select id from o) group by 1), l as (select *, 0 as d from o union all select *, 1 from s) select m.id, round(greatest(0.1, confidence - 0.1 * least(w, 1) * power(0.5, d) * 1.5), 6) as confidence from memories m join l using (id)")(
+    lambda t: G.confidence_penalties(t.memories, t.edges, t.memories.where("id in (17, 34)").select("id")).select("id", r6("confidence", "confidence"))
+)
+query("r10_graph_walk", f"""with {_UND}, p as (select id, salience as score, salience as tm from memories where id < 400), sh as (select * from (values ('semantic', 0.4), ('temporal', 0.2), ('causal', 0.25), ('entity', 0.15)) as x(sub, g)),
+  n as (select case type when 'connection' then 'semantic' when 'hebbian' then 'semantic' when 'temporal' then 'temporal' when 'causal' then 'causal' when 'bridge' then 'entity' end as sub, u.id, u.other, u.weight, b.tm as ot from u join p a on a.id = u.id join p b on b.id = u.other),
+  s0 as (select sub, g, id, score from p cross join sh where tm >= 0.15 qualify row_number() over (partition by sub order by score desc, id) <= greatest(3, ceil(15 * g))),
+  h0 as (select s.sub, n.other as id, score * least(weight, 5) / 5 * case when s.sub = 'causal' then 2 else 1 end * 0.3 as gain, g from s0 s join n on n.sub = s.sub and n.id = s.id where ot >= 0.1), b0 as (select *, least(gain * g, 0.15) as boost from h0 where least(gain * g, 0.15) > 0.001),
+  s1 as (select sub, g, id, max(gain) as score from b0 group by 1, 2, 3 qualify row_number() over (partition by sub order by max(gain) desc, id) <= greatest(3, ceil(15 * g))),
+  h1 as (select s.sub, n.other as id, score * least(weight, 5) / 5 * case when s.sub = 'causal' then 2 else 1 end * 0.09 as gain, g from s1 s join n on n.sub = s.sub and n.id = s.id where ot >= 0.05), b1 as (select *, least(gain * g, 0.15) as boost from h1 where least(gain * g, 0.15) > 0.001),
+  x as (select id, boost from b0 union all select id, boost from b1) select id, round(greatest(0, least(sum(boost), 0.25)), 6) as boost from x group by id""")(
+    lambda t: G.graph_walk(t.memories.where("id < 400").select("id", F.col("salience").alias("score"), F.col("salience").alias("text_match"), F.lit(0.0).alias("graph_boost")), t.edges).select("id", r6("boost", "boost"))
+)
+query("r11_spreading")(lambda t: G.spreading_activation(t.memories.where("id < 40").select("id", F.col("salience").alias("score")), t.edges).select("id", r6("activation", "activation")))
+query("r8_bridge")(lambda t: R.bridged(R.scored(Q.bm25(t.memories, SEARCH, 60).select("id", "score", F.lit(None).cast("double").alias("similarity")), t.memories, t.edges, SEARCH, now())).select("id", r6("composite", "composite"), r6("graph_boost", "graph_boost")))
+query("c8_fade", f"with f as (select id, agent, content, round({_IDLE}, 6) as idle from memories where {LIVE} and access_count between 1 and 9 and length(content) >= 250 and {_IDLE} >= 45 and memory_class not in ('canonical', 'structural')) select id, agent, rtrim(substr(content, 1, 150), ' ') || '… [faded]' as content from f qualify row_number() over (partition by agent order by idle desc, id) <= 25")(lambda t: C.faded(t.memories, now()))
+query("c9_forget", f"with d as (select src as id, count(*) as degree from edges group by 1), o as (select m.*, coalesce(degree, 0) as degree from memories m left join d using (id) where {LIVE}), b as (select list_sort(list(degree))[least(cast(floor(0.25 * count(*)) as bigint), count(*) - 1) + 1] as bar from o) select id, agent, degree from o, b where {_AGE} > 7 and {_IDLE} > least(30 * (1 + 0.6 * ln(1 + access_count)) * (1 + 3 * greatest(0, (confidence - 0.5) / 0.5)), 360) and degree <= bar")(
+    lambda t: C.forgotten(t.memories, t.edges, now())
+)
+query("c10_delete", f"select id, agent from memories where stage = 'archived' and access_count = 0 and {_AGE} > 10 and id not in (select src from edges where src > 900) and id not in (select dst from edges where src > 900)")(lambda t: C.deleted(t.memories, t.edges.where("src > 900"), now(), C.ConsolidationConfig(delete_days=10)))
+query("c12_drift", f"with {_ENDS}, c as (select id, confidence, least(0.03, greatest(-0.03, case when id % 4 = 0 then 0.01 else 0 end - case when id in (select id from ends) then 0 else 0.02 end - case when {_IDLE} > 30 and confidence > 0.3 then 0.01 else 0 end)) as step from memories where {LIVE}) select id, round(case when step = 0 then confidence else greatest(0.15, least(0.85, confidence + step)) end, 6) as confidence from c")(
+    lambda t: C.drifted(t.memories, t.edges, t.memories.where("id % 4 = 0").select("id"), now()).select("id", r6("confidence", "confidence"))
+)
+query("c2_clusters")(lambda t: C.clusters(t.memories, t.agent_vectors, C.ConsolidationConfig(cluster_similarity=0.35, complete_link=0.2)))
+query("c3_cluster_edges")(lambda t: C.cluster_edges(C.clusters(t.memories, t.agent_vectors, C.ConsolidationConfig(cluster_similarity=0.35, complete_link=0.2)), t.memories, t.edges).select("src", "dst", r6("weight", "weight"), "change"))
+query("c5_j17_bridges", _PAIRS + ", c as (select id, agent, id % 9 as cluster from memories), x as (select p.*, ca.cluster as x1, cb.cluster as x2 from p join c ca on ca.id = p.a join c cb on cb.id = p.b where s >= 0.15 and ca.cluster != cb.cluster), y as (select agent, a, b, s from x qualify row_number() over (partition by agent, least(x1, x2), greatest(x1, x2) order by s desc, a, b) = 1), z as (select * from y order by s desc, a, b limit 20), w as (select a as src, b as dst, s from z union all select b, a, s from z) select src, dst, round(s, 5) as similarity from w where not exists (select 1 from edges e where e.src = w.src and e.dst = w.dst)")(
+    lambda t: C.bridges(t.memories.select("agent", (F.col("id") % 9).alias("cluster"), "id"), t.agent_vectors, t.edges).select("src", "dst", F.round(F.round("similarity", 6), 5).alias("similarity"))
+)
+query("c11_redundant")(lambda t: C.redundant(t.memories, t.agent_vectors, C.ConsolidationConfig(redundancy_similarity=0.35)))
+
+# The write path.
+
+_WRITES = "case event_type when 'error' then 'friction' when 'signup' then 'decision' when 'purchase' then 'surprise' else 'observation' end"
+
+
+def _writes(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.expr(_WRITES).alias("event_type"), F.lit("what was seen").alias("content"), ((F.col("event_id") % 10) / 10).alias("surprise"), (F.col("event_id") % 4 == 0).alias("decision_made"), ((F.col("event_id") % 7) / 10).alias("causal_depth"), ((F.col("event_id") % 3) / 5).alias("resolution_effort"), ((F.col("event_id") % 11) / 10).alias("novelty"), F.when(F.col("event_id") % 13 == 0, "canonical").when(F.col("event_id") % 17 == 0, "ephemeral").alias("memory_class"))
+
+
+query("m1_salience", f"""with w as (select event_id, {_WRITES} as k, (event_id % 10) / 10 as s, event_id % 4 = 0 as d, (event_id % 7) / 10 as c, (event_id % 3) / 5 as e, (event_id % 11) / 10 as n, case when event_id % 13 = 0 then 'canonical' when event_id % 17 = 0 then 'ephemeral' else 'working' end as m from events),
+  b as (select *, case k when 'decision' then 0.15 when 'friction' then 0.2 when 'surprise' then 0.25 else 0 end as bonus, not (k = 'surprise' or (k = 'decision' and d)) and s + c + e + case when d then 0.5 else 0 end < 0.5 as weak from w),
+  r as (select *, least(0.15 * s + case when d then 0.15 else 0 end + 0.15 * c + 0.1 * e + case when weak and bonus > 0 then least(0.45 * n, 0.3) else 0.45 * n end + case when weak and bonus > 0 then bonus * 0.25 else bonus end, 1) as raw from b),
+  f as (select *, case when m = 'canonical' then greatest(raw, 0.7) else raw end as score from r)
+  select event_id, round(score, 6) as score, case when m = 'canonical' or round(score, 9) >= 0.4 then 'active' when round(score, 9) >= 0.2 then 'staging' else 'discard' end as disposition from f""")(
+    lambda t: M.scored_writes(_writes(t)).select("event_id", r6("score", "score"), F.when(F.col("memory_class").eqNullSafe("canonical") | (F.round("score", 9) >= 0.4), "active").when(F.round("score", 9) >= 0.2, "staging").otherwise("discard").alias("disposition"))
+)
+query("m2_text_novelty")(lambda t: M.best_text_match(t.memories.where("stage = 'staging'").select(F.col("id").alias("write_id"), "agent", "concept", "content"), t.memories.where("stage = 'active'")).select("write_id", "id", r6("score", "score"), "same_concept"))
+query("m2_vector_novelty", _PAIRS + ", q as (select a as write_id, b as id, s from p union all select b, a, s from p) select write_id, id, round(s, 5) as score from q where write_id % 10 = 6 qualify row_number() over (partition by write_id order by s desc, id) = 1")(
+    lambda t: M.best_vector_match(t.agent_vectors.where("id % 10 = 6").select(F.col("id").alias("write_id"), "agent", "vector"), t.agent_vectors).select("write_id", "id", F.round(F.round("score", 6), 5).alias("score"))
+)
+query("m3_write_fold")(lambda t: M.folded_writes(t.memories, t.memories.where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("write_id"), "agent", "concept", F.substring("content", 61, 80).alias("content"), F.lit(0.6).alias("confidence"))))
+query("m4_reinforce", "select id, round(least(0.85, least(0.95, confidence + 0.05) + 0.02 / (1 + sqrt(access_count))), 6) as confidence, access_count + 1 as access_count from memories where id % 3 = 0")(lambda t: M.reinforced(t.memories, t.memories.where("id % 3 = 0").select("id", F.lit("more").alias("content"))).select("id", r6("confidence", "confidence"), "access_count"))
+query("m5_prior_confidence", f"select event_id, case when event_id % 5 = 0 then 0.25 when event_id % 5 = 1 then 0.4 else case {_WRITES} when 'decision' then 0.65 when 'friction' then 0.6 when 'surprise' then 0.55 else 0.45 end end::double as confidence from events")(
+    lambda t: t.events.select("event_id", S.prior_confidence(F.when(F.col("event_id") % 5 == 0, "discard").when(F.col("event_id") % 5 == 1, "staging").otherwise("active"), F.expr(_WRITES)).alias("confidence"))
+)
+query("m6_m7_supersede", "select id, round(case when superseded_by is not null then greatest(0.2, confidence * 0.4) else confidence end, 6) as confidence, stage from memories")(lambda t: M.superseded(t.memories, t.memories.where("superseded_by is not null").select(F.col("id").alias("old"), F.col("superseded_by").alias("new")), "by_tool")[0].select("id", r6("confidence", "confidence"), "stage"))
+query("m6_batch_supersede", "select id, round(case when superseded_by is not null then 0.1 else confidence end, 6) as confidence, case when superseded_by is not null then 'archived' else stage end as stage from memories")(lambda t: M.superseded(t.memories, t.memories.where("superseded_by is not null").select(F.col("id").alias("old"), F.col("superseded_by").alias("new")), "batch")[0].select("id", r6("confidence", "confidence"), "stage"))
+query("m10_entity_edges")(lambda t: M.entity_edges(t.memories).select("src", "dst", r6("weight", "weight"), "k"))
+query("m16_sweep", f"with x as (select id, agent, created_at from memories where stage = 'staging' and ttl_ms > 0 and created_at + to_milliseconds(ttl_ms) < {_NOW}) select id, agent, case when id % 3 = 0 then 'promoted' when {_AGE} > 1 then 'discarded' else 'kept' end as action from x")(
+    lambda t: M.swept_staging(M.expired_staging(t.memories, now()), t.memories.where("id % 3 = 0").select("id", F.lit(0.7).alias("score")), now()).select("id", "agent", "action")
+)
+query("a5_staging_outcomes", f"select count(*) filter (id % 3 = 0) as promoted, count(*) filter (id % 3 != 0 and {_AGE} > 1) as discarded, 0::bigint as expired from memories where stage = 'staging' and ttl_ms > 0 and created_at + to_milliseconds(ttl_ms) < {_NOW}")(
+    lambda t: A.staging_outcomes(M.swept_staging(M.expired_staging(t.memories, now()), t.memories.where("id % 3 = 0").select("id", F.lit(0.7).alias("score")), now()))
+)
+
+# Coordination.
+
+query("k1_latest_agents", "select user_id as agent, max_by(event_type, epoch_us(ts)::hugeint * 1000000 + event_id) as event_type, count(*) as n_updates from events group by 1")(lambda t: K.latest_state(t.events.withColumnRenamed("user_id", "agent"), "agent", "event_type").select("agent", "event_type", "n_updates"))
+query("k2_transitions", "with h as (select event_id, user_id as id, ts, case event_type when 'signup' then 'pending' when 'view' then 'assigned' when 'click' then 'in_progress' when 'purchase' then 'completed' else 'failed' end as status from events), l as (select *, lag(status) over (partition by id order by ts, event_id) as b from h) select event_id, b as before, status from l where b is not null and not coalesce(case b when 'pending' then status in ('assigned', 'cancelled') when 'assigned' then status in ('in_progress', 'completed', 'failed', 'blocked') when 'in_progress' then status in ('completed', 'failed', 'blocked') end, false)")(
+    lambda t: K.invalid_transitions(t.events.select("event_id", F.col("user_id").alias("id"), "ts", F.expr("case event_type when 'signup' then 'pending' when 'view' then 'assigned' when 'click' then 'in_progress' when 'purchase' then 'completed' else 'failed' end").alias("status"))).select("event_id", "before", "status")
+)
+query("k3_stale", "with a as (select user_id as id, max(ts) as last_seen from events group by 1) select a.id, round((epoch_us(timestamp '2024-01-30') - epoch_us(last_seen)) / 1e6, 3) as idle_seconds from a join agents g on g.id = a.id where g.status != 'dead' and epoch_us(timestamp '2024-01-30') - epoch_us(last_seen) > 600000000")(
+    lambda t: K.stale(t.agents.join(t.events.groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last_seen")), "id"), F.lit("2024-01-30").cast("timestamp"), 600).select("id", F.round("idle_seconds", 3).alias("idle_seconds"))
+)
+query("k4_retry", "select event_id, case when event_id % 5 < 3 then 'pending' else 'failed' end as status, event_id % 5 + case when event_id % 5 < 3 then 1 else 0 end as attempts from events where event_type = 'error'")(
+    lambda t: K.retry_or_fail(t.events.where("event_type = 'error'").select("event_id", (F.col("event_id") % 5).alias("attempts"), F.lit("it timed out").alias("result"))).select("event_id", "status", "attempts")
+)
+query("k5_locks", "with f as (select event_type as path, min_by(user_id, epoch_us(ts)::hugeint * 1000000 + event_id) as holder from events group by 1) select event_id, holder, user_id = holder as granted from events join f on path = event_type")(lambda t: K.lock_holders(t.events.select("event_id", F.col("event_type").alias("path"), F.col("user_id").alias("agent"), "ts")).select("event_id", "holder", "granted"))
+query("k8_mailbox", "select user_id as receiver, event_id as id from events where event_type != 'view' qualify row_number() over (partition by user_id order by ts, event_id) <= 10")(lambda t: K.mailbox(t.events.select(F.col("user_id").alias("receiver"), F.col("event_id").alias("id"), "ts", (F.col("event_type") == "view").alias("delivered"))).select("receiver", "id"))
+query("k9_feed", "select event_id, event_type from events where event_id > 500 order by event_id limit 50")(lambda t: K.feed(t.events, 500).select("event_id", "event_type"))
+query("k11_deep_health", "select count(*) as n, case when count(*) > 2 then 'degraded' else 'ok' end as status from agents where status = 'dead'")(lambda t: K.deep_health(t.agents.where("status = 'dead'").agg(F.count("*").alias("n"))))
+query("k12_delivery_rate", "select user_id as agent, sum((event_type != 'error')::int)::bigint as delivered, count(*) as attempts, round(sum((event_type != 'error')::int) / count(*), 6) as delivery_rate from events group by 1")(
+    lambda t: K.delivery_rate(t.events.select(F.col("user_id").alias("agent"), (F.col("event_type") != "error").cast("long").alias("delivered"), F.lit(1).cast("long").alias("attempts"))).select("agent", "delivered", "attempts", r6("delivery_rate", "delivery_rate"))
+)
+
+# Retrieval quality over the labelled vectors: each of the first 50 is a query, its label's others are relevant.
+
+
+def _ranked(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(query, id, rank) of the nearest vectors, and (query, id) of the relevant ones."""
+    q = t.embeddings.where("vec_id < 50").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))  # a stated set of 50 queries
+    both = t.embeddings.join(F.broadcast(q)).where("vec_id != query")
+    sims = both.select("query", F.col("vec_id").alias("id"), F.round(V.cosine(F.col("embedding"), F.col("qv")), 5).alias("s"), (F.col("label") == F.col("ql")).alias("rel"))
+    ranked = sims.withColumn("rank", F.row_number().over(W.Window.partitionBy("query").orderBy(F.desc("s"), "id")))
+    return ranked.where("rank <= 20").select("query", "id", "rank"), sims.where("rel").select("query", "id")
+
+
+_RANKED = "with s as (select q.vec_id as query, d.vec_id as id, round(list_dot_product(cast(q.embedding as double[]), cast(d.embedding as double[])), 5) as s, q.label = d.label as rel from embeddings q join embeddings d on q.vec_id < 50 and q.vec_id != d.vec_id), r as (select *, row_number() over (partition by query order by s desc, id) as rank from s), k as (select * from r where rank <= 20), t as (select query, id from s where rel)"
+query("e1_recall_at", _RANKED + " select t.query, round(count(k.id) / count(*), 6) as recall from t left join k on k.query = t.query and k.id = t.id and rank <= 10 group by 1")(lambda t: A.recall_at(*_ranked(t), 10).select("query", r6("recall", "recall")))
+query("e2_mrr", _RANKED + ", f as (select query, min(rank) as rank from k where rel group by 1) select round(avg(coalesce(1 / rank, 0)), 6) as mrr from (select distinct query from t) left join f using (query)")(lambda t: A.mean_reciprocal_rank(*_ranked(t)).select(r6("mrr", "mrr")))
+query("e3_ndcg", _RANKED + ", g as (select query, sum(1 / log2(rank + 1)) as dcg from k where rel and rank <= 10 group by 1), i as (select query, least(count(*), 10) as n from t group by 1) select query, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, n + 1), lambda x: 1 / log2(x + 1))), 6) as ndcg from i left join g using (query)")(lambda t: A.ndcg_at(*_ranked(t), 10).select("query", r6("ndcg", "ndcg")))
+query("e5_dedup_quality", "with p as (select a.o_orderkey as a, b.o_orderkey as b, a.o_orderdate = b.o_orderdate as same_day, a.o_orderpriority = b.o_orderpriority as same_prio from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey), n as (select count(*) filter (same_prio) as f, count(*) filter (same_prio and a % 2 = 0) as tp, count(*) filter (a % 2 = 0) as t from p) select round(tp / f, 6) as precision, round(tp / t, 6) as recall, round(2 * (tp / f) * (tp / t) / (tp / f + tp / t), 6) as f1 from n")(
+    lambda t: _dedup(t)
+)
+
+
+def _dedup(t: Tables) -> DataFrame:
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    p = o.select(F.col("o_orderkey").alias("a"), "o_custkey", F.col("o_orderpriority").alias("pa")).join(o.select(F.col("o_orderkey").alias("b"), "o_custkey", F.col("o_orderpriority").alias("pb")), "o_custkey").where("a < b")
+    out = A.dedup_quality(p.where("pa = pb").select("a", "b"), p.where("a % 2 = 0").select("a", "b"))
+    return out.select(r6("precision", "precision"), r6("recall", "recall"), r6("f1", "f1"))
+
+
+query("e6_mean", "select event_type, round(coalesce(avg(value), 0), 6) as mean from events group by 1")(lambda t: t.events.groupBy("event_type").agg(r6(F.coalesce(F.avg("value"), F.lit(0.0)), "mean")))
+
+# Retrieval end to end.
+
+
+def _recall(t: Tables, cfg: RecallConfig = RecallConfig()) -> DataFrame:
+    out = R.recall(t.memories, t.edges, t.vectors, SEARCH, now(), t.query_vector(), cfg)
+    return out.select("id", "agent", "concept", r6("final", "final"), r6("text_match", "text_match"), r6("graph_boost", "graph_boost"), "why")
+
+
+query("recall_hybrid")(_recall)
+query("recall_targeted")(lambda t: _recall(t, RecallConfig(mode="targeted", limit=5)))
+query("r14_recall_gated")(lambda t: _recall(t, RecallConfig(weak_pool_penalty=True)))
+query("tx5_rocchio_terms", None)(lambda t: t.spark.createDataFrame([(i, w) for i, w in enumerate(R.feedback_terms(R.scored(Q.bm25(t.memories, SEARCH, 60).select("id", "score", F.lit(None).cast("double").alias("similarity")), t.memories, t.edges, SEARCH, now()), SEARCH))], "i int, term string"))
+query("r17_side_effects")(lambda t: R.side_effects(_recall(t), t.memories).select("id", r6("confidence", "confidence"), "access_count"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["recall_hybrid"](spark, sf_dir)

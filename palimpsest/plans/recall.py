@@ -18,6 +18,12 @@ from palimpsest.functions import text as T
 from palimpsest.operators import graph, search
 
 
+def pinned(df: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of a cut pool as a local table: what follows refers to them
+    several times, and would else run the searches again each time."""
+    return df.sparkSession.createDataFrame(df.limit(most).collect(), df.schema)
+
+
 def query_mode(spark, text: str) -> str:
     return spark.range(1).select(T.classify_query(F.lit(text)).alias("m")).first()[0]
 
@@ -133,7 +139,8 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
         candidates = search.hybrid_candidates(hits, near)
     else:
         candidates = hits.select("id", "score", F.lit(None).cast("double").alias("similarity"))
-    pool = scored(candidates, live, edges, text, as_of, mode)
+    candidates = pinned(candidates, 3 * cfg.limit + max(50, 5 * cfg.limit))
+    pool = pinned(scored(candidates, live, edges, text, as_of, mode), 3 * cfg.limit + max(50, 5 * cfg.limit))
     extra = feedback_terms(pool, text)
     if extra:
         more = search.bm25(live, " ".join(extra), 2 * cfg.limit).join(candidates.select("id"), "id", "left_anti")
@@ -143,9 +150,10 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
         temporal = F.least(S.softplus(S.base_level("access_count", age)), F.lit(3.0)) / 3
         late = late.withColumn("composite", S.gated_composite("text_match", temporal, 0.0, 0.0, "confidence", MODES[mode].text, MODES[mode].temporal))
         pool = pool.unionByName(late)
-    pool = pool.orderBy(F.desc(F.round("composite", 9)), "id").limit(8 * cfg.limit)
-    pool = walked(bridged(pool), edges, mode).where(F.col("composite") >= cfg.min_score)
-    pool = pool.orderBy(F.desc(F.round("composite", 9)), "id").limit(max(4 * cfg.limit, 40))
+    pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), 8 * cfg.limit)
+    pool = pinned(bridged(pool), 8 * cfg.limit)
+    pool = walked(pool, edges, mode).where(F.col("composite") >= cfg.min_score)
+    pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), max(4 * cfg.limit, 40))
     out = gated(blended(pool, rerank), cfg)
     out = out.withColumn("final", F.when(F.col("superseded_by").isNotNull(), F.col("final") * 0.15).otherwise(F.col("final")))
     why = T.explain({"text": F.col("text_match"), "vector": F.col("vector_match"), "links": F.col("hebbian"), "graph": F.col("graph_boost")})
