@@ -160,3 +160,20 @@ def entity_edges(memories: DataFrame, most: int = 6) -> DataFrame:
     pairs = own.join(own.select("agent", "entity", F.col("id").alias("dst")), ["agent", "entity"]).where("id != dst").groupBy(F.col("id").alias("src"), "dst").agg(F.count("*").alias("k"))
     w = Window.partitionBy("src").orderBy(F.desc("k"), "dst")
     return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("src", "dst", F.lit("connection").alias("type"), F.least(F.lit(0.6), 0.4 + 0.1 * F.col("k")).alias("weight"), "k")
+
+
+def discovered_links(vectors: DataFrame, least: float = 0.7, most: int = 5) -> DataFrame:
+    """Connection edges of each memory to its ``most`` most similar ones of the agent, both ways."""
+    from palimpsest.operators.consolidate import similar_pairs
+
+    p = similar_pairs(vectors, least).withColumn("similarity", F.round("similarity", 6))
+    both = p.select("agent", "similarity", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("agent", "e.src", "e.dst", "similarity")
+    w = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
+    top = both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("src", "dst", "similarity")
+    return top.unionByName(top.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "similarity")).distinct().select("src", "dst", F.lit("connection").alias("type"), F.col("similarity").alias("weight"))
+
+
+def context_memories(assignments: DataFrame, schema: str = "k int") -> DataFrame:
+    """Canonical memories from assignments (id, agent, context as JSON); what is no JSON object is left out."""
+    own = assignments.select("id", "agent", F.from_json("context", schema).alias("c"), "context").where("c is not null")
+    return own.select(F.col("id"), F.col("agent"), F.concat(F.lit("context of "), F.col("id").cast("string")).alias("concept"), F.to_json("c").alias("content"), F.lit("canonical").alias("memory_class"), F.lit(0.7).alias("salience"))

@@ -452,8 +452,15 @@ query("a5_staging_outcomes", f"select count(*) filter (id % 3 = 0) as promoted,
     lambda t: A.staging_outcomes(M.swept_staging(M.expired_staging(t.memories, now()), t.memories.where("id % 3 = 0").select("id", F.lit(0.7).alias("score")), now()))
 )
 
+query("m9_discovered_links", _PAIRS + ", q as (select a as src, b as dst, s from p where s >= 0.35 union all select b, a, s from p where s >= 0.35), t as (select src, dst, s from q qualify row_number() over (partition by src order by s desc, dst) <= 5), u as (select src, dst, s from t union select dst, src, s from t) select src, dst, round(s, 5) as weight from u")(
+    lambda t: M.discovered_links(t.agent_vectors, 0.35).select("src", "dst", F.round("weight", 5).alias("weight"))
+)
+
 # Coordination.
 
+query("k13_context_memories", "select event_id as id, 'context of ' || event_id as concept, json_extract(props, '$.k')::int as k from events where json_valid(props)")(
+    lambda t: M.context_memories(t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("agent"), F.col("props").alias("context"))).select("id", "concept", F.get_json_object("content", "$.k").cast("int").alias("k"))
+)
 query("k1_latest_agents", "select user_id as agent, max_by(event_type, epoch_us(ts)::hugeint * 1000000 + event_id) as event_type, count(*) as n_updates from events group by 1")(lambda t: K.latest_state(t.events.withColumnRenamed("user_id", "agent"), "agent", "event_type").select("agent", "event_type", "n_updates"))
 query("k2_transitions", "with h as (select event_id, user_id as id, ts, case event_type when 'signup' then 'pending' when 'view' then 'assigned' when 'click' then 'in_progress' when 'purchase' then 'completed' else 'failed' end as status from events), l as (select *, lag(status) over (partition by id order by ts, event_id) as b from h) select event_id, b as before, status from l where b is not null and not coalesce(case b when 'pending' then status in ('assigned', 'cancelled') when 'assigned' then status in ('in_progress', 'completed', 'failed', 'blocked') when 'in_progress' then status in ('completed', 'failed', 'blocked') end, false)")(
     lambda t: K.invalid_transitions(t.events.select("event_id", F.col("user_id").alias("id"), "ts", F.expr("case event_type when 'signup' then 'pending' when 'view' then 'assigned' when 'click' then 'in_progress' when 'purchase' then 'completed' else 'failed' end").alias("status"))).select("event_id", "before", "status")
@@ -510,6 +517,9 @@ def _recall(t: Tables, cfg: RecallConfig = RecallConfig()) -> DataFrame:
     return out.select("id", "agent", "concept", r6("final", "final"), r6("text_match", "text_match"), r6("graph_boost", "graph_boost"), "why")
 
 
+query("r9_entity_bridge", "select id, round(least(0.4, 0.4 * salience * ((contains(concept || ' ' || content, 'The'))::int + (contains(concept || ' ' || content, 'And'))::int)), 6) as boost from memories where salience >= 0.1 and (contains(concept || ' ' || content, 'The') or contains(concept || ' ' || content, 'And'))")(
+    lambda t: R.entity_bridged(t.memories.withColumn("text_match", F.col("salience")), "The or And").select("id", r6("boost", "boost"))
+)
 query("recall_hybrid")(_recall)
 query("recall_targeted")(lambda t: _recall(t, RecallConfig(mode="targeted", limit=5)))
 query("r14_recall_gated")(lambda t: _recall(t, RecallConfig(weak_pool_penalty=True)))

@@ -24,6 +24,12 @@ def pinned(df: DataFrame, most: int) -> DataFrame:
     return df.sparkSession.createDataFrame(df.limit(most).collect(), df.schema)
 
 
+def edges_at(edges: DataFrame, ids: list) -> DataFrame:
+    """Edges with an end among a few ids.  The ids are literals, so the filter reaches the
+    edge table's scan or aggregation, and the few edges left are kept while they are in use."""
+    return edges.where(F.col("src").isin(ids) | F.col("dst").isin(ids)).persist()
+
+
 def query_mode(spark, text: str) -> str:
     return spark.range(1).select(T.classify_query(F.lit(text)).alias("m")).first()[0]
 
@@ -140,11 +146,17 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
     else:
         candidates = hits.select("id", "score", F.lit(None).cast("double").alias("similarity"))
     candidates = pinned(candidates, 3 * cfg.limit + max(50, 5 * cfg.limit))
-    pool = pinned(scored(candidates, live, edges, text, as_of, mode), 3 * cfg.limit + max(50, 5 * cfg.limit))
+    ids = [r["id"] for r in candidates.select("id").collect()]
+    near = edges_at(edges, ids)
+    pool = pinned(scored(candidates, live.where(F.col("id").isin(ids)), near, text, as_of, mode), 3 * cfg.limit + max(50, 5 * cfg.limit))
     extra = feedback_terms(pool, text)
     if extra:
-        more = search.bm25(live, " ".join(extra), 2 * cfg.limit).join(candidates.select("id"), "id", "left_anti")
-        late = scored(more.select("id", "score", F.lit(None).cast("double").alias("similarity")), live, edges, text, as_of, mode)
+        more = pinned(search.bm25(live, " ".join(extra), 2 * cfg.limit).where(~F.col("id").isin(ids)).select("id", "score", F.lit(None).cast("double").alias("similarity")), 2 * cfg.limit)
+        late_ids = [r["id"] for r in more.select("id").collect()]
+        if late_ids:
+            near.unpersist()
+            near = edges_at(edges, ids + late_ids)
+        late = scored(more, live.where(F.col("id").isin(late_ids)), near, text, as_of, mode)
         # what feedback adds is scored without links and bonus, at the default decay
         age = S.days_between(as_of, F.col("created_at"))
         temporal = F.least(S.softplus(S.base_level("access_count", age)), F.lit(3.0)) / 3
@@ -152,8 +164,9 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
         pool = pool.unionByName(late)
     pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), 8 * cfg.limit)
     pool = pinned(bridged(pool), 8 * cfg.limit)
-    pool = walked(pool, edges, mode).where(F.col("composite") >= cfg.min_score)
+    pool = walked(pool, near, mode).where(F.col("composite") >= cfg.min_score)
     pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), max(4 * cfg.limit, 40))
+    near.unpersist()
     out = gated(blended(pool, rerank), cfg)
     out = out.withColumn("final", F.when(F.col("superseded_by").isNotNull(), F.col("final") * 0.15).otherwise(F.col("final")))
     why = T.explain({"text": F.col("text_match"), "vector": F.col("vector_match"), "links": F.col("hebbian"), "graph": F.col("graph_boost")})
@@ -163,3 +176,11 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
 def side_effects(results: DataFrame, memories: DataFrame) -> DataFrame:
     """(id, confidence, access_count) of what a recall touched."""
     return memories.join(results.select("id"), "id", "left_semi").select("id", S.touched_confidence("confidence", "access_count").alias("confidence"), (F.col("access_count") + 1).alias("access_count"))
+
+
+def entity_bridged(pool: DataFrame, text: str) -> DataFrame:
+    """(id, boost) of pool rows that name entities of the query."""
+    names = T.query_entities(F.lit(text))
+    own = F.concat_ws(" ", "concept", "content")
+    hits = F.size(F.filter(names, lambda n: F.contains(own, n)))
+    return pool.where("text_match >= 0.1").select("id", F.least(F.lit(0.4), hits * 0.4 * F.col("text_match")).alias("boost")).where("boost > 0")
