@@ -27,7 +27,7 @@ def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.url_lists import captures_of, entries_of, evaluate
 
     pages = table(spark, sf_dir, "pages")
-    return evaluate(captures_of(pages), entries_of(pages))
+    return evaluate(captures_of(pages), entries_of(pages)).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from palimpsest.llm import url_lists
+    from palimpsest.llm.oracles import SQL
 
-    return {"op3_url_lists": url_lists.ORACLE}
+    return dict(SQL)

@@ -144,6 +144,6 @@ hits as (
      or s.kind = 'domain' and (c.host = s.pattern or ends_with(c.host, '.' || s.pattern))
      or s.kind = 'prefix' and starts_with(c.host || '/' || array_to_string(list_filter(string_split(lower(c.path), '/'), lambda x: x != ''), '/') || '/', s.pattern || '/'))),
 best as (select *, row_number() over (partition by page_id order by rank desc, verdict, list, kind, pattern) as rn, count(*) over (partition by page_id) as n_active from hits)
-select c.page_id, c.url, c.fetched_at, c.host, coalesce(b.n_active, 0) as n_active, b.verdict as decision, coalesce(b.verdict = 'block', false) as blocked, b.list, b.kind, b.pattern
+select c.page_id, c.url, strftime(c.fetched_at, '%Y-%m-%d %H:%M:%S') as fetched_at, c.host, coalesce(b.n_active, 0) as n_active, b.verdict as decision, coalesce(b.verdict = 'block', false) as blocked, b.list, b.kind, b.pattern
 from caps c left join best b on b.page_id = c.page_id and b.rn = 1
 """
