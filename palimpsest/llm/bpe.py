@@ -18,11 +18,13 @@ import base64
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 600_000  # words that a worker keeps
+CACHE_WORDS = 300_000  # words that a worker keeps of each of two generations
+PAIRS = 500_000  # joined pairs that a worker keeps
 CACHE_LENGTH = 64  # bytes; longer words are merged anew
 REPLAY_BYTES = 1 << 20  # distinct words are replayed in stretches of about this size
 
@@ -33,7 +35,8 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.single = [ranks.get(bytes([i]), -1) for i in range(256)]
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        self.byte_pair = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], np.int64)
         self.pair: dict[int, int] = {}
 
     @classmethod
@@ -46,41 +49,50 @@ class Vocabulary:
         key = a << 20 | b
         r = self.pair.get(key)
         if r is None:
-            if len(self.pair) > 4_000_000:
+            if len(self.pair) > PAIRS:
                 self.pair.clear()
             r = self.pair[key] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
         return r
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word."""
-        single, rank, known = self.single, self.rank, self.pair.get
-        out: list[list[int]] = [[]] * len(words)
-        token: list[int] = []
-        ends: list[int] = []
-        todo: list[int] = []
-        for k, w in enumerate(words):
-            r = self.ranks.get(w)
-            if r is not None:
-                out[k] = [r]
-            else:
-                token.extend([single[c] for c in w])
-                token.append(-1)
-                ends.append(len(token) - 1)
-                todo.append(k)
-        n = len(token)
+        return [np.frombuffer(x, "<u4").tolist() for x in self.replay_packed(words)]
+
+    def replay_packed(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, as little-endian unsigned 32-bit integers.  A word that
+        is a token needs no merge."""
+        whole = [self.ranks.get(w) for w in words]
+        merged = iter(self._merged([w for w, r in zip(words, whole) if r is None]))
+        return [next(merged) if r is None else r.to_bytes(4, "little") for r in whole]
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        rank, known = self.rank, self.pair.get
+        # every word's byte tokens in one list, with -1 after each word
+        size = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(size + 1) - 1
+        n = int(ends[-1]) + 1 if len(words) else 0
+        if not n:
+            return []
+        inside = np.ones(n, bool)
+        inside[ends] = False
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        start = np.full(n, -1, np.int64)
+        start[inside] = self.single[raw]
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        # the inverted index: merge rank -> positions where that pair stands
         index: dict[int, list[int]] = {}
-        for p in range(n - 1):
-            a, b = token[p], token[p + 1]
-            if a >= 0 and b >= 0:
-                r = known(a << 20 | b)
-                if r is None:
-                    r = rank(a, b)
-                if r >= 0:
-                    if r in index:
-                        index[r].append(p)
-                    else:
-                        index[r] = [p]
+        byte = np.zeros(n, np.int64)
+        byte[inside] = raw
+        at = np.flatnonzero(inside[:-1] & inside[1:])
+        ranks = self.byte_pair[byte[at] << 8 | byte[at + 1]]
+        at, ranks = at[ranks >= 0], ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        cut = np.flatnonzero(np.diff(ranks)) + 1
+        for p, q in zip([0, *cut.tolist()], [*cut.tolist(), len(at)]):
+            if q > p:
+                index[int(ranks[p])] = at[p:q].tolist()
+        token = start.tolist()
         heap = sorted(index)
         while heap:
             r = heappop(heap)
@@ -90,8 +102,14 @@ class Vocabulary:
             places.sort()
             for k, p in enumerate(places):
                 a = token[p]
+                if a < 0:
+                    continue
                 q = right[p]
-                if a < 0 or token[q] < 0 or known(a << 20 | token[q], -1) != r:
+                b = token[q]
+                if b < 0:
+                    continue
+                s = known(a << 20 | b)
+                if (rank(a, b) if s is None else s) != r:
                     continue
                 token[p], token[q] = r, -2
                 q = right[p] = right[q]
@@ -127,11 +145,11 @@ class Vocabulary:
                         index.setdefault(r, []).extend(places[k + 1 :])
                         heappush(heap, r)
                     break
-        at = 0
-        for k, end in zip(todo, ends):
-            out[k] = [t for t in token[at:end] if t >= 0]
-            at = end + 1
-        return out
+        done = np.array(token, np.int64)
+        live = done >= 0
+        packed = done[live].astype("<u4").tobytes()
+        upto = (4 * np.cumsum(live)[ends]).tolist()
+        return [packed[p:q] for p, q in zip([0, *upto[:-1]], upto)]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -144,7 +162,8 @@ class Encoder:
         import regex
 
         self.v, self.split = vocabulary, regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}  # words in use
+        self.old: dict[str, bytes] = {}  # those in use before
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of words that the cache lacks, replayed together."""
@@ -152,8 +171,7 @@ class Encoder:
         new, held = [], 0
 
         def flush() -> None:
-            for w, ids in zip(new, self.v.replay([w.encode("utf-8", "surrogatepass") for w in new])):
-                out[w] = b"".join([i.to_bytes(4, "little") for i in ids])
+            out.update(zip(new, self.v.replay_packed([w.encode("utf-8", "surrogatepass") for w in new])))
             new.clear()
 
         for w in words:
@@ -168,11 +186,15 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.split(t) if t else [] for t in texts]
         seen = set().union(*split)
-        held = {w: self.cache[w] for w in seen if w in self.cache}
+        young, old = self.young, self.old
+        held = {w: young[w] for w in seen if w in young}
+        back = {w: old[w] for w in seen.difference(held) if w in old}
+        held.update(back)
         new = self.learn(seen.difference(held))
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-        self.cache.update((w, b) for w, b in new.items() if len(w) <= CACHE_LENGTH)
+        if len(young) + len(back) + len(new) > CACHE_WORDS:
+            self.old, self.young = young, {}
+        self.young.update(back)
+        self.young.update((w, b) for w, b in new.items() if len(w) <= CACHE_LENGTH)
         held.update(new)
         get = held.__getitem__
         return [b"".join(map(get, words)) for words in split]
@@ -196,8 +218,6 @@ def bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col
     kept = df.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         from palimpsest.llm._words import chunks
 
         enc = encoder(path, pattern)
