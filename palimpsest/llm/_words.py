@@ -157,3 +157,4 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         j = min(j, n)
         yield batch.slice(i, j - i)
         i = j
+    pa.default_memory_pool().release_unused()

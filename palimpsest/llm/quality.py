@@ -169,7 +169,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "__text", 2 << 20):
+            for part in chunks(batch, "__text", 1 << 20):
                 text, feature = indicators(*buffers(part.column("__text")))
                 at = np.searchsorted(text, np.arange(part.num_rows + 1))
                 packed = [feature[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:])]
@@ -189,7 +189,7 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for part in chunks(batch, "__text", 2 << 20):
+            for part in chunks(batch, "__text", 1 << 20):
                 p = m.probabilities(m.margins(part.num_rows, *indicators(*buffers(part.column("__text")))))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p, pa.float64())], names=[*names, "score"])
 
