@@ -11,7 +11,7 @@ approximate, while the order is exact) with its own tie-breaking hash.
    stretch of the corpus sends a class once, so copies are combined before they
    move.  Of a key's classes those stay together whose sizes allow a link; such a
    group yields one pair per class, with the group's hub.
-2. A class's profile counts its n-grams in 32 parts of the hash space; what two
+2. A class's profile counts its n-grams in 128 parts of the hash space; what two
    profiles differ by is a lower bound of what the sets differ by.  Members of a hub
    whose profile allows a link with no other member go.
 3. Pairs must also share a prefix n-gram under the other two orders; what is left is
@@ -47,10 +47,11 @@ from palimpsest.llm.components import components
 ORDERS = 3
 TABLE_BITS = 22  # of the counting table
 SLICES = 64
+WAYS = 256  # tables that a task adds up at once
 MARK_BITS = 23  # of the table of candidate classes
 STRETCH_BYTES = 3 << 20
 BLOCK = 1024  # classes that a task compares at once
-PARTS = 32  # of a class's profile
+PARTS = 128  # of a class's profile
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +93,7 @@ def classes(first: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 def profiles(first: np.ndarray, value: np.ndarray) -> np.ndarray:
     """How many n-grams of each set lie in each part, at most 255."""
-    part = (mix(value, 0x9F) >> U(64 - 5)).astype(np.int64)
+    part = (mix(value, 0x9F) >> U(64 - 7)).astype(np.int64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     return np.minimum(np.bincount(text * PARTS + part, minlength=(len(first) - 1) * PARTS), 255).astype(np.uint8).reshape(-1, PARTS)
 
@@ -158,7 +159,9 @@ def _counted(kept: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, int]:
         return pa.table({"slice": t.column("slice").slice(0, 1), "counts": pa.array([pack(total)], pa.binary())})
 
     part = both.where("slice is not null").select("slice", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("way"))
-    part = part.groupBy("slice", "way").applyInArrow(add, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    if (part.groupBy("slice").count().agg(F.max("count")).first()[0] or 0) > WAYS:  # more tables than one task should add
+        part = part.groupBy("slice", "way").applyInArrow(add, "slice int, counts binary")
+    part = part.groupBy("slice").applyInArrow(add, "slice int, counts binary")
     table = np.zeros((SLICES, (1 << TABLE_BITS) // SLICES), np.int64)
     for r in part.toLocalIterator():  # SLICES rows of fixed size
         table[r["slice"]] = unpack(r["counts"])
@@ -276,8 +279,8 @@ def _sets_of(kept: DataFrame, wanted: DataFrame, counts, n: int, percent: int) -
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.diff(first), pa.int64()), pa.array(full, pa.binary()), *(pa.array(f, pa.binary()) for f in filters)], names=["class", "size", "set", "filter2", "filter3"])
 
     found = kept.mapInArrow(run, "class long, size long, set binary, filter2 binary, filter3 binary")
-    # a class comes once from each stretch, always with the same row
-    return stored(found.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sets")
+    # a class comes once from each stretch, always with the same row; the few unwanted ones do no harm
+    return stored(found.dropDuplicates(["class"]), "sets")
 
 
 def _share(a: bytes, b: bytes, kind: str) -> bool:
@@ -342,47 +345,65 @@ def _dealt(members: DataFrame, hubs: DataFrame) -> DataFrame:
 
 def _possible(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The members, and the hubs as members of their own, whose profile and size allow a
-    link with another member."""
+    link with another member; ``near`` tells whether with the hub."""
     every = members.unionByName(members.select(F.col("hub").alias("class"), "hub").distinct())
     hubs = every.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    known = rows.where("class != 0").select("class", "size", "profile").dropDuplicates(["class"])
-
-    def prune(t: pa.Table) -> pa.Table:
-        r = t.to_pydict()
-        same = r["i"][0] == r["j"][0]
-        side = np.array(r["block"]) == r["i"][0]
-        left = np.flatnonzero(side)
-        right = left if same else np.flatnonzero(~side)
-        size = np.array(r["size"], np.int64)
-        profile = np.frombuffer(b"".join(r["profile"]), np.uint8).reshape(-1, PARTS).astype(np.int16)
-        keep = np.zeros(len(size), bool)
-        for a in range(0, len(left), 64):
-            at = left[a : a + 64]
-            total = np.add.outer(size[at], size[right])
-            differ = np.abs(profile[at][:, None, :] - profile[right][None, :, :]).sum(2, dtype=np.int64)
-            # common = (total - difference) / 2 must reach percent / (100 + percent) of the total
-            ok = (100 + percent) * (total - differ) >= 2 * percent * total
-            if same:
-                ok[np.arange(len(at)), a + np.arange(len(at))] = False
-            keep[at[ok.any(1)]] = True
-            keep[right[ok.any(0)]] = True
-        return pa.table({"class": pa.array(np.array(r["class"], np.int64)[keep]), "hub": pa.array(np.array(r["hub"], np.int64)[keep])})
-
-    rows = _dealt(every, hubs).join(known, "class").select("hub", "i", "j", "block", "class", "size", "profile")
-    return stored(rows.groupBy("hub", "i", "j").applyInArrow(prune, "class long, hub long").distinct(), "possible")
-
-
-def _linked_around_hubs(members: DataFrame, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    known = _known(rows)
+    dealt = _dealt(every, hubs).join(known, "class").select("hub", "i", "j", "block", "class", "size", "profile")
+    found = dealt.groupBy("hub", "i", "j").applyInArrow(lambda t: _prune(t, percent), "class long, hub long, near boolean")
+    return stored(found.groupBy("class", "hub").agg(F.max("near").alias("near")), "possible")
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    return rows.where("class != 0").select("class", "size", "profile").dropDuplicates(["class"])
+
+
+def _prune(t: pa.Table, percent: int) -> pa.Table:
+    """Of two blocks, the rows that some other row may link with.  Where rows have labels,
+    only with a row of another label that is not the hub, whose pairs are tested already."""
+    r = t.to_pydict()
+    same = r["i"][0] == r["j"][0]
+    side = np.array(r["block"]) == r["i"][0]
+    left = np.flatnonzero(side)
+    right = left if same else np.flatnonzero(~side)
+    name, size = np.array(r["class"], np.int64), np.array(r["size"], np.int64)
+    label = np.array(r["label"], np.int64) if "label" in r else None
+    profile = np.frombuffer(b"".join(r["profile"]), np.uint8).reshape(-1, PARTS).astype(np.int16)
+    keep, near = np.zeros(len(size), bool), np.zeros(len(size), bool)
+    hub = name == r["hub"][0]
+    for a in range(0, len(left), 64):
+        at = left[a : a + 64]
+        total = np.add.outer(size[at], size[right])
+        differ = np.abs(profile[at][:, None, :] - profile[right][None, :, :]).sum(2, dtype=np.int64)
+        # common = (total - difference) / 2 must reach percent / (100 + percent) of the total
+        ok = (100 + percent) * (total - differ) >= 2 * percent * total
+        if label is not None:
+            ok &= label[at][:, None] != label[right][None, :]
+            ok[:, hub[right]] = False
+            ok[hub[at]] = False
+        elif same:
+            ok[np.arange(len(at)), a + np.arange(len(at))] = False
+        keep[at[ok.any(1)]] = True
+        keep[right[ok.any(0)]] = True
+        near[at[ok[:, hub[right]].any(1)]] = True
+        near[right[ok[hub[at]].any(0)]] = True
+    return pa.table({"class": pa.array(name[keep]), "hub": pa.array(np.array(r["hub"], np.int64)[keep]), "near": pa.array(near[keep])})
+
+
+def _linked_around_hubs(members: DataFrame, labels: DataFrame, rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links between members of one hub that are in different components.
 
     Any two classes that share a key are members of its hub (or the hub itself, whose
-    pairs are tested already).  Hubs whose members are all in one component are done.
-    Of the others, members are dealt to blocks of about BLOCK; a task compares two
+    pairs are tested already).  Hubs whose members are all in one component are done;
+    of the others, members whose profile allows a link with no member of another
+    component go.  The rest are dealt to blocks of about BLOCK; a task compares two
     blocks by a matrix product and returns only links."""
     named = members.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("hub", "class", F.coalesce("label", "class").alias("label"))
     named = stored(named, "named")
     open_hubs = named.groupBy("hub").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = _dealt(named, open_hubs)
+    dealt = _dealt(named, open_hubs).join(_known(rows), "class").select("hub", "i", "j", "block", "class", "label", "size", "profile")
+    kept = dealt.groupBy("hub", "i", "j").applyInArrow(lambda t: _prune(t, percent), "class long, hub long, near boolean").select("class", "hub").distinct()
+    dealt = _dealt(stored(named.join(kept, ["hub", "class"], "left_semi"), "open"), open_hubs)
     rows = dealt.join(full, "class")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -422,9 +443,9 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", t
     members = _members(known, counts, n, percent, total)
     members = _possible(members, rows, percent)
     full = _sets_of(known, members.select("class").distinct(), counts, n, percent)
-    links = _linked(members.where("class != hub").select(F.col("hub").alias("a"), F.col("class").alias("b")), full, percent)
+    links = _linked(members.where("class != hub and near").select(F.col("hub").alias("a"), F.col("class").alias("b")), full, percent)
     labels = components(links)
-    more = _linked_around_hubs(members, labels, full, percent)
+    more = _linked_around_hubs(members, labels, rows, full, percent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
