@@ -149,17 +149,87 @@ def swept_staging(expired: DataFrame, similarity: DataFrame, as_of: Column, leas
     return expired.join(similarity, "id", "left").select("id", "agent", F.coalesce("score", F.lit(0.0)).alias("score"), action.alias("action"))
 
 
+def heaviest_overlaps(queries: DataFrame, data: DataFrame, most: int, block: int = 16384) -> DataFrame:
+    """(query, id, s): for each query the ``most`` other rows of its agent whose shared terms weigh most,
+    ties to the smallest id.  ``queries`` is (agent, id, terms, weights), ``data`` (agent, id, terms);
+    terms are distinct 64-bit hashes.
+
+    Rows are dealt to blocks; a block of queries and one of data meet in one task, which multiplies
+    them as sparse matrices and keeps the ``most`` best of each query.  However common a term is, no
+    pair leaves a task but these."""
+
+    def dealt(own: DataFrame, name: str, most_at_once: int, least_blocks: int) -> tuple[DataFrame, DataFrame]:
+        n = own.groupBy("agent").agg(F.count("*").alias("n"))
+        n = n.select("agent", F.greatest(F.ceil(F.col("n") / most_at_once), F.least(F.lit(least_blocks), F.ceil(F.col("n") / 512))).cast("int").alias(f"{name}s"))
+        return own.join(F.broadcast(n), "agent").withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"{name}s")).cast("int")).drop(f"{name}s"), n
+
+    known = "agent is not null and id is not null"
+    left, lefts = dealt(queries.where(known).select("agent", "id", "terms", "weights"), "i", block, 1)
+    right, rights = dealt(data.where(known).select("agent", "id", "terms"), "j", block, 16)
+    every = lambda df, n, name: df.join(F.broadcast(n), "agent").withColumn(name, F.explode(F.sequence(F.lit(0), F.col(f"{name}s") - 1))).drop(f"{name}s")
+
+    def multiply(key, q, d):
+        import numpy as np
+        import pyarrow as pa
+
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if q.num_rows and d.num_rows:
+            q, d = q.combine_chunks(), d.sort_by("d_id").combine_chunks()
+            of = lambda t, c: t.column(c).combine_chunks()
+            ids, own = of(q, "id").to_numpy(), of(d, "d_id").to_numpy()
+            row = np.repeat(np.arange(len(own)), of(d, "d_terms").value_lengths().to_numpy())
+            term = of(d, "d_terms").flatten().to_numpy()
+            order = np.argsort(term, kind="stable")
+            term, row = term[order], row[order]
+            asked, weight = of(q, "terms").flatten().to_numpy(), of(q, "weights").flatten().to_numpy()
+            who = np.repeat(np.arange(len(ids)), of(q, "terms").value_lengths().to_numpy())
+            begin = np.searchsorted(term, asked, "left")
+            n = np.searchsorted(term, asked, "right") - begin
+            who, begin, n, weight = who[n > 0], begin[n > 0], n[n > 0], weight[n > 0]
+            first = np.searchsorted(who, np.arange(len(ids) + 1))
+            cost = np.concatenate([[0], np.cumsum(n)])[first]  # postings before each query
+            a = 0
+            while a < len(ids):
+                b = max(a + 1, min(int(np.searchsorted(cost, cost[a] + (1 << 20), "right")) - 1, a + max(1, (1 << 20) // len(own)), len(ids)))
+                s = slice(first[a], first[b])
+                m = n[s]
+                at = np.repeat(begin[s] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                cell = np.repeat((who[s] - a) * len(own), m) + row[at]
+                score = np.bincount(cell, np.repeat(weight[s], m), (b - a) * len(own)).reshape(b - a, len(own))
+                rank = np.rint(score * 1e9).astype(np.int64)
+                place = np.minimum(np.searchsorted(own, ids[a:b]), len(own) - 1)
+                same = np.flatnonzero(own[place] == ids[a:b])
+                rank[same, place[same]] = 0
+                live = np.arange(b - a)
+                for _ in range(most):
+                    best = rank[live].argmax(1) if len(live) < b - a else rank.argmax(1)  # the first of equals: the smallest id
+                    some = rank[live, best] > 0
+                    live, best = live[some], best[some]
+                    if not len(live):
+                        break
+                    out.append((ids[a:b][live], own[best], score[live, best]))
+                    rank[live, best] = 0
+                a = b
+        return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("query", "id", "s"), zip(*out))})
+
+    met = every(left, rights, "j").groupBy("agent", "i", "j").cogroup(every(right, lefts, "i").toDF(*(f"d_{c}" for c in ("agent", "id", "terms", "j", "i"))).groupBy("d_agent", "d_i", "d_j")).applyInArrow(multiply, "query long, id long, s double")
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("s", 9)), "id")
+    return met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
+
+
+def hashed(terms: Column) -> Column:
+    """Distinct terms as 64-bit hashes: of N, two different ones count as equal with odds of about N^2 / 2^65."""
+    return F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t)))
+
+
 def entity_edges(memories: DataFrame, most: int = 6) -> DataFrame:
     """Edges between memories of an agent that name the same entities, at most ``most`` from each.
 
-    Entities that more than 100 memories name link nothing of their own accord: what two
-    memories share is only counted over rarer ones, so no entity makes all pairs."""
-    e = memories.where("stage = 'active' and not retracted").select("id", "agent", F.explode(T.entities(F.concat_ws(" ", "concept", "content"))).alias("entity"))
-    rare = e.groupBy("agent", "entity").agg(F.count("*").alias("n")).where("n between 2 and 100").select("agent", "entity")
-    own = e.join(rare, ["agent", "entity"])
-    pairs = own.join(own.select("agent", "entity", F.col("id").alias("dst")), ["agent", "entity"]).where("id != dst").groupBy(F.col("id").alias("src"), "dst").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("src").orderBy(F.desc("k"), "dst")
-    return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("src", "dst", F.lit("connection").alias("type"), F.least(F.lit(0.6), 0.4 + 0.1 * F.col("k")).alias("weight"), "k")
+    Every shared entity counts, however many memories name it."""
+    e = memories.where("stage = 'active' and not retracted").select("agent", F.col("id").cast("long").alias("id"), hashed(T.entities(F.concat_ws(" ", "concept", "content"))).alias("terms")).where(F.size("terms") > 0)
+    top = heaviest_overlaps(e.withColumn("weights", F.transform("terms", lambda _: F.lit(1.0))), e, most)
+    k = F.round("s").cast("long")
+    return top.select(F.col("query").alias("src"), F.col("id").alias("dst"), F.lit("connection").alias("type"), F.least(F.lit(0.6), 0.4 + 0.1 * k).alias("weight"), k.alias("k"))
 
 
 def discovered_links(vectors: DataFrame, least: float = 0.7, most: int = 5) -> DataFrame:

@@ -105,6 +105,32 @@ def test_merge_content(spark):
     assert "old" not in got[2] and got[2].endswith("new")
 
 
+def test_entity_edges_count_common_entities(spark):
+    names = lambda i: {"Acme", f"Rare{'abcdefghijklmnopqrstuvwxyz'[i % 26]}"} | ({"Bolt"} if i % 2 else set()) | ({"Core"} if i < 3 else set())
+    rows = [(i, "a", "x", ", ".join(sorted(names(i))), "active", False) for i in range(150)] + [(200, "b", "x", "Acme", "active", False), (201, None, "x", "Acme", "active", False)]
+    memories = spark.createDataFrame(rows, "id long, agent string, concept string, content string, stage string, retracted boolean")
+    want = set()
+    for i in range(150):
+        k = sorted((-len(names(i) & names(j)), j) for j in range(150) if j != i)
+        want |= {(i, j, -n) for n, j in k[:6]}
+    assert {(r["src"], r["dst"], r["k"]) for r in M.entity_edges(memories).collect()} == want
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_heaviest_overlaps_by_brute_force(spark, block):
+    import random
+
+    rng = random.Random(3)
+    own = {i: rng.sample(range(12), rng.randint(0, 5)) for i in range(60)}
+    data = spark.createDataFrame([("a", i, t) for i, t in own.items()], "agent string, id long, terms array<long>")
+    got = M.heaviest_overlaps(data.withColumn("weights", F.transform("terms", lambda t: (t + 1) / 4)), data, 4, block).collect()
+    want = set()
+    for i, t in own.items():
+        s = sorted((-sum((x + 1) / 4 for x in set(t) & set(u)), j) for j, u in own.items() if j != i)
+        want |= {(i, j, -v) for v, j in s[:4] if v}
+    assert {(r["query"], r["id"], r["s"]) for r in got} == want
+
+
 def test_auto_tags_order(spark):
     r = spark.createDataFrame([("Work", "I like the Python code at Acme Corp")], "c string, t string").select(T.auto_tags(F.col("c"), F.col("t")).alias("x")).first()["x"]
     assert r[0] == "cat:personal" and "cat:tech" in r and "entity:Acme Corp" in r and r[-1] == "cat:preference"
