@@ -18,20 +18,21 @@ TOUCH_CEILING, CONTENT_LIMIT, RECENT_DAYS = 0.85, 1500, 30
 
 def best_text_match(writes: DataFrame, memories: DataFrame, most: int = 3) -> DataFrame:
     """(write_id, id, score, same_concept): the best of the ``most`` best matches by the share
-    of the write's terms that a memory of the same agent holds, weighted by rarity."""
-    w = writes.select("write_id", "agent", "concept", F.explode(T.search_terms(F.concat_ws(" ", "concept", F.substring("content", 1, 100)))).alias("term"))
-    m = memories.where("not retracted").select("id", "agent", F.col("concept").alias("own"), F.explode(F.array_distinct(T.index_terms(F.concat_ws(" ", "concept", "content")))).alias("term"))
-    asked = m.join(w.select("agent", "term").distinct(), ["agent", "term"], "left_semi")
-    df = asked.groupBy("agent", "term").agg(F.count("*").alias("df"))
-    n = memories.where("not retracted").groupBy("agent").agg(F.count("*").alias("n"))
-    idf = df.join(n, "agent").select("agent", "term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    # a term that more than half of an agent's memories hold says nothing, and its postings are the longest
-    idf = idf.where(F.col("idf") > F.log(F.lit(3.0)))
-    score = w.join(idf, ["agent", "term"]).join(asked, ["agent", "term"]).groupBy("write_id", "id").agg(F.sum("idf").alias("s"), F.max((F.lower(F.trim("concept")) == F.lower(F.trim("own"))).cast("int")).alias("same"))
-    total = w.join(idf, ["agent", "term"]).groupBy("write_id").agg(F.sum("idf").alias("total"))
-    order = Window.partitionBy("write_id").orderBy(F.desc("s"), "id")
-    top = score.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
-    return top.join(total, "write_id").where("rn = 1").select("write_id", "id", (F.col("s") / F.col("total")).alias("score"), (F.col("same") == 1).alias("same_concept"))
+    of the write's terms that a memory of the same agent holds, weighted by rarity.
+
+    Every term counts, also one that all memories hold; terms that none holds do not."""
+    live = memories.where("not retracted")
+    w = writes.select(F.col("write_id").cast("long").alias("id"), "agent", F.explode(hashed(T.search_terms(F.concat_ws(" ", "concept", F.substring("content", 1, 100))))).alias("term"))
+    m = live.select("agent", F.col("id").cast("long").alias("id"), hashed(T.index_terms(F.concat_ws(" ", "concept", "content"))).alias("terms"))
+    df = m.select("agent", F.explode("terms").alias("term")).groupBy("agent", "term").agg(F.count("*").alias("df"))
+    n = live.groupBy("agent").agg(F.count("*").alias("n"))
+    idf = df.join(w.select("agent", "term").distinct(), ["agent", "term"], "left_semi").join(F.broadcast(n), "agent").select("agent", "term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
+    held = w.join(idf, ["agent", "term"]).groupBy("agent", "id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("x"))
+    total = F.aggregate("x.idf", F.lit(0.0), lambda a, x: a + x)
+    queries = held.withColumn("total", total).select("agent", "id", F.col("x.term").alias("terms"), F.transform("x.idf", lambda x: x / F.col("total")).alias("weights"))
+    top = heaviest_overlaps(queries, m, most, others=False).groupBy("query").agg(F.max_by(F.struct("id", "s"), F.struct(F.round("s", 9), -F.col("id"))).alias("x"))
+    named = top.select(F.col("query").alias("write_id"), "x.id", F.col("x.s").alias("score")).join(writes.select("write_id", F.col("concept").alias("__new")), "write_id").join(live.select("id", "concept"), "id")
+    return named.select("write_id", "id", "score", (F.lower(F.trim("__new")) == F.lower(F.trim("concept"))).alias("same_concept"))
 
 
 def best_vector_match(writes: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -149,9 +150,9 @@ def swept_staging(expired: DataFrame, similarity: DataFrame, as_of: Column, leas
     return expired.join(similarity, "id", "left").select("id", "agent", F.coalesce("score", F.lit(0.0)).alias("score"), action.alias("action"))
 
 
-def heaviest_overlaps(queries: DataFrame, data: DataFrame, most: int, block: int = 16384) -> DataFrame:
-    """(query, id, s): for each query the ``most`` other rows of its agent whose shared terms weigh most,
-    ties to the smallest id.  ``queries`` is (agent, id, terms, weights), ``data`` (agent, id, terms);
+def heaviest_overlaps(queries: DataFrame, data: DataFrame, most: int, block: int = 16384, others: bool = True) -> DataFrame:
+    """(query, id, s): for each query the ``most`` rows of its agent whose shared terms weigh most,
+    ties to the smallest id; ``others`` leaves out the row with the query's own id.  ``queries`` is (agent, id, terms, weights), ``data`` (agent, id, terms);
     terms are distinct 64-bit hashes.
 
     Rows are dealt to blocks; a block of queries and one of data meet in one task, which multiplies
@@ -197,9 +198,10 @@ def heaviest_overlaps(queries: DataFrame, data: DataFrame, most: int, block: int
                 cell = np.repeat((who[s] - a) * len(own), m) + row[at]
                 score = np.bincount(cell, np.repeat(weight[s], m), (b - a) * len(own)).reshape(b - a, len(own))
                 rank = np.rint(score * 1e9).astype(np.int64)
-                place = np.minimum(np.searchsorted(own, ids[a:b]), len(own) - 1)
-                same = np.flatnonzero(own[place] == ids[a:b])
-                rank[same, place[same]] = 0
+                if others:
+                    place = np.minimum(np.searchsorted(own, ids[a:b]), len(own) - 1)
+                    same = np.flatnonzero(own[place] == ids[a:b])
+                    rank[same, place[same]] = 0
                 live = np.arange(b - a)
                 for _ in range(most):
                     best = rank[live].argmax(1) if len(live) < b - a else rank.argmax(1)  # the first of equals: the smallest id

@@ -131,6 +131,26 @@ def test_heaviest_overlaps_by_brute_force(spark, block):
     assert {(r["query"], r["id"], r["s"]) for r in got} == want
 
 
+def test_text_match_of_copies(spark):
+    memory = "id long, agent string, concept string, content string, retracted boolean"
+    rows = [(1, "one", "alpha", "the only memory", False), (2, "two", "beta", "first of two", False), (3, "two", "gamma", "another thing", False)]
+    rows += [(10 + i, "half", "copied", "the same text again", False) for i in range(4)] + [(20 + i, "half", f"other{i}", f"words number{i}", False) for i in range(4)]
+    copies = [(1, "one", "alpha", "the only memory"), (101, "one", "alpha", "the only memory"), (102, "two", "beta", "first of two"), (103, "two", "gamma", "another thing"), (104, "half", "copied", "the same text again"), (105, "half", "new", "nothing known")]
+    got = M.best_text_match(spark.createDataFrame(copies, "write_id long, agent string, concept string, content string"), spark.createDataFrame(rows, memory)).collect()
+    assert {r["write_id"]: (r["id"], round(r["score"], 6), r["same_concept"]) for r in got} == {1: (1, 1.0, True), 101: (1, 1.0, True), 102: (2, 1.0, True), 103: (3, 1.0, True), 104: (10, 1.0, True)}
+
+
+def test_text_match_weighs_by_rarity(spark):
+    import math
+
+    rows = [(i, "a", f"c{i}", " ".join(["common"] + ["some"] * (i % 2) + ["rare"] * (i == 4)), False) for i in range(6)]
+    writes = spark.createDataFrame([(100, "a", "common", "some rare unknown"), (101, "a", "common", "x")], "write_id long, agent string, concept string, content string")
+    got = M.best_text_match(writes, spark.createDataFrame(rows, "id long, agent string, concept string, content string, retracted boolean")).collect()
+    idf = {t: math.log(1 + 6 / n) for t, n in (("common", 6), ("some", 3), ("rare", 1))}
+    want = {100: (4, round((idf["common"] + idf["rare"]) / sum(idf.values()), 6)), 101: (0, 1.0)}
+    assert {r["write_id"]: (r["id"], round(r["score"], 6)) for r in got} == want
+
+
 def test_auto_tags_order(spark):
     r = spark.createDataFrame([("Work", "I like the Python code at Acme Corp")], "c string, t string").select(T.auto_tags(F.col("c"), F.col("t")).alias("x")).first()["x"]
     assert r[0] == "cat:personal" and "cat:tech" in r and "entity:Acme Corp" in r and r[-1] == "cat:preference"
