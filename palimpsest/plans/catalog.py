@@ -1,7 +1,8 @@
 """Every registered query of the engine: a DataFrame form and the same in DuckDB SQL.
 
 Queries run over their whole tables.  Where a limit stands in a query, it is the
-query's own (top-k, next task, feed page).  Floats are rounded where sums are taken
+query's own (top-k, next task, feed page).  Where the SQL of a query states a subset
+of its input, a query of the same name with ``_all`` takes the whole of it.  Floats are rounded where sums are taken
 in different orders.
 """
 
@@ -349,6 +350,7 @@ query("tx7_classify", "with x as (select id, concept as c, len(list_filter(strin
 )
 query("tx10_auto_tags")(lambda t: t.memories.select("id", T.auto_tags(F.col("concept"), F.col("content")).alias("auto_tags")))
 query("tx11_entities", "with e as (select id, list_distinct(list_filter(regexp_extract_all(content, '\\b([A-Z][a-z]{2,}(?:\\s+[A-Z][a-z]+)*)\\b', 1), lambda x: length(x) <= 40 and x not in (" + ", ".join(f"'{w}'" for w in T.ENTITY_STOPWORDS) + "))) as e from memories where regexp_matches(content, '^[\\x00-\\x7f]*$')) select id, len(e) as n from e")(lambda t: t.memories.where(F.col("content").rlike(r"^[\x00-\x7f]*$")).select("id", F.size(T.entities(F.col("content"))).cast("long").alias("n")))
+query("tx11_entities_all")(lambda t: t.memories.select("id", F.size(T.entities(F.col("content"))).cast("long").alias("n")))
 query("tx12_detectors", "select id, regexp_matches(content, '" + T.ROUTINE_VERBS + "') and regexp_matches(content, '" + T.ROUTINE_NOUNS + "') and length(trim(content, ' ')) <= 150 as routine from memories")(lambda t: t.memories.select("id", T.is_routine(F.col("content")).alias("routine")))
 query("tx13_memory_type", "select id, case when regexp_matches(content, '(?i)\\bhow to\\b|\\bsteps?:') or regexp_matches(content, '(?m)^\\s*\\d+[.)]\\s') or regexp_matches(content, '(?i)\\bthen run\\b|\\bfirst,?\\s') then 'procedural' when regexp_matches(content, '(?i)\\b(discovered|debugged|fixed|encountered|happened|resolved|found that|we did|i did|yesterday|last week|today)\\b') then 'episodic' when regexp_matches(content, '(?i)\\b(is|are|should|always|never|must|uses?|requires?|means|pattern|decision|rule|convention)\\b') and length(content) < 500 then 'semantic' else 'unclassified' end as type from memories")(lambda t: t.memories.select("id", T.memory_type(F.col("content")).alias("type")))
 query("tx14_keywords", "select id, list_filter(string_split(regexp_replace(regexp_replace(lower(concept), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: length(w) >= 4 and w not in (" + ", ".join(f"'{w}'" for w in T.KEYWORD_STOPWORDS) + "))[1:8] as keywords from memories")(lambda t: t.memories.select("id", T.keywords(F.col("concept")).alias("keywords")))
@@ -356,6 +358,7 @@ query("tx15_failure_mode", "select event_id, case when r like '%stale%' then 'ag
     lambda t: t.events.select("event_id", T.failure_mode(F.expr("case event_id % 6 when 0 then 'Worker STALE' when 1 then 'it timed out' when 2 then 'bad schema' when 3 then 'merge conflict' when 4 then 'odd' end")).alias("mode"))
 )
 query("tx16_completion_gate", "select id, length(trim(content, ' ')) >= 20 and regexp_matches(content, '" + T.ACTION_WORDS + "') as accepted from memories where regexp_matches(content, '^[\\x00-\\x7f]*$')")(lambda t: t.memories.where(F.col("content").rlike(r"^[\x00-\x7f]*$")).select("id", T.completion_accepted(F.col("content")).alias("accepted")))
+query("tx16_completion_gate_all")(lambda t: t.memories.select("id", T.completion_accepted(F.col("content")).alias("accepted")))
 query("tx17_merge_content", "with x as (select id, concept as o, trim(substr(content, 100, 80), ' ') as n, substr(content, 1, 1460) as big from memories) select id, case when n = '' or contains(big, n) then big when length(big) + length(n) + 22 <= 1500 then big || chr(10) || chr(10) || '--- reinforced ---' || chr(10) || n else n end as content from x")(
     lambda t: t.memories.select("id", T.merge_content(F.substring("content", 1, 1460), F.substring("content", 100, 80)).alias("content"))
 )

@@ -151,6 +151,21 @@ def test_text_match_weighs_by_rarity(spark):
     assert {r["write_id"]: (r["id"], round(r["score"], 6)) for r in got} == want
 
 
+def test_text_queries_read_every_text(spark, sf):
+    import re
+
+    from palimpsest.plans import catalog
+    from palimpsest.views import view
+
+    rows = {r["id"]: r["content"] for r in view(spark, sf, "memories").select("id", "content").collect()}
+    assert any(not t.isascii() for t in rows.values())
+    name, action = re.compile(r"\b([A-Z][a-z]{2,}(?:[ \t\n\x0b\f\r]+[A-Z][a-z]+)*)\b"), re.compile(T.ACTION_WORDS)
+    entities = {i: len({x for x in name.findall(t) if len(x) <= 40 and x not in T.ENTITY_STOPWORDS}) for i, t in rows.items()}
+    assert {r["id"]: r["n"] for r in catalog.queries()["tx11_entities_all"](spark, sf).collect()} == entities
+    accepted = {i: len(t.strip(" ")) >= 20 and bool(action.search(t)) for i, t in rows.items()}
+    assert {r["id"]: r["accepted"] for r in catalog.queries()["tx16_completion_gate_all"](spark, sf).collect()} == accepted
+
+
 def test_auto_tags_order(spark):
     r = spark.createDataFrame([("Work", "I like the Python code at Acme Corp")], "c string, t string").select(T.auto_tags(F.col("c"), F.col("t")).alias("x")).first()["x"]
     assert r[0] == "cat:personal" and "cat:tech" in r and "entity:Acme Corp" in r and r[-1] == "cat:preference"
