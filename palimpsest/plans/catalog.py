@@ -119,6 +119,11 @@ query("s12_merge_sources", """with s as (select 0 as source_no, * from memories
   select key, source_no, id from k where key not in (select key from x) qualify row_number() over (partition by key order by source_no, id) = 1""")(
     lambda t: X.merged(t.memories.where("agent = 'fr'"), [t.memories.where("agent = 'en'"), t.memories.where("id % 3 = 0")]).select("key", "source_no", "id")
 )
+query("s12_merge_sources_all", """with s as (select 0 as source_no, * from memories where agent = 'en' and not retracted union all select 1, * from memories where not retracted),
+  k as (select *, sha256(lower(trim(concept || chr(10) || content))) as key from s), x as (select sha256(lower(trim(concept || chr(10) || content))) as key from memories where agent = 'fr')
+  select key, source_no, id from k where key not in (select key from x) qualify row_number() over (partition by key order by source_no, id) = 1""")(
+    lambda t: X.merged(t.memories.where("agent = 'fr'"), [t.memories.where("agent = 'en'"), t.memories]).select("key", "source_no", "id")
+)
 query("s14_transcript", """with r as (select *, row_number() over (partition by conv_id order by turn desc) as rn from conversations)
   select conv_id as session, substr(min_by(text, case when role = 'user' then rn end), 1, 200) as last_user from r where rn <= 100 group by conv_id""")(
     lambda t: X.transcript_summary(t.conversations.select(F.col("conv_id").alias("session"), F.col("turn").alias("line_no"), "role", "text", F.lit(None).cast("string").alias("file"), F.lit(None).cast("string").alias("tool"))).select("session", "last_user")
@@ -177,6 +182,17 @@ query("t9_k6_commands", """with c as (select event_id as id, ts, case user_id %
   select id, command from c left join r on c.workspace = r.workspace cross join a where command != 'RESUME' and (r.m is null or ts > r.m) and (a.m is null or ts > a.m)""")(
     lambda t: K.active_commands(t.events.where("event_type in ('signup', 'error', 'purchase') and ts < timestamp'2024-01-10'").select(F.col("event_id").alias("id"), "ts", F.when(F.col("user_id") % 3 == 1, "a").when(F.col("user_id") % 3 == 2, "b").alias("workspace"), F.when((F.col("event_type") == "signup") & (F.col("event_id") % 40 == 0), "RESUME").when(F.col("event_type") == "signup", "BUILD_FREEZE").when(F.col("event_type") == "error", "SHUTDOWN").otherwise("PAUSE").alias("command"))).select("id", "command")
 )
+
+
+def _commands(events: DataFrame) -> DataFrame:
+    return events.where("event_type in ('signup', 'error', 'purchase')").select(F.col("event_id").alias("id"), "ts", F.when(F.col("user_id") % 3 == 1, "a").when(F.col("user_id") % 3 == 2, "b").alias("workspace"), F.when((F.col("event_type") == "signup") & (F.col("event_id") % 40 == 0), "RESUME").when(F.col("event_type") == "signup", "BUILD_FREEZE").when(F.col("event_type") == "error", "SHUTDOWN").otherwise("PAUSE").alias("command"))
+
+
+query("t9_k6_commands_all", """with c as (select event_id as id, ts, case user_id % 3 when 0 then null when 1 then 'a' else 'b' end as workspace, case when event_type = 'signup' and event_id % 40 = 0 then 'RESUME' when event_type = 'signup' then 'BUILD_FREEZE' when event_type = 'error' then 'SHUTDOWN' when event_type = 'purchase' then 'PAUSE' end as command from events where event_type in ('signup', 'error', 'purchase')),
+  r as (select workspace, max(ts) as m from c where command = 'RESUME' and workspace is not null group by 1), a as (select max(ts) as m from c where command = 'RESUME' and workspace is null)
+  select id, command from c left join r on c.workspace = r.workspace cross join a where command != 'RESUME' and (r.m is null or ts > r.m) and (a.m is null or ts > a.m)""")(
+    lambda t: K.active_commands(_commands(t.events)).select("id", "command")
+)
 query("t12_scheduler_pick", "select agent from memories group by agent order by count(*) desc, max(created_at), agent limit 1")(lambda t: t.memories.groupBy("agent").agg(F.count("*").alias("n"), F.max("created_at").alias("m")).orderBy(F.desc("n"), "m", "agent").limit(1).select("agent"))
 
 # Joins and sets.
@@ -378,6 +394,9 @@ query("tx19_c4_synthesis", f"""with m as (select id, confidence, content, list_f
 query("m8_upsert", "with c as (select src, dst, 0.5::double as w from edges where src % 3 = 0 union all select id, id + 1, 0.9::double from memories where id < 50 and id % 2 = 0) select coalesce(e.src, c.src) as src, coalesce(e.dst, c.dst) as dst, coalesce(e.type, 'hebbian') as type, round(coalesce(c.w, e.weight), 6) as weight, case when e.src is null then 1 else e.activation_count + case when c.src is null then 0 else 1 end end as activation_count from edges e full join (select src, dst, max(w) as w from c group by 1, 2) c on e.src = c.src and e.dst = c.dst")(
     lambda t: G.upsert(t.edges, t.edges.where("src % 3 = 0").select("src", "dst", F.lit(0.5).alias("weight")).unionByName(t.memories.where("id < 50 and id % 2 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.9).alias("weight"))).groupBy("src", "dst").agg(F.max("weight").alias("weight")).withColumn("type", F.lit("hebbian")).withColumn("confidence", F.lit(0.8)).withColumn("last_activated", F.lit(None).cast("timestamp_ntz"))).select("src", "dst", "type", r6("weight", "weight"), "activation_count")
 )
+query("m8_upsert_all", "with c as (select src, dst, 0.5::double as w from edges union all select id, id + 1, 0.9::double from memories) select coalesce(e.src, c.src) as src, coalesce(e.dst, c.dst) as dst, coalesce(e.type, 'hebbian') as type, round(coalesce(c.w, e.weight), 6) as weight, case when e.src is null then 1 else e.activation_count + case when c.src is null then 0 else 1 end end as activation_count from edges e full join (select src, dst, max(w) as w from c group by 1, 2) c on e.src = c.src and e.dst = c.dst")(
+    lambda t: G.upsert(t.edges, t.edges.select("src", "dst", F.lit(0.5).alias("weight")).unionByName(t.memories.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.9).alias("weight"))).groupBy("src", "dst").agg(F.max("weight").alias("weight")).withColumn("type", F.lit("hebbian")).withColumn("confidence", F.lit(0.8)).withColumn("last_activated", F.lit(None).cast("timestamp_ntz"))).select("src", "dst", "type", r6("weight", "weight"), "activation_count")
+)
 query("m15_edge_decay", f"with d as (select *, {_EDGE_DAYS} as days from edges), n as (select *, case when days < 0.5 then weight else greatest(weight * power(1 + days / 7, -0.8), 0.001) end as w from d) select src, dst, round(case when abs(weight - w) > 0.001 then w else weight end, 6) as weight from n where days < 0.5 or w >= 0.01")(lambda t: G.decayed(t.edges, now()).select("src", "dst", r6("weight", "weight")))
 query("c6_confident_decay", f"with j as (select e.src, e.dst, e.weight, {_EDGE_DAYS} as days, greatest(a.confidence, b.confidence) as c, greatest(a.access_count, b.access_count) as n from edges e join memories a on a.id = e.src join memories b on b.id = e.dst), h as (select *, least(7 * (1 + 2 * greatest(0, (c - 0.5) / 0.5)) * least(2, 1 + 0.5 * ln(1 + n)), 42) as life from j), w as (select *, case when days < 0.5 then weight else greatest(weight * power(1 + days / life, -0.8), 0.001) end as w from h) select src, dst, round(w, 6) as weight from w where w >= 0.01")(
     lambda t: G.decayed_by_confidence(t.edges, t.memories, now()).select("src", "dst", r6("weight", "weight"))
@@ -386,6 +405,9 @@ query("c7_homeostasis", "with t as (select *, sum(weight) over (partition by src
 query("r18_hebbian_feedback", "with p as (select src, dst, case when (src + dst) % 2 = 0 then 1 else -1 end as s from edges where src % 5 = 0) select p.src, p.dst, round(case when s >= 0 then least(exp(ln(greatest(weight, 0.1)) + ln(1.25)), 5) else greatest(0.001, weight * 0.7) end + 0.0000013, 4) as weight from p join edges e on e.src = p.src and e.dst = p.dst")(
     lambda t: G.strengthened(t.edges, t.edges.where("src % 5 = 0").select("src", "dst", F.when((F.col("src") + F.col("dst")) % 2 == 0, 1.0).otherwise(-1.0).alias("signal"))).select("src", "dst", F.round(F.col("weight") + 0.0000013, 4).alias("weight"))
 )
+query("r18_hebbian_feedback_all", "with p as (select src, dst, weight, case when (src + dst) % 2 = 0 then 1 else -1 end as s from edges) select src, dst, round(case when s >= 0 then least(exp(ln(greatest(weight, 0.1)) + ln(1.25)), 5) else greatest(0.001, weight * 0.7) end + 0.0000013, 4) as weight from p")(
+    lambda t: G.strengthened(t.edges, t.edges.select("src", "dst", F.when((F.col("src") + F.col("dst")) % 2 == 0, 1.0).otherwise(-1.0).alias("signal"))).select("src", "dst", F.round(F.col("weight") + 0.0000013, 4).alias("weight"))
+)
 _UND = "u as (select src as id, dst as other, type, weight from edges union all select dst, src, type, weight from edges where src != dst)"
 query("m11_inherited_edges", f"with {_UND}, c as (select id as old, id + 1 as new from memories where retracted), x as (select c.new, u.other, u.type, u.weight from u join c on c.old = u.id where u.weight >= 0.4 and u.type not in ('invalidation', 'causal', 'temporal') and u.other in (select id from memories where not retracted) and u.other != c.new) select new as src, other as dst, type, round(weight * 0.7, 6) as weight from x qualify row_number() over (partition by new order by weight desc, other) <= 10")(
     lambda t: G.inherited_edges(t.edges, t.memories, t.memories.where("retracted").select(F.col("id").alias("old"), (F.col("id") + 1).alias("new"))).select("src", "dst", "type", r6("weight", "weight"))
@@ -410,6 +432,7 @@ query("c9_forget", f"with d as (select src as id, count(*) as degree from edges
     lambda t: C.forgotten(t.memories, t.edges, now())
 )
 query("c10_delete", f"select id, agent from memories where stage = 'archived' and access_count = 0 and {_AGE} > 10 and id not in (select src from edges where src > 900) and id not in (select dst from edges where src > 900)")(lambda t: C.deleted(t.memories, t.edges.where("src > 900"), now(), C.ConsolidationConfig(delete_days=10)))
+query("c10_delete_all", f"select id, agent from memories where stage = 'archived' and access_count = 0 and {_AGE} > 10 and id not in (select src from edges) and id not in (select dst from edges)")(lambda t: C.deleted(t.memories, t.edges, now(), C.ConsolidationConfig(delete_days=10)))
 query("c12_drift", f"with {_ENDS}, c as (select id, confidence, least(0.03, greatest(-0.03, case when id % 4 = 0 then 0.01 else 0 end - case when id in (select id from ends) then 0 else 0.02 end - case when {_IDLE} > 30 and confidence > 0.3 then 0.01 else 0 end)) as step from memories where {LIVE}) select id, round(case when step = 0 then confidence else greatest(0.15, least(0.85, confidence + step)) end, 6) as confidence from c")(
     lambda t: C.drifted(t.memories, t.edges, t.memories.where("id % 4 = 0").select("id"), now()).select("id", r6("confidence", "confidence"))
 )
@@ -440,8 +463,9 @@ query("m2_text_novelty")(lambda t: M.best_text_match(t.memories.where("stage = '
 query("m2_vector_novelty", _PAIRS + ", q as (select a as write_id, b as id, s from p union all select b, a, s from p) select write_id, id, round(s, 5) as score from q where write_id % 10 = 6 qualify row_number() over (partition by write_id order by s desc, id) = 1")(
     lambda t: M.best_vector_match(t.agent_vectors.where("id % 10 = 6").select(F.col("id").alias("write_id"), "agent", "vector"), t.agent_vectors).select("write_id", "id", F.round(F.round("score", 6), 5).alias("score"))
 )
-query("m3_write_fold")(lambda t: M.folded_writes(t.memories, t.memories.where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("write_id"), "agent", "concept", F.substring("content", 61, 80).alias("content"), F.lit(0.6).alias("confidence"))))
+query("m3_write_fold")(lambda t: M.folded_writes(t.memories, t.memories.select((F.col("id") + 1_000_000).alias("write_id"), "agent", "concept", F.substring("content", 61, 80).alias("content"), F.lit(0.6).alias("confidence"))))
 query("m4_reinforce", "select id, round(least(0.85, least(0.95, confidence + 0.05) + 0.02 / (1 + sqrt(access_count))), 6) as confidence, access_count + 1 as access_count from memories where id % 3 = 0")(lambda t: M.reinforced(t.memories, t.memories.where("id % 3 = 0").select("id", F.lit("more").alias("content"))).select("id", r6("confidence", "confidence"), "access_count"))
+query("m4_reinforce_all", "select id, round(least(0.85, least(0.95, confidence + 0.05) + 0.02 / (1 + sqrt(access_count))), 6) as confidence, access_count + 1 as access_count from memories")(lambda t: M.reinforced(t.memories, t.memories.select("id", F.lit("more").alias("content"))).select("id", r6("confidence", "confidence"), "access_count"))
 query("m5_prior_confidence", f"select event_id, case when event_id % 5 = 0 then 0.25 when event_id % 5 = 1 then 0.4 else case {_WRITES} when 'decision' then 0.65 when 'friction' then 0.6 when 'surprise' then 0.55 else 0.45 end end::double as confidence from events")(
     lambda t: t.events.select("event_id", S.prior_confidence(F.when(F.col("event_id") % 5 == 0, "discard").when(F.col("event_id") % 5 == 1, "staging").otherwise("active"), F.expr(_WRITES)).alias("confidence"))
 )
@@ -455,6 +479,16 @@ query("a5_staging_outcomes", f"select count(*) filter (id % 3 = 0) as promoted,
     lambda t: A.staging_outcomes(M.swept_staging(M.expired_staging(t.memories, now()), t.memories.where("id % 3 = 0").select("id", F.lit(0.7).alias("score")), now()))
 )
 
+
+def _swept(t: Tables) -> DataFrame:
+    """Expired staging memories with what their best match among the active ones makes of them."""
+    expired = M.expired_staging(t.memories, now())
+    best = M.best_text_match(expired.select(F.col("id").alias("write_id"), "agent", "concept", "content"), t.memories.where("stage = 'active'"))
+    return M.swept_staging(expired, best.select(F.col("write_id").alias("id"), "score"), now())
+
+
+query("m16_sweep_all")(lambda t: _swept(t).select("id", "agent", r6("score", "score"), "action"))
+query("a5_staging_outcomes_all")(lambda t: A.staging_outcomes(_swept(t)))
 query("m9_discovered_links", _PAIRS + ", q as (select a as src, b as dst, s from p where s >= 0.35 union all select b, a, s from p where s >= 0.35), t as (select src, dst, s from q qualify row_number() over (partition by src order by s desc, dst) <= 5), u as (select src, dst, s from t union select dst, src, s from t) select src, dst, round(s, 5) as weight from u")(
     lambda t: M.discovered_links(t.agent_vectors, 0.35).select("src", "dst", F.round("weight", 5).alias("weight"))
 )

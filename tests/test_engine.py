@@ -166,6 +166,30 @@ def test_text_queries_read_every_text(spark, sf):
     assert {r["id"]: r["accepted"] for r in catalog.queries()["tx16_completion_gate_all"](spark, sf).collect()} == accepted
 
 
+def test_whole_inputs(spark, sf):
+    from palimpsest.plans import catalog
+    from palimpsest.views import AS_OF, view
+
+    q = catalog.queries()
+    assert q["m3_write_fold"](spark, sf).count() == view(spark, sf, "memories").count()
+    got = {r["id"]: (r["score"], r["action"]) for r in q["m16_sweep_all"](spark, sf).collect()}
+    old = {r["id"]: r["old"] for r in view(spark, sf, "memories").select("id", (F.lit(AS_OF).cast("timestamp") - F.col("created_at").cast("timestamp") > F.expr("interval 1 day")).alias("old")).collect()}
+    assert got and all(a == ("promoted" if s >= 0.6 else "discarded" if old[i] else "kept") for i, (s, a) in got.items())
+    assert any(s not in (0.0, 0.7) for s, _ in got.values())
+    counts = q["a5_staging_outcomes_all"](spark, sf).first()
+    assert [counts["promoted"], counts["discarded"]] == [sum(a == k for _, a in got.values()) for k in ("promoted", "discarded")]
+
+
+def test_delete_reads_every_edge(spark, sf):
+    from palimpsest.plans import catalog
+    from palimpsest.views import view
+
+    ends = {x for r in view(spark, sf, "edges").select("src", "dst").collect() for x in r}
+    gone = {r["id"] for r in catalog.queries()["c10_delete_all"](spark, sf).collect()}
+    cut = {r["id"] for r in catalog.queries()["c10_delete"](spark, sf).collect()}
+    assert not gone & ends and gone == cut - ends and cut & ends
+
+
 def test_auto_tags_order(spark):
     r = spark.createDataFrame([("Work", "I like the Python code at Acme Corp")], "c string, t string").select(T.auto_tags(F.col("c"), F.col("t")).alias("x")).first()["x"]
     assert r[0] == "cat:personal" and "cat:tech" in r and "entity:Acme Corp" in r and r[-1] == "cat:preference"
