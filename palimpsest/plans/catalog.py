@@ -378,6 +378,8 @@ query("tx16_completion_gate_all")(lambda t: t.memories.select("id", T.completion
 query("tx17_merge_content", "with x as (select id, concept as o, trim(substr(content, 100, 80), ' ') as n, substr(content, 1, 1460) as big from memories) select id, case when n = '' or contains(big, n) then big when length(big) + length(n) + 22 <= 1500 then big || chr(10) || chr(10) || '--- reinforced ---' || chr(10) || n else n end as content from x")(
     lambda t: t.memories.select("id", T.merge_content(F.substring("content", 1, 1460), F.substring("content", 100, 80)).alias("content"))
 )
+# whole contents, each with the next memory's concept as a new segment
+query("tx17_merge_content_all")(lambda t: t.memories.join(t.memories.select((F.col("id") - 1).alias("id"), F.col("concept").alias("more")), "id", "left").select("id", T.merge_content(F.col("content"), F.col("more"), M.CONTENT_LIMIT).alias("content")))
 query("tx18_fade", "select id, rtrim(substr(content, 1, 150), ' ') || '… [faded]' as content from memories")(lambda t: t.memories.select("id", T.fade(F.col("content")).alias("content")))
 query("tx6_snippets")(lambda t: t.memories.select("id", T.snippet(F.col("content"), T.tokens(F.lit(SEARCH)), 200).alias("snippet")))
 query("tx20_explain", "select id, concat_ws(' | ', case when salience > 0 then 'text=' || format('{:.3f}', salience) end, case when confidence > 0 then 'links=' || format('{:.3f}', confidence) end) as why from memories")(lambda t: t.memories.select("id", T.explain({"text": F.col("salience"), "links": F.col("confidence")}).alias("why")))

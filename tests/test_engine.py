@@ -190,6 +190,17 @@ def test_delete_reads_every_edge(spark, sf):
     assert not gone & ends and gone == cut - ends and cut & ends
 
 
+def test_merge_query_appends_and_drops(spark, sf):
+    from palimpsest.plans import catalog
+    from palimpsest.views import view
+
+    rows = {r["id"]: (r["concept"], r["content"]) for r in view(spark, sf, "memories").select("id", "concept", "content").collect()}
+    want = {i: M.merged(t, rows[i + 1][0] if i + 1 in rows else "") for i, (_, t) in rows.items()}
+    got = {r["id"]: r["content"] for r in catalog.queries()["tx17_merge_content_all"](spark, sf).collect()}
+    assert got == want
+    assert any(T.SEPARATOR in t for t in got.values()) and any(len(rows[i][1]) > M.CONTENT_LIMIT and got[i] == rows[i + 1][0].strip(" ") for i in got if i + 1 in rows)
+
+
 def test_auto_tags_order(spark):
     r = spark.createDataFrame([("Work", "I like the Python code at Acme Corp")], "c string, t string").select(T.auto_tags(F.col("c"), F.col("t")).alias("x")).first()["x"]
     assert r[0] == "cat:personal" and "cat:tech" in r and "entity:Acme Corp" in r and r[-1] == "cat:preference"
