@@ -11,7 +11,8 @@ are independent: one pass, no shuffle.
 
 Defined results: a null or empty page has an empty text; pages of any length are
 read whole; broken markup is read as far as it goes (an unfinished tag at the end
-is dropped); repeated rows give repeated results; an empty table gives an empty one.
+is dropped; an element without its end tag hides nothing, but for those whose text
+is raw, such as script); repeated rows give repeated results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?
 _PARTS = re.compile(r"[a-z]+|[0-9]+")
 
 #: Elements whose content is never text of the page.
-RAW = frozenset("script style noscript template iframe svg math object embed textarea select button title head canvas audio video".split())
+RAW = frozenset("script style noscript template iframe svg object textarea select button title head canvas audio video".split())
+_TO_END = frozenset("script style textarea title iframe".split())  # without an end tag these run to the end of the page
 _CLOSE = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 #: Elements that break a line of text.
 BLOCK = frozenset(
@@ -86,6 +88,7 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, int, int]] = [("", 0, 0)]
     opened: dict[str, int] = {}
     pieces: list[str] = []
+    unclosed: set[str] = set()
     tag_now, linked, link, containers, at, end = "", 0, 0, 0, 0, len(html)
 
     def close() -> None:
@@ -118,9 +121,14 @@ def blocks(html: str) -> list[Block]:
                 stop = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(html, at)
                 if stop:
                     at = stop.start() if stop[0][1] != "/" else stop.end()
-            elif not attributes.endswith("/") or tag not in ("svg", "math"):
+            elif tag not in unclosed and not (tag == "svg" and attributes.endswith("/")):
                 stop = _CLOSE[tag].search(html, at)
-                at = stop.end() if stop else end
+                if stop:
+                    at = stop.end()
+                elif tag in _TO_END:
+                    at = end
+                else:
+                    unclosed.add(tag)  # what follows is read on
             continue
         if tag in BLOCK:
             close()

@@ -368,6 +368,17 @@ def test_html_blocks_and_cut():
         assert isinstance(html_text.extract(broken, weight), str)
 
 
+@pytest.mark.parametrize("tag", ["<embed src=a>", "<embed src=a />", "<button>", "<select>", "<object data=a>", "<video>", "<svg/>"])
+def test_html_reads_on_after(tag):
+    assert [b[0] for b in html_text.blocks(f"<p>before</p>{tag}<p>after</p>{tag}<p>last</p>")] == ["before", "after", "last"]
+
+
+def test_html_formulas_and_raw_text():
+    assert [b[0] for b in html_text.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><p>after</p>")] == ["so x=1 holds", "after"]
+    assert [b[0] for b in html_text.blocks("<p>a</p><button>no</button><object>no</object><p>b</p><script>var x")] == ["a", "b"]
+    assert len(html_text.blocks("<p>a</p>" + "<button>" * 50_000 + "<p>b</p>")) == 2
+
+
 def test_html_table(spark):
     weight = html_text.train(html_text.labelled_pages(60))
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (2, None, None, "x"), (1, "u", "<p>a</p>", "x")], "page_id long, url string, html string, text string")
