@@ -39,6 +39,15 @@ def test_awkward_rows(spark, sf):
         stage(spark, docs, sf).collect()
 
 
+def test_decontamination_by_row(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 80").orderBy("item_id").first()["text"]
+    rows = [(None, item), (1, item), (1, "clean words of another text"), (2, "clean"), (None, "clean"), (3, None), (None, None), (4, item), (2, "clean")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, sf)
+    assert kept.columns == COLUMNS
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(str(r) for r in rows if r[1] != item)
+
+
 def test_queries_registered():
     names = list(queries.queries())
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
