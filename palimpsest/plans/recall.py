@@ -38,13 +38,20 @@ def expanded_query(memories: DataFrame, text: str) -> str:
     """A query with a pronoun gets five tags of the ten most used active memories."""
     import re
 
-    if not re.search(r"(?i)\b(she|he|they|her|his|him|them|their|it|that|this)\b", text):
+    if not re.search(r"(?i)\b(she|he|they|her|his|him|their|it|that|this|there)\b", text):
         return text
     top = memories.where("stage = 'active' and not retracted").orderBy(F.desc("access_count"), "id").limit(10).select("id", F.col("access_count").alias("n"), "tags").collect()
     tags = dict.fromkeys(t for r in top for t in r["tags"] or [] if len(t) >= 3 and not re.match(r"session-|low-|D\d", t))
     return " ".join([text, *list(tags)[:5]])
 
 
+def text_hits(live: DataFrame, scope: DataFrame, text: str, most: int) -> DataFrame:
+    """(id, score): the best of two passes, by the query's keywords and by the query with what its pronouns may mean."""
+    keywords = " ".join(dict.fromkeys(w for w in text.lower().split() if len(w) > 2 and w not in T.STOPWORDS))
+    passes = [search.bm25(live, q, most) for q in dict.fromkeys([keywords, expanded_query(scope, text)]) if len(q) > 2 or q != keywords]
+    return search.merged_text_hits(*passes or [search.bm25(live, text, most)])
+
+
 def scored(candidates: DataFrame, memories: DataFrame, edges: DataFrame, text: str, as_of: Column, mode: str = "balanced") -> DataFrame:
     """Candidates (id, score, similarity) with every part of their score."""
     m = MODES[mode]
@@ -139,16 +146,16 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
     live = live.where(F.col("stage").isin(*cfg.include_stages))
     live = live.where(F.col("agent").isin(*agents)) if agents else live
     live = live.where(F.col("memory_type") == cfg.memory_type) if cfg.memory_type else live
-    hits = search.bm25(live, text, 3 * cfg.limit)
+    hits = text_hits(live, memories.where(F.col("agent").isin(*agents)) if agents else memories, text, 3 * cfg.limit)
     if vector is not None and embeddings is not None:
         near = search.vector_top(live, embeddings, vector, max(50, 5 * cfg.limit), 0.40 if MODES[mode].gate > 0.5 else 0.30, cfg.include_stages)
         candidates = search.hybrid_candidates(hits, near)
     else:
         candidates = hits.select("id", "score", F.lit(None).cast("double").alias("similarity"))
-    candidates = pinned(candidates, 3 * cfg.limit + max(50, 5 * cfg.limit))
+    candidates = pinned(candidates, 6 * cfg.limit + max(50, 5 * cfg.limit))
     ids = [r["id"] for r in candidates.select("id").collect()]
     near = edges_at(edges, ids)
-    pool = pinned(scored(candidates, live.where(F.col("id").isin(ids)), near, text, as_of, mode), 3 * cfg.limit + max(50, 5 * cfg.limit))
+    pool = pinned(scored(candidates, live.where(F.col("id").isin(ids)), near, text, as_of, mode), 6 * cfg.limit + max(50, 5 * cfg.limit))
     extra = feedback_terms(pool, text)
     if extra:
         more = pinned(search.bm25(live, " ".join(extra), 2 * cfg.limit).where(~F.col("id").isin(ids)).select("id", "score", F.lit(None).cast("double").alias("similarity")), 2 * cfg.limit)
@@ -162,8 +169,8 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
         temporal = F.least(S.softplus(S.base_level("access_count", age)), F.lit(3.0)) / 3
         late = late.withColumn("composite", S.gated_composite("text_match", temporal, 0.0, 0.0, "confidence", MODES[mode].text, MODES[mode].temporal))
         pool = pool.unionByName(late)
-    pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), 8 * cfg.limit)
-    pool = pinned(bridged(pool), 8 * cfg.limit)
+    pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), 11 * cfg.limit)
+    pool = pinned(bridged(pool), 11 * cfg.limit)
     pool = walked(pool, near, mode).where(F.col("composite") >= cfg.min_score)
     pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), max(4 * cfg.limit, 40))
     near.unpersist()

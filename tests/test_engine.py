@@ -201,6 +201,26 @@ def test_merge_query_appends_and_drops(spark, sf):
     assert any(T.SEPARATOR in t for t in got.values()) and any(len(rows[i][1]) > M.CONTENT_LIMIT and got[i] == rows[i + 1][0].strip(" ") for i in got if i + 1 in rows)
 
 
+def test_recall_expands_pronouns(spark, sf):
+    from palimpsest.config import RecallConfig
+    from palimpsest.operators import search as Q
+    from palimpsest.plans import recall as R
+    from palimpsest.views import view
+
+    rows = [(1, "a", "Zanzibar", "zanzibar trip notes", ["zanzibar", "session-1", "low-x", "D1", "ab"], 9), (2, "a", "other", "was it booked", ["misc"], 1), (3, "b", "far", "elsewhere", ["elsewhere"], 99)]
+    rows += [(10 + i, "a", f"filler{i}", f"words{i}", None, 0) for i in range(8)]
+    m = spark.createDataFrame(rows, "id long, agent string, concept string, content string, tags array<string>, access_count long").withColumns({"stage": F.lit("active"), "retracted": F.lit(False)})
+    scope = m.where("agent = 'a'")
+    assert R.expanded_query(scope, "was it booked") == "was it booked zanzibar misc" and R.expanded_query(scope, "booked") == "booked"
+    got = {r["id"]: r["score"] for r in R.text_hits(scope, scope, "was it booked", 30).collect()}
+    passes = [{r["id"]: r["score"] for r in Q.bm25(scope, q, 30).collect()} for q in ("booked", "was it booked zanzibar misc")]
+    assert got == {i: max(p.get(i, 0) for p in passes) for i in passes[0] | passes[1]} and 1 in got
+    full = view(spark, sf, "memories").where("id < 40")
+    marked = full.withColumn("content", F.when(F.col("id") == 5, "quokka").otherwise("plain")).withColumn("concept", F.concat(F.lit("c"), F.col("id"))).withColumn("tags", F.when(F.col("id") == 20, F.array(F.lit("quokka"))))
+    found = R.recall(marked, view(spark, sf, "edges"), None, "what was that", F.lit("2024-02-01").cast("timestamp"), cfg=RecallConfig(min_score=0.0, include_stages=("active",))).collect()
+    assert 5 in {r["id"] for r in found}
+
+
 def test_auto_tags_order(spark):
     r = spark.createDataFrame([("Work", "I like the Python code at Acme Corp")], "c string, t string").select(T.auto_tags(F.col("c"), F.col("t")).alias("x")).first()["x"]
     assert r[0] == "cat:personal" and "cat:tech" in r and "entity:Acme Corp" in r and r[-1] == "cat:preference"
