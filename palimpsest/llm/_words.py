@@ -9,6 +9,7 @@ which are invertible there.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD95
-_BLOCK = 1 << 20  # bytes hashed at once
+_BLOCK = 1 << 18  # bytes, or words, hashed at once
 
 #: Words of every byte but the six ASCII white-space characters.
 SPACED = np.ones(256, bool)
@@ -63,6 +64,11 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another system's C library
+    _LIBC = None
+
 _TABLE = mix(np.arange(1, 257, dtype=U), 0x5851F42D4C957F2D)
 
 
@@ -134,13 +140,22 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED, low
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """Rabin-Karp hash of every n consecutive hashes; position i covers i..i+n."""
-    if len(h) < n:
-        return np.zeros(0, U)
-    up, down = _WORDS.get(len(h) + 1)
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    m = len(h) - n + 1
-    return mix((total[n:] - total[:m]) * down[:m], n)
+    out = np.empty(max(0, len(h) - n + 1), U)
+    for i in range(0, len(out), _BLOCK):
+        own = h[i : i + _BLOCK + n - 1]
+        up, down = _WORDS.get(len(own) + 1)
+        total = np.zeros(len(own) + 1, U)
+        np.cumsum(own * up[: len(own)], out=total[1:])
+        m = len(own) - n + 1
+        out[i : i + m] = mix((total[n:] - total[:m]) * down[:m], n)
+    return out
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks, and what it holds is its machine's."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
@@ -157,4 +172,4 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         j = min(j, n)
         yield batch.slice(i, j - i)
         i = j
-    pa.default_memory_pool().release_unused()
+    give_back()

@@ -12,15 +12,14 @@ approximate, while the order is exact) with its own tie-breaking hash.
    move.  Of a key's classes those stay together whose sizes allow a link; such a
    group yields one pair per class, with the group's hub.
 2. A class's profile counts its n-grams in 128 parts of the hash space; what two
-   profiles differ by is a lower bound of what the sets differ by.  Members of a hub
-   whose profile allows a link with no other member go.
-3. Pairs must also share a prefix n-gram under the other two orders; what is left is
-   verified on the full sets.  Verified links make components.
-4. Two classes of one key that are not its hub are both members of its hub.  Where a
-   hub's members lie in different components, they are compared in blocks by matrix
-   products, after the same filters; only links come out.  Pairs inside a component
-   can change nothing, so no group of copies is ever expanded into rows of pairs, and
-   no link between components is lost.
+   profiles differ by is a lower bound of what the sets differ by.  Pairs with the hub
+   that pass it must also share a prefix n-gram under the other two orders and are
+   then verified on the full sets.  Verified links make components.
+3. Two classes of one key that are not its hub are both members of its hub.  Hubs
+   whose members now lie in one component are done: pairs inside a component can
+   change nothing.  Members of the hubs that stay open are compared in blocks by matrix products,
+   after the same filters, only across components; only links come out.  So no group
+   of copies is ever expanded into rows of pairs, and no link between components is lost.
 
 Classes are told apart by 64 bits of hash, n-grams by 64 (48 within a pair).
 
@@ -39,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._io import stored
+from palimpsest.llm._io import Scratch, stored
 from palimpsest.llm._pack import from_low_bytes, low_bytes, pack, unpack
 from palimpsest.llm._words import SPACED, U, buffers, chunks, mix, windows, words
 from palimpsest.llm.components import components
@@ -48,9 +47,9 @@ ORDERS = 3
 TABLE_BITS = 22  # of the counting table
 SLICES = 64
 WAYS = 256  # tables that a task adds up at once
-MARK_BITS = 23  # of the table of candidate classes
-STRETCH_BYTES = 3 << 20
-BLOCK = 1024  # classes that a task compares at once
+MARK_BITS = 28  # of the table of candidate classes, at most
+STRETCH_BYTES = 2 << 20
+BLOCK = 256  # classes that a task compares at once
 PARTS = 128  # of a class's profile
 
 
@@ -134,22 +133,25 @@ def _once(first: np.ndarray, value: np.ndarray, names: np.ndarray, seen: set[int
     return edge, value[np.repeat(first[at] - edge[:-1], size) + np.arange(edge[-1])], names[at]
 
 
-def _counted(kept: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, int]:
-    """(id, class, size, profile) of each row; the counting table in half octaves; the sum of sizes."""
+def _counted(kept: DataFrame, n: int, keep: tuple[str, ...], scratch: Scratch) -> tuple[DataFrame, np.ndarray, int]:
+    """(id, kept columns, class, size, profile) of each row; the counting table in half octaves; the sum of sizes."""
+    kinds = "".join(f"`{c}` {kept.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, np.int64)
-        names = ["id", "class", "size", "profile", "slice", "counts"]
+        table = np.zeros(1 << TABLE_BITS, np.int32)  # of one task
+        names = ["id", *keep, "class", "size", "profile", "slice", "counts"]
+        part = None
         for part, first, value, name in _stretches(batches, n):
-            table += np.bincount(_slot(value), minlength=1 << TABLE_BITS)
+            np.add.at(table, _slot(value), 1)
             m = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(name), pa.array(np.diff(first), pa.int64()), pa.array([p.tobytes() for p in profiles(first, value)], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column("__id"), *(part.column(c) for c in keep), pa.array(name), pa.array(np.diff(first), pa.int64()), pa.array([p.tobytes() for p in profiles(first, value)], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         own = table.reshape(SLICES, -1)
         some = [k for k in range(SLICES) if own[k].any()]
-        none = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([pack(own[k]) for k in some], pa.binary())], names=names)
+        if some:
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, *(pa.nulls(len(some), part.schema.field(c).type) for c in keep), none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array([pack(own[k]) for k in some], pa.binary())], names=names)
 
-    both = stored(kept.mapInArrow(run, "id long, class long, size long, profile binary, slice int, counts binary"), "classes")
+    both = scratch.stored(kept.mapInArrow(run, f"id long, {kinds}class long, size long, profile binary, slice int, counts binary"), "classes")
 
     def add(t: pa.Table) -> pa.Table:
         total = None
@@ -161,12 +163,12 @@ def _counted(kept: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, int]:
     part = both.where("slice is not null").select("slice", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("way"))
     if (part.groupBy("slice").count().agg(F.max("count")).first()[0] or 0) > WAYS:  # more tables than one task should add
         part = part.groupBy("slice", "way").applyInArrow(add, "slice int, counts binary")
-    part = part.groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    part = scratch.stored(part.groupBy("slice").applyInArrow(add, "slice int, counts binary"), "counts")
     table = np.zeros((SLICES, (1 << TABLE_BITS) // SLICES), np.int64)
     for r in part.toLocalIterator():  # SLICES rows of fixed size
         table[r["slice"]] = unpack(r["counts"])
     level = np.floor(2 * np.log2(table.reshape(-1) + 1)).astype(np.uint8)
-    return both.where("slice is null").select("id", "class", "size", "profile"), level, int(table.sum())
+    return both.where("slice is null").select("id", *keep, "class", "size", "profile"), level, int(table.sum())
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -201,7 +203,7 @@ def _can_link(key: np.ndarray, size: np.ndarray, rest: np.ndarray, percent: int)
     return keep
 
 
-def _members(kept: DataFrame, counts, n: int, percent: int, total: int) -> DataFrame:
+def _members(kept: DataFrame, counts, n: int, percent: int, total: int, scratch: Scratch) -> DataFrame:
     """(class, hub): classes of like size that share a first-order prefix n-gram, as stars."""
     bits = max(6, (total // (1 << 21)).bit_length())
 
@@ -251,25 +253,30 @@ def _members(kept: DataFrame, counts, n: int, percent: int, total: int) -> DataF
         return pa.table({"class": pa.array(name[many]), "hub": pa.array(hub[many])})
 
     sent = kept.mapInArrow(send, "bucket int, keys binary, classes binary, sizes binary, counts binary, places binary")
-    return stored(sent.groupBy("bucket").applyInArrow(shared, "class long, hub long").where("class != hub").distinct(), "members")
+    return scratch.stored(sent.groupBy("bucket").applyInArrow(shared, "class long, hub long").where("class != hub").distinct(), "members")
 
 
 def _sets_of(kept: DataFrame, wanted: DataFrame, counts, n: int, percent: int) -> DataFrame:
     """(class, size, set, filter2, filter3) of the wanted classes, one row each.
 
-    ``wanted`` (class) is sent as a bit table of fixed size, which lets a few others pass."""
-    slot = F.col("class").bitwiseAND((1 << MARK_BITS) - 1)
+    ``wanted`` (class, without repeats) is sent as a bit table of eight bits for each,
+    at most 2**MARK_BITS; it lets a few others pass."""
+    bits = min(MARK_BITS, max(16, (8 * wanted.count()).bit_length()))
+    slot = F.col("class").bitwiseAND((1 << bits) - 1)
     marks = wanted.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(class & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    for r in marks.collect():  # at most 2**17 words
+    table = np.zeros(1 << (bits - 6), np.int64)
+    for r in marks.toLocalIterator():  # at most 2**(MARK_BITS - 6) words
         table[r["w"]] = r["b"]
     sent = kept.sparkSession.sparkContext.broadcast(table.view(U))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, first, value, name in _stretches(batches, n):
-            at = name.view(U) & U((1 << MARK_BITS) - 1)
+            at = name.view(U) & U((1 << bits) - 1)
             marked = (sent.value[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
-            first, value, name = _once(first, value, np.where(marked, name, 0))
+            if len(seen) > 200_000:
+                seen.clear()
+            first, value, name = _once(first, value, np.where(marked, name, 0), seen)
             filters = []
             for o in range(1, ORDERS):
                 text, key, _ = prefixes(first, value, counts.value, o, percent)
@@ -279,38 +286,45 @@ def _sets_of(kept: DataFrame, wanted: DataFrame, counts, n: int, percent: int) -
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.diff(first), pa.int64()), pa.array(full, pa.binary()), *(pa.array(f, pa.binary()) for f in filters)], names=["class", "size", "set", "filter2", "filter3"])
 
     found = kept.mapInArrow(run, "class long, size long, set binary, filter2 binary, filter3 binary")
-    # a class comes once from each stretch, always with the same row; the few unwanted ones do no harm
-    return stored(found.dropDuplicates(["class"]), "sets")
+    # a class comes about once from each task, always with the same row; the few unwanted ones do no harm
+    return found.dropDuplicates(["class"])
 
 
 def _share(a: bytes, b: bytes, kind: str) -> bool:
     return bool(len(np.intersect1d(np.frombuffer(a, kind), np.frombuffer(b, kind), assume_unique=False)))
 
 
-def _linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b): those that pass every order's filter and then the full sets."""
+def _linked(pairs: DataFrame, own: DataFrame, kept: DataFrame, counts, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Of the pairs (a, b): those that pass the profiles, every order's filter and then the full sets."""
 
-    def side(c: str, *columns: str) -> DataFrame:
-        return full.select(F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns))
+    def side(table: DataFrame, c: str) -> DataFrame:
+        return table.select(F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in table.columns if x != "class"))
 
-    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [[x.as_py() for x in batch.column(c)] for c in ("filter2_a", "filter2_b", "filter3_a", "filter3_b")]
-            keep = [_share(p, q, "<u4") and _share(r, s, "<u4") for p, q, r, s in zip(*cells)]
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("profile_a", "profile_b"))
+            total = np.asarray(batch.column("size_a")) + np.asarray(batch.column("size_b"))
+            # common = (total - difference) / 2 must reach percent / (100 + percent) of the total
+            keep = (100 + percent) * (total - np.abs(p - q).sum(1, dtype=np.int64)) >= 2 * percent * total
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for p, q in zip(batch.column("set_a"), batch.column("set_b")):
+            for f, g, h, i, p, q in zip(*(batch.column(c) for c in ("filter2_a", "filter2_b", "filter3_a", "filter3_b", "set_a", "set_b"))):
+                if not (_share(f.as_py(), g.as_py(), "<u4") and _share(h.as_py(), i.as_py(), "<u4")):
+                    keep.append(False)
+                    continue
                 x, y = from_low_bytes(p.as_py(), 6), from_low_bytes(q.as_py(), 6)
                 both = np.sort(np.concatenate([x, y]))
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    few = pairs.join(side("a", "filter2", "filter3"), "a").join(side("b", "filter2", "filter3"), "b").mapInArrow(filtered, "a long, b long")
-    return stored(few.join(side("a", "set"), "a").join(side("b", "set"), "b").mapInArrow(verified, "a long, b long"), "links")
+    few = scratch.stored(pairs.join(side(own, "a"), "a").join(side(own, "b"), "b").mapInArrow(possible, "a long, b long"), "pairs")
+    full = _sets_of(kept, few.select(F.explode(F.array("a", "b")).alias("class")).distinct(), counts, n, percent)
+    # both joins read one exchange of the sets
+    return scratch.stored(few.join(side(full, "a"), "a").join(side(full, "b"), "b").mapInArrow(verified, "a long, b long"), "links")
 
 
 def _incidence(cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -343,68 +357,45 @@ def _dealt(members: DataFrame, hubs: DataFrame) -> DataFrame:
     return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
 
-def _possible(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The members, and the hubs as members of their own, whose profile and size allow a
-    link with another member; ``near`` tells whether with the hub."""
-    every = members.unionByName(members.select(F.col("hub").alias("class"), "hub").distinct())
-    hubs = every.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    known = _known(rows)
-    dealt = _dealt(every, hubs).join(known, "class").select("hub", "i", "j", "block", "class", "size", "profile")
-    found = dealt.groupBy("hub", "i", "j").applyInArrow(lambda t: _prune(t, percent), "class long, hub long, near boolean")
-    return stored(found.groupBy("class", "hub").agg(F.max("near").alias("near")), "possible")
-
-
-def _known(rows: DataFrame) -> DataFrame:
-    return rows.where("class != 0").select("class", "size", "profile").dropDuplicates(["class"])
-
-
 def _prune(t: pa.Table, percent: int) -> pa.Table:
-    """Of two blocks, the rows that some other row may link with.  Where rows have labels,
-    only with a row of another label that is not the hub, whose pairs are tested already."""
+    """Of two blocks, the rows that some row of another label may link with, by size and profile."""
     r = t.to_pydict()
-    same = r["i"][0] == r["j"][0]
     side = np.array(r["block"]) == r["i"][0]
     left = np.flatnonzero(side)
-    right = left if same else np.flatnonzero(~side)
-    name, size = np.array(r["class"], np.int64), np.array(r["size"], np.int64)
-    label = np.array(r["label"], np.int64) if "label" in r else None
+    right = left if r["i"][0] == r["j"][0] else np.flatnonzero(~side)
+    name, size, label = (np.array(r[c], np.int64) for c in ("class", "size", "label"))
     profile = np.frombuffer(b"".join(r["profile"]), np.uint8).reshape(-1, PARTS).astype(np.int16)
-    keep, near = np.zeros(len(size), bool), np.zeros(len(size), bool)
-    hub = name == r["hub"][0]
+    keep = np.zeros(len(size), bool)
     for a in range(0, len(left), 64):
         at = left[a : a + 64]
         total = np.add.outer(size[at], size[right])
         differ = np.abs(profile[at][:, None, :] - profile[right][None, :, :]).sum(2, dtype=np.int64)
         # common = (total - difference) / 2 must reach percent / (100 + percent) of the total
-        ok = (100 + percent) * (total - differ) >= 2 * percent * total
-        if label is not None:
-            ok &= label[at][:, None] != label[right][None, :]
-            ok[:, hub[right]] = False
-            ok[hub[at]] = False
-        elif same:
-            ok[np.arange(len(at)), a + np.arange(len(at))] = False
+        ok = ((100 + percent) * (total - differ) >= 2 * percent * total) & (label[at][:, None] != label[right][None, :])
         keep[at[ok.any(1)]] = True
         keep[right[ok.any(0)]] = True
-        near[at[ok[:, hub[right]].any(1)]] = True
-        near[right[ok[hub[at]].any(0)]] = True
-    return pa.table({"class": pa.array(name[keep]), "hub": pa.array(np.array(r["hub"], np.int64)[keep]), "near": pa.array(near[keep])})
-
-
-def _linked_around_hubs(members: DataFrame, labels: DataFrame, rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links between members of one hub that are in different components.
-
-    Any two classes that share a key are members of its hub (or the hub itself, whose
-    pairs are tested already).  Hubs whose members are all in one component are done;
-    of the others, members whose profile allows a link with no member of another
-    component go.  The rest are dealt to blocks of about BLOCK; a task compares two
-    blocks by a matrix product and returns only links."""
-    named = members.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("hub", "class", F.coalesce("label", "class").alias("label"))
-    named = stored(named, "named")
-    open_hubs = named.groupBy("hub").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = _dealt(named, open_hubs).join(_known(rows), "class").select("hub", "i", "j", "block", "class", "label", "size", "profile")
-    kept = dealt.groupBy("hub", "i", "j").applyInArrow(lambda t: _prune(t, percent), "class long, hub long, near boolean").select("class", "hub").distinct()
-    dealt = _dealt(stored(named.join(kept, ["hub", "class"], "left_semi"), "open"), open_hubs)
-    rows = dealt.join(full, "class")
+    return pa.table({"class": pa.array(name[keep]), "hub": pa.array(np.array(r["hub"], np.int64)[keep])})
+
+
+def _open(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(hub, class, label) of the hubs whose classes, the hub among them, are in several components."""
+    every = members.unionByName(members.select(F.col("hub").alias("class"), "hub").distinct())
+    named = every.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("hub", "class", F.coalesce("label", "class").alias("label"))
+    named = scratch.stored(named, "named")
+    several = named.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("hub")
+    return scratch.stored(named.join(several, "hub", "left_semi"), "open")
+
+
+def _linked_in_blocks(rest: DataFrame, own: DataFrame, kept: DataFrame, counts, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links between classes of one hub that are in different components: classes whose
+    profile allows none go, the others are dealt to blocks of about BLOCK; a task compares
+    two blocks by a matrix product and returns only links."""
+    hubs = rest.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = _dealt(rest, hubs).join(own, "class").select("hub", "i", "j", "block", "class", "label", "size", "profile")
+    near = dealt.groupBy("hub", "i", "j").applyInArrow(lambda t: _prune(t, percent), "class long, hub long").distinct()
+    rest = scratch.stored(rest.join(near, ["hub", "class"], "left_semi"), "near")
+    full = _sets_of(kept, rest.select("class").distinct(), counts, n, percent)
+    rows = _dealt(rest, hubs).join(full, "class")
 
     def compare(t: pa.Table) -> pa.Table:
         r = t.to_pydict()
@@ -431,29 +422,34 @@ def _linked_around_hubs(members: DataFrame, labels: DataFrame, rows: DataFrame,
             i, j = i[linked], j[linked]
         return pa.table({"a": pa.array(name[at[0][i]], pa.int64()), "b": pa.array(name[at[1][j]], pa.int64())})
 
-    return stored(rows.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "links")
-
-
-def join(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id (an integer), n_shingles, component_id (the smallest id reachable by links)."""
-    kept = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    rows, table, total = _counted(kept, n)
-    known = kept.where("__id is not null")
-    counts = kept.sparkSession.sparkContext.broadcast(table)  # one byte per slot
-    members = _members(known, counts, n, percent, total)
-    members = _possible(members, rows, percent)
-    full = _sets_of(known, members.select("class").distinct(), counts, n, percent)
-    links = _linked(members.where("class != hub and near").select(F.col("hub").alias("a"), F.col("class").alias("b")), full, percent)
-    labels = components(links)
-    more = _linked_around_hubs(members, labels, rows, full, percent)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-
-    least = rows.where("id is not null and class != 0").groupBy("class").agg(F.min("id").alias("least"))
-    named = least.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
-    named = stored(named, "named")
-    roots = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = named.join(roots, "label").select("class", "component_id")
-    out = rows.join(of, "class", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"))
+    return scratch.stored(rows.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "links")
+
+
+def join(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id (an integer), the kept columns, n_shingles, component_id (the smallest id reachable
+    by links) and component (a name that the rows of one component share, null where a row
+    can have no link).  The result is stored; what led to it is deleted."""
+    kept = df.select(F.col(id_col).cast("long").alias("__id"), *keep, F.col(text_col).cast("string").alias("__text"))
+    with Scratch(df.sparkSession) as scratch:
+        rows, table, total = _counted(kept, n, keep, scratch)
+        known = kept.where("__id is not null").select("__id", "__text")
+        counts = kept.sparkSession.sparkContext.broadcast(table)  # one byte per slot
+        own = rows.where("id is not null and class != 0").select("class", "size", "profile").dropDuplicates(["class"])
+        members = _members(known, counts, n, percent, total, scratch)
+        links = _linked(members.select(F.col("hub").alias("a"), F.col("class").alias("b")), own, known, counts, n, percent, scratch)
+        labels = components(links, scratch)
+        rest = _open(members, labels, scratch)
+        if not rest.isEmpty():
+            more = _linked_in_blocks(rest, own, known, counts, n, percent, scratch)
+            if not more.isEmpty():
+                labels = components(links.unionByName(more), scratch)
+
+        least = rows.where("id is not null and class != 0").groupBy("class").agg(F.min("id").alias("least"))
+        named = least.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("component"))
+        named = scratch.stored(named, "named")
+        roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        of = named.join(roots, "component").select("class", "component", "component_id")
+        out = rows.join(of, "class", "left")
+        component = F.when(F.col("id").isNull(), F.lit(None).cast("long"))
+        out = out.select(F.col("id").alias(id_col), *keep, F.col("size").alias("n_shingles"), component.otherwise(F.coalesce("component_id", "id")).alias("component_id"), component.otherwise(F.col("component")).alias("component"))
+        return stored(out, "near")

@@ -20,7 +20,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.ngram_join import join
 
-    return join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return join(table(spark, sf_dir, "documents"), n=3, percent=90).drop("component")
 
 
 def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.decontaminate import contamination
 
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated())
+    number = lambda c: F.size(c).cast("long")
+    return found.select("doc_id", "n_words", "n_hit", number("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(), number("near").alias("n_near"))
 
 
 def contaminated():
