@@ -1,6 +1,6 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The index is document-partitioned: each segment covers a few megabytes of whole
+The index is document-partitioned: each segment covers some megabytes of whole
 texts and stores its sorted terms, their counts, and the word positions of each
 term (all terms of all texts).  Segments are written as a table in the shared
 folder.  A query is matched inside each segment, so nothing is shuffled:
@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._io import stored
+from palimpsest.llm._io import Scratch, stored
 from palimpsest.llm._words import ALNUM, U, buffers, chunks, words
 
-SEGMENT_BYTES = 4 << 20
-BLOCK_BYTES = 32 << 20  # of test texts that are matched at once
+SEGMENT_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20  # of test texts that are matched at once; their tables take some 30 times as much
+SLACK = 5  # words that a near match may have besides
 _SEGMENT = "segment string, first binary, terms binary, counts binary, positions binary"
 
 
@@ -47,7 +48,7 @@ def _segment(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, bytes, bytes
     return w.first.astype("<i4").tobytes(), h[at].astype("<u8").tobytes(), counts.astype("<i4").tobytes(), order.astype("<i4").tobytes()
 
 
-def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The stored index, one row per segment: ids, then first (word offset of each
     text), terms, counts and positions as packed arrays."""
     kept = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
@@ -77,33 +78,31 @@ def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             yield flush()
 
     kind = kept.schema["__id"].dataType.simpleString()
-    return stored(kept.mapInArrow(run, f"ids array<{kind}>, {_SEGMENT}"), "postings")
+    return (scratch.stored if scratch else stored)(kept.mapInArrow(run, f"ids array<{kind}>, {_SEGMENT}"), "postings")
 
 
 class Phrases:
-    """Windows of test items as term numbers, offsets and lengths."""
+    """Windows of test items as term numbers, offsets and lengths, and the items' whole texts."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
+    def __init__(self, items: list[tuple[str, str]], n: int, slack: int = SLACK):
         self.names = sorted({i for i, _ in items})
         number = {i: k for k, i in enumerate(self.names)}
         data, offsets = buffers(pa.array([t for _, t in items], pa.string()))
         w = words(data, offsets, ALNUM, lower=True)
-        h = w.hashes()
-        rows, size, item = [], [], []
-        for k, (i, _) in enumerate(items):
-            a, b = int(w.first[k]), int(w.first[k + 1])
-            m = min(n, b - a)
-            for s in range(a, b - m + 1) if m else ():
-                rows.append(np.append(h[s : s + m], np.zeros(n - m, U)))
-                size.append(m)
-                item.append(number[i])
-        self.size = np.array(size, np.int64)
-        self.item = np.array(item, np.int64)
-        grid = np.array(rows, U).reshape(-1, n)
+        h, length = w.hashes(), w.per_text
+        size = np.minimum(length, n)
+        times = np.where(length > 0, length - size + 1, 0)
+        text = np.repeat(np.arange(len(items)), times)
+        start = w.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(times) - times, times)
+        self.size = size[text]
+        self.item = np.array([number[i] for i, _ in items], np.int64)[text]
         live = np.arange(n) < self.size[:, None]
+        grid = h[np.minimum(start[:, None] + np.arange(n), max(len(h) - 1, 0))] if len(text) else np.zeros((0, n), U)
         self.terms = np.unique(grid[live])
         self.term = np.where(live, np.searchsorted(self.terms, grid), -1)
         self.offset = np.broadcast_to(np.arange(n), grid.shape)
+        #: (item, its distinct terms, the stretch that may hold them) of each text
+        self.texts = [(number[i], np.unique(np.searchsorted(self.terms, h[a:b])), int(b - a) + slack) for (i, _), a, b in zip(items, w.first[:-1], w.first[1:]) if b > a]
 
     def rarest_first(self, frequency: dict[int, int]) -> None:
         f = np.array([frequency.get(int(t), 0) for t in self.terms] + [np.iinfo(np.int64).max], np.int64)
@@ -154,19 +153,31 @@ class Segment:
         inside = start + q.size[phrase] <= self.first[self.text_of(start) + 1]
         return phrase[inside], start[inside]
 
-    def near(self, asked: np.ndarray, span: int) -> np.ndarray:
-        """Ends of stretches of at most ``span`` words of one text that hold every asked term."""
-        if not len(asked) or (self.count[asked] == 0).any():
+    def near(self, terms: np.ndarray, span: int) -> np.ndarray:
+        """Texts with a stretch of at most ``span`` words that holds every one of the distinct terms."""
+        terms = terms[np.argsort(self.count[terms], kind="stable")]
+        if not len(terms) or not self.count[terms[0]]:
             return np.zeros(0, np.int64)
-        place = np.concatenate([self.position[self.begin[t] : self.begin[t] + self.count[t]] for t in asked])
-        mark = np.repeat(np.arange(len(asked)), self.count[asked])
+        places = [self.position[self.begin[t] : self.begin[t] + self.count[t]] for t in terms]
+        text = self.text_of(places[0])
+        low, high = np.maximum(places[0] - span + 1, self.first[text]), np.minimum(places[0] + span, self.first[text + 1])
+        for p in places[1:]:
+            at = np.searchsorted(p, low)
+            ok = p[np.minimum(at, len(p) - 1)] < high
+            low, high = low[ok & (at < len(p))], high[ok & (at < len(p))]
+            if not len(low):
+                return np.zeros(0, np.int64)
+        edge = np.cumsum(np.bincount(low, minlength=self.n + 1) - np.bincount(high, minlength=self.n + 1))
+        places = [p[edge[p] > 0] for p in places]
+        mark = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        place = np.concatenate(places)
         order = np.argsort(place, kind="stable")
         place, mark = place[order], mark[order]
         last = np.full(len(place), np.iinfo(np.int64).max)
-        for k in range(len(asked)):
+        for k in range(len(places)):
             last = np.minimum(last, np.maximum.accumulate(np.where(mark == k, place, -1)))
         text = self.text_of(place)
-        return place[(last >= 0) & (place - last < span) & (last >= self.first[text])]
+        return np.unique(text[(last >= 0) & (place - last < span) & (last >= self.first[text])])
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
@@ -198,25 +209,28 @@ def _frequencies(segments: DataFrame, asked: np.ndarray) -> dict[int, int]:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", segments: DataFrame | None = None) -> DataFrame:
-    """id, n_words, n_hit, items array<string> (sorted), one row per input row.
+    """id, n_words, n_hit, items and near (sorted arrays of item ids: with exact windows, and
+    with a near match of the whole item), one row per input row.
 
     ``segments`` is an index() of the documents, built here unless given.
     """
-    segments = index(documents, id_col, text_col) if segments is None else segments
-    kind = segments.schema["ids"].dataType.elementType.simpleString()
-    spark, passes = segments.sparkSession, []
-    for block in _blocks(benchmark, item_col, item_text_col):
-        q = Phrases(block, n)
-        q.rarest_first(_frequencies(segments, q.terms) if len(q.terms) else {})
-        sent = spark.sparkContext.broadcast(q)  # of at most BLOCK_BYTES of test texts
-        passes.append(segments.mapInArrow(lambda it, sent=sent: _match(it, sent.value, id_col), f"`{id_col}` {kind}, __text_no string, n_words long, n_hit long, __hit binary, items array<string>"))
-    if len(passes) == 1:
-        return passes[0].select(id_col, "n_words", "n_hit", "items")
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("__text_no").agg(F.first(id_col).alias(id_col), F.first("n_words").alias("n_words"), F.collect_list("__hit").alias("__hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select(id_col, "n_words", _union("__hits").alias("n_hit"), "items")
+    with Scratch(documents.sparkSession) as scratch:
+        segments = index(documents, id_col, text_col, scratch) if segments is None else segments
+        kind = segments.schema["ids"].dataType.elementType.simpleString()
+        spark, passes = segments.sparkSession, []
+        for block in _blocks(benchmark, item_col, item_text_col):
+            q = Phrases(block, n)
+            q.rarest_first(_frequencies(segments, q.terms) if len(q.terms) else {})
+            sent = spark.sparkContext.broadcast(q)  # of at most BLOCK_BYTES of test texts
+            passes.append(segments.mapInArrow(lambda it, sent=sent: _match(it, sent.value, id_col), f"`{id_col}` {kind}, __text_no string, n_words long, n_hit long, __hit binary, items array<string>, near array<string>"))
+        if len(passes) == 1:
+            return stored(passes[0].select(id_col, "n_words", "n_hit", "items", "near"), "hits")
+        every = passes[0]
+        for p in passes[1:]:
+            every = every.unionByName(p)
+        united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+        merged = every.groupBy("__text_no").agg(F.first(id_col).alias(id_col), F.first("n_words").alias("n_words"), F.collect_list("__hit").alias("__hits"), united("items"), united("near"))
+        return stored(merged.select(id_col, "n_words", _union("__hits").alias("n_hit"), "items", "near"), "hits")
 
 
 def _union(column: str):
@@ -243,42 +257,22 @@ def _match(batches: Iterator[pa.RecordBatch], q: Phrases, id_col: str) -> Iterat
             edge = np.bincount(start, minlength=s.n + 1) - np.bincount(start + q.size[phrase], minlength=s.n + 1)
             hit = np.cumsum(edge)[: s.n] > 0
             text = s.text_of(start)
-            pair = np.unique(text * max(1, len(q.names)) + q.item[phrase])
-            own: list[list[str]] = [[] for _ in range(len(ids))]
-            for t, i in zip((pair // max(1, len(q.names))).tolist(), (pair % max(1, len(q.names))).tolist()):
-                own[t].append(q.names[i])
+            found = [s.near(terms, span) for _, terms, span in q.texts]
+            near = _named(np.concatenate([np.zeros(0, np.int64), *found]), np.repeat([i for i, _, _ in q.texts], [len(f) for f in found]).astype(np.int64), q.names, len(ids))
             total = np.concatenate([[0], np.cumsum(hit)])
             some = set(np.unique(text).tolist())
             bits = [np.packbits(hit[a:b]).tobytes() if t in some else b"" for t, (a, b) in enumerate(zip(s.first[:-1].tolist(), s.first[1:].tolist()))]
             mark = batch.column("segment")[r].as_py()
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([f"{mark}-{t}" for t in range(len(ids))], pa.string()), pa.array(np.diff(s.first), pa.int64()), pa.array(np.diff(total[s.first]), pa.int64()), pa.array(bits, pa.binary()), pa.array(own, pa.list_(pa.string()))],
-                names=[id_col, "__text_no", "n_words", "n_hit", "__hit", "items"],
+                [ids, pa.array([f"{mark}-{t}" for t in range(len(ids))], pa.string()), pa.array(np.diff(s.first), pa.int64()), pa.array(np.diff(total[s.first]), pa.int64()), pa.array(bits, pa.binary()), _named(text, q.item[phrase], q.names, len(ids)), near],
+                names=[id_col, "__text_no", "n_words", "n_hit", "__hit", "items", "near"],
             )
 
 
-def proximity(segments: DataFrame, phrases: list[tuple[str, str]], slack: int = 5) -> DataFrame:
-    """(id, phrase): texts in which all words of a phrase stand, in any order, within
-    as many words as the phrase has plus ``slack``.  The phrases are a short list."""
-    known = [(i, t) for i, t in phrases if t]
-    data, offsets = buffers(pa.array([t for _, t in known], pa.string()))
-    w = words(data, offsets, ALNUM, lower=True)
-    h = w.hashes()
-    asked = np.unique(h)
-    own = [np.unique(np.searchsorted(asked, h[a:b])) for a, b in zip(w.first[:-1], w.first[1:])]
-    names, spans = [i for i, _ in known], (w.per_text + slack).tolist()
-    kind = segments.schema["ids"].dataType.elementType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids = batch.column("ids")[r].values
-                s = Segment(asked, *(batch.column(c)[r].as_py() for c in ("first", "terms", "counts", "positions")))
-                text, phrase = [], []
-                for k, terms in enumerate(own):
-                    found = np.unique(s.text_of(s.near(terms, spans[k])))
-                    text += found.tolist()
-                    phrase += [names[k]] * len(found)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text, pa.int64())), pa.array(phrase, pa.string())], names=["id", "phrase"])
-
-    return segments.mapInArrow(run, f"id {kind}, phrase string")
+def _named(text: np.ndarray, item: np.ndarray, names: list[str], texts: int) -> pa.Array:
+    """Per text the sorted names of its items, each once."""
+    pair = np.unique(text * max(1, len(names)) + item)
+    own: list[list[str]] = [[] for _ in range(texts)]
+    for t, i in zip((pair // max(1, len(names))).tolist(), (pair % max(1, len(names))).tolist()):
+        own[t].append(names[i])
+    return pa.array(own, pa.list_(pa.string()))

@@ -33,9 +33,16 @@ bw as (select distinct item_id, m, array_to_string(w[i:i + m - 1], ' ') as k fro
 dw as (select doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') as k from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from d cross join (select distinct m from bw))),
 hit as (select doc_id, m, i, item_id from dw join bw using (m, k)),
 nh as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + m)) as p from hit) group by 1),
-it as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as s from hit group by 1)
-select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join nh using (doc_id) left join it using (doc_id)
+it as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as s from hit group by 1),
+whole as (select item_id, row_number() over () as t, w, len(w) + 5 as span, len(list_distinct(w)) as need from b where item_id is not null and len(w) > 0),
+term as (select distinct t, x from (select t, unnest(w) as x from whole)),
+place as (select doc_id, unnest(w) as x, unnest(range(len(w))) as p from d),
+met as (select doc_id, t, x, p from place join term using (x)),
+full_set as (select doc_id, t from met join whole using (t) group by doc_id, t, need having count(distinct x) = need),
+stretch as (select doc_id, item_id, need, count(distinct x) over (partition by doc_id, t order by p range between span - 1 preceding and current row) as c from met join full_set using (doc_id, t) join whole using (t)),
+near as (select doc_id, count(distinct item_id) as n_near from stretch where c = need group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(n_near, 0) as n_near
+from d left join nh using (doc_id) left join it using (doc_id) left join near using (doc_id)
 """
 
 SQL = {"op1_substring_dedup": SUBSTRING, "op2_ngram_jaccard": NGRAM_JOIN, "op3_url_lists": url_lists.ORACLE, "op9_decontaminate": CONTAMINATION}
