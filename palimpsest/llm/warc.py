@@ -1,7 +1,7 @@
 """WARC archives with a two-level capture index.
 
-Captures are sorted by reversed-host URL key and written as gzipped WARC records,
-one archive per sorted range.  The index keys, in the same order, go into
+Captures are sorted by reversed-host URL key and written as gzipped WARC records, in
+archives of about ARCHIVE_BYTES that each cover a range of keys.  The index keys, in the same order, go into
 compressed blocks; a sparse directory holds the first key and the place of each
 block.  A lookup finds the archive by the ranges' first keys, the block by binary
 search in the directory, the capture by binary search in the block, and then reads
@@ -37,6 +37,8 @@ from palimpsest.llm._io import shared_dir, stored
 from palimpsest.llm._words import chunks
 
 BLOCK_RECORDS = 512
+ARCHIVE_BYTES = 64 << 20  # a longer archive ends at the next new key
+MAX_READERS = 20_000  # tasks that read archives
 BOUNDS_AT_ONCE = 50_000  # archives whose first keys are sent to the tasks together
 MAX_BROADCAST_PAYLOADS = 100_000  # shared payloads (50 bytes each) that are broadcast
 DATE = "2024-01-01T00:00:00Z"
@@ -47,7 +49,7 @@ Key = tuple[str, int]
 def url_key(url):
     """A column: host labels reversed, then path and query; without scheme, user, port or fragment."""
     url = F.coalesce(url, F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1))
     rest = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^#]*)", 1)
     return F.when(host == "", F.regexp_replace(url, "[\t\n\r]", " ")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(rest, "[\t\n\r]", " ")))
 
@@ -120,42 +122,48 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = _fs(folder)
-        name = uuid.uuid4().hex
-        out = warc = index = None
+        name, warc, index = "", None, None
         rows: list[tuple] = []
         lines: list[str] = []
-        first: Key = ("", 0)
-        offset = at = 0
+        first = last = ("", 0)
+        offset = at = block = 0
 
         def flush() -> None:
-            nonlocal at
+            nonlocal at, block
             if lines:
-                block = zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"), 6)
-                index.write(block)
-                rows.append((name, len(rows), *first, len(lines), at, len(block)))
-                at += len(block)
+                packed = zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"), 6)
+                index.write(packed)
+                rows.append((name, block, *first, len(lines), at, len(packed)))
+                at, block = at + len(packed), block + 1
                 lines.clear()
 
+        def close() -> None:
+            nonlocal warc, offset, at, block
+            if warc is not None:
+                flush()
+                warc.close()
+                index.close()
+                warc, offset, at, block = None, 0, 0, 0
+
         for batch in batches:
             for part in chunks(batch, "__html", 8 << 20):
                 for page_id, url, html, key, to in zip(*(part.column(c).to_pylist() for c in ("__id", "__url", "__html", "__key", "__to"))):
-                    if out is None:
+                    k = (key, page_id if page_id is not None else -(1 << 63))
+                    if offset >= ARCHIVE_BYTES and k != last:
+                        close()
+                    if warc is None:
                         store.create_dir(path, recursive=True)
-                        out = True
+                        name = uuid.uuid4().hex
                         warc, index = store.open_output_stream(f"{path}/{name}.warc.gz", compression=None), store.open_output_stream(f"{path}/{name}.cdx", compression=None)
                     data = record(page_id, url or "", html, to)
                     warc.write(data)
-                    k = (key, page_id if page_id is not None else -(1 << 63))
                     if not lines:
                         first = k
                     lines.append(_line(k, offset, len(data)))
-                    offset += len(data)
+                    offset, last = offset + len(data), k
                     if len(lines) == BLOCK_RECORDS:
                         flush()
-        if out is not None:
-            flush()
-            warc.close()
-            index.close()
+        close()
         kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         names = [f.split()[0] for f in _DIRECTORY.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], names=names)
@@ -241,8 +249,8 @@ _FOUND = "page_id long, payload_bytes long, payload_digest string, record_type s
 
 def lookup(folder: str, directory: DataFrame, requests: DataFrame, id_col: str = "page_id", url_col: str = "url", payload: bool = True) -> DataFrame:
     """The records of the requested (id, url) captures, each as often as it was archived
-    (requests are taken once).  Requests of an archive are read by one task; archives are
-    ranges of about equal size."""
+    (requests are taken once).  Requests of an archive are read together; archives are of
+    bounded size and dealt to twice as many tasks as there are archives."""
     low = F.lit(-(1 << 63)).cast("long")
     wanted = requests.select(url_key(F.col(url_col).cast("string")).alias("key"), F.coalesce(F.col(id_col).cast("long"), low).alias("id")).distinct()
     bounds = sorted(((r["k"]["first_key"], r["k"]["first_id"]), r["archive"]) for r in directory.groupBy("archive").agg(F.min(F.struct("first_key", "first_id")).alias("k")).toLocalIterator())
@@ -266,4 +274,6 @@ def lookup(folder: str, directory: DataFrame, requests: DataFrame, id_col: str =
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         return pa.table({c: pa.array([r[c] for r in rows], k) for c, k in zip([f.split()[0] for f in _FOUND.split(", ")], kinds)})
 
-    return asked.groupBy("archive").cogroup(directory.groupBy("archive")).applyInArrow(read, _FOUND)
+    tasks = min(2 * len(bounds), MAX_READERS)  # a few bytes ask for a whole archive: left to their sizes, all would be one task
+    dealt = lambda df: df.repartition(tasks, "archive").groupBy("archive")
+    return dealt(asked).cogroup(dealt(directory)).applyInArrow(read, _FOUND)
