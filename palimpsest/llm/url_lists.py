@@ -10,7 +10,8 @@ host is split by adaptive skew joins; whether the list is broadcast is left to t
 size that Spark measures.  Of a path only the depths that occur in the list are
 looked up.  Only ids, URLs and times move, never page bodies.
 
-Defined results: a null or unparsable URL has no host and matches nothing; a null
+Defined results: a null or unparsable URL has no host and matches nothing; white space
+before a URL, user names, ports and dots after a host name change no match; a null
 time matches nothing; entries with a null field are left out; removing what is not
 listed does nothing; of entries dated alike for one pattern a removal comes last;
 an entry is active from its date up to, not including, the date of its removal;
@@ -22,12 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
+HOST = r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\s]*)"
+PATH = r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, HOST, 1))
+    """Lower-case host after the last @ of the authority, without port and trailing dots."""
+    return F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("."))
 
 
 def path_of(url: Column) -> Column:
@@ -114,11 +116,14 @@ def entries_of(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-with caps as (
+with cut as (
   select page_id, url, timestamp '2024-01-01' + to_days(cast((page_id * 7919) % 365 as int)) + to_hours(cast((page_id * 31) % 24 as int)) as fetched_at,
-         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host,
-         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path
+         case when contains(url, '://') then split_part(split_part(substr(url, strpos(url, '://') + 3), '#', 1), '?', 1) else '' end as rest
   from pages),
+caps as (
+  select page_id, url, fetched_at, rtrim(lower(split_part(list_last(string_split(split_part(rest, '/', 1), '@')), ':', 1)), '.') as host,
+         case when contains(rest, '/') then substr(rest, strpos(rest, '/')) else '' end as path
+  from cut),
 hosts as (select distinct host from caps where host != ''),
 h as (select host, cast('0x' || substr(md5(host), 1, 2) as int) as a, cast('0x' || substr(md5(host), 3, 2) as int) as b, cast('0x' || substr(md5(host), 5, 2) as int) as c from hosts),
 entries as (
