@@ -12,7 +12,8 @@ over all texts without a shuffle, and the broadcast model has a fixed size.
 
 Defined results: a null or empty text has no n-grams and scores as the bias alone
 says; texts of any length are read whole; repeated rows score alike; labels that
-are null are left out and repeated ones are averaged; with no labelled row the
+are null are left out and repeated ones are averaged; of several texts under one id
+the largest is learnt; with no labelled row the
 score is 0.5, with one class its share smoothed; an empty table gives an empty one.
 """
 
@@ -165,7 +166,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col:
         .limit(max_rows)
     )
     texts = documents.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    drawn = texts.join(F.broadcast(ids), "__id").select("__id", "__y", "__text")  # ids: at most max_rows rows
+    drawn = texts.join(F.broadcast(ids), "__id")  # ids: at most max_rows rows
+    drawn = drawn.groupBy("__id", "__y").agg(F.max("__text").alias("__text"))  # of an id's texts one, however many
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,12 +178,13 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col:
                 yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__y"), pa.array(packed, pa.binary())], names=["__id", "__y", "__x"])
 
     found = drawn.mapInArrow(run, f"__id {drawn.schema['__id'].dataType.simpleString()}, __y int, __x binary").collect()
-    found = list({r["__id"]: r for r in sorted(found, key=lambda r: (r["__id"], bytes(r["__x"])))}.values())
+    found.sort(key=lambda r: r["__id"])
     return fit([np.frombuffer(r["__x"], "<i4").astype(np.int64) for r in found], np.array([r["__y"] for r in found], int))
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the kept columns, and score double, one row per input row."""
+    """id, the kept columns, and score double, one row per input row.  Kept columns must
+    have other names than ``score``."""
     kept = documents.select(*dict.fromkeys([id_col, *keep]), F.col(text_col).cast("string").alias("__text"))
     sent = documents.sparkSession.sparkContext.broadcast(model)  # 2 * 4 * 2**BITS bytes
     names = [c for c in kept.columns if c != "__text"]
