@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor
 kept; all but the last return the columns of ``documents``.  A stage's result is
-written as Parquet and read again by the next one.
+written as Parquet and read again by the next one; what a stage stores for itself it
+deletes, but for a small table of verdicts.
+
+Rows are judged one by one.  The operators see the columns under numbers, so extra
+columns may have any name, and a null or repeated doc_id is no row's key: verdicts
+are bound to the id together with a hash of the text, or to the text alone.  A null
+text counts as empty; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,42 +22,67 @@ from palimpsest.llm.queries import THRESHOLD, contaminated
 
 #: Near duplicates: five-word shingles, similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+#: Verdicts (tens of bytes each) that are broadcast at most; more of them are joined by a shuffle.
+MAX_BROADCAST = 200_000
+LAST = (1 << 63) - 1  # stands for a null id, after all others
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """The table with columns c0, c1, ..., and the numbered names of doc_id and text."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names["doc_id"], names["text"]
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not in a stored table of verdicts."""
+    return docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, keys, "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go, each by its own text."""
+    own, key, text = numbered(docs)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, keep=tuple(docs.columns))
-    return scored.where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    scored = quality.score(own, model, key, text, keep=tuple(own.columns))
+    return scored.where(F.col("score") >= THRESHOLD).select(*own.columns).toDF(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = stored(ngram_join.join(docs, SHINGLE_WORDS, SIMILARITY_PERCENT), "near")
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return left
-    # rows that repeat: of those with one id and one text, one stays
-    return left.withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    """Of each group of near duplicates one row stays: that with the smallest doc_id (null
+    comes last), and of several texts under that id the one with the least hash; of rows
+    with that id and that text one.  Rows without words are linked with nothing and all stay."""
+    own, key, text = numbered(docs)
+    marked = own.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(LAST))).withColumn("__hash", F.xxhash64(text))
+    found = ngram_join.join(marked, SHINGLE_WORDS, SIMILARITY_PERCENT, "__id", text, keep=("__hash",))
+    rows = found.where("component is not null").groupBy("component", "__id", "__hash").agg(F.count("*").alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct("__id", "__hash")).alias("first"), F.sum("n").alias("of")).where("of > 1").select("component", "first")
+    other = rows.join(first, "component").withColumn("stays", F.struct("__id", "__hash") == F.col("first")).where("not stays or n > 1")
+    verdicts = stored(other.select("__id", "__hash", "stays"), "duplicates")
+    left = without(marked, verdicts.select("__id", "__hash"), ["__id", "__hash"])
+    again = verdicts.where("stays").select("__id", "__hash")
+    if not again.isEmpty():
+        again = F.broadcast(again) if again.count() <= MAX_BROADCAST else again
+        left = left.unionByName(marked.join(again, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]))
+    return left.select(*own.columns).toDF(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated rows go, each by its own text, whatever its doc_id; a null text is never contaminated."""
-    marked = docs.withColumn("__digest", F.unhex(F.sha2("text", 256)))  # the verdict depends on the text alone
-    found = decontaminate.contamination(marked, table(spark, sf_dir, "benchmark"), id_col="__digest")
-    gone = found.where(contaminated()).select("__digest").distinct()
-    return marked.join(gone, "__digest", "left_anti").select(*docs.columns)
+    own, _, text = numbered(docs)
+    marked = own.withColumn("__digest", F.unhex(F.sha2(text, 256)))  # the verdict depends on the text alone
+    found = decontaminate.contamination(marked, table(spark, sf_dir, "benchmark"), id_col="__digest", text_col=text)
+    gone = stored(found.where(contaminated()).select("__digest").distinct(), "contaminated")
+    return without(marked, gone, ["__digest"]).select(*own.columns).toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked; n_chars follows the new text."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = pii.pii(docs, pii.field_of(pii.labelled_table(spark)), keep=rest).withColumn("text", F.col("redacted"))
-    if "n_chars" in rest:
-        found = found.withColumn("n_chars", F.when(F.length("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    own, key, text = numbered(docs)
+    rest = tuple(c for c in own.columns if c not in (key, text))
+    found = pii.pii(own, pii.field_of(pii.labelled_table(spark)), key, text, keep=rest).withColumn(text, F.col("redacted"))
+    if "n_chars" in docs.columns:
+        n = f"c{docs.columns.index('n_chars')}"
+        found = found.withColumn(n, F.when(F.length("spans") > 0, F.length(text).cast(own.schema[n].dataType)).otherwise(F.col(n)))
+    return found.select(*own.columns).toDF(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
