@@ -1,11 +1,16 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct words of a stretch of the corpus are laid out as one linked list of
-byte tokens.  An inverted index from merge rank (a token pair) to the positions
-where that pair stands is replayed in rank order; each merge touches only its two
-neighbours, whose new pairs enter the index.  Words already replayed by a worker
-stay in a bounded cache, so a frequent word is merged once however often it
-occurs.  There is no shuffle: texts are encoded where they are read.
+1. Texts are dealt, compressed, to groups of some megabytes by a hash.  A group sends
+   each of its words once to the corpus's word table, in partitions by another hash.
+2. There every distinct word is laid out once as a linked list of byte tokens.  An
+   inverted index from merge rank (a token pair) to the positions where that pair
+   stands is replayed in rank order; each merge touches only its two neighbours,
+   whose new pairs enter the index.  The ids go back to the groups that sent the word.
+3. There they meet the group's texts and are put together; decoding reads the ids alone.
+
+Both passes over the texts read one exchange; what a group holds depends on the rows
+alone, so a lost part of it can be made again.  Groups, partitions of the word table
+and tasks follow the size of the input, so their sizes do not.
 
 Defined results: a null text is empty (0 tokens); any length is encoded whole;
 repeated rows give repeated results; an empty table gives an empty one; only the
@@ -15,6 +20,7 @@ two named columns are read, so other columns can't clash.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
@@ -23,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 300_000  # words that a worker keeps of each of two generations
+from palimpsest.llm._pack import squeeze, unsqueeze
+from palimpsest.llm._words import buffers, chunks
+
 PAIRS = 500_000  # joined pairs that a worker keeps
-CACHE_LENGTH = 64  # bytes; longer words are merged anew
-REPLAY_BYTES = 1 << 20  # distinct words are replayed in stretches of about this size
+GROUP_BYTES = 8 << 20  # of text that share a list of words
+BUCKET_BYTES = 32 << 20  # of text for each partition of the word table, and each task
+REPLAY_BYTES = 1 << 20  # distinct words that are replayed at once
 
 
 class Vocabulary:
@@ -155,85 +164,98 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, with a bounded cache of words."""
+_KNOWN: dict[str, Vocabulary] = {}
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        import regex
 
-        self.v, self.split = vocabulary, regex.compile(pattern).findall
-        self.young: dict[str, bytes] = {}  # words in use
-        self.old: dict[str, bytes] = {}  # those in use before
+def vocabulary(path: str) -> Vocabulary:
+    if path not in _KNOWN:
+        _KNOWN[path] = Vocabulary.read(path)
+    return _KNOWN[path]
+
+
+def _u4(values) -> bytes:
+    return np.asarray(values, "<u4").tobytes()
+
+
+def _texts(t: pa.Table, split) -> list[list[str]]:
+    return [split(unsqueeze(z).decode("utf-8", "surrogatepass")) for z in t.column("z").to_pylist()]
+
+
+def _listed(t: pa.Table, split, buckets: int) -> pa.Table:
+    """The distinct words of one group: a row for each bucket."""
+    found: dict[int, list[bytes]] = {}
+    for w in set().union(*_texts(t, split)):
+        x = w.encode("utf-8", "surrogatepass")
+        found.setdefault(zlib.crc32(x) % buckets, []).append(x)
+    return pa.table({
+        "group": pa.array([t.column("group")[0].as_py()] * len(found), pa.int32()), "bucket": pa.array(list(found), pa.int32()),
+        "a": pa.array([squeeze(_u4([len(w) for w in c])) for c in found.values()], pa.binary()), "b": pa.array([squeeze(b"".join(c)) for c in found.values()], pa.binary()),
+    })
+
 
-    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids of words that the cache lacks, replayed together."""
-        out: dict[str, bytes] = {}
-        new, held = [], 0
+def _cut(lengths: bytes, data: bytes, unit: int = 1) -> list[bytes]:
+    end = (unit * np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64)).tolist()
+    return [data[i:j] for i, j in zip([0, *end], end)]
 
-        def flush() -> None:
-            out.update(zip(new, self.v.replay_packed([w.encode("utf-8", "surrogatepass") for w in new])))
-            new.clear()
 
-        for w in words:
+def _replayed(t: pa.Table, v: Vocabulary) -> pa.Table:
+    """One partition of the word table: every distinct word once; ids for each stretch that has it."""
+    rows = [_cut(unsqueeze(a), unsqueeze(b)) for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist())]
+    ids: dict[bytes, bytes] = dict.fromkeys(w for r in rows for w in r)
+    new, held = [], 0
+    for w in [*ids, None]:
+        if w is None or held > REPLAY_BYTES:
+            ids.update(zip(new, v.replay_packed(new)))
+            new, held = [], 0
+        if w is not None:
             new.append(w)
             held += len(w)
-            if held > REPLAY_BYTES:
-                flush()
-                held = 0
-        flush()
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.split(t) if t else [] for t in texts]
-        seen = set().union(*split)
-        young, old = self.young, self.old
-        held = {w: young[w] for w in seen if w in young}
-        back = {w: old[w] for w in seen.difference(held) if w in old}
-        held.update(back)
-        new = self.learn(seen.difference(held))
-        if len(young) + len(back) + len(new) > CACHE_WORDS:
-            self.old, self.young = young, {}
-        self.young.update(back)
-        self.young.update((w, b) for w, b in new.items() if len(w) <= CACHE_LENGTH)
-        held.update(new)
-        get = held.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(Vocabulary.read(path), pattern)
-    return _ENCODERS[path, pattern]
-
-
-def bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 512) -> DataFrame:
+    out = [[ids[w] for w in r] for r in rows]
+    lengths, data = ([squeeze(x) for x in c] for c in zip(*((_u4([len(x) // 4 for x in r]), b"".join(r)) for r in out)))
+    return pa.table({"group": t.column("group"), "a": t.column("a"), "b": t.column("b"), "c": pa.array(lengths, pa.binary()), "d": pa.array(data, pa.binary())})
+
+
+def _joined(t: pa.Table, known: pa.Table, split, v: Vocabulary, id_col: str) -> pa.Table:
+    """The ids of a group's texts from those of its words, and the bytes that they decode to."""
+    ids: dict[str, bytes] = {}
+    for a, b, c, d in zip(*(known.column(x).to_pylist() for x in "abcd")):
+        ids.update(zip((w.decode("utf-8", "surrogatepass") for w in _cut(unsqueeze(a), unsqueeze(b))), _cut(unsqueeze(c), unsqueeze(d), 4)))
+    get, bytes_of = ids.__getitem__, v.bytes_of.__getitem__
+    packed = [b"".join(map(get, w)) for w in _texts(t, split)]
+    plain = [b"".join(map(bytes_of, np.frombuffer(x, "<u4").tolist())) for x in packed]
+    return pa.table({id_col: t.column(id_col), "n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64()), "ids": pa.array(packed, pa.binary()), "decoded": pa.array(plain, pa.binary())})
+
+
+def bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens long, ids binary (little-endian unsigned 32-bit), decoded binary, one row per input row.
 
     ``path`` is a rank file that every executor has at that place (it comes with
     an installed library), ``pattern`` splits texts before the merges.
     """
-    kept = df.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("__text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from palimpsest.llm._words import chunks
+    text = F.col(text_col).cast("string")
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    groups, buckets = int(max(16, size // GROUP_BYTES)), int(max(16, size // BUCKET_BYTES))
+    kept = df.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(groups)).cast("int").alias("group"), F.col(id_col).alias(id_col), text.alias("__text"))
+    kind = kept.schema[id_col].dataType.simpleString()
 
-        enc = encoder(path, pattern)
-        bytes_of = enc.v.bytes_of.__getitem__
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "__text", 2 << 20):
-                ids = enc.encode(part.column("__text").to_pylist())
-                plain = [b"".join(map(bytes_of, np.frombuffer(x, "<u4").tolist())) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(plain, pa.binary())],
-                    names=[id_col, "n_tokens", "ids", "decoded"],
-                )
+            for part in chunks(batch, "__text", 4 << 20):
+                data, off = buffers(part.column("__text"))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([squeeze(data[a:b].tobytes()) for a, b in zip(off[:-1], off[1:])], pa.binary())], names=["group", id_col, "z"])
 
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary, decoded binary")
+    def splitter():
+        import regex
+
+        return regex.compile(pattern).findall
+
+    parts = "group int, bucket int, a binary, b binary"
+    docs = kept.mapInArrow(zipped, f"group int, `{id_col}` {kind}, z binary").repartition(buckets, "group")
+    words = docs.groupBy("group").applyInArrow(lambda t: _listed(t, splitter(), buckets), parts).repartition(buckets, "bucket")
+    known = words.groupBy("bucket").applyInArrow(lambda t: _replayed(t, vocabulary(path)), "group int, a binary, b binary, c binary, d binary").repartition(buckets, "group")
+    out = f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary"
+    return docs.groupBy("group").cogroup(known.groupBy("group")).applyInArrow(lambda t, k: _joined(t, k, splitter(), vocabulary(path), id_col), out)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return encoded.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
