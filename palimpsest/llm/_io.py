@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Session setting under which a write frees the shuffle files that it has read.
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Session settings of a write: it frees the shuffle files that it has read, and hands
+#: whole texts to Python by the thousand.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    before = spark.conf.get(_FREE, None)
-    spark.conf.set(_FREE, "true")
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     try:
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

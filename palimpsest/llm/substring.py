@@ -11,7 +11,7 @@ intervals.
 2. Hashes are dealt to buckets by their top bits, as packed arrays (about nine
    bytes a window).  A bucket finds each hash's smallest id and returns the
    repeats.  The number of buckets follows the size of the input, so a bucket
-   stays at about ``bucket_bytes`` of text.
+   stays at about ``bucket_bytes`` of text; there are as many tasks.
 3. Repeats meet their texts by a hash of the id, and the intervals are cut out.
 
 Windows are told apart by 63 bits of hash: two different windows of N count as
@@ -191,7 +191,7 @@ def dedup(df: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "t
     """id (an integer), n_words, n_removed, kept (the kept words joined by one space)."""
     kept = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     size = kept.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    bits = max(7, (size // bucket_bytes).bit_length())
+    bits = max(5, (size // bucket_bytes).bit_length())
     count = 1 << bits
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,8 @@ def dedup(df: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array(_group(_ids(ids), count), pa.int32()), ids, pa.array(z, pa.binary())], names=["group", "__id", "__z"])
 
     sent = kept.mapInArrow(send, f"bucket int, group int, hashes binary, {_FLAGS}")
-    found = sent.groupBy("bucket").applyInArrow(lambda t: _repeats(t, count), f"group int, {_FLAGS}")
     docs = kept.mapInArrow(zipped, "group int, __id long, __z binary")
+    sent, docs = sent.repartition(count, "bucket"), docs.repartition(count, "group")
+    found = sent.groupBy("bucket").applyInArrow(lambda t: _repeats(t, count), f"group int, {_FLAGS}")
     names = [id_col, "n_words", "n_removed", "kept"]
     return docs.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(lambda d, f: _cut(d, f, n, names), f"`{id_col}` long, n_words long, n_removed long, kept string")
