@@ -32,22 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
+def _written(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     try:
         for k, v in _SETTINGS.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write to the shared folder as Parquet and read back: lineage ends there."""
-    return _written(df, f"{shared_dir(df.sparkSession)}/palimpsest/{what}-{uuid.uuid4().hex}")
+    return _written(df, f"{shared_dir(df.sparkSession)}/palimpsest/{what}-{uuid.uuid4().hex}", compression)
 
 
 class Scratch:
@@ -58,9 +58,9 @@ class Scratch:
         self.spark, self.n = spark, 0
         self.folder = f"{shared_dir(spark)}/palimpsest/scratch-{uuid.uuid4().hex}"
 
-    def stored(self, df: DataFrame, what: str) -> DataFrame:
+    def stored(self, df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
         self.n += 1
-        return _written(df, f"{self.folder}/{self.n}-{what}")
+        return _written(df, f"{self.folder}/{self.n}-{what}", compression)
 
     def __enter__(self) -> Scratch:
         return self

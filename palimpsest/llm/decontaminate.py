@@ -1,6 +1,6 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-The index is document-partitioned: each segment covers some megabytes of whole
+The index is document-partitioned: each segment covers half a megabyte of whole
 texts and stores its sorted terms, their counts, and the word positions of each
 term (all terms of all texts).  Segments are written as a table in the shared
 folder.  A query is matched inside each segment, so nothing is shuffled:
@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm._io import Scratch, stored
+from palimpsest.llm._pack import pack, unpack
 from palimpsest.llm._words import ALNUM, U, buffers, chunks, words
 
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 19  # larger rows, and codecs' buffers for them, swell a JVM
 BLOCK_BYTES = 1 << 20  # of test texts that are matched at once; their tables take some 30 times as much
 SLACK = 5  # words that a near match may have besides
 _SEGMENT = "segment string, first binary, terms binary, counts binary, positions binary"
@@ -45,7 +46,7 @@ def _segment(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, bytes, bytes
     h = h[order]
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     counts = np.diff(np.append(at, len(h)))
-    return w.first.astype("<i4").tobytes(), h[at].astype("<u8").tobytes(), counts.astype("<i4").tobytes(), order.astype("<i4").tobytes()
+    return pack(w.first), h[at].astype("<u8").tobytes(), pack(counts), pack(order)
 
 
 def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -78,7 +79,7 @@ def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch
             yield flush()
 
     kind = kept.schema["__id"].dataType.simpleString()
-    return (scratch.stored if scratch else stored)(kept.mapInArrow(run, f"ids array<{kind}>, {_SEGMENT}"), "postings")
+    return (scratch.stored if scratch else stored)(kept.mapInArrow(run, f"ids array<{kind}>, {_SEGMENT}"), "postings", "none")
 
 
 class Phrases:
@@ -115,8 +116,7 @@ class Segment:
     """The postings of the asked terms in one segment."""
 
     def __init__(self, asked: np.ndarray, first: bytes, terms: bytes, counts: bytes, positions: bytes):
-        self.first = np.frombuffer(first, "<i4").astype(np.int64)
-        own, count = np.frombuffer(terms, "<u8"), np.frombuffer(counts, "<i4").astype(np.int64)
+        self.first, own, count = unpack(first), np.frombuffer(terms, "<u8"), unpack(counts)
         self.n = int(self.first[-1])
         at = np.minimum(np.searchsorted(own, asked), max(len(own) - 1, 0))
         here = own[at] == asked if len(own) else np.zeros(len(asked), bool)
@@ -125,7 +125,7 @@ class Segment:
         k = np.flatnonzero(self.count)
         self.begin = np.cumsum(self.count) - self.count
         src = np.repeat(starts[at[k]] if len(own) else k, self.count[k]) + np.arange(int(self.count.sum())) - np.repeat(self.begin[k], self.count[k])
-        self.position = np.frombuffer(positions, "<i4")[src].astype(np.int64)
+        self.position = unpack(positions)[src]
         self.key = np.repeat(k, self.count[k]) * (self.n + 1) + self.position  # ascending
 
     def text_of(self, position: np.ndarray) -> np.ndarray:
@@ -200,7 +200,7 @@ def _frequencies(segments: DataFrame, asked: np.ndarray) -> dict[int, int]:
                 own = np.frombuffer(terms.as_py(), "<u8")
                 if len(own):
                     at = np.minimum(np.searchsorted(own, sent.value), len(own) - 1)
-                    total += np.where(own[at] == sent.value, np.frombuffer(counts.as_py(), "<i4")[at], 0)
+                    total += np.where(own[at] == sent.value, unpack(counts.as_py())[at], 0)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["k", "n"])
 
