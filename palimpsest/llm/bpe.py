@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm._pack import squeeze, unsqueeze
-from palimpsest.llm._words import buffers, chunks
+from palimpsest.llm._words import buffers, chunks, give_back
 
 PAIRS = 500_000  # joined pairs that a worker keeps
 GROUP_BYTES = 8 << 20  # of text that share a list of words
-BUCKET_BYTES = 32 << 20  # of text for each partition of the word table, and each task
+BUCKET_BYTES = 16 << 20  # of text for each partition of the word table, and each task
+BATCH_BYTES = 1 << 20  # of text that is put together at once
 REPLAY_BYTES = 1 << 20  # distinct words that are replayed at once
 
 
@@ -177,14 +178,19 @@ def _u4(values) -> bytes:
     return np.asarray(values, "<u4").tobytes()
 
 
-def _texts(t: pa.Table, split) -> list[list[str]]:
-    return [split(unsqueeze(z).decode("utf-8", "surrogatepass")) for z in t.column("z").to_pylist()]
+def _texts(t: pa.Table, split) -> Iterator[list[str]]:
+    """The words of one text after the other."""
+    for z in t.column("z"):
+        yield split(unsqueeze(z.as_py()).decode("utf-8", "surrogatepass"))
 
 
 def _listed(t: pa.Table, split, buckets: int) -> pa.Table:
     """The distinct words of one group: a row for each bucket."""
     found: dict[int, list[bytes]] = {}
-    for w in set().union(*_texts(t, split)):
+    seen: set[str] = set()
+    for words in _texts(t, split):
+        seen.update(words)
+    for w in seen:
         x = w.encode("utf-8", "surrogatepass")
         found.setdefault(zlib.crc32(x) % buckets, []).append(x)
     return pa.table({
@@ -211,6 +217,7 @@ def _replayed(t: pa.Table, v: Vocabulary) -> pa.Table:
             new.append(w)
             held += len(w)
     out = [[ids[w] for w in r] for r in rows]
+    give_back()
     lengths, data = ([squeeze(x) for x in c] for c in zip(*((_u4([len(x) // 4 for x in r]), b"".join(r)) for r in out)))
     return pa.table({"group": t.column("group"), "a": t.column("a"), "b": t.column("b"), "c": pa.array(lengths, pa.binary()), "d": pa.array(data, pa.binary())})
 
@@ -221,9 +228,24 @@ def _joined(t: pa.Table, known: pa.Table, split, v: Vocabulary, id_col: str) ->
     for a, b, c, d in zip(*(known.column(x).to_pylist() for x in "abcd")):
         ids.update(zip((w.decode("utf-8", "surrogatepass") for w in _cut(unsqueeze(a), unsqueeze(b))), _cut(unsqueeze(c), unsqueeze(d), 4)))
     get, bytes_of = ids.__getitem__, v.bytes_of.__getitem__
-    packed = [b"".join(map(get, w)) for w in _texts(t, split)]
-    plain = [b"".join(map(bytes_of, np.frombuffer(x, "<u4").tolist())) for x in packed]
-    return pa.table({id_col: t.column(id_col), "n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64()), "ids": pa.array(packed, pa.binary()), "decoded": pa.array(plain, pa.binary())})
+    # batches of bounded size, since a group's ids and bytes as one would be tens of megabytes in the JVM
+    out: list[pa.RecordBatch] = []
+    packed: list[bytes] = []
+    plain: list[bytes] = []
+    held = done = 0
+    keys = t.column(id_col).combine_chunks()
+    for n, words in enumerate(_texts(t, split), 1):
+        packed.append(b"".join(map(get, words)))
+        plain.append(b"".join(map(bytes_of, np.frombuffer(packed[-1], "<u4").tolist())))
+        held += len(plain[-1])
+        if held > BATCH_BYTES or n == t.num_rows:
+            arrays = [keys.slice(done, n - done), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(plain, pa.binary())]
+            out.append(pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_tokens", "ids", "decoded"]))
+            packed, plain, held, done = [], [], 0, n
+    give_back()
+    if out:
+        return pa.Table.from_batches(out)
+    return pa.table({id_col: keys, "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.binary())})
 
 
 def bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
