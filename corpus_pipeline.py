@@ -25,10 +25,14 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 #: Verdicts (tens of bytes each) that are broadcast at most; more of them are joined by a shuffle.
 MAX_BROADCAST = 200_000
 LAST = (1 << 63) - 1  # stands for a null id, after all others
+#: Rows that go to Python at once: texts are long, and the default of 10,000 takes tens of megabytes a batch.
+ROWS_AT_ONCE = "500"
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
-    """The table with columns c0, c1, ..., and the numbered names of doc_id and text."""
+    """The table with columns c0, c1, ..., and the numbered names of doc_id and text.  From
+    here on the session hands rows to Python by ROWS_AT_ONCE."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     return docs.toDF(*names.values()), names["doc_id"], names["text"]
 
@@ -89,8 +93,9 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), their digests, and those of the decoded bytes."""
     import public_tokenizers
 
-    encoded = bpe.bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    own, key, text = numbered(docs)
+    encoded = bpe.bpe(own, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, key, text)
+    return encoded.select(F.col(key).alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
 STAGES = [
