@@ -33,10 +33,55 @@ def unblocked(tasks: DataFrame) -> DataFrame:
 
 
 def next_for_agents(tasks: DataFrame, agents: DataFrame) -> DataFrame:
-    """For each agent its next pending task: not blocked, lowest priority number, oldest."""
-    free = blocked(tasks).where("status = 'pending' and not is_blocked").join(agents.select(F.col("id").alias("agent")), "agent", "left_semi")
-    w = Window.partitionBy("agent").orderBy("priority", "created_at", "id")
-    return free.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """(agent, id, priority): the task that each agent is given when it asks: pending, not blocked,
+    first one reserved for it, else an unassigned one of its workspace or of none; the
+    highest priority, then the oldest.  Of unassigned tasks only the best of each workspace move."""
+    free = blocked(tasks).where("status = 'pending' and not is_blocked")
+    order = lambda step: F.struct(F.lit(step).alias("step"), (-F.col("priority")).alias("p"), "created_at", "id")
+    reserved = free.where("agent is not null").join(agents.select(F.col("id").alias("agent")), "agent", "left_semi").select("agent", order(1).alias("o"))
+    best = free.where("agent is null").groupBy("workspace").agg(F.min(order(2)).alias("o"))
+    own = best.where("workspace is not null").join(agents.select(F.col("id").alias("agent"), "workspace"), "workspace").select("agent", "o")
+    anyone = agents.select(F.col("id").alias("agent")).join(F.broadcast(best.where("workspace is null").select("o")))  # at most one row
+    found = reserved.unionByName(own).unionByName(anyone).groupBy("agent").agg(F.min("o").alias("o"))
+    return found.select("agent", "o.id", (-F.col("o.p")).alias("priority"))
+
+
+def claimed(tasks: DataFrame, claims: DataFrame) -> DataFrame:
+    """(id, agent, status) after claims (id, agent, ts, event_id): a pending task goes to the first."""
+    first = claims.groupBy("id").agg(F.min_by("agent", F.struct("ts", "event_id")).alias("__agent"))
+    won = (F.col("status") == "pending") & F.col("__agent").isNotNull()
+    return tasks.join(first, "id", "left").select("id", F.when(won, F.col("__agent")).otherwise(F.col("agent")).alias("agent"), F.when(won, "assigned").otherwise(F.col("status")).alias("status"))
+
+
+def reassigned(tasks: DataFrame, moves: DataFrame) -> DataFrame:
+    """(id, agent, status) after one move each (id, target): assigned to the target, or pending again
+    without one; completed and failed tasks stay as they are."""
+    own = tasks.join(moves.select("id", F.col("target").alias("__target"), F.lit(True).alias("__moved")), "id", "left")
+    moved = F.coalesce("__moved", F.lit(False)) & ~F.col("status").isin("completed", "failed")
+    status = F.when(F.col("__target").isNotNull(), "assigned").otherwise("pending")
+    return own.select("id", F.when(moved, F.col("__target")).otherwise(F.col("agent")).alias("agent"), F.when(moved, status).otherwise(F.col("status")).alias("status"))
+
+
+def killed(agents: DataFrame, tasks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(agents, tasks) after the named agents (id) are killed: dead, their running tasks failed.
+    Agents that are dead already change nothing."""
+    gone = agents.where("status != 'dead'").join(ids.select("id").distinct(), "id", "left_semi").select("id", F.lit(True).alias("__gone"))
+    a = agents.join(gone, "id", "left").withColumn("status", F.when(F.col("__gone"), "dead").otherwise(F.col("status"))).drop("__gone")
+    t = tasks.join(gone.withColumnRenamed("id", "agent"), "agent", "left")
+    running = F.col("__gone") & F.col("status").isin("assigned", "in_progress")
+    return a, t.withColumn("status", F.when(running, "failed").otherwise(F.col("status"))).drop("__gone")
+
+
+def without_old_heartbeats(events: DataFrame, as_of: Column, seconds: int = 3600, kind: str = "event_type") -> DataFrame:
+    """Events without heartbeats of more than an hour ago; all others stay for good."""
+    old = (F.col(kind) == "heartbeat") & (F.unix_micros(F.col("ts").cast("timestamp")) < F.unix_micros(as_of) - seconds * 1_000_000)
+    return events.where(~F.coalesce(old, F.lit(False)))
+
+
+def without_dead(agents: DataFrame, as_of: Column, hours: int = 24, seen: str = "last_seen") -> DataFrame:
+    """Agents without those that are dead and were last seen more than a day ago."""
+    old = (F.col("status") == "dead") & (F.unix_micros(F.col(seen).cast("timestamp")) < F.unix_micros(as_of) - hours * 3_600_000_000)
+    return agents.where(~F.coalesce(old, F.lit(False)))
 
 
 def invalid_transitions(history: DataFrame) -> DataFrame:

@@ -129,26 +129,24 @@ def effective_state(memories: DataFrame, resolving: Sequence[str] = ("resolves",
 K1, B = 1.2, 0.75
 
 
+def _indexed() -> Column:
+    """The terms of concept, content and tags."""
+    return T.index_terms(F.concat_ws(" ", "concept", "content", F.array_join("tags", " ")))
+
+
 def postings(memories: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
-    """(id, len, term, tf) of concept and content; given terms are filtered before the explode."""
-    words = T.index_terms(F.concat_ws(" ", "concept", "content"))
-    own = memories.select("id", words.alias("w")).select("id", F.size("w").alias("len"), "w")
+    """(id, len, term, tf) of concept, content and tags; given terms are filtered before the explode."""
+    own = memories.select("id", _indexed().alias("w")).select("id", F.size("w").alias("len"), "w")
     kept = F.filter("w", lambda w: w.isin(*terms)) if terms is not None else F.col("w")
     return own.select("id", "len", F.explode(kept).alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(memories: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """(id, bm25, score): Robertson's BM25 of any of the query's terms, and r / (1 + r).
+def query_terms(query: str) -> list[str]:
+    return sorted({w for w in "".join(c if c.isascii() and (c.isalnum() or c == "_") or c in " \t\n\r\v\f" else " " for c in query.lower()).split() if len(w) > 1})
 
-    One scan yields the collection's size and mean length, one the few postings of
-    the query's terms; neither explodes whole texts.
-    """
-    terms = sorted({w for w in "".join(c if c.isascii() and (c.isalnum() or c == "_") or c in " \t\n\r\v\f" else " " for c in query.lower()).split() if len(w) > 1})
-    if not terms:
-        return memories.select("id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("score")).limit(0)
-    words = T.index_terms(F.concat_ws(" ", "concept", "content"))
-    size = memories.select(F.size(words).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
-    post = postings(memories, terms)
+
+def _ranked(post: DataFrame, size: DataFrame, limit: int | None) -> DataFrame:
+    """(id, bm25, score) from the asked terms' postings and the one row (n, mean)."""
     df = post.groupBy("term").agg(F.count("*").alias("df"))  # at most one row per query term
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
@@ -157,6 +155,42 @@ def bm25(memories: DataFrame, query: str, limit: int | None = None) -> DataFrame
     return out if limit is None else out.orderBy(F.desc(F.round("bm25", 9)), "id").limit(limit)
 
 
+def bm25(memories: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """(id, bm25, score): Robertson's BM25 of any of the query's terms, and r / (1 + r), from the texts.
+
+    One scan yields the collection's size and mean length, one the few postings of
+    the query's terms; neither explodes whole texts.  ``indexed_bm25`` reads a stored index.
+    """
+    terms = query_terms(query)
+    if not terms:
+        return memories.select("id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("score")).limit(0)
+    size = memories.select(F.size(_indexed()).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
+    return _ranked(postings(memories, terms), size, limit)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def store_index(memories: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write the inverted index: postings in folders by a hash of the term, sorted by term, and one
+    row with the number of memories and their mean length.  Filters of rows or agents go before it."""
+    spread = postings(memories).withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)))
+    spread.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    memories.select(F.size(_indexed()).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/size")
+
+
+def indexed_bm25(spark, path: str, query: str, limit: int | None = None) -> DataFrame:
+    """As bm25, from a stored index: only the folders and row groups of the asked terms are read."""
+    size = spark.read.parquet(f"{path}/size")
+    terms, buckets = query_terms(query), size.first()["buckets"]
+    folders = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"), buckets)).distinct().collect()]
+    post = spark.read.schema("id long, len int, term string, tf long, bucket int").parquet(f"{path}/postings").where(F.col("bucket").isin(folders) & F.col("term").isin(terms)) if terms else None
+    if post is None:
+        return size.select(F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("bm25"), F.lit(0.0).alias("score")).limit(0)
+    return _ranked(post.drop("bucket"), size.drop("buckets"), limit)
+
+
 def bm25_top_then_join(memories: DataFrame, query: str, agents: Sequence, limit: int = 10, strict_inner_limit: bool = False) -> DataFrame:
     """Top-N of the index, then the rows: with ``strict_inner_limit`` the cut comes before the
     agent filter, as an index over all agents has it; else the filter comes first."""

@@ -71,12 +71,33 @@ def failure_runs(events: DataFrame, key: str = "agent", ok: str = "ok", order: s
     return run.withColumn("failures", F.sum((~F.col(ok)).cast("int")).over(inner)).drop("__g")
 
 
-def breaker_states(events: DataFrame, threshold: int = 5, cooldown_seconds: int = 30, key: str = "agent") -> DataFrame:
-    """The circuit's state before each call: closed, open, or half_open once the cooldown is over."""
-    runs = failure_runs(events, key)
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    before, since = F.coalesce(F.lag("failures").over(w), F.lit(0)), _micros("ts") - F.lag(_micros("ts")).over(w)
-    return runs.withColumn("state", F.when(before < threshold, "closed").when(since >= cooldown_seconds * 1_000_000, "half_open").otherwise("open"))
+def breaker_states(events: DataFrame, threshold: int = 5, cooldown_seconds: int = 30, key: str = "agent", ok: str = "ok") -> DataFrame:
+    """(key, event_id, state) before each call: closed; open once ``threshold`` failures in a row
+    have opened the circuit; half_open when more than the cooldown has passed since then.
+
+    Later failures keep the time of opening, but one in half_open opens anew.  So the state
+    depends on the calls before: each key is sorted in Spark and folded, two numbers of state.
+    """
+    ranged = events.select(key, "event_id", _micros("ts").alias("__t"), F.col(ok).alias("__ok")).repartition(key).sortWithinPartitions(key, "__t", "event_id")
+    cooldown = cooldown_seconds * 1_000_000
+
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, failures, opened = None, 0, 0
+        for batch in batches:
+            states = []
+            for k, t, good in zip(*(batch.column(c).to_pylist() for c in (key, "__t", "__ok"))):
+                if k != now:
+                    now, failures = k, 0
+                state = "closed" if failures < threshold else "half_open" if t - opened > cooldown else "open"
+                states.append(state)
+                failures = 0 if good else failures + 1
+                if failures >= threshold and state != "open":
+                    opened = t
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("event_id"), pa.array(states, pa.string())], names=[key, "event_id", "state"])
+
+    return ranged.mapInArrow(fold, f"`{key}` {ranged.schema[key].dataType.simpleString()}, event_id {ranged.schema['event_id'].dataType.simpleString()}, state string")
 
 
 def coalesced(events: DataFrame, key: str = "agent", seconds: int = 10, schema_cols: tuple[str, ...] = ("event_id",)) -> DataFrame:

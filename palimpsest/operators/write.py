@@ -42,10 +42,11 @@ def best_vector_match(writes: DataFrame, vectors: DataFrame) -> DataFrame:
     return both.groupBy("write_id").agg(F.max_by(F.struct("id", sim.alias("score")), F.struct(F.round(sim, 6), -F.col("id"))).alias("x")).select("write_id", "x.id", "x.score")
 
 
-def scored_writes(writes: DataFrame) -> DataFrame:
-    """Writes (content, event_type, signals, novelty) with score, disposition, reasons and first confidence."""
+def scored_writes(writes: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """Writes (content, event_type, signals, novelty) with score, disposition, reasons and first confidence.
+    ``names`` are the people whose words count as feedback."""
     c = F.col("content")
-    out = writes.withColumn("s", S.salience("surprise", F.col("decision_made"), "causal_depth", "resolution_effort", "novelty", F.col("event_type"), F.col("memory_class"), T.is_verified_record(c), T.is_routine(c), T.is_feedback(c)))
+    out = writes.withColumn("s", S.salience("surprise", F.col("decision_made"), "causal_depth", "resolution_effort", "novelty", F.col("event_type"), F.col("memory_class"), T.is_verified_record(c), T.is_routine(c), T.is_feedback(c, names)))
     out = out.select(*writes.columns, F.col("s.score").alias("score"), F.col("s.disposition").alias("disposition"), F.col("s.reasons").alias("reasons"))
     return out.withColumn("confidence", S.prior_confidence(F.col("disposition"), F.coalesce("event_type", F.lit("observation"))))
 
@@ -136,6 +137,29 @@ def evicted(memories: DataFrame, as_of: Column, max_active: int) -> DataFrame:
     return live.withColumn("score", F.round(score, 9)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") > max_active).select("id", "agent", "score")
 
 
+#: What a new memory has where nothing is given.
+DEFAULTS = {"confidence": 0.5, "salience": 0.5, "stage": "active", "memory_class": "working", "memory_type": "unclassified", "access_count": 0, "retracted": False}
+
+
+def inserted(memories: DataFrame, rows: DataFrame, as_of: Column) -> DataFrame:
+    """The memories with new rows, which need id, agent, concept and content; other columns are
+    taken where given and not null, else from DEFAULTS, the time asked, or null."""
+    given = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+
+    def value(f):
+        default = as_of if f.name in ("created_at", "last_accessed") else F.array().cast(f.dataType) if f.name in ("tags", "refs") else F.lit(DEFAULTS.get(f.name))
+        return F.coalesce(given(f.name).cast(f.dataType), default.cast(f.dataType)).alias(f.name)
+
+    return memories.unionByName(rows.select(*map(value, memories.schema.fields)))
+
+
+def over_staging_budget(memories: DataFrame, as_of: Column, most: int = 1000) -> DataFrame:
+    """(id, agent) of the expired staged memories that go once any agent has more than ``most`` staged
+    ones: then those of all agents do."""
+    full = memories.where("stage = 'staging' and not retracted").groupBy("agent").count().where(F.col("count") > most).agg((F.count("*") > 0).alias("full"))
+    return expired_staging(memories, as_of).join(F.broadcast(full.where("full"))).select("id", "agent")  # one row, or none
+
+
 def expired_staging(memories: DataFrame, as_of: Column) -> DataFrame:
     """Staged memories whose time to live is over; a ttl of 0 or none never ends."""
     end = F.unix_micros(F.col("created_at").cast("timestamp")) + F.col("ttl_ms") * 1000

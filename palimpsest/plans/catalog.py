@@ -1,13 +1,15 @@
 """Every registered query of the engine: a DataFrame form and the same in DuckDB SQL.
 
 Queries run over their whole tables.  Where a limit stands in a query, it is the
-query's own (top-k, next task, feed page).  Where the SQL of a query states a subset
-of its input, a query of the same name with ``_all`` takes the whole of it.  Floats are rounded where sums are taken
-in different orders.
+query's own (top-k, next task, feed page).  ``_all`` names the form over every text, or with
+the real best match, of a query whose SQL can't follow there.  Floats are rounded where sums
+are taken in different orders, or compared in single precision where exact halves occur.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +59,14 @@ class Tables:
         return [float(x) for x in self.embeddings.where(F.col("vec_id") == i).select("embedding").first()[0]]
 
 
+def _index(t: Tables) -> str:
+    """A fresh inverted index of all memories, in the shared folder (a temporary one where none is set)."""
+    top = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+    path = f"{top.rstrip('/')}/palimpsest/index-{uuid.uuid4().hex}"
+    Q.store_index(t.memories, path)
+    return path
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], None]:
     def add(f: Callable[[Tables], DataFrame]) -> None:
         _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
@@ -96,11 +106,12 @@ query("s3_slim_scan", "select m.id, m.agent, m.concept, e.vec_id is not null as
 query("s4_point_lookup", "select id, concept, stage from memories where id = 42")(lambda t: t.memories.where("id = 42").select("id", "concept", "stage"))
 query("s5_batch_lookup", "select id, concept from memories where id in (select o_orderkey from orders where o_orderstatus = 'F')")(lambda t: Q.by_ids(t.memories, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))).select("id", "concept"))
 
-_BM25 = f"""with d as (select id, agent, retracted, stage, list_filter(string_split(regexp_replace(regexp_replace(lower(concept || ' ' || content), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w != '') as w from memories),
+_BM25 = f"""with d as (select id, agent, retracted, stage, list_filter(string_split(regexp_replace(regexp_replace(lower(concept || ' ' || content || ' ' || array_to_string(tags, ' ')), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w != '') as w from memories),
   s as (select count(*) as n, avg(len(w)) as mean from d), p as (select id, len(w) as len, unnest(w) as term from d),
   tf as (select id, len, term, count(*) as tf from p where term in ({', '.join(f"'{w}'" for w in SEARCH.split())}) group by all), df as (select term, count(*) as df from tf group by term),
   b as (select id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as bm25 from tf join df using (term), s group by id)"""
 query("s6_tx1_bm25", _BM25 + " select id, round(bm25, 6) as bm25, round(bm25 / (1 + bm25), 6) as score from b")(lambda t: Q.bm25(t.memories, SEARCH).select("id", r6("bm25", "bm25"), r6("score", "score")))
+query("s6_stored_index", _BM25 + " select id, round(bm25, 6) as bm25, round(bm25 / (1 + bm25), 6) as score from b")(lambda t: Q.indexed_bm25(t.spark, _index(t), SEARCH).select("id", r6("bm25", "bm25"), r6("score", "score")))
 query("j1_top_then_join", _BM25 + ", top as (select id, bm25 from b order by round(bm25, 9) desc, id limit 100) select id, round(bm25, 6) as bm25 from top join memories using (id) where not retracted and agent in ('en', 'es') order by round(bm25, 9) desc, id limit 20")(
     lambda t: Q.bm25_top_then_join(t.memories, SEARCH, ["en", "es"], 20, strict_inner_limit=True).select("id", r6("bm25", "bm25"))
 )
@@ -114,12 +125,7 @@ query("v3_vector_match", f"with s as (select vec_id as id, round({_COS}, 5) as s
 )
 query("s9_export", "with m as (select * from memories where agent = 'en' and not retracted) select src, dst, type, round(weight, 6) as weight from edges where src in (select id from m) and dst in (select id from m)")(lambda t: X.exported(t.memories, t.edges, "en")[1].select("src", "dst", "type", r6("weight", "weight")))
 query("s10_export_active", "select id, agent, concept from memories where stage = 'active' and not retracted")(lambda t: X.exported(t.memories.where("stage = 'active'"), t.edges)[0].select("id", "agent", "concept"))
-query("s12_merge_sources", """with s as (select 0 as source_no, * from memories where agent = 'en' and not retracted union all select 1, * from memories where id % 3 = 0 and not retracted),
-  k as (select *, sha256(lower(trim(concept || chr(10) || content))) as key from s), x as (select sha256(lower(trim(concept || chr(10) || content))) as key from memories where agent = 'fr')
-  select key, source_no, id from k where key not in (select key from x) qualify row_number() over (partition by key order by source_no, id) = 1""")(
-    lambda t: X.merged(t.memories.where("agent = 'fr'"), [t.memories.where("agent = 'en'"), t.memories.where("id % 3 = 0")]).select("key", "source_no", "id")
-)
-query("s12_merge_sources_all", """with s as (select 0 as source_no, * from memories where agent = 'en' and not retracted union all select 1, * from memories where not retracted),
+query("s12_merge_sources", """with s as (select 0 as source_no, * from memories where agent = 'en' and not retracted union all select 1, * from memories where not retracted),
   k as (select *, sha256(lower(trim(concept || chr(10) || content))) as key from s), x as (select sha256(lower(trim(concept || chr(10) || content))) as key from memories where agent = 'fr')
   select key, source_no, id from k where key not in (select key from x) qualify row_number() over (partition by key order by source_no, id) = 1""")(
     lambda t: X.merged(t.memories.where("agent = 'fr'"), [t.memories.where("agent = 'en'"), t.memories]).select("key", "source_no", "id")
@@ -173,22 +179,24 @@ _EVICT = f"0.3 * salience + 0.3 * confidence + 0.2 * access_count / (access_coun
 query("t6_m14_eviction", f"with s as (select id, agent, round({_EVICT}, 9) as s from memories where {LIVE}) select id, agent, round(s, 6) as score from s qualify row_number() over (partition by agent order by s desc, id desc) > 100")(
     lambda t: M.evicted(t.memories, now(), 100).select("id", "agent", r6("score", "score"))
 )
-query("t7_dispatch", "with b as (select t.*, t.blocked_by is not null and d.id is null as is_blocked from tasks t left join tasks d on d.id = t.blocked_by and d.status = 'completed') select agent, id, priority from b where status = 'pending' and not is_blocked and agent in (select id from agents) qualify row_number() over (partition by agent order by priority, created_at, id) = 1")(
-    lambda t: K.next_for_agents(t.tasks, t.agents).select("agent", "id", "priority")
-)
+_QUEUE = "q as (select id, case when id % 3 != 0 then agent end as agent, case id % 4 when 0 then 'EUROPE' when 1 then 'ASIA' end as workspace, status, 6 - priority as priority, created_at, blocked_by from tasks)"
+query("t7_dispatch", f"""with {_QUEUE}, f as (select q.* from q left join q d on d.id = q.blocked_by and d.status = 'completed' where q.status = 'pending' and (q.blocked_by is null or d.id is not null)),
+  best as (select * from f where agent is null qualify row_number() over (partition by workspace order by priority desc, created_at, id) = 1),
+  c as (select a.id as agent, f.id, f.priority, f.created_at, 1 as step from agents a join f on f.agent = a.id union all select a.id, b.id, b.priority, b.created_at, 2 from agents a join best b on b.workspace = a.workspace or b.workspace is null)
+  select agent, id, priority from c qualify row_number() over (partition by agent order by step, priority desc, created_at, id) = 1""")(lambda t: K.next_for_agents(_queue(t), t.agents))
 query("t8_severity_order", "select id, severity from findings order by case severity when 'critical' then 0 when 'error' then 1 when 'warn' then 2 else 3 end, created_at desc, id limit 50")(lambda t: t.findings.orderBy(K.ranked_by("severity", ("critical", "error", "warn")), F.desc("created_at"), "id").limit(50).select("id", "severity"))
-query("t9_k6_commands", """with c as (select event_id as id, ts, case user_id % 3 when 0 then null when 1 then 'a' else 'b' end as workspace, case when event_type = 'signup' and event_id % 40 = 0 then 'RESUME' when event_type = 'signup' then 'BUILD_FREEZE' when event_type = 'error' then 'SHUTDOWN' when event_type = 'purchase' then 'PAUSE' end as command from events where event_type in ('signup', 'error', 'purchase') and ts < timestamp '2024-01-10'),
-  r as (select workspace, max(ts) as m from c where command = 'RESUME' and workspace is not null group by 1), a as (select max(ts) as m from c where command = 'RESUME' and workspace is null)
-  select id, command from c left join r on c.workspace = r.workspace cross join a where command != 'RESUME' and (r.m is null or ts > r.m) and (a.m is null or ts > a.m)""")(
-    lambda t: K.active_commands(t.events.where("event_type in ('signup', 'error', 'purchase') and ts < timestamp'2024-01-10'").select(F.col("event_id").alias("id"), "ts", F.when(F.col("user_id") % 3 == 1, "a").when(F.col("user_id") % 3 == 2, "b").alias("workspace"), F.when((F.col("event_type") == "signup") & (F.col("event_id") % 40 == 0), "RESUME").when(F.col("event_type") == "signup", "BUILD_FREEZE").when(F.col("event_type") == "error", "SHUTDOWN").otherwise("PAUSE").alias("command"))).select("id", "command")
-)
+
+
+def _queue(t: Tables) -> DataFrame:
+    """Tasks of which a third is reserved for nobody, some of them in a workspace; 5 is the most urgent."""
+    return t.tasks.select("id", F.when(F.col("id") % 3 != 0, F.col("agent")).alias("agent"), F.when(F.col("id") % 4 == 0, "EUROPE").when(F.col("id") % 4 == 1, "ASIA").alias("workspace"), "status", (6 - F.col("priority")).alias("priority"), "created_at", "blocked_by")
 
 
 def _commands(events: DataFrame) -> DataFrame:
     return events.where("event_type in ('signup', 'error', 'purchase')").select(F.col("event_id").alias("id"), "ts", F.when(F.col("user_id") % 3 == 1, "a").when(F.col("user_id") % 3 == 2, "b").alias("workspace"), F.when((F.col("event_type") == "signup") & (F.col("event_id") % 40 == 0), "RESUME").when(F.col("event_type") == "signup", "BUILD_FREEZE").when(F.col("event_type") == "error", "SHUTDOWN").otherwise("PAUSE").alias("command"))
 
 
-query("t9_k6_commands_all", """with c as (select event_id as id, ts, case user_id % 3 when 0 then null when 1 then 'a' else 'b' end as workspace, case when event_type = 'signup' and event_id % 40 = 0 then 'RESUME' when event_type = 'signup' then 'BUILD_FREEZE' when event_type = 'error' then 'SHUTDOWN' when event_type = 'purchase' then 'PAUSE' end as command from events where event_type in ('signup', 'error', 'purchase')),
+query("t9_k6_commands", """with c as (select event_id as id, ts, case user_id % 3 when 0 then null when 1 then 'a' else 'b' end as workspace, case when event_type = 'signup' and event_id % 40 = 0 then 'RESUME' when event_type = 'signup' then 'BUILD_FREEZE' when event_type = 'error' then 'SHUTDOWN' when event_type = 'purchase' then 'PAUSE' end as command from events where event_type in ('signup', 'error', 'purchase')),
   r as (select workspace, max(ts) as m from c where command = 'RESUME' and workspace is not null group by 1), a as (select max(ts) as m from c where command = 'RESUME' and workspace is null)
   select id, command from c left join r on c.workspace = r.workspace cross join a where command != 'RESUME' and (r.m is null or ts > r.m) and (a.m is null or ts > a.m)""")(
     lambda t: K.active_commands(_commands(t.events)).select("id", "command")
@@ -309,8 +317,15 @@ query("w10_failure_runs", "with g as (select *, sum((event_type != 'error')::int
     lambda t: W.failure_runs(t.events.withColumnRenamed("user_id", "agent").withColumn("ok", F.col("event_type") != "error")).select("event_id", "failures")
 )
 query("w11_heaviest_edges", "select src, dst, round(weight, 6) as weight from edges qualify row_number() over (partition by src order by weight desc, dst) <= 20")(lambda t: G.heaviest(t.edges, 20).select("src", "dst", r6("weight", "weight")))
-query("w9_coalesced_pulses")(lambda t: W.coalesced(t.events.withColumnRenamed("user_id", "agent"), seconds=86400))
-query("k7_breaker", "with e as (select *, event_type = 'error' as bad from events), g as (select *, sum((not bad)::int) over (partition by user_id order by ts, event_id) as g from e), f as (select *, sum(bad::int) over (partition by user_id, g order by ts, event_id) as failures from g), x as (select event_id, coalesce(lag(failures) over w, 0) as before, epoch_us(ts) - lag(epoch_us(ts)) over w as since from f window w as (partition by user_id order by ts, event_id)) select event_id, case when before < 2 then 'closed' when since >= 86400000000 then 'half_open' else 'open' end as state from x")(
+query("w9_coalesced_pulses", """with recursive e as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+  r as (select user_id, rn, event_id, t as kept, true as keep from e where rn = 1
+    union all select e.user_id, e.rn, e.event_id, case when e.t - r.kept >= 86400000000 then e.t else r.kept end, e.t - r.kept >= 86400000000 from r join e on e.user_id = r.user_id and e.rn = r.rn + 1)
+  select user_id as agent, event_id from r where keep""")(lambda t: W.coalesced(t.events.withColumnRenamed("user_id", "agent"), seconds=86400))
+query("k7_breaker", """with recursive e as (select event_id, user_id, epoch_us(ts) as t, event_type = 'error' as bad, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+  r as (select user_id, rn, event_id, 'closed' as state, bad::int as failures, null::bigint as opened from e where rn = 1
+    union all select e.user_id, e.rn, e.event_id, case when r.failures < 2 then 'closed' when e.t - r.opened > 86400000000 then 'half_open' else 'open' end, case when e.bad then r.failures + 1 else 0 end,
+      case when not e.bad or r.failures + 1 < 2 then null when r.failures < 2 or e.t - r.opened > 86400000000 then e.t else r.opened end from r join e on e.user_id = r.user_id and e.rn = r.rn + 1)
+  select event_id, state from r""")(
     lambda t: W.breaker_states(t.events.withColumnRenamed("user_id", "agent").withColumn("ok", F.col("event_type") != "error"), threshold=2, cooldown_seconds=86400).select("event_id", "state")
 )
 
@@ -332,7 +347,7 @@ def _idle():
 query("f1_base_level", f"select id, round(ln(access_count + 1) - 0.5 * ln(greatest({_AGE}, 0.001) / (access_count + 1)), 6) as base from memories")(lambda t: t.memories.select("id", r6(S.base_level("access_count", _age()), "base")))
 query("f2_softplus", "select event_id, round(ln(1 + exp(value / 50 - 2)), 6) as y from events where value / 50 - 2 < 300")(lambda t: t.events.where("value / 50 - 2 < 300").select("event_id", r6(S.softplus(F.col("value") / 50 - 2), "y")))
 query("f3_composite", f"select id, round(salience * ln(1 + exp(ln(access_count + 1) - 0.5 * ln(greatest({_AGE}, 0.001) / (access_count + 1)) + 0.3)) * confidence, 6) as score from memories")(lambda t: t.memories.select("id", r6(S.composite_score("salience", S.base_level("access_count", _age()), 0.3, "confidence"), "score")))
-query("f4_strengthen", "select src, dst, round(least(exp(ln(greatest(weight, 0.001)) + ln(1.25)), 5) + 0.0000013, 4) as weight from edges")(lambda t: t.edges.select("src", "dst", F.round(S.strengthen("weight") + 0.0000013, 4).alias("weight")))
+query("f4_strengthen", "select src, dst, cast(least(exp(ln(greatest(weight, 0.001)) + ln(1.25)), 5) as float) as weight from edges")(lambda t: t.edges.select("src", "dst", S.strengthen("weight").cast("float").alias("weight")))
 query("f5_decay_edge", f"select src, dst, round(greatest(weight * power(1 + {_EDGE_DAYS} / 7, -0.8), 0.001), 6) as weight from edges")(lambda t: t.edges.select("src", "dst", r6(S.decay_edge("weight", S.days_between(now(), F.col("last_activated"))), "weight")))
 query("f6_touch", "select id, round(least(0.85, least(0.85, confidence + 0.02 / (1 + sqrt(access_count))) + 0.02 / (1 + sqrt(access_count + 1))), 6) as confidence from memories")(lambda t: t.memories.select("id", r6(S.touched_confidence("confidence", "access_count", 2), "confidence")))
 query("f7_feedback", "select id, round(greatest(0, least(1, confidence + case when id % 2 = 0 then 0.05 else -0.1 end)), 6) as confidence from memories")(lambda t: t.memories.select("id", r6(S.with_feedback("confidence", F.col("id") % 2 == 0), "confidence")))
@@ -393,10 +408,7 @@ query("tx19_c4_synthesis", f"""with m as (select id, confidence, content, list_f
 
 # The graph and its upkeep.
 
-query("m8_upsert", "with c as (select src, dst, 0.5::double as w from edges where src % 3 = 0 union all select id, id + 1, 0.9::double from memories where id < 50 and id % 2 = 0) select coalesce(e.src, c.src) as src, coalesce(e.dst, c.dst) as dst, coalesce(e.type, 'hebbian') as type, round(coalesce(c.w, e.weight), 6) as weight, case when e.src is null then 1 else e.activation_count + case when c.src is null then 0 else 1 end end as activation_count from edges e full join (select src, dst, max(w) as w from c group by 1, 2) c on e.src = c.src and e.dst = c.dst")(
-    lambda t: G.upsert(t.edges, t.edges.where("src % 3 = 0").select("src", "dst", F.lit(0.5).alias("weight")).unionByName(t.memories.where("id < 50 and id % 2 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.9).alias("weight"))).groupBy("src", "dst").agg(F.max("weight").alias("weight")).withColumn("type", F.lit("hebbian")).withColumn("confidence", F.lit(0.8)).withColumn("last_activated", F.lit(None).cast("timestamp_ntz"))).select("src", "dst", "type", r6("weight", "weight"), "activation_count")
-)
-query("m8_upsert_all", "with c as (select src, dst, 0.5::double as w from edges union all select id, id + 1, 0.9::double from memories) select coalesce(e.src, c.src) as src, coalesce(e.dst, c.dst) as dst, coalesce(e.type, 'hebbian') as type, round(coalesce(c.w, e.weight), 6) as weight, case when e.src is null then 1 else e.activation_count + case when c.src is null then 0 else 1 end end as activation_count from edges e full join (select src, dst, max(w) as w from c group by 1, 2) c on e.src = c.src and e.dst = c.dst")(
+query("m8_upsert", "with c as (select src, dst, 0.5::double as w from edges union all select id, id + 1, 0.9::double from memories) select coalesce(e.src, c.src) as src, coalesce(e.dst, c.dst) as dst, coalesce(e.type, 'hebbian') as type, round(coalesce(c.w, e.weight), 6) as weight, case when e.src is null then 1 else e.activation_count + case when c.src is null then 0 else 1 end end as activation_count from edges e full join (select src, dst, max(w) as w from c group by 1, 2) c on e.src = c.src and e.dst = c.dst")(
     lambda t: G.upsert(t.edges, t.edges.select("src", "dst", F.lit(0.5).alias("weight")).unionByName(t.memories.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0.9).alias("weight"))).groupBy("src", "dst").agg(F.max("weight").alias("weight")).withColumn("type", F.lit("hebbian")).withColumn("confidence", F.lit(0.8)).withColumn("last_activated", F.lit(None).cast("timestamp_ntz"))).select("src", "dst", "type", r6("weight", "weight"), "activation_count")
 )
 query("m15_edge_decay", f"with d as (select *, {_EDGE_DAYS} as days from edges), n as (select *, case when days < 0.5 then weight else greatest(weight * power(1 + days / 7, -0.8), 0.001) end as w from d) select src, dst, round(case when abs(weight - w) > 0.001 then w else weight end, 6) as weight from n where days < 0.5 or w >= 0.01")(lambda t: G.decayed(t.edges, now()).select("src", "dst", r6("weight", "weight")))
@@ -404,11 +416,8 @@ query("c6_confident_decay", f"with j as (select e.src, e.dst, e.weight, {_EDGE_D
     lambda t: G.decayed_by_confidence(t.edges, t.memories, now()).select("src", "dst", r6("weight", "weight"))
 )
 query("c7_homeostasis", "with t as (select *, sum(weight) over (partition by src) as total from edges) select src, dst, round(case when total > 10 then weight * 10 / total else weight end, 6) as weight from t where total <= 10 or weight * 10 / total >= 0.01")(lambda t: G.balanced(t.edges).select("src", "dst", r6("weight", "weight")))
-query("r18_hebbian_feedback", "with p as (select src, dst, case when (src + dst) % 2 = 0 then 1 else -1 end as s from edges where src % 5 = 0) select p.src, p.dst, round(case when s >= 0 then least(exp(ln(greatest(weight, 0.1)) + ln(1.25)), 5) else greatest(0.001, weight * 0.7) end + 0.0000013, 4) as weight from p join edges e on e.src = p.src and e.dst = p.dst")(
-    lambda t: G.strengthened(t.edges, t.edges.where("src % 5 = 0").select("src", "dst", F.when((F.col("src") + F.col("dst")) % 2 == 0, 1.0).otherwise(-1.0).alias("signal"))).select("src", "dst", F.round(F.col("weight") + 0.0000013, 4).alias("weight"))
-)
-query("r18_hebbian_feedback_all", "with p as (select src, dst, weight, case when (src + dst) % 2 = 0 then 1 else -1 end as s from edges) select src, dst, round(case when s >= 0 then least(exp(ln(greatest(weight, 0.1)) + ln(1.25)), 5) else greatest(0.001, weight * 0.7) end + 0.0000013, 4) as weight from p")(
-    lambda t: G.strengthened(t.edges, t.edges.select("src", "dst", F.when((F.col("src") + F.col("dst")) % 2 == 0, 1.0).otherwise(-1.0).alias("signal"))).select("src", "dst", F.round(F.col("weight") + 0.0000013, 4).alias("weight"))
+query("r18_hebbian_feedback", "with p as (select src, dst, weight, case when (src + dst) % 2 = 0 then 1 else -1 end as s from edges) select src, dst, cast(case when s >= 0 then least(exp(ln(greatest(weight, 0.1)) + ln(1.25)), 5) else greatest(0.001, weight * 0.7) end as float) as weight from p")(
+    lambda t: G.strengthened(t.edges, t.edges.select("src", "dst", F.when((F.col("src") + F.col("dst")) % 2 == 0, 1.0).otherwise(-1.0).alias("signal"))).select("src", "dst", F.col("weight").cast("float").alias("weight"))
 )
 _UND = "u as (select src as id, dst as other, type, weight from edges union all select dst, src, type, weight from edges where src != dst)"
 query("m11_inherited_edges", f"with {_UND}, c as (select id as old, id + 1 as new from memories where retracted), x as (select c.new, u.other, u.type, u.weight from u join c on c.old = u.id where u.weight >= 0.4 and u.type not in ('invalidation', 'causal', 'temporal') and u.other in (select id from memories where not retracted) and u.other != c.new) select new as src, other as dst, type, round(weight * 0.7, 6) as weight from x qualify row_number() over (partition by new order by weight desc, other) <= 10")(
@@ -424,8 +433,8 @@ query("r10_graph_walk", f"""with {_UND}, p as (select id, salience as score, sal
   h0 as (select s.sub, n.other as id, score * least(weight, 5) / 5 * case when s.sub = 'causal' then 2 else 1 end * 0.3 as gain, g from s0 s join n on n.sub = s.sub and n.id = s.id where ot >= 0.1), b0 as (select *, least(gain * g, 0.15) as boost from h0 where least(gain * g, 0.15) > 0.001),
   s1 as (select sub, g, id, max(gain) as score from b0 group by 1, 2, 3 qualify row_number() over (partition by sub order by max(gain) desc, id) <= greatest(3, ceil(15 * g))),
   h1 as (select s.sub, n.other as id, score * least(weight, 5) / 5 * case when s.sub = 'causal' then 2 else 1 end * 0.09 as gain, g from s1 s join n on n.sub = s.sub and n.id = s.id where ot >= 0.05), b1 as (select *, least(gain * g, 0.15) as boost from h1 where least(gain * g, 0.15) > 0.001),
-  x as (select id, boost from b0 union all select id, boost from b1) select id, round(greatest(0, least(sum(boost), 0.25)) + 0.0000000137, 6) as boost from x group by id""")(
-    lambda t: G.graph_walk(t.memories.where("id < 400").select("id", F.col("salience").alias("score"), F.col("salience").alias("text_match"), F.lit(0.0).alias("graph_boost")), t.edges).select("id", r6(F.col("boost") + 0.0000000137, "boost"))
+  x as (select id, boost from b0 union all select id, boost from b1) select id, cast(greatest(0, least(sum(boost), 0.25)) as float) as boost from x group by id""")(
+    lambda t: G.graph_walk(t.memories.where("id < 400").select("id", F.col("salience").alias("score"), F.col("salience").alias("text_match"), F.lit(0.0).alias("graph_boost")), t.edges).select("id", F.col("boost").cast("float").alias("boost"))
 )
 query("r11_spreading")(lambda t: G.spreading_activation(t.memories.where("id < 40").select("id", F.col("salience").alias("score")), t.edges).select("id", r6("activation", "activation")))
 query("r8_bridge")(lambda t: R.bridged(R.scored(Q.bm25(t.memories, SEARCH, 60).select("id", "score", F.lit(None).cast("double").alias("similarity")), t.memories, t.edges, SEARCH, now())).select("id", r6("composite", "composite"), r6("graph_boost", "graph_boost")))
@@ -433,8 +442,7 @@ query("c8_fade", f"with f as (select id, agent, content, round({_IDLE}, 6) as id
 query("c9_forget", f"with d as (select src as id, count(*) as degree from edges group by 1), o as (select m.*, coalesce(degree, 0) as degree from memories m left join d using (id) where {LIVE}), b as (select list_sort(list(degree))[least(cast(floor(0.25 * count(*)) as bigint), count(*) - 1) + 1] as bar from o) select id, agent, degree from o, b where {_AGE} > 7 and {_IDLE} > least(30 * (1 + 0.6 * ln(1 + access_count)) * (1 + 3 * greatest(0, (confidence - 0.5) / 0.5)), 360) and degree <= bar")(
     lambda t: C.forgotten(t.memories, t.edges, now())
 )
-query("c10_delete", f"select id, agent from memories where stage = 'archived' and access_count = 0 and {_AGE} > 10 and id not in (select src from edges where src > 900) and id not in (select dst from edges where src > 900)")(lambda t: C.deleted(t.memories, t.edges.where("src > 900"), now(), C.ConsolidationConfig(delete_days=10)))
-query("c10_delete_all", f"select id, agent from memories where stage = 'archived' and access_count = 0 and {_AGE} > 10 and id not in (select src from edges) and id not in (select dst from edges)")(lambda t: C.deleted(t.memories, t.edges, now(), C.ConsolidationConfig(delete_days=10)))
+query("c10_delete", f"select id, agent from memories where stage = 'archived' and access_count = 0 and {_AGE} > 10 and id not in (select src from edges) and id not in (select dst from edges)")(lambda t: C.deleted(t.memories, t.edges, now(), C.ConsolidationConfig(delete_days=10)))
 query("c12_drift", f"with {_ENDS}, c as (select id, confidence, least(0.03, greatest(-0.03, case when id % 4 = 0 then 0.01 else 0 end - case when id in (select id from ends) then 0 else 0.02 end - case when {_IDLE} > 30 and confidence > 0.3 then 0.01 else 0 end)) as step from memories where {LIVE}) select id, round(case when step = 0 then confidence else greatest(0.15, least(0.85, confidence + step)) end, 6) as confidence from c")(
     lambda t: C.drifted(t.memories, t.edges, t.memories.where("id % 4 = 0").select("id"), now()).select("id", r6("confidence", "confidence"))
 )
@@ -466,8 +474,7 @@ query("m2_vector_novelty", _PAIRS + ", q as (select a as write_id, b as id, s fr
     lambda t: M.best_vector_match(t.agent_vectors.where("id % 10 = 6").select(F.col("id").alias("write_id"), "agent", "vector"), t.agent_vectors).select("write_id", "id", F.round(F.round("score", 6), 5).alias("score"))
 )
 query("m3_write_fold")(lambda t: M.folded_writes(t.memories, t.memories.select((F.col("id") + 1_000_000).alias("write_id"), "agent", "concept", F.substring("content", 61, 80).alias("content"), F.lit(0.6).alias("confidence"))))
-query("m4_reinforce", "select id, round(least(0.85, least(0.95, confidence + 0.05) + 0.02 / (1 + sqrt(access_count))), 6) as confidence, access_count + 1 as access_count from memories where id % 3 = 0")(lambda t: M.reinforced(t.memories, t.memories.where("id % 3 = 0").select("id", F.lit("more").alias("content"))).select("id", r6("confidence", "confidence"), "access_count"))
-query("m4_reinforce_all", "select id, round(least(0.85, least(0.95, confidence + 0.05) + 0.02 / (1 + sqrt(access_count))), 6) as confidence, access_count + 1 as access_count from memories")(lambda t: M.reinforced(t.memories, t.memories.select("id", F.lit("more").alias("content"))).select("id", r6("confidence", "confidence"), "access_count"))
+query("m4_reinforce", "select id, round(least(0.85, least(0.95, confidence + 0.05) + 0.02 / (1 + sqrt(access_count))), 6) as confidence, access_count + 1 as access_count from memories")(lambda t: M.reinforced(t.memories, t.memories.select("id", F.lit("more").alias("content"))).select("id", r6("confidence", "confidence"), "access_count"))
 query("m5_prior_confidence", f"select event_id, case when event_id % 5 = 0 then 0.25 when event_id % 5 = 1 then 0.4 else case {_WRITES} when 'decision' then 0.65 when 'friction' then 0.6 when 'surprise' then 0.55 else 0.45 end end::double as confidence from events")(
     lambda t: t.events.select("event_id", S.prior_confidence(F.when(F.col("event_id") % 5 == 0, "discard").when(F.col("event_id") % 5 == 1, "staging").otherwise("active"), F.expr(_WRITES)).alias("confidence"))
 )
@@ -518,6 +525,28 @@ query("k12_delivery_rate", "select user_id as agent, sum((event_type != 'error')
     lambda t: K.delivery_rate(t.events.select(F.col("user_id").alias("agent"), (F.col("event_type") != "error").cast("long").alias("delivered"), F.lit(1).cast("long").alias("attempts"))).select("agent", "delivered", "attempts", r6("delivery_rate", "delivery_rate"))
 )
 
+_MOVES = "(select o_orderkey as id, case when o_orderkey % 10 = 0 then o_custkey + 1 end as target from orders where o_orderkey % 5 = 0)"
+query("k10_reassigned", f"select t.id, case when m.id is null or status = 'completed' then agent else target end as agent, case when m.id is null or status = 'completed' then status when target is not null then 'assigned' else 'pending' end as status from tasks t left join {_MOVES} m on m.id = t.id")(
+    lambda t: K.reassigned(t.tasks, t.tasks.where("id % 5 = 0").select("id", F.when(F.col("id") % 10 == 0, F.col("agent") + 1).alias("target")))
+)
+query("k10_claimed", "with c as (select event_id % 15000 as id, min_by(user_id, epoch_us(ts)::hugeint * 1000000 + event_id) as first from events group by 1) select t.id, case when status = 'pending' and c.id is not null then first else agent end as agent, case when status = 'pending' and c.id is not null then 'assigned' else status end as status from tasks t left join c on c.id = t.id")(
+    lambda t: K.claimed(t.tasks, t.events.select((F.col("event_id") % 15000).alias("id"), F.col("user_id").alias("agent"), "ts", "event_id"))
+)
+query("k10_killed", "select t.id, case when t.status = 'in_progress' and a.id is not null then 'failed' else t.status end as status from tasks t left join agents a on a.id = t.agent and a.status = 'working'")(
+    lambda t: K.killed(t.agents, t.tasks, t.agents.where("status in ('working', 'dead')").select("id"))[1].select("id", "status")
+)
+query("k4_st10_heartbeats", "select event_id from events where not (event_type = 'view' and ts < timestamp '2024-01-20' - interval 1 hour)")(
+    lambda t: K.without_old_heartbeats(t.events.withColumn("event_type", F.when(F.col("event_type") == "view", "heartbeat").otherwise(F.col("event_type"))), F.lit("2024-01-20").cast("timestamp")).select("event_id")
+)
+query("k4_st10_dead_agents", "with a as (select user_id as id, max(ts) as last_seen from events group by 1) select g.id from agents g left join a on a.id = g.id where not (status = 'dead' and coalesce(last_seen < timestamp '2024-01-25' - interval 24 hour, false))")(
+    lambda t: K.without_dead(t.agents.join(t.events.groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last_seen")), "id", "left"), F.lit("2024-01-25").cast("timestamp")).select("id")
+)
+query("s8_insert", f"select id, agent, confidence, salience, stage, memory_class, memory_type, access_count, retracted, tags from memories union all select o_orderkey + 1000000, 'orders', case when o_orderkey % 2 = 0 then 0.9 else 0.5 end, 0.5, 'active', 'working', 'unclassified', 0, false, [] from orders")(
+    lambda t: M.inserted(t.memories, t.orders.select((F.col("o_orderkey") + 1_000_000).alias("id"), F.lit("orders").alias("agent"), F.lit("order").alias("concept"), F.col("o_orderstatus").alias("content"), F.when(F.col("o_orderkey") % 2 == 0, 0.9).alias("confidence")), now()).select("id", "agent", "confidence", "salience", "stage", "memory_class", "memory_type", "access_count", "retracted", "tags")
+)
+query("m14_staging_budget", f"select id, agent from memories where stage = 'staging' and ttl_ms > 0 and created_at + to_milliseconds(ttl_ms) < {_NOW} and (select max(n) from (select count(*) as n from memories where stage = 'staging' and not retracted group by agent)) > 20")(lambda t: M.over_staging_budget(t.memories, now(), 20))
+query("p7_memory_type", "select id from memories where not retracted and stage in ('active', 'fading') and memory_type = 'semantic'")(lambda t: R.in_scope(t.memories, RecallConfig(memory_type="semantic", include_stages=("active", "fading"))).select("id"))
+
 # Retrieval quality over the labelled vectors: each of the first 50 is a query, its label's others are relevant.
 
 

@@ -139,13 +139,18 @@ def gated(pool: DataFrame, cfg: RecallConfig) -> DataFrame:
     return out.drop("rn", "size", "channels", "max_cosine", "margin", "top", "variance")
 
 
-def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None, text: str, as_of: Column, vector: Sequence[float] | None = None, cfg: RecallConfig = RecallConfig(), agents: Sequence | None = None, rerank: str | None = None) -> DataFrame:
-    """The ranked memories for a query: id, concept, content, final score and its parts."""
-    mode = query_mode(memories.sparkSession, text) if cfg.mode == "auto" else cfg.mode
+def in_scope(memories: DataFrame, cfg: RecallConfig, agents: Sequence | None = None) -> DataFrame:
+    """The memories that a query may return."""
     live = memories if cfg.include_retracted else memories.where(~F.col("retracted"))
     live = live.where(F.col("stage").isin(*cfg.include_stages))
     live = live.where(F.col("agent").isin(*agents)) if agents else live
-    live = live.where(F.col("memory_type") == cfg.memory_type) if cfg.memory_type else live
+    return live.where(F.col("memory_type") == cfg.memory_type) if cfg.memory_type else live
+
+
+def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None, text: str, as_of: Column, vector: Sequence[float] | None = None, cfg: RecallConfig = RecallConfig(), agents: Sequence | None = None, rerank: str | None = None) -> DataFrame:
+    """The ranked memories for a query: id, concept, content, final score and its parts."""
+    mode = query_mode(memories.sparkSession, text) if cfg.mode == "auto" else cfg.mode
+    live = in_scope(memories, cfg, agents)
     hits = text_hits(live, memories.where(F.col("agent").isin(*agents)) if agents else memories, text, 3 * cfg.limit)
     if vector is not None and embeddings is not None:
         near = search.vector_top(live, embeddings, vector, max(50, 5 * cfg.limit), 0.40 if MODES[mode].gate > 0.5 else 0.30, cfg.include_stages)

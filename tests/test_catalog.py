@@ -42,6 +42,18 @@ def test_same_as_duckdb(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", [k for k in catalog.queries() if k not in catalog.oracle_sql()])
-def test_runs(spark, sf, name):
-    rows = catalog.queries()[name](spark, sf).collect()
-    assert rows == sorted(rows, key=rows.index)
+def test_same_however_partitioned(spark, sf, name):
+    """Queries without SQL: rows come, and the same ones in other partitions and batches."""
+    rows = lambda: sorted(tuple(plain(x) for x in r) for r in catalog.queries()[name](spark, sf).collect())
+    before = rows()
+    try:
+        for k, v in OTHER.items():
+            spark.conf.set(k, v)
+        assert before and rows() == before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for k in list(OTHER)[1:]:
+            spark.conf.unset(k)
+
+
+OTHER = {"spark.sql.shuffle.partitions": "7", "spark.sql.execution.arrow.maxRecordsPerBatch": "13", "spark.sql.autoBroadcastJoinThreshold": "-1"}

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions import vector as V
 from palimpsest.operators import consolidate as C
+from palimpsest.operators import coordination as K
+from palimpsest.operators import search as Q
 from palimpsest.operators import windows as W
 from palimpsest.operators import write as M
 from palimpsest.sources import exchange as X
@@ -185,7 +187,7 @@ def test_delete_reads_every_edge(spark, sf):
     from palimpsest.views import view
 
     ends = {x for r in view(spark, sf, "edges").select("src", "dst").collect() for x in r}
-    gone = {r["id"] for r in catalog.queries()["c10_delete_all"](spark, sf).collect()}
+    gone = {r["id"] for r in catalog.queries()["c10_delete"](spark, sf).collect()}
     cut = {r["id"] for r in catalog.queries()["c10_delete"](spark, sf).collect()}
     assert not gone & ends and gone == cut - ends and cut & ends
 
@@ -228,7 +230,7 @@ def test_auto_tags_order(spark):
 
 def test_detectors(spark):
     rows = ["Robert said do it", "Roberta said do it", "Completed event 12345 on 2024-01-01", "File read completed", None]
-    got = spark.createDataFrame([(r,) for r in rows], "t string").select(T.is_feedback(F.col("t")), T.is_verified_record(F.col("t")), T.is_routine(F.col("t"))).collect()
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select(T.is_feedback(F.col("t"), ("Robert", "Ann")), T.is_verified_record(F.col("t")), T.is_routine(F.col("t"))).collect()
     assert [tuple(g) for g in got] == [(True, False, False), (False, False, False), (False, True, False), (False, False, True), (False, False, False)]
 
 
@@ -326,3 +328,33 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_breaker_by_hand(spark):
+    """Threshold 2, cooldown 30 s: later failures keep the time of opening, one in half_open opens anew."""
+    calls = [(0, False), (10, False), (20, False), (30, False), (40, False), (41, False), (50, False), (72, False), (73, True), (74, False), (75, False), (106, True), (107, True)]
+    want = ["closed", "closed", "open", "open", "open", "half_open", "open", "half_open", "open", "closed", "closed", "half_open", "closed"]
+    rows = [("a", k, t, ok) for k, (t, ok) in enumerate(calls)] + [("b", 100, 50, False)]
+    df = spark.createDataFrame(rows, "agent string, event_id long, t long, ok boolean").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r["event_id"]: r["state"] for r in W.breaker_states(df, 2, 30).collect()}
+    assert [got[k] for k in range(len(calls))] == want and got[100] == "closed"
+
+
+def test_dispatch_by_hand(spark):
+    tasks = spark.createDataFrame(
+        [(1, 7, None, "pending", 1, 5, None), (2, None, "x", "pending", 9, 5, None), (3, None, None, "pending", 9, 4, None), (4, None, "x", "pending", 9, 1, 2), (5, None, "y", "pending", 1, 1, None), (6, None, None, "completed", 99, 0, None), (7, 7, None, "pending", 1, 4, None)],
+        "id int, agent int, workspace string, status string, priority int, created_at int, blocked_by int")
+    agents = spark.createDataFrame([(7, "x"), (8, "x"), (9, "y"), (10, None)], "id int, workspace string")
+    assert {r["agent"]: r["id"] for r in K.next_for_agents(tasks, agents).collect()} == {7: 7, 8: 3, 9: 3, 10: 3}
+    assert {r["agent"]: r["id"] for r in K.next_for_agents(tasks.where("id != 3"), agents).collect()} == {7: 7, 8: 2, 9: 5}
+
+
+def test_stored_index_reads_only_the_asked_terms(spark, tmp_path):
+    rows = [(i, f"concept {i % 3}", " ".join(f"w{(i * k) % 11}" for k in range(5)), ["kind=x", f"topic=t{i % 2}"]) for i in range(40)]
+    m = spark.createDataFrame(rows, "id long, concept string, content string, tags array<string>")
+    Q.store_index(m, str(tmp_path / "index"), buckets=8)
+    for query in ("w3 w7 topic", "t1", "nothing here", "", "!"):
+        ours = [(r["id"], round(r["bm25"], 9)) for r in Q.indexed_bm25(spark, str(tmp_path / "index"), query).collect()]
+        assert sorted(ours) == sorted((r["id"], round(r["bm25"], 9)) for r in Q.bm25(m, query).collect()), query
+    plan = Q.indexed_bm25(spark, str(tmp_path / "index"), "w3")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,w3)" in plan
