@@ -59,6 +59,8 @@ class RecallConfig:
     memory_type: str | None = None
     #: With no reranker every reranker score is 0, which sends pools of three or more through the weak-evidence branch.
     weak_pool_penalty: bool = False
+    #: A clear winner in a small pool is not reranked.
+    rerank_skip: bool = True
 
 
 @dataclass(frozen=True)

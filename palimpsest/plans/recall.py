@@ -107,13 +107,21 @@ def walked(pool: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
     return out.withColumn("composite", F.col("composite") + F.col("boost")).withColumn("graph_boost", F.col("graph_boost") + F.col("boost")).drop("boost")
 
 
-def blended(pool: DataFrame, rerank: str | None = None) -> DataFrame:
-    """Composite and reranker score by how sure the text match is; without a reranker, the composite."""
+def blended(pool: DataFrame, rerank: str | None = None, cfg: RecallConfig = RecallConfig()) -> DataFrame:
+    """Composite and reranker score by how sure the text match is; without a reranker, the composite.
+
+    With ``cfg.rerank_skip`` a small pool whose first row is a clear winner keeps its composites, its reranker scores are 0."""
     if rerank is None:
         return pool.withColumn("final", F.col("composite")).withColumn("reranker", F.lit(0.0))
-    top = pool.agg(F.max("text_match").alias("top"))
-    w = F.greatest(F.lit(0.3), F.least(F.lit(0.7), 0.3 + 0.4 * (1 - F.col("top"))))
-    return pool.join(F.broadcast(top)).withColumn("reranker", F.col(rerank)).withColumn("final", (1 - w) * F.col("composite") + w * F.col("reranker")).drop("top")
+    order = F.sort_array(F.collect_list(F.struct((-F.round("composite", 9)).alias("o"), "id", "composite", "text_match")))
+    top = pool.agg(F.max("text_match").alias("top"), order.alias("first"))  # the pool is cut before: a few dozen rows
+    one, two = F.get("first", F.lit(0)), F.get("first", F.lit(1))
+    clear = (F.size("first") >= 2) & (F.size("first") <= max(2 * cfg.limit, 20)) & (one["text_match"] >= 0.8)
+    clear &= one["composite"] >= 1.5 * F.greatest(two["composite"], F.lit(0.01))
+    top = top.select("top", (F.coalesce(clear, F.lit(False)) if cfg.rerank_skip else F.lit(False)).alias("skip"))
+    w = F.when(F.col("skip"), 0.0).otherwise(F.greatest(F.lit(0.3), F.least(F.lit(0.7), 0.3 + 0.4 * (1 - F.col("top")))))
+    out = pool.join(F.broadcast(top)).withColumn("reranker", F.when(F.col("skip"), 0.0).otherwise(F.col(rerank)))
+    return out.withColumn("final", (1 - w) * F.col("composite") + w * F.col("reranker")).drop("top", "skip")
 
 
 def gated(pool: DataFrame, cfg: RecallConfig) -> DataFrame:
@@ -125,9 +133,10 @@ def gated(pool: DataFrame, cfg: RecallConfig) -> DataFrame:
         F.count("*").alias("size"),
         (F.max((five & (F.col("score") > 0.3)).cast("int")) + F.max((five & (F.col("vector_match") > 0.05)).cast("int")) + F.max((five & (F.col("reranker") > 0.25)).cast("int"))).alias("channels"),
         F.coalesce(F.max("similarity"), F.lit(1.0)).alias("max_cosine"),
-        (F.coalesce(F.max(F.when(F.col("rn") == 1, F.col("reranker"))), F.lit(0.0)) - F.coalesce(F.max(F.when(F.col("rn") == 2, F.col("reranker"))), F.lit(0.0))).alias("margin"),
+        F.slice(F.sort_array(F.collect_list(F.when(five, F.col("reranker"))), asc=False), 1, 2).alias("two"),
         F.max(F.when(five, F.col("final"))).alias("top"), F.coalesce(F.var_pop(F.when(five, F.col("final"))), F.lit(0.0)).alias("variance"),
     )
+    stats = stats.withColumn("margin", F.get("two", F.lit(0)) - F.coalesce(F.get("two", F.lit(1)), F.lit(0.0))).drop("two")
     out = ranked.join(F.broadcast(stats))
     weak = (F.col("size") >= 3) & ((F.col("channels") < 2) | (F.col("margin") < 0.05))
     if cfg.abstain > 0:
@@ -179,7 +188,7 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
     pool = walked(pool, near, mode).where(F.col("composite") >= cfg.min_score)
     pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), max(4 * cfg.limit, 40))
     near.unpersist()
-    out = gated(blended(pool, rerank), cfg)
+    out = gated(blended(pool, rerank, cfg), cfg)
     out = out.withColumn("final", F.when(F.col("superseded_by").isNotNull(), F.col("final") * 0.15).otherwise(F.col("final")))
     why = T.explain({"text": F.col("text_match"), "vector": F.col("vector_match"), "links": F.col("hebbian"), "graph": F.col("graph_boost")})
     return out.select("id", "agent", "concept", "content", "final", "text_match", "vector_match", "decay", "hebbian", "graph_boost", "composite", why.alias("why")).orderBy(F.desc(F.round("final", 9)), "id").limit(cfg.limit)

@@ -224,6 +224,35 @@ def test_recall_expands_pronouns(spark, sf):
     assert 5 in {r["id"] for r in found}
 
 
+def test_rerank_blend_and_skip(spark):
+    from palimpsest.config import RecallConfig
+    from palimpsest.plans import recall as R
+
+    def run(rows, **kw):
+        pool = spark.createDataFrame(rows, "id long, composite double, text_match double, rr double")
+        return {r["id"]: (r["reranker"], r["final"]) for r in R.blended(pool, "rr", RecallConfig(**kw)).collect()}
+
+    clear = [(1, 0.9, 0.8, 0.1), (2, 0.6, 0.2, 0.9)]
+    assert run(clear) == {1: (0.0, 0.9), 2: (0.0, 0.6)}
+    assert run(clear, rerank_skip=False) == {1: (0.1, pytest.approx(0.62 * 0.9 + 0.38 * 0.1)), 2: (0.9, pytest.approx(0.62 * 0.6 + 0.38 * 0.9))}
+    for kept in ([(1, 0.9, 0.79, 0.1), clear[1]], [(1, 0.89, 0.8, 0.1), clear[1]], clear[:1], [*clear, *((i, 0.1, 0.0, 0.0) for i in range(3, 22))]):
+        assert run(kept)[1][0] == 0.1
+    assert run([*clear, *((i, 0.1, 0.0, 0.0) for i in range(3, 22))], limit=11)[1][0] == 0.0
+    assert run([]) == {}
+
+
+def test_gate_margin_is_of_reranker_scores(spark):
+    from palimpsest.config import RecallConfig
+    from palimpsest.plans import recall as R
+
+    rows = [(i, f, 0.9, 0.5, r, 0.9) for i, f, r in [(1, 0.9, 0.5), (2, 0.8, 0.6), (3, 0.7, 0.9), (4, 0.6, 0.1)]]
+    pool = spark.createDataFrame(rows, "id long, final double, score double, vector_match double, reranker double, similarity double")
+    got = {r["id"]: r["final"] for r in R.gated(pool, RecallConfig(weak_pool_penalty=True)).collect()}
+    assert got == {1: 0.9, 2: 0.8, 3: 0.7, 4: 0.6}  # 0.9 - 0.6, in whatever order the rows stand
+    thin = pool.withColumn("reranker", F.lit(0.5))
+    assert {r["id"]: r["final"] for r in R.gated(thin, RecallConfig(weak_pool_penalty=True)).collect()} == {i: pytest.approx(0.4 * f) for i, f in got.items()}
+
+
 def test_auto_tags_order(spark):
     r = spark.createDataFrame([("Work", "I like the Python code at Acme Corp")], "c string, t string").select(T.auto_tags(F.col("c"), F.col("t")).alias("x")).first()["x"]
     assert r[0] == "cat:personal" and "cat:tech" in r and "entity:Acme Corp" in r and r[-1] == "cat:preference"
