@@ -8,6 +8,7 @@ vector, mode) are literals, so the plan has no Python in it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,7 +132,7 @@ def gated(pool: DataFrame, cfg: RecallConfig) -> DataFrame:
     five = F.col("rn") <= 5
     stats = ranked.agg(
         F.count("*").alias("size"),
-        (F.max((five & (F.col("score") > 0.3)).cast("int")) + F.max((five & (F.col("vector_match") > 0.05)).cast("int")) + F.max((five & (F.col("reranker") > 0.25)).cast("int"))).alias("channels"),
+        sum((F.coalesce(F.max((five & (F.col(c) > least)).cast("int")), F.lit(0)) for c, least in (("score", 0.3), ("vector_match", 0.05), ("reranker", 0.25))), F.lit(0)).alias("channels"),
         F.coalesce(F.max("similarity"), F.lit(1.0)).alias("max_cosine"),
         F.slice(F.sort_array(F.collect_list(F.when(five, F.col("reranker"))), asc=False), 1, 2).alias("two"),
         F.max(F.when(five, F.col("final"))).alias("top"), F.coalesce(F.var_pop(F.when(five, F.col("final"))), F.lit(0.0)).alias("variance"),
@@ -139,11 +140,12 @@ def gated(pool: DataFrame, cfg: RecallConfig) -> DataFrame:
     stats = stats.withColumn("margin", F.get("two", F.lit(0)) - F.coalesce(F.get("two", F.lit(1)), F.lit(0.0))).drop("two")
     out = ranked.join(F.broadcast(stats))
     weak = (F.col("size") >= 3) & ((F.col("channels") < 2) | (F.col("margin") < 0.05))
+    floor = 0.5 if MODES[cfg.mode].gate > 0.5 else 0.35
+    refused = (F.col("size") >= 3) & (F.col("channels") < (3 if cfg.abstain > 0 else 2)) & (F.col("max_cosine") < floor)
     if cfg.abstain > 0:
-        floor = 0.5 if MODES.get(cfg.mode, MODES["balanced"]).gate > 0.5 else 0.35
-        refused = ((F.col("size") >= 3) & (F.col("channels") < 3) & (F.col("max_cosine") < floor)) | weak | (F.col("top") < cfg.abstain) | ((F.col("top") < 0.5) & (F.col("variance") < 0.01))
-        out = out.where(~refused)
-    elif cfg.weak_pool_penalty:
+        refused |= weak | (F.col("top") < cfg.abstain) | ((F.col("top") < 0.5) & (F.col("variance") < 0.01))
+    out = out.where(~refused)
+    if cfg.abstain <= 0 and cfg.weak_pool_penalty:
         out = out.withColumn("final", F.when(weak, F.col("final") * 0.4).otherwise(F.col("final")))
     return out.drop("rn", "size", "channels", "max_cosine", "margin", "top", "variance")
 
@@ -159,6 +161,7 @@ def in_scope(memories: DataFrame, cfg: RecallConfig, agents: Sequence | None = N
 def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None, text: str, as_of: Column, vector: Sequence[float] | None = None, cfg: RecallConfig = RecallConfig(), agents: Sequence | None = None, rerank: str | None = None) -> DataFrame:
     """The ranked memories for a query: id, concept, content, final score and its parts."""
     mode = query_mode(memories.sparkSession, text) if cfg.mode == "auto" else cfg.mode
+    cfg = replace(cfg, mode=mode)
     live = in_scope(memories, cfg, agents)
     hits = text_hits(live, memories.where(F.col("agent").isin(*agents)) if agents else memories, text, 3 * cfg.limit)
     if vector is not None and embeddings is not None:

@@ -251,6 +251,14 @@ def test_gate_margin_is_of_reranker_scores(spark):
     assert got == {1: 0.9, 2: 0.8, 3: 0.7, 4: 0.6}  # 0.9 - 0.6, in whatever order the rows stand
     thin = pool.withColumn("reranker", F.lit(0.5))
     assert {r["id"]: r["final"] for r in R.gated(thin, RecallConfig(weak_pool_penalty=True)).collect()} == {i: pytest.approx(0.4 * f) for i, f in got.items()}
+    far = pool.withColumn("similarity", F.lit(0.3))
+    assert R.gated(far, RecallConfig()).count() == 4  # three channels agree
+    alone = far.withColumn("reranker", F.lit(0.0)).withColumn("vector_match", F.lit(0.0))
+    assert R.gated(alone, RecallConfig()).count() == 0
+    assert R.gated(alone.withColumn("similarity", F.lit(None).cast("double")), RecallConfig()).count() == 4
+    assert R.gated(pool.withColumn("score", F.lit(None).cast("double")), RecallConfig()).count() == 4
+    two = far.withColumn("vector_match", F.lit(0.0))
+    assert R.gated(two, RecallConfig()).count() == 4 and R.gated(two, RecallConfig(abstain=0.1)).count() == 0
 
 
 def test_auto_tags_order(spark):
