@@ -1,15 +1,23 @@
 """Vectorised words and hashes over Arrow text columns.
 
 A batch of texts is one UTF-8 byte buffer with offsets.  Words are found with a
-256-entry byte table, and every word gets a 64-bit polynomial (Rabin-Karp) hash
-from one running sum, so the cost is a few numpy passes over the bytes and no
-Python object is made per word.  All arithmetic is modulo 2**64 with odd bases,
-which are invertible there.
+256-entry byte table, and no Python object is made per word (but for very long ones).
+
+A word's hash is the polynomial of its seven-byte blocks and its length modulo the
+prime 2**61 - 1, at a point drawn from a key.  Operators that take equal hashes for
+equal words draw the key anew for each run (``new_key``), so whoever writes the
+texts can't know it: two different words of up to 112 bytes then have the same hash
+with odds of at most 17 / 2**61, whatever they are; longer ones go through keyed
+BLAKE2.  Windows of words are Rabin-Karp sums modulo 2**64 of these hashes.  An odd
+base modulo 2**64 loses bits on long self-similar sequences: 8 of the 64 for
+windows of 8 to 15 words, no more than these.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +25,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BYTE_BASE = 0x9E3779B97F4A7C15
+P61 = (1 << 61) - 1
+LONG = 112  # bytes of a word from which on it is hashed by itself
 _WORD_BASE = 0xD6E8FEB86659FD95
 _BLOCK = 1 << 18  # bytes, or words, hashed at once
 
@@ -53,7 +62,7 @@ class _Powers:
         return self.up, self.down
 
 
-_BYTES, _WORDS = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_WORDS = _Powers(_WORD_BASE)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -69,7 +78,23 @@ try:
 except OSError:  # another system's C library
     _LIBC = None
 
-_TABLE = mix(np.arange(1, 257, dtype=U), 0x5851F42D4C957F2D)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)], U)  # the low k bytes
+
+
+def new_key() -> int:
+    """A secret point for the word hashes of one run; it goes to the tasks with their code, so a task that is run again has the same."""
+    return int.from_bytes(os.urandom(7), "little") | 1
+
+
+def times_plus(a: np.ndarray, k: int, b: np.ndarray) -> np.ndarray:
+    """a * k + b modulo 2**61 - 1 for values below it, by halves of 32 bits."""
+    low, p = U(0xFFFFFFFF), U(P61)
+    ah, al, kh, kl = a >> U(32), a & low, U(k >> 32), U(k & 0xFFFFFFFF)
+    mid = ah * kl + al * kh  # counts 2**32; 2**61 is 1
+    end = al * kl
+    out = (ah * kh << U(3)) + (mid >> U(29)) + ((mid & U((1 << 29) - 1)) << U(32)) + (end & p) + (end >> U(61)) + b
+    out = (out & p) + (out >> U(61))
+    return np.where(out >= p, out - p, out)
 
 
 @dataclass
@@ -91,18 +116,26 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.per_text)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, key: int = 0x9E3779B97F4A7C15) -> np.ndarray:
         """uint64 per word."""
-        out, n, i = np.empty(len(self), U), len(self), 0
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + _BLOCK, "right")))
-            lo, hi = int(self.start[i]), int(self.end[j - 1])
-            up, down = _BYTES.get(hi - lo + 1)
-            total = np.zeros(hi - lo + 1, U)
-            np.cumsum(_TABLE[self.data[lo:hi]] * up[: hi - lo], out=total[1:])
-            s, e = self.start[i:j] - lo, self.end[i:j] - lo
-            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
-            i = j
+        point = (key * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) % (P61 - 2) + 1
+        out = np.empty(len(self), U)
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        blocks = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))  # eight bytes from each place
+        for i in range(0, len(self), _BLOCK):
+            start, size = self.start[i : i + _BLOCK], (self.end - self.start)[i : i + _BLOCK]
+            h = blocks[start] & _KEEP[np.minimum(size, 7)]
+            at = np.flatnonzero((size > 7) & (size <= LONG))
+            for done in range(7, LONG, 7):
+                if not len(at):
+                    break
+                h[at] = times_plus(h[at], point, blocks[start[at] + done] & _KEEP[np.minimum(size[at] - done, 7)])
+                at = at[size[at] > done + 7]
+            h = times_plus(h, point, size.astype(U) % U(P61))
+            for j in np.flatnonzero(size > LONG).tolist():
+                word = self.data[start[j] : start[j] + size[j]].tobytes()
+                h[j] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+            out[i : i + _BLOCK] = mix(h)
         return out
 
 

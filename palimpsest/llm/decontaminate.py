@@ -31,17 +31,17 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm._io import Scratch, stored
 from palimpsest.llm._pack import pack, unpack
-from palimpsest.llm._words import ALNUM, U, buffers, chunks, words
+from palimpsest.llm._words import ALNUM, U, buffers, chunks, new_key, words
 
 SEGMENT_BYTES = 1 << 19  # larger rows, and codecs' buffers for them, swell a JVM
 BLOCK_BYTES = 1 << 20  # of test texts that are matched at once; their tables take some 30 times as much
 SLACK = 5  # words that a near match may have besides
-_SEGMENT = "segment string, first binary, terms binary, counts binary, positions binary"
+_SEGMENT = "segment string, key long, first binary, terms binary, counts binary, positions binary"
 
 
-def _segment(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+def _segment(data: np.ndarray, offsets: np.ndarray, key: int) -> tuple[bytes, bytes, bytes, bytes]:
     w = words(data, offsets, ALNUM, lower=True)
-    h = w.hashes()
+    h = w.hashes(key)
     order = np.argsort(h, kind="stable")
     h = h[order]
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -53,6 +53,7 @@ def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch
     """The stored index, one row per segment: ids, then first (word offset of each
     text), terms, counts and positions as packed arrays."""
     kept = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    key = new_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -62,10 +63,10 @@ def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch
             t = pa.Table.from_batches(held).combine_chunks()
             ids = t.column("__id").combine_chunks()
             ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-            parts = _segment(*buffers(t.column("__text")))
+            parts = _segment(*buffers(t.column("__text")), key)
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             held.clear()
-            return pa.RecordBatch.from_arrays([lists, pa.array([uuid.uuid4().hex]), *(pa.array([p], pa.binary()) for p in parts)], names=["ids", "segment", "first", "terms", "counts", "positions"])
+            return pa.RecordBatch.from_arrays([lists, pa.array([uuid.uuid4().hex]), pa.array([key], pa.int64()), *(pa.array([p], pa.binary()) for p in parts)], names=["ids", "segment", "key", "first", "terms", "counts", "positions"])
 
         for batch in batches:
             for part in chunks(batch, "__text", SEGMENT_BYTES):
@@ -85,12 +86,12 @@ def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch
 class Phrases:
     """Windows of test items as term numbers, offsets and lengths, and the items' whole texts."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int, slack: int = SLACK):
+    def __init__(self, items: list[tuple[str, str]], n: int, key: int, slack: int = SLACK):
         self.names = sorted({i for i, _ in items})
         number = {i: k for k, i in enumerate(self.names)}
         data, offsets = buffers(pa.array([t for _, t in items], pa.string()))
         w = words(data, offsets, ALNUM, lower=True)
-        h, length = w.hashes(), w.per_text
+        h, length = w.hashes(key), w.per_text
         size = np.minimum(length, n)
         times = np.where(length > 0, length - size + 1, 0)
         text = np.repeat(np.arange(len(items)), times)
@@ -104,6 +105,8 @@ class Phrases:
         self.offset = np.broadcast_to(np.arange(n), grid.shape)
         #: (item, its distinct terms, the stretch that may hold them) of each text
         self.texts = [(number[i], np.unique(np.searchsorted(self.terms, h[a:b])), int(b - a) + slack) for (i, _), a, b in zip(items, w.first[:-1], w.first[1:]) if b > a]
+        self.text_terms = np.concatenate([np.zeros(0, np.int64), *(t for _, t, _ in self.texts)])
+        self.text_first = np.cumsum([0, *(len(t) for _, t, _ in self.texts)])[:-1]
 
     def rarest_first(self, frequency: dict[int, int]) -> None:
         f = np.array([frequency.get(int(t), 0) for t in self.terms] + [np.iinfo(np.int64).max], np.int64)
@@ -218,8 +221,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, id_co
         segments = index(documents, id_col, text_col, scratch) if segments is None else segments
         kind = segments.schema["ids"].dataType.elementType.simpleString()
         spark, passes = segments.sparkSession, []
+        own = segments.select("key").first()
         for block in _blocks(benchmark, item_col, item_text_col):
-            q = Phrases(block, n)
+            q = Phrases(block, n, own["key"] if own else 1)
             q.rarest_first(_frequencies(segments, q.terms) if len(q.terms) else {})
             sent = spark.sparkContext.broadcast(q)  # of at most BLOCK_BYTES of test texts
             passes.append(segments.mapInArrow(lambda it, sent=sent: _match(it, sent.value, id_col), f"`{id_col}` {kind}, __text_no string, n_words long, n_hit long, __hit binary, items array<string>, near array<string>"))
@@ -257,8 +261,10 @@ def _match(batches: Iterator[pa.RecordBatch], q: Phrases, id_col: str) -> Iterat
             edge = np.bincount(start, minlength=s.n + 1) - np.bincount(start + q.size[phrase], minlength=s.n + 1)
             hit = np.cumsum(edge)[: s.n] > 0
             text = s.text_of(start)
-            found = [s.near(terms, span) for _, terms, span in q.texts]
-            near = _named(np.concatenate([np.zeros(0, np.int64), *found]), np.repeat([i for i, _, _ in q.texts], [len(f) for f in found]).astype(np.int64), q.names, len(ids))
+            here = np.flatnonzero(np.logical_and.reduceat(s.count[q.text_terms] > 0, q.text_first)).tolist() if q.texts else []
+            whole = [q.texts[k] for k in here]  # items all of whose terms stand in the segment
+            found = [s.near(terms, span) for _, terms, span in whole]
+            near = _named(np.concatenate([np.zeros(0, np.int64), *found]), np.repeat([i for i, _, _ in whole], [len(f) for f in found]).astype(np.int64), q.names, len(ids))
             total = np.concatenate([[0], np.cumsum(hit)])
             some = set(np.unique(text).tolist())
             bits = [np.packbits(hit[a:b]).tobytes() if t in some else b"" for t, (a, b) in enumerate(zip(s.first[:-1].tolist(), s.first[1:].tolist()))]

@@ -21,7 +21,8 @@ approximate, while the order is exact) with its own tie-breaking hash.
    after the same filters, only across components; only links come out.  So no group
    of copies is ever expanded into rows of pairs, and no link between components is lost.
 
-Classes are told apart by 64 bits of hash, n-grams by 64 (48 within a pair).
+Classes are told apart by 64 bits of hash, n-grams by 64 (48 within a pair), under a key
+drawn for each run (see ``_words``), so no text can be made to collide with another.
 
 Defined results: null and empty texts have an empty set, size 0, and are linked
 with nothing; a text of fewer than n words is one n-gram; rows with a null id get
@@ -32,6 +33,7 @@ read whole; an empty table gives an empty one; only the two named columns are re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm._io import Scratch, stored
 from palimpsest.llm._pack import from_low_bytes, low_bytes, pack, unpack
-from palimpsest.llm._words import SPACED, U, buffers, chunks, mix, windows, words
+from palimpsest.llm._words import SPACED, U, buffers, chunks, mix, new_key, windows, words
 from palimpsest.llm.components import components
 
 ORDERS = 3
@@ -53,10 +55,17 @@ BLOCK = 256  # classes that a task compares at once
 PARTS = 128  # of a class's profile
 
 
-def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+class Grams(NamedTuple):
+    """Length of the n-grams, and the key of their words' hashes."""
+
+    n: int
+    key: int
+
+
+def sets(data: np.ndarray, offsets: np.ndarray, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
     """(first, value): text t has the distinct n-gram hashes value[first[t]:first[t+1]], ascending."""
-    w = words(data, offsets, SPACED, lower=True)
-    h, size, texts = w.hashes(), w.per_text, len(offsets) - 1
+    w, n = words(data, offsets, SPACED, lower=True), grams.n
+    h, size, texts = w.hashes(grams.key), w.per_text, len(offsets) - 1
     text, value = [], []
     every = windows(h, n)
     of = w.text_of()
@@ -114,10 +123,10 @@ def prefixes(first: np.ndarray, value: np.ndarray, counts: np.ndarray, order: in
     return text[keep], value[by[keep]], place[keep]
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def _stretches(batches: Iterator[pa.RecordBatch], grams: Grams) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
         for part in chunks(batch, "__text", STRETCH_BYTES):
-            first, value = sets(*buffers(part.column("__text")), n)
+            first, value = sets(*buffers(part.column("__text")), grams)
             yield part, first, value, classes(first, value)
 
 
@@ -133,7 +142,7 @@ def _once(first: np.ndarray, value: np.ndarray, names: np.ndarray, seen: set[int
     return edge, value[np.repeat(first[at] - edge[:-1], size) + np.arange(edge[-1])], names[at]
 
 
-def _counted(kept: DataFrame, n: int, keep: tuple[str, ...], scratch: Scratch) -> tuple[DataFrame, np.ndarray, int]:
+def _counted(kept: DataFrame, grams: Grams, keep: tuple[str, ...], scratch: Scratch) -> tuple[DataFrame, np.ndarray, int]:
     """(id, kept columns, class, size, profile) of each row; the counting table in half octaves; the sum of sizes."""
     kinds = "".join(f"`{c}` {kept.schema[c].dataType.simpleString()}, " for c in keep)
 
@@ -141,7 +150,7 @@ def _counted(kept: DataFrame, n: int, keep: tuple[str, ...], scratch: Scratch) -
         table = np.zeros(1 << TABLE_BITS, np.int32)  # of one task
         names = ["id", *keep, "class", "size", "profile", "slice", "counts"]
         part = None
-        for part, first, value, name in _stretches(batches, n):
+        for part, first, value, name in _stretches(batches, grams):
             np.add.at(table, _slot(value), 1)
             m = part.num_rows
             yield pa.RecordBatch.from_arrays([part.column("__id"), *(part.column(c) for c in keep), pa.array(name), pa.array(np.diff(first), pa.int64()), pa.array([p.tobytes() for p in profiles(first, value)], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
@@ -203,13 +212,13 @@ def _can_link(key: np.ndarray, size: np.ndarray, rest: np.ndarray, percent: int)
     return keep
 
 
-def _members(kept: DataFrame, counts, n: int, percent: int, total: int, scratch: Scratch) -> DataFrame:
+def _members(kept: DataFrame, counts, grams: Grams, percent: int, total: int, scratch: Scratch) -> DataFrame:
     """(class, hub): classes of like size that share a first-order prefix n-gram, as stars."""
     bits = max(6, (total // (1 << 21)).bit_length())
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, first, value, name in _stretches(batches, n):
+        for _, first, value, name in _stretches(batches, grams):
             if len(seen) > 200_000:
                 seen.clear()
             first, value, name = _once(first, value, name, seen)
@@ -256,7 +265,7 @@ def _members(kept: DataFrame, counts, n: int, percent: int, total: int, scratch:
     return scratch.stored(sent.groupBy("bucket").applyInArrow(shared, "class long, hub long").where("class != hub").distinct(), "members")
 
 
-def _sets_of(kept: DataFrame, wanted: DataFrame, counts, n: int, percent: int) -> DataFrame:
+def _sets_of(kept: DataFrame, wanted: DataFrame, counts, grams: Grams, percent: int) -> DataFrame:
     """(class, size, set, filter2, filter3) of the wanted classes, one row each.
 
     ``wanted`` (class, without repeats) is sent as a bit table of eight bits for each,
@@ -271,7 +280,7 @@ def _sets_of(kept: DataFrame, wanted: DataFrame, counts, n: int, percent: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, first, value, name in _stretches(batches, n):
+        for _, first, value, name in _stretches(batches, grams):
             at = name.view(U) & U((1 << bits) - 1)
             marked = (sent.value[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1)).astype(bool)
             if len(seen) > 200_000:
@@ -294,7 +303,7 @@ def _share(a: bytes, b: bytes, kind: str) -> bool:
     return bool(len(np.intersect1d(np.frombuffer(a, kind), np.frombuffer(b, kind), assume_unique=False)))
 
 
-def _linked(pairs: DataFrame, own: DataFrame, kept: DataFrame, counts, n: int, percent: int, scratch: Scratch) -> DataFrame:
+def _linked(pairs: DataFrame, own: DataFrame, kept: DataFrame, counts, grams: Grams, percent: int, scratch: Scratch) -> DataFrame:
     """Of the pairs (a, b): those that pass the profiles, every order's filter and then the full sets."""
 
     def side(table: DataFrame, c: str) -> DataFrame:
@@ -322,7 +331,7 @@ def _linked(pairs: DataFrame, own: DataFrame, kept: DataFrame, counts, n: int, p
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     few = scratch.stored(pairs.join(side(own, "a"), "a").join(side(own, "b"), "b").mapInArrow(possible, "a long, b long"), "pairs")
-    full = _sets_of(kept, few.select(F.explode(F.array("a", "b")).alias("class")).distinct(), counts, n, percent)
+    full = _sets_of(kept, few.select(F.explode(F.array("a", "b")).alias("class")).distinct(), counts, grams, percent)
     # both joins read one exchange of the sets
     return scratch.stored(few.join(side(full, "a"), "a").join(side(full, "b"), "b").mapInArrow(verified, "a long, b long"), "links")
 
@@ -386,7 +395,7 @@ def _open(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.stored(named.join(several, "hub", "left_semi"), "open")
 
 
-def _linked_in_blocks(rest: DataFrame, own: DataFrame, kept: DataFrame, counts, n: int, percent: int, scratch: Scratch) -> DataFrame:
+def _linked_in_blocks(rest: DataFrame, own: DataFrame, kept: DataFrame, counts, grams: Grams, percent: int, scratch: Scratch) -> DataFrame:
     """Links between classes of one hub that are in different components: classes whose
     profile allows none go, the others are dealt to blocks of about BLOCK; a task compares
     two blocks by a matrix product and returns only links."""
@@ -394,7 +403,7 @@ def _linked_in_blocks(rest: DataFrame, own: DataFrame, kept: DataFrame, counts,
     dealt = _dealt(rest, hubs).join(own, "class").select("hub", "i", "j", "block", "class", "label", "size", "profile")
     near = dealt.groupBy("hub", "i", "j").applyInArrow(lambda t: _prune(t, percent), "class long, hub long").distinct()
     rest = scratch.stored(rest.join(near, ["hub", "class"], "left_semi"), "near")
-    full = _sets_of(kept, rest.select("class").distinct(), counts, n, percent)
+    full = _sets_of(kept, rest.select("class").distinct(), counts, grams, percent)
     rows = _dealt(rest, hubs).join(full, "class")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -430,17 +439,18 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", t
     by links) and component (a name that the rows of one component share, null where a row
     can have no link).  The result is stored; what led to it is deleted."""
     kept = df.select(F.col(id_col).cast("long").alias("__id"), *keep, F.col(text_col).cast("string").alias("__text"))
+    grams = Grams(n, new_key())
     with Scratch(df.sparkSession) as scratch:
-        rows, table, total = _counted(kept, n, keep, scratch)
+        rows, table, total = _counted(kept, grams, keep, scratch)
         known = kept.where("__id is not null").select("__id", "__text")
         counts = kept.sparkSession.sparkContext.broadcast(table)  # one byte per slot
         own = rows.where("id is not null and class != 0").select("class", "size", "profile").dropDuplicates(["class"])
-        members = _members(known, counts, n, percent, total, scratch)
-        links = _linked(members.select(F.col("hub").alias("a"), F.col("class").alias("b")), own, known, counts, n, percent, scratch)
+        members = _members(known, counts, grams, percent, total, scratch)
+        links = _linked(members.select(F.col("hub").alias("a"), F.col("class").alias("b")), own, known, counts, grams, percent, scratch)
         labels = components(links, scratch)
         rest = _open(members, labels, scratch)
         if not rest.isEmpty():
-            more = _linked_in_blocks(rest, own, known, counts, n, percent, scratch)
+            more = _linked_in_blocks(rest, own, known, counts, grams, percent, scratch)
             if not more.isEmpty():
                 labels = components(links.unionByName(more), scratch)
 

@@ -14,8 +14,11 @@ intervals.
    stays at about ``bucket_bytes`` of text; there are as many tasks.
 3. Repeats meet their texts by a hash of the id, and the intervals are cut out.
 
-Windows are told apart by 63 bits of hash: two different windows of N count as
-equal with odds of about N / 2**63 each.
+Windows are told apart by 61 bits of hash and more as buckets grow, under a key drawn
+for each run (see ``_words``): of N windows, one counts as repeated though none is equal
+to it with odds of about N / 2**53 at worst, whatever the texts, and N / 2**61 for texts
+that were not made to repeat themselves.  Different texts under one id are told apart
+by 16 bits more: two of them swap their removals with odds of 1 in 65,536.
 
 Defined results: null and empty texts have no words and lose none; a null id
 counts as larger than every other; rows with one id never remove each other's
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm._pack import from_low_bytes, low_bytes, pack, squeeze, unpack, unsqueeze
-from palimpsest.llm._words import SPACED, U, Words, buffers, chunks, mix, windows, words
+from palimpsest.llm._words import SPACED, U, Words, buffers, chunks, mix, new_key, windows, words
 
 LAST = np.iinfo(np.int64).max  # stands for a null id
 STRETCH_BYTES = 6 << 20
@@ -86,12 +89,12 @@ def _group(ids: np.ndarray, count: int) -> np.ndarray:
     return (mix(ids.view(U), 0x51ED) % U(count)).astype(np.int64)
 
 
-def _combine(part: pa.RecordBatch, n: int, bits: int) -> Iterator[tuple]:
+def _combine(part: pa.RecordBatch, n: int, bits: int, key: int) -> Iterator[tuple]:
     """The packed rows of one stretch: (bucket, group or -1, hashes, *flags)."""
     ids = _ids(part.column("__id"))
     data, offsets = buffers(part.column("__text"))
     w = words(data, offsets, SPACED)
-    h = w.hashes()
+    h = w.hashes(key)
     at, wh = _window_hashes(w, h, n)
     if not len(at):
         return
@@ -159,7 +162,7 @@ def joined(w: Words, keep: np.ndarray, sep: int = 0x20) -> tuple[np.ndarray, np.
     return out[live], edge - np.concatenate([[0], np.cumsum(edge[1:] > edge[:-1])])
 
 
-def _cut(docs: pa.Table, flags: pa.Table, n: int, names: list[str]) -> pa.Table:
+def _cut(docs: pa.Table, flags: pa.Table, n: int, names: list[str], key: int) -> pa.Table:
     """Cut the repeats out of one group's texts."""
     texts = [unsqueeze(z) for z in docs.column("__z").to_pylist()]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -168,15 +171,15 @@ def _cut(docs: pa.Table, flags: pa.Table, n: int, names: list[str]) -> pa.Table:
     if flags.num_rows and len(texts):
         rows = flags.select(["docs", "tags", "counts", "places"]).to_pydict()
         doc, tag, place = (np.concatenate(x) for x in zip(*(_entries(*r) for r in zip(*rows.values()))))
-        ids, tags = _ids(docs.column("__id").combine_chunks()), _text_tags(w, w.hashes())
+        ids, tags = _ids(docs.column("__id").combine_chunks()), _text_tags(w, w.hashes(key))
         order = np.lexsort((tag, doc))
         doc, tag, place = doc[order], tag[order], place[order]
         step = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
         range_of = {(d, t): (a, b) for d, t, a, b in zip(doc[step].tolist(), tag[step].tolist(), step.tolist(), np.append(step[1:], len(doc)).tolist())}
         starts = []
-        for k, key in enumerate(zip(ids.tolist(), tags.tolist())):
-            if key in range_of:
-                a, b = range_of[key]
+        for k, own in enumerate(zip(ids.tolist(), tags.tolist())):
+            if own in range_of:
+                a, b = range_of[own]
                 starts.append(place[a:b] + w.first[k])
         if starts:
             gone = covered(len(w), np.concatenate(starts), n)
@@ -192,12 +195,12 @@ def dedup(df: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "t
     kept = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     size = kept.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     bits = max(5, (size // bucket_bytes).bit_length())
-    count = 1 << bits
+    count, key = 1 << bits, new_key()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held):
             t = pa.Table.from_batches(held).combine_chunks()
-            rows = list(zip(*_combine(t.to_batches()[0], n, bits))) if t.num_rows else []
+            rows = list(zip(*_combine(t.to_batches()[0], n, bits, key))) if t.num_rows else []
             kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows or [[]] * 7, kinds)], names=["bucket", "group", "hashes", "docs", "tags", "counts", "places"])
 
@@ -226,4 +229,4 @@ def dedup(df: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "t
     sent, docs = sent.repartition(count, "bucket"), docs.repartition(count, "group")
     found = sent.groupBy("bucket").applyInArrow(lambda t: _repeats(t, count), f"group int, {_FLAGS}")
     names = [id_col, "n_words", "n_removed", "kept"]
-    return docs.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(lambda d, f: _cut(d, f, n, names), f"`{id_col}` long, n_words long, n_removed long, kept string")
+    return docs.groupBy("group").cogroup(found.groupBy("group")).applyInArrow(lambda d, f: _cut(d, f, n, names, key), f"`{id_col}` long, n_words long, n_removed long, kept string")

@@ -507,3 +507,42 @@ def test_words_of_sliced_arrays():
     h = w.hashes()
     assert len(set(h.tolist())) == 4
     assert html.unescape("&amp;") == "&"
+
+
+def self_similar(bits=10):
+    """Two words of 2**bits letters whose difference every polynomial hash modulo 2**64 misses."""
+    a = "a"
+    for _ in range(bits):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [4, 6, 10, 13])
+def test_words_that_imitate_each_other(spark, bits):
+    a, b = self_similar(bits)
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}")], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring.dedup(docs).collect()} == {0}
+    alone = spark.createDataFrame([(1, a), (2, b), (3, b)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.join(alone).collect()) == [(1, 1), (2, 2), (3, 2)]
+    items = spark.createDataFrame([("x", b)], "item_id string, text string")
+    assert sorted((r["doc_id"], r["n_hit"]) for r in decontaminate.contamination(alone, items).collect()) == [(1, 0), (2, 1), (3, 1)]
+
+
+def test_word_hashes_by_definition():
+    from palimpsest.llm import _words
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abé\0") for _ in range(rng.choice([1, 2, 6, 7, 8, 13, 14, 15, 21, 111, 112]))) for _ in range(300)]
+    w = _words.words(*_words.buffers(pa.array(texts)))
+    key = _words.new_key()
+    point = (key * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) % (_words.P61 - 2) + 1
+    want = []
+    for t in (w.data[a:b].tobytes() for a, b in zip(w.start, w.end)):
+        h = 0
+        for i in range(0, len(t), 7) if len(t) <= _words.LONG else []:
+            h = (h * point + int.from_bytes(t[i : i + 7], "little")) % _words.P61
+        h = (h * point + len(t)) % _words.P61
+        want.append(h if len(t) <= _words.LONG else int.from_bytes(hashlib.blake2b(t, digest_size=8, key=key.to_bytes(8, "little")).digest(), "little"))
+    assert w.hashes(key).tolist() == _words.mix(np.array(want, np.uint64)).tolist()
+    assert w.hashes(key).tolist() != w.hashes(key + 2).tolist()

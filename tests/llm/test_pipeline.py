@@ -154,7 +154,8 @@ def test_rest_works_without(tmp_path):
     """Without this subpackage, its tests and the pipeline, the rest imports and a query of it agrees with its SQL."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     subprocess.run(f"cp -r {root}/palimpsest {root}/tests {root}/__spark_entry__.py {root}/bench.py {tmp_path} && rm -r {tmp_path}/palimpsest/llm {tmp_path}/tests/llm", shell=True, check=True)
-    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    libraries = [p for p in dict.fromkeys([*os.environ.get("PYTHONPATH", "").split(os.pathsep), *sys.path]) if p and os.path.realpath(p) != os.path.realpath(root) and not os.path.realpath(p).startswith(os.path.realpath(root) + os.sep)]
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([str(tmp_path), *libraries])}
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
     subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests", "-k", "s1_scan_by_agent or a4_stage_counts"], cwd=tmp_path, env=env, check=True)
