@@ -45,4 +45,21 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesc
 from d left join nh using (doc_id) left join it using (doc_id) left join near using (doc_id)
 """
 
-SQL = {"op1_substring_dedup": SUBSTRING, "op2_ngram_jaccard": NGRAM_JOIN, "op3_url_lists": url_lists.ORACLE, "op9_decontaminate": CONTAMINATION}
+VARIANTS = r"""
+with recursive t as (select [list_reduce(range(8), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) for i in range(256)] as crc),
+d as (select coalesce(doc_id::varchar, '') as i, regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+') as w from documents),
+u as (select i, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from d), r as (select i, w, count(*) as n from u group by all),
+b as (select w, n, list_concat([unicode(c) for c in string_split(i || ':', '')], flatten([case when unicode(c) < 128 then [unicode(c)] else [195, unicode(c) - 64] end for c in string_split(w, '')])) as bytes from r),
+h as (select w, n, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1]), 4294967295), 4294967295) as h from b, t),
+m as (select case when h % 31 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, n from h),
+words as (select word, sum(n)::bigint as n from m where length(word) >= 7 group by word having sum(n) >= 2),
+cut as (select word, n, p, substr(word, 1, p) || substr(word, p + 2) as k from (select word, n, unnest(range(length(word))) as p from words)),
+near as (select a.word, b.word as other, b.n as other_n from cut a join cut b on a.k = b.k and a.p = b.p and a.word != b.word
+  union select a.word, b.word, b.n from cut a join words b on a.k = b.word union select b.word, a.word, a.n from cut a join words b on a.k = b.word),
+best as (select word, count(*) as n_near, arg_min(other, (-other_n, other)) as other, max(other_n) as other_n from near group by word),
+f as (select word, n, coalesce(n_near, 0)::bigint as n_near, case when other_n >= 10 * n then other end as form, case when other_n >= 10 * n then other_n end as form_n from words left join best using (word)),
+chain(word, root, step) as (select word, word, 0 from f union all select c.word, f.form, c.step + 1 from chain c join f on f.word = c.root where f.form is not null)
+select f.word, form, root, n, n_near, form_n from f join (select word, arg_max(root, step) as root from chain group by word) using (word)
+"""
+
+SQL = {"op1_substring_dedup": SUBSTRING, "op2_ngram_jaccard": NGRAM_JOIN, "op3_url_lists": url_lists.ORACLE, "op9_decontaminate": CONTAMINATION, "op11_spelling_variants": VARIANTS}

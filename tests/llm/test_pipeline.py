@@ -147,7 +147,7 @@ def test_decontamination_by_row(spark, sf):
 
 def test_queries_registered():
     names = list(queries.queries())
-    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14))
 
 
 def test_rest_works_without(tmp_path):
