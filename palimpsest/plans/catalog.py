@@ -8,7 +8,6 @@ are taken in different orders, or compared in single precision where exact halve
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -24,10 +23,12 @@ from palimpsest.operators import consolidate as C
 from palimpsest.operators import coordination as K
 from palimpsest.operators import graph as G
 from palimpsest.operators import search as Q
+from palimpsest.operators import nearest as N
 from palimpsest.operators import windows as W
 from palimpsest.operators import write as M
 from palimpsest.plans import recall as R
 from palimpsest.sources import exchange as X
+from palimpsest.sources.shared import shared_dir
 from palimpsest.views import AS_OF, duckdb_sql, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,10 +60,14 @@ class Tables:
         return [float(x) for x in self.embeddings.where(F.col("vec_id") == i).select("embedding").first()[0]]
 
 
+def _fresh(t: Tables, what: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(t.spark)}/palimpsest/{what}-{uuid.uuid4().hex}"
+
+
 def _index(t: Tables) -> str:
-    """A fresh inverted index of all memories, in the shared folder (a temporary one where none is set)."""
-    top = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-    path = f"{top.rstrip('/')}/palimpsest/index-{uuid.uuid4().hex}"
+    """A fresh inverted index of all memories."""
+    path = _fresh(t, "index")
     Q.store_index(t.memories, path)
     return path
 
@@ -119,6 +124,26 @@ _COS = "list_dot_product(cast(embedding as double[]), (select cast(embedding as
 query("s7_v2_vector_top", f"select vec_id as id, round({_COS}, 5) as similarity from embeddings join memories on id = vec_id where stage in ('active', 'fading') and not retracted order by round({_COS}, 5) desc, vec_id limit 50")(
     lambda t: Q.vector_top(t.memories, t.vectors, t.query_vector(), 50).select("id", F.round("similarity", 5).alias("similarity"))
 )
+_HUNDREDTH = "vec_id % 100 = 0"  # a search's queries, against all rows
+query("v6_exact_search", f"with q as (select vec_id as query, cast(embedding as double[]) as v from embeddings where {_HUNDREDTH}), s as (select query, vec_id as id, round(list_dot_product(v, cast(embedding as double[])), 5) as similarity from q join embeddings on vec_id != query) select query, id, similarity, row_number() over (partition by query order by similarity desc, id) as rank from s qualify rank <= 10")(
+    lambda t: N.exact(_vector_queries(t), t.vectors).select("query", "id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+)
+query("v6_list_search")(lambda t: N.probed(t.spark, _lists(t), _vector_queries(t)).select("query", "id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank")))
+# with every list probed the inverted file must find what the exact search does
+query("v6_list_search_whole", _SQL["v6_exact_search"])(lambda t: N.probed(t.spark, _lists(t), _vector_queries(t), probes=1 << 30).select("query", "id", F.round("similarity", 5).alias("similarity"), F.col("rank").cast("long").alias("rank")))
+
+
+def _vector_queries(t: Tables) -> DataFrame:
+    return t.embeddings.where(_HUNDREDTH).select(F.col("vec_id").alias("query"), F.col("vec_id").alias("self"), F.col("embedding").alias("vector"))
+
+
+def _lists(t: Tables) -> str:
+    """A fresh inverted file of all vectors."""
+    path = _fresh(t, "lists")
+    N.store_lists(t.vectors, path)
+    return path
+
+
 query("v1_cosine", f"select vec_id as id, round(greatest(-1, least(1, {_COS})), 5) as similarity from embeddings")(lambda t: t.vectors.select("id", F.round(V.cosine(F.col("vector"), F.array(*map(F.lit, t.query_vector()))), 5).alias("similarity")))
 query("v3_vector_match", f"with s as (select vec_id as id, round({_COS}, 5) as s from embeddings) select id, round(case when s > 0.35 then least(1.0, (s - 0.35) / 0.6) else 0 end, 6) as vector_match from s")(
     lambda t: t.vectors.select("id", F.round(V.cosine(F.col("vector"), F.array(*map(F.lit, t.query_vector()))), 5).alias("s")).select("id", r6(S.vector_match("s", 0.35), "vector_match"))
@@ -252,13 +277,10 @@ query("u4_difference", "select id from memories where id not in (select src from
 
 
 def _staged_best(t: Tables) -> DataFrame:
-    from palimpsest.operators.consolidate import similar_pairs
-
-    m = t.memories.where("stage = 'staging' or (stage = 'active' and not retracted)").select("id", "stage")
-    pairs = similar_pairs(t.vectors.join(m.select("id"), "id", "left_semi").withColumn("agent", F.lit("all")), -1.0)
-    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "similarity").select("p.a", "p.b", "similarity")
-    staged, active = m.where("stage = 'staging'").select(F.col("id").alias("a")), m.where("stage = 'active'").select(F.col("id").alias("b"))
-    return both.join(staged, "a", "left_semi").join(active, "b", "left_semi").groupBy(F.col("a").alias("id")).agg(F.round(F.max(F.round("similarity", 6)), 5).alias("score"))
+    live = t.vectors.join(t.memories.select("id", "stage", "retracted"), "id")
+    staged = live.where("stage = 'staging'").select(F.col("id").alias("query"), F.col("id").alias("self"), "vector")
+    best = N.exact(staged, live.where("stage = 'active' and not retracted").select("id", "vector"), 1)
+    return best.select(F.col("query").alias("id"), F.round(F.round("similarity", 6), 5).alias("score"))
 
 
 # Aggregates.
