@@ -61,6 +61,10 @@ class RecallConfig:
     weak_pool_penalty: bool = False
     #: A clear winner in a small pool is not reranked.
     rerank_skip: bool = True
+    #: Recalls of a lower confidence return nothing.
+    require_confidence: float = 0.0
+    #: Candidates whose tags name an entity of the query are raised.
+    query_bridge: bool = False
 
 
 @dataclass(frozen=True)

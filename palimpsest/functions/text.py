@@ -160,8 +160,28 @@ def entities(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: (F.length(x) <= 40) & ~x.isin(*ENTITY_STOPWORDS)))
 
 
+#: Capitalised words of a query that name nothing, and those of a memory that lead no further.
+QUERY_ENTITY_STOPWORDS = (
+    "what", "who", "when", "where", "why", "how", "which", "whose", "whom", "the", "this", "that", "these", "those", "and", "but",
+    "for", "did", "does", "is", "are", "was", "were", "tell", "about", "they", "them",
+)
+SEED_ENTITY_STOPWORDS = (
+    "my", "the", "a", "an", "i", "we", "you", "he", "she", "it", "they", "this", "that", "what", "when", "where", "who", "why", "how",
+    "is", "are", "was", "were", "do", "does", "project", "account", "codename", "name", "team", "main", "internal",
+)
+_CAPITALISED = r"\b[A-Z][a-zA-Z]{2,}\b"
+
+
 def query_entities(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Z][A-Za-z]{2,}\b"), 0))
+    """Distinct names of a query, lower-cased."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(_CAPITALISED), 0), F.lower)
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(*QUERY_ENTITY_STOPWORDS)))
+
+
+def seed_entities(text: Column, asked: Column) -> Column:
+    """Distinct names of a memory's text that the query's tokens do not hold."""
+    found = F.regexp_extract_all(text, F.lit(_CAPITALISED), 0)
+    return F.array_distinct(F.filter(found, lambda w: ~F.lower(w).isin(*SEED_ENTITY_STOPWORDS) & ~F.array_contains(asked, F.lower(w))))
 
 
 def is_feedback(text: Column, names: tuple[str, ...]) -> Column:

@@ -96,34 +96,35 @@ def strengthened(edges: DataFrame, pairs: DataFrame, rate: float = 0.25) -> Data
 SUBGRAPHS = {"semantic": (0.40, ("connection", "hebbian")), "temporal": (0.20, ("temporal",)), "causal": (0.25, ("causal",)), "entity": (0.15, ("bridge",))}
 
 
-def graph_walk(pool: DataFrame, edges: DataFrame, beam: int = 15, hop: float = 0.3) -> DataFrame:
+def graph_walk(pool: DataFrame, edges: DataFrame, beam: int = 15, hop: float = 0.3, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, boost): what the pool's members gain from strong neighbours in it, over two hops.
 
     ``pool`` has id, score, text_match, graph_boost.  All four subgraphs are walked in one
     plan, with the subgraph as a column; each hop is one join with the pool's own edges.
+    With columns ``by``, such as a query, every value has a pool of its own.
     """
     share = F.create_map(*[F.lit(x) for k, (g, _) in SUBGRAPHS.items() for x in (k, g)])
     kind = F.lit(None).cast("string")
     for k, (_, types) in SUBGRAPHS.items():
         kind = F.when(F.col("type").isin(*types), k).otherwise(kind)
-    own = pool.select("id", "score", "text_match", F.coalesce("graph_boost", F.lit(0.0)).alias("graph_boost"))
+    own = pool.select(*by, "id", "score", "text_match", F.coalesce("graph_boost", F.lit(0.0)).alias("graph_boost"))
     near = undirected(edges).withColumn("sub", kind).where("sub is not null")
-    near = near.join(own.select("id"), "id", "left_semi").join(own.select(F.col("id").alias("other"), F.col("text_match").alias("other_text")), "other")
+    near = (near.join(own.select(*by, "id"), "id") if by else near.join(own.select("id"), "id", "left_semi")).join(own.select(*by, F.col("id").alias("other"), F.col("text_match").alias("other_text")), [*by, "other"])
     width = F.greatest(F.lit(3), F.ceil(F.lit(beam) * F.element_at(share, F.col("sub"))))
-    w = Window.partitionBy("sub").orderBy(F.desc("score"), "id")
-    seeds = own.where("text_match >= 0.15").withColumn("sub", F.explode(F.array(*map(F.lit, SUBGRAPHS)))).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= width).select("sub", "id", "score")
+    w = Window.partitionBy(*by, "sub").orderBy(F.desc("score"), "id")
+    seeds = own.where("text_match >= 0.15").withColumn("sub", F.explode(F.array(*map(F.lit, SUBGRAPHS)))).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= width).select(*by, "sub", "id", "score")
     gains = None
     for depth in (0, 1):
         penalty = F.when(F.col("sub") == "causal", 2 * hop ** (depth + 1)).otherwise(hop ** (depth + 1))
-        step = seeds.join(near, ["sub", "id"]).where(F.col("other_text") >= (0.1 if depth == 0 else 0.05))
+        step = seeds.join(near, [*by, "sub", "id"]).where(F.col("other_text") >= (0.1 if depth == 0 else 0.05))
         step = step.withColumn("gain", F.col("score") * F.least(F.col("weight"), F.lit(5.0)) / 5 * penalty)
         boost = F.least(F.col("gain") * F.element_at(share, F.col("sub")), F.lit(0.15))
-        hit = step.withColumn("boost", boost).where("boost > 0.001").select("sub", F.col("other").alias("id"), "gain", "boost")
+        hit = step.withColumn("boost", boost).where("boost > 0.001").select(*by, "sub", F.col("other").alias("id"), "gain", "boost")
         gains = hit if gains is None else gains.unionByName(hit)
-        w = Window.partitionBy("sub").orderBy(F.desc("score"), "id")
-        seeds = hit.groupBy("sub", "id").agg(F.max("gain").alias("score")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= width).select("sub", "id", "score")
-    total = gains.groupBy("id").agg(F.sum("boost").alias("b")).join(own.select("id", "graph_boost"), "id")
-    return total.select("id", F.greatest(F.lit(0.0), F.least("b", 0.25 - F.col("graph_boost"))).alias("boost"))
+        w = Window.partitionBy(*by, "sub").orderBy(F.desc("score"), "id")
+        seeds = hit.groupBy(*by, "sub", "id").agg(F.max("gain").alias("score")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= width).select(*by, "sub", "id", "score")
+    total = gains.groupBy(*by, "id").agg(F.sum("boost").alias("b")).join(own.select(*by, "id", "graph_boost"), [*by, "id"])
+    return total.select(*by, "id", F.greatest(F.lit(0.0), F.least("b", 0.25 - F.col("graph_boost"))).alias("boost"))
 
 
 def spreading_activation(pool: DataFrame, edges: DataFrame, rounds: int = 3, keep: float = 0.5, eps: float = 0.01, budget: int = 64) -> DataFrame:

@@ -27,6 +27,7 @@ from palimpsest.operators import nearest as N
 from palimpsest.operators import windows as W
 from palimpsest.operators import write as M
 from palimpsest.plans import recall as R
+from palimpsest.plans import recall_many as RM
 from palimpsest.sources import exchange as X
 from palimpsest.sources.shared import shared_dir
 from palimpsest.views import AS_OF, duckdb_sql, view
@@ -607,8 +608,12 @@ def _recall(t: Tables, cfg: RecallConfig = RecallConfig()) -> DataFrame:
     return out.select("id", "agent", "concept", r6("final", "final"), r6("text_match", "text_match"), r6("graph_boost", "graph_boost"), "why")
 
 
-query("r9_entity_bridge", "select id, round(least(0.4, 0.4 * salience * ((contains(concept || ' ' || content, 'The'))::int + (contains(concept || ' ' || content, 'And'))::int)), 6) as boost from memories where salience >= 0.1 and (contains(concept || ' ' || content, 'The') or contains(concept || ' ' || content, 'And'))")(
-    lambda t: R.entity_bridged(t.memories.withColumn("text_match", F.col("salience")), "The or And").select("id", r6("boost", "boost"))
+_NAMED = "Did With or Les tell what Eaux and Der meant"  # Did is no name
+_ASKED = "['with', 'les', 'eaux', 'der']"
+query("r9_entity_bridge", f"""with m as (select id, salience as tm, list_transform(list_append(tags, 'Entity:' || concept), lambda t: regexp_replace(lower(t), '^entity:', '')) as v from memories),
+  h as (select id, tm, len(list_filter(v, lambda x: list_contains({_ASKED}, x) or list_has_any(string_split_regex(x, '\\s+'), {_ASKED}))) as k from m)
+  select id, round(least(0.4, k * 0.4 * tm), 6) as boost from h where tm >= 0.1 and k > 0""")(
+    lambda t: R.entity_bridged(t.memories.withColumn("text_match", F.col("salience")).withColumn("tags", F.concat("tags", F.array(F.concat(F.lit("Entity:"), "concept")))), _NAMED).select("id", r6("boost", "boost"))
 )
 query("recall_hybrid")(_recall)
 query("recall_targeted")(lambda t: _recall(t, RecallConfig(mode="targeted", limit=5)))
@@ -617,5 +622,12 @@ query("tx5_rocchio_terms", None)(lambda t: t.spark.createDataFrame([(i, w) for i
 query("r17_side_effects")(lambda t: R.side_effects(_recall(t), t.memories).select("id", r6("confidence", "confidence"), "access_count"))
 
 
+# Many recalls at once: every hundredth memory is asked for what it recalls among all.
+_PARTS = ("id", "agent", r6("final", "final"), r6("text_match", "text_match"), r6("graph_boost", "graph_boost"), r6("recall_confidence", "confidence"))
+query("recall_many")(lambda t: RM.recall_many(t.memories, t.edges, t.vectors, RM.asked_of(t.memories.where("id % 100 = 0")).join(t.vectors.withColumnRenamed("id", "query"), "query", "left"), now()).select("query", *_PARTS))
+query("m9_recalled_links")(lambda t: RM.discovered_links(t.memories, t.edges, t.vectors, t.memories.where("id % 100 = 0"), now(), 0.4).select("src", "dst", r6("weight", "weight")))
+query("m16_recalled_sweep")(lambda t: RM.swept_staging(t.memories, t.edges, t.vectors, M.expired_staging(t.memories, now()), now()).select("id", "agent", r6("score", "score"), "action"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["recall_hybrid"](spark, sf_dir)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest.config import MODES, RecallConfig
 from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
-from palimpsest.operators import graph, search
+from palimpsest.operators import graph, search, windows
 
 
 def pinned(df: DataFrame, most: int) -> DataFrame:
@@ -53,12 +53,12 @@ def text_hits(live: DataFrame, scope: DataFrame, text: str, most: int) -> DataFr
     return search.merged_text_hits(*passes or [search.bm25(live, text, most)])
 
 
-def scored(candidates: DataFrame, memories: DataFrame, edges: DataFrame, text: str, as_of: Column, mode: str = "balanced") -> DataFrame:
-    """Candidates (id, score, similarity) with every part of their score."""
+def scored(candidates: DataFrame, memories: DataFrame, edges: DataFrame, text: str | Column, as_of: Column, mode: str = "balanced") -> DataFrame:
+    """Candidates (id, score, similarity) with every part of their score; ``text`` may be a column of theirs."""
     m = MODES[mode]
     words = T.tokens(F.lit(text))
     own = candidates.join(memories, "id")
-    stats = graph.edge_stats(edges, candidates)
+    stats = graph.edge_stats(edges, candidates if isinstance(text, str) else candidates.select("id").distinct())
     own = own.join(stats, "id")
     concept, content = T.tokens(F.col("concept")), T.tokens(F.col("content"))
     own = own.withColumn("keyword_match", F.least(F.lit(1.0), F.greatest(F.col("score"), T.keyword_score(words, concept, content)) + 0.3 * T.concept_overlap(words, concept)))
@@ -84,27 +84,36 @@ def feedback_terms(pool: DataFrame, text: str, top: int = 3, most: int = 5) -> l
     return list(out)[:most]
 
 
-def bridged(pool: DataFrame) -> DataFrame:
+def _beside(df: DataFrame, one: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Rows with the one row of their group, or of all."""
+    return df.join(one, [*by]) if by else df.join(F.broadcast(one))
+
+
+def _best_first(by: tuple[str, ...], *order: Column | str) -> Column:
+    return F.row_number().over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(*order))
+
+
+def bridged(pool: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The pool with boosts for entity tags shared with the two best anchors.
 
-    Tags on more than 30 % of a pool of over ten say nothing."""
-    tags = pool.select("id", "text_match", F.explode(F.transform("tags", F.lower)).alias("tag"))
+    Tags on more than 30 % of a pool of over ten say nothing.  With columns ``by`` every value has a pool of its own."""
+    tags = pool.select(*by, "id", "text_match", F.explode(F.transform("tags", F.lower)).alias("tag"))
     tags = tags.where(~F.col("tag").rlike(r"^(t\d+|session-.*|dia_.*|speaker\d*|cat:.*)$") & (F.length("tag") >= 3)).distinct()
-    size = pool.agg(F.count("*").alias("size"))
-    df = tags.groupBy("tag").agg(F.count("*").alias("df")).join(F.broadcast(size)).where("size <= 10 or df <= 0.3 * size").select("tag")
-    anchors = pool.where("text_match > 0.15").orderBy(F.desc("text_match"), "id").limit(2)
-    near = anchors.select(F.col("id").alias("anchor"), F.col("text_match").alias("best"), F.explode(F.transform("tags", F.lower)).alias("tag")).distinct()
-    shared = near.join(df, "tag").join(tags, "tag").where("id != anchor").groupBy("id", "anchor", "best").agg(F.count("*").alias("k"))
-    boost = shared.join(pool.select("id", F.col("text_match").alias("own")), "id").select("id", (F.least(F.lit(0.4), 0.15 * F.col("k")) * F.greatest(F.lit(0.0), F.col("best") - F.col("own"))).alias("b"))
-    boost = boost.groupBy("id").agg(F.max("b").alias("b"))
-    out = pool.join(boost, "id", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+    size = pool.groupBy(*by).agg(F.count("*").alias("size"))
+    df = _beside(tags.groupBy(*by, "tag").agg(F.count("*").alias("df")), size, by).where("size <= 10 or df <= 0.3 * size").select(*by, "tag")
+    anchors = pool.where("text_match > 0.15").withColumn("rn", _best_first(by, F.desc("text_match"), "id")).where("rn <= 2")
+    near = anchors.select(*by, F.col("id").alias("anchor"), F.col("text_match").alias("best"), F.explode(F.transform("tags", F.lower)).alias("tag")).distinct()
+    shared = near.join(df, [*by, "tag"]).join(tags, [*by, "tag"]).where("id != anchor").groupBy(*by, "id", "anchor", "best").agg(F.count("*").alias("k"))
+    boost = shared.join(pool.select(*by, "id", F.col("text_match").alias("own")), [*by, "id"]).select(*by, "id", (F.least(F.lit(0.4), 0.15 * F.col("k")) * F.greatest(F.lit(0.0), F.col("best") - F.col("own"))).alias("b"))
+    boost = boost.groupBy(*by, "id").agg(F.max("b").alias("b"))
+    out = pool.join(boost, [*by, "id"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
     return out.withColumn("composite", F.col("composite") + F.col("b")).withColumn("graph_boost", F.col("graph_boost") + F.col("b")).drop("b")
 
 
-def walked(pool: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
+def walked(pool: DataFrame, edges: DataFrame, mode: str, by: tuple[str, ...] = ()) -> DataFrame:
     m = MODES[mode]
-    boosts = graph.graph_walk(pool.select("id", F.col("composite").alias("score"), "text_match", "graph_boost"), edges, m.beam, m.hop)
-    out = pool.join(boosts, "id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+    boosts = graph.graph_walk(pool.select(*by, "id", F.col("composite").alias("score"), "text_match", "graph_boost"), edges, m.beam, m.hop, by)
+    out = pool.join(boosts, [*by, "id"], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
     return out.withColumn("composite", F.col("composite") + F.col("boost")).withColumn("graph_boost", F.col("graph_boost") + F.col("boost")).drop("boost")
 
 
@@ -125,12 +134,11 @@ def blended(pool: DataFrame, rerank: str | None = None, cfg: RecallConfig = Reca
     return out.withColumn("final", (1 - w) * F.col("composite") + w * F.col("reranker")).drop("top", "skip")
 
 
-def gated(pool: DataFrame, cfg: RecallConfig) -> DataFrame:
+def gated(pool: DataFrame, cfg: RecallConfig, by: tuple[str, ...] = ()) -> DataFrame:
     """Weak pools are damped or refused: few agreeing channels in the first five, or no margin."""
-    rn = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("final", 9)), "id"))
-    ranked = pool.withColumn("rn", rn)  # the pool is cut before: a few dozen rows
+    ranked = pool.withColumn("rn", _best_first(by, F.desc(F.round("final", 9)), "id"))  # the pool is cut before: a few dozen rows
     five = F.col("rn") <= 5
-    stats = ranked.agg(
+    stats = ranked.groupBy(*by).agg(
         F.count("*").alias("size"),
         sum((F.coalesce(F.max((five & (F.col(c) > least)).cast("int")), F.lit(0)) for c, least in (("score", 0.3), ("vector_match", 0.05), ("reranker", 0.25))), F.lit(0)).alias("channels"),
         F.coalesce(F.max("similarity"), F.lit(1.0)).alias("max_cosine"),
@@ -138,7 +146,7 @@ def gated(pool: DataFrame, cfg: RecallConfig) -> DataFrame:
         F.max(F.when(five, F.col("final"))).alias("top"), F.coalesce(F.var_pop(F.when(five, F.col("final"))), F.lit(0.0)).alias("variance"),
     )
     stats = stats.withColumn("margin", F.get("two", F.lit(0)) - F.coalesce(F.get("two", F.lit(1)), F.lit(0.0))).drop("two")
-    out = ranked.join(F.broadcast(stats))
+    out = _beside(ranked, stats, by)
     weak = (F.col("size") >= 3) & ((F.col("channels") < 2) | (F.col("margin") < 0.05))
     floor = 0.5 if MODES[cfg.mode].gate > 0.5 else 0.35
     refused = (F.col("size") >= 3) & (F.col("channels") < (3 if cfg.abstain > 0 else 2)) & (F.col("max_cosine") < floor)
@@ -187,14 +195,28 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
         late = late.withColumn("composite", S.gated_composite("text_match", temporal, 0.0, 0.0, "confidence", MODES[mode].text, MODES[mode].temporal))
         pool = pool.unionByName(late)
     pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), 11 * cfg.limit)
-    pool = pinned(bridged(pool), 11 * cfg.limit)
+    pool = bridged(pool)
+    pool = pinned(query_bridged(pool, text) if cfg.query_bridge else pool, 11 * cfg.limit)
     pool = walked(pool, near, mode).where(F.col("composite") >= cfg.min_score)
     pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), max(4 * cfg.limit, 40))
     near.unpersist()
-    out = gated(blended(pool, rerank, cfg), cfg)
-    out = out.withColumn("final", F.when(F.col("superseded_by").isNotNull(), F.col("final") * 0.15).otherwise(F.col("final")))
+    out = finished(gated(blended(pool, rerank, cfg), cfg), cfg)
+    return out.orderBy(F.desc(F.round("final", 9)), "id").limit(cfg.limit)
+
+
+def finished(pool: DataFrame, cfg: RecallConfig, by: tuple[str, ...] = ()) -> DataFrame:
+    """The pool's final scores and why, with the recall's confidence; none of it where that is below ``cfg.require_confidence``.
+
+    What was superseded keeps .15 of its score.  Confidence comes from the ten best scores."""
+    out = pool.withColumn("final", F.when(F.col("superseded_by").isNotNull(), F.col("final") * 0.15).otherwise(F.col("final")))
+    out = out.withColumn("rn", _best_first(by, F.desc(F.round("final", 9)), "id"))
+    key = by[0] if by else "__all"
+    sure = windows.recall_confidence(out if by else out.withColumn(key, F.lit(1)), key, "final", "rn").select(key, "confidence")
+    out = _beside(out.drop("confidence"), sure if by else sure.drop(key), by)
+    if cfg.require_confidence > 0:
+        out = out.where(F.col("confidence") >= cfg.require_confidence)
     why = T.explain({"text": F.col("text_match"), "vector": F.col("vector_match"), "links": F.col("hebbian"), "graph": F.col("graph_boost")})
-    return out.select("id", "agent", "concept", "content", "final", "text_match", "vector_match", "decay", "hebbian", "graph_boost", "composite", why.alias("why")).orderBy(F.desc(F.round("final", 9)), "id").limit(cfg.limit)
+    return out.where(F.col("rn") <= cfg.limit).select(*by, "id", "agent", "concept", "content", "final", "text_match", "vector_match", "decay", "hebbian", "graph_boost", "composite", why.alias("why"), F.col("confidence").alias("recall_confidence"))
 
 
 def side_effects(results: DataFrame, memories: DataFrame) -> DataFrame:
@@ -202,9 +224,16 @@ def side_effects(results: DataFrame, memories: DataFrame) -> DataFrame:
     return memories.join(results.select("id"), "id", "left_semi").select("id", S.touched_confidence("confidence", "access_count").alias("confidence"), (F.col("access_count") + 1).alias("access_count"))
 
 
-def entity_bridged(pool: DataFrame, text: str) -> DataFrame:
-    """(id, boost) of pool rows that name entities of the query."""
+def query_bridged(pool: DataFrame, text: str | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """The pool with the boosts of entity_bridged."""
+    out = pool.join(entity_bridged(pool, text, by), [*by, "id"], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+    return out.withColumn("composite", F.col("composite") + F.col("boost")).withColumn("graph_boost", F.col("graph_boost") + F.col("boost")).drop("boost")
+
+
+def entity_bridged(pool: DataFrame, text: str | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, boost) of pool rows with tags that name an entity of the query: the whole tag, what follows ``entity:``, or a word of that."""
     names = T.query_entities(F.lit(text))
-    own = F.concat_ws(" ", "concept", "content")
-    hits = F.size(F.filter(names, lambda n: F.contains(own, n)))
-    return pool.where("text_match >= 0.1").select("id", F.least(F.lit(0.4), hits * 0.4 * F.col("text_match")).alias("boost")).where("boost > 0")
+    value = lambda t: F.regexp_replace(F.lower(t), "^entity:", "")
+    named = lambda t: F.array_contains(names, value(t)) | F.arrays_overlap(F.split(value(t), r"\s+"), names)
+    hits = F.size(F.filter(F.coalesce("tags", F.array().cast("array<string>")), named))
+    return pool.where("text_match >= 0.1").select(*by, "id", F.least(F.lit(0.4), hits * 0.4 * F.col("text_match")).alias("boost")).where("boost > 0")

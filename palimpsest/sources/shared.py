@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,31 @@ def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder, wherever it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables that an operator needs only until its result is stored: their folder in the shared one goes when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.n = spark, 0
+        self.folder = f"{shared_dir(spark)}/palimpsest/scratch-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        """Write as Parquet and read back: lineage ends there."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}-{what}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.folder)
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """As Scratch.stored, for a result that stays."""
+    path = f"{shared_dir(df.sparkSession)}/palimpsest/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
