@@ -60,14 +60,15 @@ def clusters(memories: DataFrame, vectors: DataFrame, cfg: ConsolidationConfig =
             near.setdefault(a, {})[b] = s
             near.setdefault(b, {})[a] = s
         order = [i for _, i in sorted((-(n or 0), i) for i, n in zip(left.column("id").to_pylist(), left.column("access_count").to_pylist()))]
+        place = {i: k for k, i in enumerate(order)}
         used: set[int] = set()
         out: list[tuple[int, int]] = []
         for seed in order:
             if seed in used or seed not in near:
                 continue
             members = [seed]
-            for c in order:
-                if c != seed and c not in used:
+            for c in sorted(near[seed], key=place.__getitem__):  # a member is near to every other, so to the seed
+                if c not in used:
                     s = [near.get(c, {}).get(m) for m in members]
                     if None not in s and max(s) >= cfg.cluster_similarity:
                         members.append(c)

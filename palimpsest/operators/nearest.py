@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 16_384  # vectors of one product
 QUERIES = 2_048  # queries of one product
-PLACES = 5  # decimals by which similarities are ranked
+PLACES = 5  # decimals by which similarities are ranked, unless said otherwise
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -28,17 +28,17 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _best(similarity: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+def _best(similarity: np.ndarray, most: int, places: int) -> np.ndarray:
     """Columns of the ``most`` best of each row, by rounded similarity and then by id; columns stand in order of ids."""
     n = similarity.shape[1]
-    key = np.rint(similarity * 10**PLACES).astype(np.int64) * n - np.arange(n)  # no two alike in a row
+    key = np.rint(similarity * 10**places).astype(np.int64) * n - np.arange(n)  # no two alike in a row
     if n > 2 * most:
         near = np.argpartition(-key, most - 1, axis=1)[:, :most]
         return np.take_along_axis(near, np.argsort(-np.take_along_axis(key, near, 1), axis=1), 1)
     return np.argsort(-key, axis=1)[:, :most]
 
 
-def _met(queries: DataFrame, vectors: DataFrame, most: int, floor: float | None) -> DataFrame:
+def _met(queries: DataFrame, vectors: DataFrame, most: int, floor: float | None, places: int = PLACES) -> DataFrame:
     """(query, id, similarity): the best of each query among the vectors of its ``list``.
 
     ``queries`` is (query, self, vector, list), ``vectors`` (id, vector, list).  Lists of more than a
@@ -63,7 +63,7 @@ def _met(queries: DataFrame, vectors: DataFrame, most: int, floor: float | None)
                 at = np.minimum(np.searchsorted(ids, itself[s : s + 256]), len(ids) - 1)
                 same = np.flatnonzero(ids[at] == itself[s : s + 256])
                 sim[same, at[same]] = -9
-                best = _best(sim, ids, min(most, len(ids)))
+                best = _best(sim, min(most, len(ids)), places)
                 value = np.take_along_axis(sim, best, 1)
                 row, col = np.nonzero(value > (-2 if floor is None else floor))
                 out.append((own[s : s + 256][row], ids[best[row, col]], value[row, col]))
@@ -71,12 +71,12 @@ def _met(queries: DataFrame, vectors: DataFrame, most: int, floor: float | None)
 
     l2 = every(left, rights, "j").groupBy("list", "i", "j")
     r2 = every(right, lefts, "i").toDF(*(f"v_{c}" for c in ("list", "id", "vector", "j", "i"))).groupBy("v_list", "v_i", "v_j")
-    return _top(l2.cogroup(r2).applyInArrow(multiply, "query long, id long, similarity double"), most)
+    return _top(l2.cogroup(r2).applyInArrow(multiply, "query long, id long, similarity double"), most, places)
 
 
-def _top(found: DataFrame, most: int) -> DataFrame:
+def _top(found: DataFrame, most: int, places: int) -> DataFrame:
     """(query, rank, id, similarity) of each query's best rows; Spark cuts each task's rows before they are shuffled."""
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", PLACES)), "id")
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", places)), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query", "rank", "id", "similarity")
 
 
@@ -87,12 +87,12 @@ def _asked(queries: DataFrame) -> DataFrame:
     return own.select(F.col("query").cast("long").alias("query"), itself.alias("self"), F.col("vector"), F.col("list") if "list" in queries.columns else F.lit(0).alias("list"))
 
 
-def exact(queries: DataFrame, vectors: DataFrame, most: int = 10, floor: float | None = None) -> DataFrame:
+def exact(queries: DataFrame, vectors: DataFrame, most: int = 10, floor: float | None = None, places: int = PLACES) -> DataFrame:
     """(query, rank, id, similarity) of the ``most`` nearest vectors of each query.  With a column ``list`` on both
     sides, such as an agent, a query meets only the vectors of its own."""
     v = vectors.where("id is not null and vector is not null and size(vector) > 0")
     v = v.select("list" if "list" in vectors.columns else F.lit(0).alias("list"), F.col("id").cast("long").alias("id"), "vector")
-    return _met(_asked(queries).select("list", "query", "self", "vector"), v, most, floor)
+    return _met(_asked(queries).select("list", "query", "self", "vector"), v, most, floor, places)
 
 
 # The inverted file.

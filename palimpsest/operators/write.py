@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
-from palimpsest.functions.vector import cosine
+from palimpsest.operators import nearest
 
 #: Fixed values of the write path.
 HEALTHY_CONFIDENCE, REINFORCE_STEP, REINFORCE_CEILING = 0.3, 0.05, 0.95
@@ -37,9 +37,9 @@ def best_text_match(writes: DataFrame, memories: DataFrame, most: int = 3) -> Da
 
 def best_vector_match(writes: DataFrame, vectors: DataFrame) -> DataFrame:
     """(write_id, id, score): the memory of the same agent with the largest cosine."""
-    sim = cosine(F.col("vector"), F.col("own"))
-    both = writes.select("write_id", "agent", "vector").join(vectors.select("id", "agent", F.col("vector").alias("own")), "agent").where(F.col("id") != F.col("write_id"))
-    return both.groupBy("write_id").agg(F.max_by(F.struct("id", sim.alias("score")), F.struct(F.round(sim, 6), -F.col("id"))).alias("x")).select("write_id", "x.id", "x.score")
+    asked = writes.select(F.col("write_id").alias("query"), F.col("write_id").alias("self"), "vector", F.col("agent").alias("list"))
+    best = nearest.exact(asked, vectors.select("id", F.col("agent").alias("list"), "vector"), 1, places=6)
+    return best.select(F.col("query").alias("write_id"), "id", F.col("similarity").alias("score"))
 
 
 def scored_writes(writes: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:

@@ -24,6 +24,7 @@ from palimpsest.operators import coordination as K
 from palimpsest.operators import graph as G
 from palimpsest.operators import search as Q
 from palimpsest.operators import nearest as N
+from palimpsest.operators import stemmed as ST
 from palimpsest.operators import windows as W
 from palimpsest.operators import write as M
 from palimpsest.plans import recall as R
@@ -280,7 +281,7 @@ query("u4_difference", "select id from memories where id not in (select src from
 def _staged_best(t: Tables) -> DataFrame:
     live = t.vectors.join(t.memories.select("id", "stage", "retracted"), "id")
     staged = live.where("stage = 'staging'").select(F.col("id").alias("query"), F.col("id").alias("self"), "vector")
-    best = N.exact(staged, live.where("stage = 'active' and not retracted").select("id", "vector"), 1)
+    best = N.exact(staged, live.where("stage = 'active' and not retracted").select("id", "vector"), 1, places=6)
     return best.select(F.col("query").alias("id"), F.round(F.round("similarity", 6), 5).alias("score"))
 
 
@@ -622,6 +623,18 @@ query("tx5_rocchio_terms", None)(lambda t: t.spark.createDataFrame([(i, w) for i
 query("r17_side_effects")(lambda t: R.side_effects(_recall(t), t.memories).select("id", r6("confidence", "confidence"), "access_count"))
 
 
+# Stemmed full text over a fresh index of all memories.
+
+
+def _stemmed(t: Tables) -> str:
+    path = _fresh(t, "stems")
+    ST.store_stemmed(t.memories, path)
+    return path
+
+
+query("tx2_stemmed_any")(lambda t: ST.stemmed_search(t.spark, _stemmed(t), "the tions and those ing or pour").select("id", r6("rank", "rank")))
+query("tx2_stemmed_all")(lambda t: ST.stemmed_search(t.spark, _stemmed(t), "tion ing", every=True).select("id", r6("rank", "rank")))
+
 # Many recalls at once: every hundredth memory is asked for what it recalls among all.
 _PARTS = ("id", "agent", r6("final", "final"), r6("text_match", "text_match"), r6("graph_boost", "graph_boost"), r6("recall_confidence", "confidence"))
 query("recall_many")(lambda t: RM.recall_many(t.memories, t.edges, t.vectors, RM.asked_of(t.memories.where("id % 100 = 0")).join(t.vectors.withColumnRenamed("id", "query"), "query", "left"), now()).select("query", *_PARTS))
