@@ -14,8 +14,11 @@ or all memories under one scope); an empty table on either side gives an empty r
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ from palimpsest.functions import text as T
 from palimpsest.operators import nearest, search
 from palimpsest.operators.search import K1, B
 from palimpsest.plans import recall as R
-from palimpsest.sources.shared import Scratch, stored
+from palimpsest.sources.shared import Scratch, freeing, stored
 
 BY = ("query",)
 READ_FIRST = 8  # postings of the rarest terms, as a multiple of the results asked for, that set the score to reach
@@ -39,15 +42,31 @@ def store_index(memories: DataFrame, path: str, buckets: int = 64) -> None:
     bucket = F.pmod(F.xxhash64("scope", "term"), F.lit(buckets)).cast("int")
     own = memories.select("scope", "id", search._indexed().alias("w")).select("scope", "id", F.size("w").alias("len"), "w")
     size = own.groupBy("scope").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    post = own.select("scope", "id", "len", F.explode("w").alias("term")).groupBy("scope", "id", "len", "term").agg(F.count("*").alias("tf"))
+    post = own.mapInArrow(_counted, "scope string, id long, len int, term string, tf long")
     post = post.join(F.broadcast(size.select("scope", "mean")), "scope")
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     spread = post.select("scope", "term", "id", part.alias("part"), bucket.alias("bucket"))
-    spread.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    with freeing(spark):
+        spread.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
     found = _postings(spark, path)
     terms = found.groupBy("scope", "term", "bucket").agg(F.count("*").alias("df"), F.max("part").alias("most")).join(F.broadcast(size), "scope")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    terms.select("scope", "term", "bucket", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound")).write.parquet(f"{path}/terms")
+    with freeing(spark):
+        terms.select("scope", "term", "bucket", "df", idf.alias("idf"), (idf * F.col("most")).alias("bound")).write.parquet(f"{path}/terms")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of each memory; a memory's words lie in one row, so they are counted without a shuffle."""
+    names = ["scope", "id", "len", "term", "tf"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
+    for batch in batches:
+        rows = []
+        for scope, i, n, words in zip(*(batch.column(c).to_pylist() for c in ("scope", "id", "len", "w"))):
+            rows += [(scope, i, n, w, k) for w, k in Counter(words or ()).items()]
+            if len(rows) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                rows = []
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=names)
 
 
 def _postings(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,18 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Writes in the block free the shuffle files that they have read."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables that an operator needs only until its result is stored: their folder in the shared one goes when the block ends."""
 
@@ -41,7 +55,8 @@ class Scratch:
         """Write as Parquet and read back: lineage ends there."""
         self.n += 1
         path = f"{self.folder}/{self.n}-{what}"
-        df.write.parquet(path)
+        with freeing(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:
@@ -54,5 +69,6 @@ class Scratch:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """As Scratch.stored, for a result that stays."""
     path = f"{shared_dir(df.sparkSession)}/palimpsest/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freeing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
