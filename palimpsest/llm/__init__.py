@@ -1,4 +1,4 @@
-"""Training-data operators: ten stand-alone components over text and web pages.
+"""Training-data operators: thirteen stand-alone components over text and web pages.
 
 Nothing else in the package imports this subpackage.
 """
