@@ -636,8 +636,7 @@ query("tx2_stemmed_any")(lambda t: ST.stemmed_search(t.spark, _stemmed(t), "the
 query("tx2_stemmed_all")(lambda t: ST.stemmed_search(t.spark, _stemmed(t), "tion ing", every=True).select("id", r6("rank", "rank")))
 
 # Many recalls at once: every hundredth memory is asked for what it recalls among all.
-_PARTS = ("id", "agent", r6("final", "final"), r6("text_match", "text_match"), r6("graph_boost", "graph_boost"), r6("recall_confidence", "confidence"))
-query("recall_many")(lambda t: RM.recall_many(t.memories, t.edges, t.vectors, RM.asked_of(t.memories.where("id % 100 = 0")).join(t.vectors.withColumnRenamed("id", "query"), "query", "left"), now()).select("query", *_PARTS))
+query("recall_many")(lambda t: RM.recall_many(t.memories, t.edges, t.vectors, RM.asked_of(t.memories.where("id % 100 = 0")).join(t.vectors.withColumnRenamed("id", "query"), "query", "left"), now()).select("query", "id", "agent", r6("final", "final"), r6("text_match", "text_match"), r6("graph_boost", "graph_boost"), r6("recall_confidence", "confidence")))
 query("m9_recalled_links")(lambda t: RM.discovered_links(t.memories, t.edges, t.vectors, t.memories.where("id % 100 = 0"), now(), 0.4).select("src", "dst", r6("weight", "weight")))
 query("m16_recalled_sweep")(lambda t: RM.swept_staging(t.memories, t.edges, t.vectors, M.expired_staging(t.memories, now()), now()).select("id", "agent", r6("score", "score"), "action"))
 
