@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest.config import MODES, RecallConfig
 from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
-from palimpsest.operators import graph, search, windows
+from palimpsest.operators import graph, models, search, windows
 
 
 def pinned(df: DataFrame, most: int) -> DataFrame:
@@ -46,11 +46,16 @@ def expanded_query(memories: DataFrame, text: str) -> str:
     return " ".join([text, *list(tags)[:5]])
 
 
-def text_hits(live: DataFrame, scope: DataFrame, text: str, most: int) -> DataFrame:
+def found(live: DataFrame, text: str, most: int, index: str | None = None) -> DataFrame:
+    """The best by BM25, from an index of these memories or from their texts."""
+    return search.bm25(live, text, most) if index is None else search.indexed_bm25(live.sparkSession, index, text, most)
+
+
+def text_hits(live: DataFrame, scope: DataFrame, text: str, most: int, index: str | None = None) -> DataFrame:
     """(id, score): the best of two passes, by the query's keywords and by the query with what its pronouns may mean."""
     keywords = " ".join(dict.fromkeys(w for w in text.lower().split() if len(w) > 2 and w not in T.STOPWORDS))
-    passes = [search.bm25(live, q, most) for q in dict.fromkeys([keywords, expanded_query(scope, text)]) if len(q) > 2 or q != keywords]
-    return search.merged_text_hits(*passes or [search.bm25(live, text, most)])
+    passes = [found(live, q, most, index) for q in dict.fromkeys([keywords, expanded_query(scope, text)]) if len(q) > 2 or q != keywords]
+    return search.merged_text_hits(*passes or [found(live, text, most, index)])
 
 
 def scored(candidates: DataFrame, memories: DataFrame, edges: DataFrame, text: str | Column, as_of: Column, mode: str = "balanced") -> DataFrame:
@@ -117,20 +122,32 @@ def walked(pool: DataFrame, edges: DataFrame, mode: str, by: tuple[str, ...] = (
     return out.withColumn("composite", F.col("composite") + F.col("boost")).withColumn("graph_boost", F.col("graph_boost") + F.col("boost")).drop("boost")
 
 
-def blended(pool: DataFrame, rerank: str | None = None, cfg: RecallConfig = RecallConfig()) -> DataFrame:
+def _sure(pool: DataFrame, cfg: RecallConfig, by: tuple[str, ...]) -> DataFrame:
+    """The pool with its best text match (top), and with whether its first row is a clear winner (skip)."""
+    order = F.sort_array(F.collect_list(F.struct((-F.round("composite", 9)).alias("o"), "id", "composite", "text_match")))
+    top = pool.groupBy(*by).agg(F.max("text_match").alias("top"), order.alias("first"))  # the pool is cut before: a few dozen rows
+    one, two = F.get("first", F.lit(0)), F.get("first", F.lit(1))
+    clear = (F.size("first") >= 2) & (F.size("first") <= max(2 * cfg.limit, 20)) & (one["text_match"] >= 0.8)
+    clear &= one["composite"] >= 1.5 * F.greatest(two["composite"], F.lit(0.01))
+    return _beside(pool, top.select(*by, "top", (F.coalesce(clear, F.lit(False)) if cfg.rerank_skip else F.lit(False)).alias("skip")), by)
+
+
+def reranked(pool: DataFrame, text: str | Column, scorer: models.Slot, cfg: RecallConfig = RecallConfig(), by: tuple[str, ...] = ()) -> DataFrame:
+    """The pool with the scorer's score of the query and each row's concept and first characters (rerank).
+    Rows of a pool with a clear winner are not put to the model."""
+    own = _sure(pool, cfg, by)
+    asked = F.when(~F.col("skip"), models.passage(F.col("concept"), F.col("content")))
+    return own.withColumn("rerank", models.pair_score(scorer, F.lit(text), asked)).drop("top", "skip")
+
+
+def blended(pool: DataFrame, rerank: str | None = None, cfg: RecallConfig = RecallConfig(), by: tuple[str, ...] = ()) -> DataFrame:
     """Composite and reranker score by how sure the text match is; without a reranker, the composite.
 
     With ``cfg.rerank_skip`` a small pool whose first row is a clear winner keeps its composites, its reranker scores are 0."""
     if rerank is None:
         return pool.withColumn("final", F.col("composite")).withColumn("reranker", F.lit(0.0))
-    order = F.sort_array(F.collect_list(F.struct((-F.round("composite", 9)).alias("o"), "id", "composite", "text_match")))
-    top = pool.agg(F.max("text_match").alias("top"), order.alias("first"))  # the pool is cut before: a few dozen rows
-    one, two = F.get("first", F.lit(0)), F.get("first", F.lit(1))
-    clear = (F.size("first") >= 2) & (F.size("first") <= max(2 * cfg.limit, 20)) & (one["text_match"] >= 0.8)
-    clear &= one["composite"] >= 1.5 * F.greatest(two["composite"], F.lit(0.01))
-    top = top.select("top", (F.coalesce(clear, F.lit(False)) if cfg.rerank_skip else F.lit(False)).alias("skip"))
     w = F.when(F.col("skip"), 0.0).otherwise(F.greatest(F.lit(0.3), F.least(F.lit(0.7), 0.3 + 0.4 * (1 - F.col("top")))))
-    out = pool.join(F.broadcast(top)).withColumn("reranker", F.when(F.col("skip"), 0.0).otherwise(F.col(rerank)))
+    out = _sure(pool, cfg, by).withColumn("reranker", F.when(F.col("skip"), 0.0).otherwise(F.col(rerank)))
     return out.withColumn("final", (1 - w) * F.col("composite") + w * F.col("reranker")).drop("top", "skip")
 
 
@@ -166,12 +183,15 @@ def in_scope(memories: DataFrame, cfg: RecallConfig, agents: Sequence | None = N
     return live.where(F.col("memory_type") == cfg.memory_type) if cfg.memory_type else live
 
 
-def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None, text: str, as_of: Column, vector: Sequence[float] | None = None, cfg: RecallConfig = RecallConfig(), agents: Sequence | None = None, rerank: str | None = None) -> DataFrame:
-    """The ranked memories for a query: id, concept, content, final score and its parts."""
+def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None, text: str, as_of: Column, vector: Sequence[float] | None = None, cfg: RecallConfig = RecallConfig(), agents: Sequence | None = None, scorer: models.Slot | None = None, index: str | None = None) -> DataFrame:
+    """The ranked memories for a query: id, concept, content, final score and its parts.
+
+    ``scorer`` reranks the pool.  ``index`` is a store_index of the same memories in scope (``stored_index``); without one
+    the texts are searched."""
     mode = query_mode(memories.sparkSession, text) if cfg.mode == "auto" else cfg.mode
     cfg = replace(cfg, mode=mode)
     live = in_scope(memories, cfg, agents)
-    hits = text_hits(live, memories.where(F.col("agent").isin(*agents)) if agents else memories, text, 3 * cfg.limit)
+    hits = text_hits(live, memories.where(F.col("agent").isin(*agents)) if agents else memories, text, 3 * cfg.limit, index)
     if vector is not None and embeddings is not None:
         near = search.vector_top(live, embeddings, vector, max(50, 5 * cfg.limit), 0.40 if MODES[mode].gate > 0.5 else 0.30, cfg.include_stages)
         candidates = search.hybrid_candidates(hits, near)
@@ -183,7 +203,7 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
     pool = pinned(scored(candidates, live.where(F.col("id").isin(ids)), near, text, as_of, mode), 6 * cfg.limit + max(50, 5 * cfg.limit))
     extra = feedback_terms(pool, text)
     if extra:
-        more = pinned(search.bm25(live, " ".join(extra), 2 * cfg.limit).where(~F.col("id").isin(ids)).select("id", "score", F.lit(None).cast("double").alias("similarity")), 2 * cfg.limit)
+        more = pinned(found(live, " ".join(extra), 2 * cfg.limit, index).where(~F.col("id").isin(ids)).select("id", "score", F.lit(None).cast("double").alias("similarity")), 2 * cfg.limit)
         late_ids = [r["id"] for r in more.select("id").collect()]
         if late_ids:
             near.unpersist()
@@ -200,10 +220,17 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
     pool = walked(pool, near, mode).where(F.col("composite") >= cfg.min_score)
     pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), max(4 * cfg.limit, 40))
     near.unpersist()
-    out = finished(gated(blended(pool, rerank, cfg), cfg), cfg)
+    if scorer is not None:
+        pool = pinned(reranked(pool, text, scorer, cfg), max(4 * cfg.limit, 40))
+    out = finished(gated(blended(pool, "rerank" if scorer else None, cfg), cfg), cfg)
     return out.orderBy(F.desc(F.round("final", 9)), "id").limit(cfg.limit)
 
 
+def stored_index(memories: DataFrame, path: str, cfg: RecallConfig = RecallConfig(), agents: Sequence | None = None) -> None:
+    """The index that recall reads, of the memories that ``cfg`` and ``agents`` let it return."""
+    search.store_index(in_scope(memories, cfg, agents), path)
+
+
 def finished(pool: DataFrame, cfg: RecallConfig, by: tuple[str, ...] = ()) -> DataFrame:
     """The pool's final scores and why, with the recall's confidence; none of it where that is below ``cfg.require_confidence``.
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from palimpsest.config import MODES, RecallConfig
 from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
-from palimpsest.operators import nearest, search
+from palimpsest.operators import models, nearest, search
 from palimpsest.operators.search import K1, B
 from palimpsest.plans import recall as R
 from palimpsest.sources.shared import Scratch, freeing, stored
@@ -134,14 +134,14 @@ def _composite():
     return F.desc(F.round("composite", 9)), "id"
 
 
-def recall_many(memories: DataFrame, edges: DataFrame, vectors: DataFrame | None, queries: DataFrame, as_of: Column, cfg: RecallConfig = RecallConfig(), by_agent: bool = True, index: str | None = None) -> DataFrame:
+def recall_many(memories: DataFrame, edges: DataFrame, vectors: DataFrame | None, queries: DataFrame, as_of: Column, cfg: RecallConfig = RecallConfig(), by_agent: bool = True, index: str | None = None, scorer: models.Slot | None = None) -> DataFrame:
     """(query, id, agent, concept, content, final and its parts, recall_confidence): what ``recall`` gives for each query.
 
     ``queries`` is (query, agent, text) and, with ``vectors``, vector.  With ``by_agent`` a query sees its agent's memories.
     ``index`` is a stored_index of the memories in scope; without one it is built for this run and deleted.  The result is stored."""
     if cfg.mode == "auto":
         kinds = queries.withColumn("__mode", T.classify_query(F.col("text")))
-        parts = [recall_many(memories, edges, vectors, kinds.where(F.col("__mode") == m).drop("__mode"), as_of, replace(cfg, mode=m), by_agent, index) for m in MODES]
+        parts = [recall_many(memories, edges, vectors, kinds.where(F.col("__mode") == m).drop("__mode"), as_of, replace(cfg, mode=m), by_agent, index, scorer) for m in MODES]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
     spark, limit = memories.sparkSession, cfg.limit
     scope = (F.col("agent") if by_agent else F.lit("")).cast("string")
@@ -179,7 +179,9 @@ def recall_many(memories: DataFrame, edges: DataFrame, vectors: DataFrame | None
         pool = scratch.stored(R.query_bridged(pool, F.col("__text"), BY) if cfg.query_bridge else pool, "bridged")
         pool = R.walked(pool, edges, cfg.mode, BY).where(F.col("composite") >= cfg.min_score)
         pool = scratch.stored(_cut(pool, max(4 * limit, 40), *_composite()), "walked")
-        return stored(R.finished(R.gated(R.blended(pool, None, cfg), cfg, BY), cfg, BY), "recall")
+        if scorer is not None:
+            pool = scratch.stored(R.reranked(pool, F.col("__text"), scorer, cfg, BY), "reranked")
+        return stored(R.finished(R.gated(R.blended(pool, "rerank" if scorer else None, cfg, BY), cfg, BY), cfg, BY), "recall")
 
 
 def stored_index(memories: DataFrame, path: str, cfg: RecallConfig = RecallConfig(), by_agent: bool = True) -> None:
