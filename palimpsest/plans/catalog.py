@@ -21,7 +21,9 @@ from palimpsest.functions import vector as V
 from palimpsest.operators import aggregates as A
 from palimpsest.operators import consolidate as C
 from palimpsest.operators import coordination as K
+from palimpsest.operators import expansion as E
 from palimpsest.operators import graph as G
+from palimpsest.operators import models as MO
 from palimpsest.operators import search as Q
 from palimpsest.operators import nearest as N
 from palimpsest.operators import stemmed as ST
@@ -31,6 +33,8 @@ from palimpsest.plans import recall as R
 from palimpsest.plans import recall_many as RM
 from palimpsest.sources import exchange as X
 from palimpsest.sources.shared import shared_dir
+from palimpsest.streaming import operators as SO
+from palimpsest.streaming import stateful as SS
 from palimpsest.views import AS_OF, duckdb_sql, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -641,5 +645,92 @@ query("m9_recalled_links")(lambda t: RM.discovered_links(t.memories, t.edges, t.
 query("m16_recalled_sweep")(lambda t: RM.swept_staging(t.memories, t.edges, t.vectors, M.expired_staging(t.memories, now()), now()).select("id", "agent", r6("score", "score"), "action"))
 
 
+# Recall with a model's scores, and on an index; both are built for the run.
+
+
+def _scorer(t: Tables) -> MO.Slot:
+    return MO.trained_scorer(MO.labelled_pairs(t.memories))
+
+
+def _recall_indexed(t: Tables) -> DataFrame:
+    path = _fresh(t, "index")
+    R.stored_index(t.memories, path)
+    out = R.recall(t.memories, t.edges, t.vectors, SEARCH, now(), t.query_vector(), index=path)
+    return out.select("id", "agent", "concept", r6("final", "final"), r6("text_match", "text_match"), r6("graph_boost", "graph_boost"), "why")
+
+
+query("recall_indexed")(_recall_indexed)
+query("recall_reranked")(lambda t: R.recall(t.memories, t.edges, t.vectors, SEARCH, now(), t.query_vector(), scorer=_scorer(t)).select("id", r6("final", "final"), r6("composite", "composite"), r6("recall_confidence", "confidence")))
+
+
+# Vectors of a model for all active memories, in a fresh store; the second run finds nothing to do.
+
+
+def _backfilled(t: Tables) -> DataFrame:
+    active, store = t.memories.where("stage = 'active'"), MO.EncodedStore(t.spark, _fresh(t, "vectors"), MO.hashed_encoder())
+    store.backfill(active)
+    again = store.backfill(active)
+    own = store.vectors(active).join(store.texts(active).select("id", "digest"), "id")
+    return own.select("id", "digest", F.size("vector").alias("n"), F.round(V.dot(F.col("vector"), F.col("vector")), 4).alias("length"), F.lit(again).cast("long").alias("again"))
+
+
+query("c1_backfill", "select id, sha256(concat_ws(' ', concept, content)) as digest, 64 as n, cast(1 as double) as length, cast(0 as bigint) as again from memories where stage = 'active' and concat_ws(' ', concept, content) != ''")(_backfilled)
+
+# Terms that stand near each other, and queries widened by them.
+_NEAR_TERMS = f"""with w as (select {_W.format(c='content')} as w from memories), q as (select w, unnest(range(1, len(w) + 1)) as i from w),
+  r as (select w[i] as a, unnest(w[i + 1:i + 4]) as b from q), e as (select a, b from r where a != b union all select b, a from r where a != b),
+  n as (select a, b, count(*) as n from e group by 1, 2), m as (select a, sum(n) as na from n group by 1), z as (select sum(n) as total from n),
+  s as (select n.a as term, n.b as other, n.n, round(ln(n.n::double * total / (m.na::double * k.na)), 6) as ppmi from n join m on m.a = n.a join m k on k.a = n.b cross join z where n.n >= 3),
+  t as (select * from s where ppmi > 0 qualify row_number() over (partition by term order by ppmi desc, n desc, other) <= 5)"""
+query("tx22_associations", _NEAR_TERMS + " select term, other, cast(n as bigint) as n, ppmi from t")(lambda t: E.associations(t.memories).select("term", "other", "n", "ppmi"))
+query("tx22_expanded", _NEAR_TERMS + f""", asked as (select id, array_to_string(string_split(content, ' ')[1:1 + id % 6], ' ') as text from memories where id % 100 = 0), q2 as (select id, text, lower(trim(text)) as norm, {_W.format(c='text')} as terms from asked),
+  sk as (select *, len(norm) = 0 or len(norm) > 50 or len(list_distinct(list_filter(string_split_regex(norm, '\\s+'), lambda x: len(x) > 2))) >= 5 as skip from q2),
+  ex as (select id, other, round(sum(ppmi), 6) as s from (select id, terms, unnest(list_distinct(terms)) as term from sk where not skip) join t using (term) where not list_contains(terms, other) group by 1, 2),
+  b as (select id, string_agg(other, ' ' order by s desc, other) as more from (select * from ex qualify row_number() over (partition by id order by s desc, other) <= 5) group by 1)
+  select sk.id, case when more is null then text else text || ' ' || more end as expanded from sk left join b using (id) where text is not null""")(
+    lambda t: E.expanded(t.memories.where("id % 100 = 0").select("id", F.array_join(F.slice(F.split("content", " "), 1, (1 + F.col("id") % 6).cast("int")), " ").alias("text")), E.associations(t.memories)).select("id", "expanded")
+)
+
+# Streams over the whole table of events, run until they have seen it; rows that the watermark has not passed wait.
+
+
+def _streamed(t: Tables, f: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t._dir}/event[s].parquet")  # as a pattern it may be a file or a folder
+    own = events.select("event_id", F.col("user_id").alias("agent"), F.col("ts").cast("timestamp").alias("ts"), "event_type", (F.col("event_id") % 97).alias("memory_id"), (F.col("event_type") == "purchase").alias("useful"))
+    out, df = _fresh(t, "stream"), f(own)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    writer.start().awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(out)
+
+
+def _activations(events: DataFrame) -> DataFrame:
+    """Activations; other events only move the watermark, under a key of their own and without a memory."""
+    own = F.col("event_type").isin("view", "click")
+    return events.withColumn("agent", F.when(own, F.col("agent")).otherwise(-1)).withColumn("memory_id", F.when(own, F.col("memory_id")))
+
+
+_PASSED = "p as (select epoch_us(max(ts)) // 1000 * 1000 as passed from events), e as (select *, epoch_us(ts) as us from events where epoch_us(ts) <= (select passed from p))"
+_NOW_LATE = "0 seconds"
+query("st1_recent_pairs", f"with {_PASSED}, a as (select event_id, user_id, us, event_id % 97 as m, row_number() over (partition by user_id order by us, event_id) as rn from e where event_type in ('view', 'click')) select y.event_id, x.event_id as with_event from a x join a y on x.user_id = y.user_id and x.rn < y.rn and y.rn - x.rn < 50 and x.m != y.m and y.us - x.us <= 86400000000")(
+    lambda t: _streamed(t, lambda e: SS.recent_pairs(_activations(e), 86400, 50, _NOW_LATE)).select("event_id", "with_event")
+)
+query("st2_confirmed_feedback", "select f.event_id as feedback_id, a.event_id as activation_id from feedback f join activations a on a.memory_id = f.memory_id and a.ts <= f.ts and a.ts >= f.ts - interval 1 day")(
+    lambda t: _streamed(t, lambda e: SO.confirmed_feedback(e.where("event_type in ('purchase', 'error')"), e.where("event_type in ('view', 'click')"), 86400)).select("feedback_id", "activation_id")
+)
+query("st4_rate_limit", f"with {_PASSED} select event_id, count(*) over (partition by user_id order by us range between 86400000000 preceding and current row) as in_window, count(*) over (partition by user_id order by us range between 86400000000 preceding and current row) > 5 as limited from e")(
+    lambda t: _streamed(t, lambda e: SS.rate_limited(e, 86400, 5, _NOW_LATE)).select("event_id", "in_window", "limited")
+)
+query("st6_counters", "select user_id as agent, count(*) filter (event_type in ('view', 'click')) as recalls, count(*) filter (event_type = 'purchase') as writes, epoch_us(max(ts)) as last_us from events group by 1")(
+    lambda t: _streamed(t, SO.checkpoint_counters, "complete").select("agent", "recalls", "writes", F.unix_micros("last_ts").alias("last_us"))
+)
+query("st8_quiescent", f"with {_PASSED}, n as (select event_id, us, lead(us) over (partition by user_id order by us, event_id) as following from e) select event_id, us as last_us from n, p where coalesce(following, passed) - us >= 43200000000")(
+    lambda t: _streamed(t, lambda e: SS.quiescent(e, 720, _NOW_LATE)).select("event_id", F.unix_micros("last_ts").alias("last_us"))
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["recall_hybrid"](spark, sf_dir)

@@ -151,3 +151,17 @@ def test_recall_on_an_index_and_many_with_scores(spark, tables, scorer, tmp_path
 def test_words_of_pairs():
     assert M.pair_features("", "a") == [1.0] + [0.0] * 7
     assert M.pair_features("a b", "a b")[1:5] == [1.0, 1.0, 1.0, 1.0] and re.match(r"pairs-", M.trained_scorer([]).version)
+
+
+def test_expansion_skips_what_is_specific(spark):
+    from palimpsest.operators import expansion as E
+
+    rows = [(k, "alpha beta gamma alpha beta delta") for k in range(4)] + [(9, None), (10, "")]
+    table = E.associations(spark.createDataFrame(rows, "id long, content string"), least=3)
+    got = {(r["term"], r["other"]): r["n"] for r in table.collect()}
+    assert all(got[b, a] == n for (a, b), n in got.items()) and ("alpha", "alpha") not in got
+    asked = [(1, "gamma"), (2, ""), (3, None), (4, "gamma " * 10), (5, "one two three four five"), (6, "unknown"), (7, "Gamma!")]
+    out = {r["id"]: r["expanded"] for r in E.expanded(spark.createDataFrame(asked, "id long, text string"), table).collect()}
+    assert out[1].startswith("gamma ") and set(out[1].split()[1:]) == {o for t, o in got if t == "gamma"}
+    assert (out[2], out[3], out[4], out[5], out[6]) == ("", None, "gamma " * 10, "one two three four five", "unknown")
+    assert E.associations(spark.createDataFrame([], "id long, content string")).count() == 0
