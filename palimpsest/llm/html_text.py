@@ -34,7 +34,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?=[\s/=]|$)(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+_VALUES = re.compile(r"""(\b(?!style\b|aria-hidden\b|hidden\b)[\w:-]+\s*=\s*)(?:"[^"]*"|'[^']*')""", re.I)  # other attributes' values hide nothing
 _PARTS = re.compile(r"[a-z]+|[0-9]+")
 
 #: Elements whose content is never text of the page.
@@ -74,7 +75,7 @@ def _flags(tag: str, attributes: str) -> int:
             for m in _NAMES.finditer(low):
                 for w in _PARTS.findall(m[1] or m[2] or m[3] or ""):
                     out |= _BY_WORD.get(w, 0)
-    if ("hidden" in attributes or "none" in attributes) and _HIDDEN.search(attributes):
+    if ("hidden" in attributes.lower() or "none" in attributes.lower()) and _HIDDEN.search(_VALUES.sub(r"\1''", attributes)):
         out |= HIDDEN
     return out
 
@@ -161,22 +162,56 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-FEATURES = 27
+NAMED, PLAIN = 27, 36
+FEATURES = NAMED + PLAIN
 
 
 def features(row: list[Block]) -> np.ndarray:
+    """A page where some element says by tag or name that it holds the content is judged by that; of the others,
+    where the text lies dense, how much of it is links, and what stands around it."""
     x = np.zeros((len(row), FEATURES))
+    if not any(b[1] & (ARTICLE | GOOD) for b in row):
+        x[:, NAMED:] = _plain(row)
+        return x
     for i, (text, flags, tag, linked, _) in enumerate(row):
         n = len(text)
         words = text.count(" ") + 1
         x[i, :12] = [(flags >> k) & 1 for k in range(12)]
-        x[i, 12:] = [
+        x[i, 12:NAMED] = [
             1, linked / n, min(n, 400) / 400, text[-1] in ".!?。…\"'»”", tag[:1] == "h" and len(tag) == 2, tag == "li", tag == "p", words < 4, "©" in text or "(c)" in text[:8],
             tag == "h1", n > 80, bool(flags & ARTICLE) and not flags & _INNER, flags & (ARTICLE | GOOD) == 0, bool(flags & ARTICLE and flags & HEADER and tag[:1] == "h"), tag == "",
         ]
     return x
 
 
+def _plain(row: list[Block]) -> np.ndarray:
+    n = np.array([len(b[0]) for b in row], float)
+    linked = np.array([b[3] for b in row]) / n
+    size, free = np.minimum(n, 400) / 400, n * (1 - linked)
+    _, group = np.unique([b[4] for b in row], return_inverse=True)
+    chars, own = np.bincount(group, n), np.bincount(group, free)
+    share, dense = own[group] / max(own.sum(), 1), own[group] / chars[group]
+    best = own[group] == own.max()
+    ends = np.array([b[0][-1] in ".!?。…\"'»”" for b in row], float)
+    prose = (n > 60) & (linked < 0.3) & (ends > 0)
+    near = lambda v: np.convolve(v, [1, 1, 0, 1, 1], "same")[: len(v)] if len(v) >= 5 else np.array([np.delete(v, i).sum() for i in range(len(v))])
+    tags = [b[2] for b in row]
+    head = np.array([t[:1] == "h" and len(t) == 2 and t != "hr" for t in tags], float)
+    after = np.append(prose[1:], False) | np.append(prose[2:], [False] * min(2, len(row)))[: len(row)]
+    place = np.arange(len(row)) / max(len(row) - 1, 1)
+    first = int(np.argmax(prose)) if prose.any() else len(row)
+    last = len(row) - 1 - int(np.argmax(prose[::-1])) if prose.any() else -1
+    at = np.arange(len(row))
+    words = np.array([b[0].count(" ") + 1 for b in row])
+    columns = [
+        np.ones(len(row)), linked, size, ends, head, [t == "h1" for t in tags], [t == "li" for t in tags], [t == "p" for t in tags], [t in ("td", "th") for t in tags],
+        words < 4, ["©" in b[0] or "(c)" in b[0][:8].lower() for b in row], n > 80, near(linked) / 4, near(size) / 4, share, dense, best, head * after, prose,
+        place, place > 0.9, at < first, at > last, np.array([t == "h1" for t in tags]) * (at < first), best * (linked < 0.3), (at >= first) & (at <= last) & (linked < 0.3),
+        *([(b[1] >> k) & 1 for b in row] for k in (0, 1, 2, 3, 4, 6, 7, 8, 10)), np.array([t in ("td", "th") for t in tags]) * (at >= first) * (linked < 0.3),
+    ]
+    return np.stack([np.asarray(c, float) for c in columns], 1)
+
+
 def max_flow(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for the nodes on the source's side of a least cut; edges hold both ways."""
     n = len(source)
@@ -242,7 +277,11 @@ NEAR, SAME = 0.6, 0.5  # smoothness of neighbours, and of consecutive blocks of
 
 
 def label(row: list[Block], weight: np.ndarray) -> list[bool]:
-    """True for content."""
+    """True for content.  Hidden blocks are none, and say nothing of the others."""
+    seen = [b for b in row if not b[1] & HIDDEN]
+    if len(seen) < len(row):
+        kept = iter(label(seen, weight))
+        return [not b[1] & HIDDEN and next(kept) for b in row]
     if not row:
         return []
     z = np.clip(features(row) @ weight, -12, 12)
@@ -267,7 +306,7 @@ def train(rows: list[tuple[str, str]], rounds: int = 40, penalty: float = 1e-2)
     it is a line of the text."""
     xs, ys = [], []
     for html, text in rows:
-        row, lines = blocks(html), set(text.split("\n"))
+        row, lines = [b for b in blocks(html) if not b[1] & HIDDEN], set(text.split("\n"))
         xs.append(features(row))
         ys += [b[0] in lines for b in row]
     x, y = np.concatenate(xs) if xs else np.zeros((0, FEATURES)), np.array(ys, float)
@@ -314,8 +353,53 @@ def labelled_pages(n: int = 300, seed: int = 5) -> list[tuple[str, str]]:
     return out
 
 
+def plain_pages(n: int = 200, seed: int = 6) -> list[tuple[str, str]]:
+    """As labelled_pages, of pages whose elements have no telling names: (html, text)."""
+    rng = np.random.default_rng(seed)
+    pick = lambda *a: a[int(rng.integers(len(a)))]
+    many = lambda f, a, b: "".join(f() for _ in range(int(rng.integers(a, b))))
+    word = lambda: "".join(rng.choice(list("aeioubdklmnrstv"), int(rng.integers(2, 9))))
+    words = lambda a, b: " ".join(word() for _ in range(int(rng.integers(a, b))))
+    line = lambda a=6, b=70: words(a, b).capitalize() + pick(".", ".", ".", "!", "?")
+    name = lambda: pick("", "", f' class="{word()}"', f' class="{pick("wrap", "row", "col", "box", "c", "left", "right", "inner", "grid")}{int(rng.integers(1, 13))}"', f' id="{word()}"')
+    link = lambda: f'<a href="/{word()}">{words(1, 6).capitalize()}</a>'
+    out = []
+    for _ in range(n):
+        lines = []
+
+        def say(text: str) -> str:
+            lines.append(text)
+            return text
+
+        def part() -> str:
+            kind = int(rng.integers(9))
+            if kind < 4:
+                return f"<p>{say(line())}</p>"
+            if kind == 4:
+                return f"<div{name()}>{say(line(12))}</div>"
+            if kind == 5:
+                return f"{say(line(12))}<br><br>"
+            if kind == 6:
+                return "<ul>" + many(lambda: f"<li>{say(line(3, 16))}</li>", 2, 5) + "</ul>"
+            if kind == 7:
+                return "<table>" + many(lambda: f"<tr><td>{say(words(1, 4))}</td><td>{say(words(1, 3))}</td></tr>", 2, 5) + "</table>"
+            return f"<h{pick(2, 3)}>{say(words(1, 6).capitalize())}</h{2}><p>{say(line())}</p>"
+
+        bar = lambda: pick(f"<div{name()}>" + " | ".join(link() for _ in range(int(rng.integers(3, 8)))) + "</div>", f"<ul{name()}>" + many(lambda: f"<li>{link()}</li>", 3, 9) + "</ul>", "<table><tr>" + many(lambda: f"<td>{link()}</td>", 3, 7) + "</tr></table>")
+        side = lambda: f"<div{name()}>" + pick(f"<h3>{words(1, 4)}</h3>", f"<b>{words(1, 3)}</b>") + many(lambda: pick(f"<div>{link()}</div>", f"<p>{link()}</p>", f"<li>{link()}</li>"), 2, 7) + "</div>"
+        logo = pick("", f"<div{name()}>{words(1, 3).capitalize()}</div>", f"<div{name()}><a href='/'>{word()}</a></div>")
+        title = words(2, 10).capitalize()
+        heading = pick(f"<h1>{say(title)}</h1>", f"<h2>{say(title)}</h2>" if not lines else "")
+        body = heading + f"<p>{say(line(15))}</p>" + many(part, 1, 7) + f"<p>{say(line(12))}</p>"
+        foot = f"<div{name()}>" + pick(f"&copy; {int(rng.integers(1995, 2026))} {words(1, 5)}", f"{link()} {link()} {link()}", f"&copy; {words(1, 3)}. {words(2, 5)} {link()}") + "</div>"
+        main, beside = f"<div{name()}>{body}</div>", pick("", side(), side() + side())
+        middle = pick(f"<div{name()}>{main}{beside}</div>", f"<div{name()}>{beside}{main}</div>", f"<table><tr><td>{beside}</td><td>{body}</td></tr></table>", f"{main}{beside}")
+        out.append((f"<html><head><title>{title}</title></head><body>{logo}{bar()}{middle}{pick('', bar())}{foot}</body></html>", "\n".join(lines)))
+    return out
+
+
 def labelled_table(spark: SparkSession, n: int = 300) -> DataFrame:
-    return spark.createDataFrame(labelled_pages(n), "html string, text string")
+    return spark.createDataFrame(labelled_pages(n) + plain_pages(n), "html string, text string")
 
 
 def weights_of(labelled: DataFrame, max_rows: int = 5000) -> np.ndarray:
