@@ -32,6 +32,7 @@ from palimpsest.operators import write as M
 from palimpsest.plans import recall as R
 from palimpsest.plans import recall_many as RM
 from palimpsest.sources import exchange as X
+from palimpsest.sources import migrate as MG
 from palimpsest.sources.shared import shared_dir
 from palimpsest.streaming import operators as SO
 from palimpsest.streaming import stateful as SS
@@ -161,6 +162,29 @@ query("s12_merge_sources", """with s as (select 0 as source_no, * from memories
   select key, source_no, id from k where key not in (select key from x) qualify row_number() over (partition by key order by source_no, id) = 1""")(
     lambda t: X.merged(t.memories.where("agent = 'fr'"), [t.memories.where("agent = 'en'"), t.memories]).select("key", "source_no", "id")
 )
+
+
+def _migrated(t: Tables) -> DataFrame:
+    """Memories with vectors, encoded as a row store keeps them, through a whole migration of memories and edges."""
+
+    @F.arrow_udf("binary")
+    def packed(vectors):
+        import numpy as np
+        import pyarrow as pa
+
+        return pa.array([None if v is None else np.asarray(v, "<f4").tobytes() for v in vectors.to_pylist()], pa.binary())
+
+    own = t.memories.join(t.vectors, "id", "left").withColumn("vector", packed("vector")).withColumn("retracted", F.col("retracted").cast("int"))
+    rows = {"memories": own.withColumn("tags", F.to_json("tags")).withColumn("created_at", F.unix_millis(F.col("created_at").cast("timestamp"))), "edges": t.edges.withColumn("last_activated", F.col("last_activated").cast("string"))}
+    m = MG.Migration(t.spark, _fresh(t, "migrated"), rows, {n: MG.TABLES[n] for n in rows}, rows_per_chunk=250_000)
+    m.run()
+    degree = m.load("edges").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_edges"), F.max(F.unix_micros("last_activated")).alias("last_us"))
+    return m.load("memories").join(degree, "id", "left").select("id", "agent", "stage", "retracted", F.array_join("tags", "|").alias("tags"), F.size("vector").alias("width"), F.get("vector", F.lit(0)).alias("first"), F.unix_micros("created_at").alias("created_us"), "n_edges", "last_us")
+
+
+query("s13_migrated", "with g as (select src, count(*) as n_edges, max(epoch_us(last_activated::timestamp)) as last_us from edges group by 1) select m.id, agent, stage, retracted, array_to_string(tags, '|') as tags, case when e.embedding is null then null else len(e.embedding)::int end as width, e.embedding[1]::float as first, epoch_us(created_at) as created_us, n_edges, last_us from memories m left join embeddings e on e.vec_id = m.id left join g on g.src = m.id")(_migrated)
+
+
 query("s14_transcript", """with r as (select *, row_number() over (partition by conv_id order by turn desc) as rn from conversations)
   select conv_id as session, substr(min_by(text, case when role = 'user' then rn end), 1, 200) as last_user from r where rn <= 100 group by conv_id""")(
     lambda t: X.transcript_summary(t.conversations.select(F.col("conv_id").alias("session"), F.col("turn").alias("line_no"), "role", "text", F.lit(None).cast("string").alias("file"), F.lit(None).cast("string").alias("tool"))).select("session", "last_user")
