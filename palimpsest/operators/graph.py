@@ -127,6 +127,38 @@ def graph_walk(pool: DataFrame, edges: DataFrame, beam: int = 15, hop: float = 0
     return total.select(*by, "id", F.greatest(F.lit(0.0), F.least("b", 0.25 - F.col("graph_boost"))).alias("boost"))
 
 
+def beam_walk(pool: DataFrame, edges: DataFrame, beam: int = 15, hop: float = 0.3, by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, boost): as graph_walk, but no member gains from one that stands after it in a beam, and the second
+    hop starts from the members' own scores.  Recall walks this way.
+
+    A beam is the best of a subgraph by score; the second holds those that the first reached, one place for every way
+    there.  What a beam before or an earlier place has explored gains nothing more."""
+    share = F.create_map(*[F.lit(x) for k, (g, _) in SUBGRAPHS.items() for x in (k, g)])
+    kind = F.lit(None).cast("string")
+    for k, (_, types) in SUBGRAPHS.items():
+        kind = F.when(F.col("type").isin(*types), k).otherwise(kind)
+    own = pool.select(*by, "id", "score", "text_match", F.coalesce("graph_boost", F.lit(0.0)).alias("graph_boost"))
+    ends = own.select(*by, F.col("id").alias("other"), F.col("text_match").alias("other_text"), F.col("score").alias("other_score"))
+    near = undirected(edges).withColumn("sub", kind).where("sub is not null and id != other")
+    near = (near.join(own.select(*by, "id"), "id") if by else near.join(own.select("id"), "id", "left_semi")).join(ends, [*by, "other"])
+    key, width = [*by, "sub"], F.greatest(F.lit(3), F.ceil(F.lit(beam) * F.element_at(share, F.col("sub"))))
+    place = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    first = own.where("text_match >= 0.15").withColumn("sub", F.explode(F.array(*map(F.lit, SUBGRAPHS)))).withColumn("rn", place(F.desc("score"), "id")).where(F.col("rn") <= width).select(*key, "id", "score", "rn")
+
+    def step(now: DataFrame, depth: int, least: float) -> DataFrame:
+        after = now.select(*key, F.col("id").alias("other"), F.col("rn").alias("other_rn"))
+        out = now.join(near, [*key, "id"]).where(F.col("other_text") >= least).join(after, [*key, "other"], "left").where("other_rn is null or other_rn > rn")
+        gain = F.col("score") * F.least(F.col("weight"), F.lit(5.0)) / 5 * F.when(F.col("sub") == "causal", 2.0).otherwise(1.0) * hop ** (depth + 1)
+        return out.withColumn("boost", F.least(gain * F.element_at(share, F.col("sub")), F.lit(0.15))).where("boost > 0.001").select(*key, F.col("other").alias("id"), F.col("other_score").alias("score"), "boost")
+
+    explored = first.select(*key, "id")
+    one = step(first, 0, 0.1)
+    second = one.withColumn("rn", place(F.desc("score"), "id")).where(F.col("rn") <= width).groupBy(*key, "id").agg(F.min("score").alias("score"), F.min("rn").alias("rn")).join(explored, [*key, "id"], "left_anti")
+    two = step(second, 1, 0.05).join(explored, [*key, "id"], "left_anti")
+    total = one.unionByName(two).groupBy(*by, "id").agg(F.sum("boost").alias("b")).join(own.select(*by, "id", "graph_boost"), [*by, "id"])
+    return total.select(*by, "id", F.least("b", 0.25 - F.col("graph_boost")).alias("boost")).where("boost > 0.001")
+
+
 def spreading_activation(pool: DataFrame, edges: DataFrame, rounds: int = 3, keep: float = 0.5, eps: float = 0.01, budget: int = 64) -> DataFrame:
     """(id, activation) after spreading from the pool over fan-normalised edges, normalised to 1 at most.
     The number of rounds is fixed, so the plan has a fixed number of joins; each round keeps ``budget`` nodes."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest.config import MODES, RecallConfig
 from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
+from palimpsest.functions import vector as V
 from palimpsest.operators import graph, models, search, windows
 
 
@@ -51,10 +52,11 @@ def found(live: DataFrame, text: str, most: int, index: str | None = None) -> Da
     return search.bm25(live, text, most) if index is None else search.indexed_bm25(live.sparkSession, index, text, most)
 
 
-def text_hits(live: DataFrame, scope: DataFrame, text: str, most: int, index: str | None = None) -> DataFrame:
+def text_hits(live: DataFrame, scope: DataFrame, text: str, most: int, index: str | None = None, expanded: str | None = None) -> DataFrame:
     """(id, score): the best of two passes, by the query's keywords and by the query with what its pronouns may mean."""
+    expanded = expanded_query(scope, text) if expanded is None else expanded
     keywords = " ".join(dict.fromkeys(w for w in text.lower().split() if len(w) > 2 and w not in T.STOPWORDS))
-    passes = [found(live, q, most, index) for q in dict.fromkeys([keywords, expanded_query(scope, text)]) if len(q) > 2 or q != keywords]
+    passes = [found(live, q, most, index) for q in dict.fromkeys([keywords, expanded]) if len(q) > 2 or q != keywords]
     return search.merged_text_hits(*passes or [found(live, text, most, index)])
 
 
@@ -78,8 +80,8 @@ def scored(candidates: DataFrame, memories: DataFrame, edges: DataFrame, text: s
 
 
 def feedback_terms(pool: DataFrame, text: str, top: int = 3, most: int = 5) -> list[str]:
-    """New words of the best hits, in order: a handful of rows on the driver."""
-    rows = pool.where("text_match > 0.1").orderBy(F.desc(F.round("composite", 9)), "id").limit(top).select("content").collect()
+    """New words of the best rows, in order, of those of them that match: a handful of rows on the driver."""
+    rows = [r for r in pool.orderBy(F.desc(F.round("composite", 9)), "id").limit(top).select("content", "text_match").collect() if r["text_match"] > 0.1]
     asked = {w for w in text.lower().split()}
     out: dict[str, None] = {}
     for r in rows:
@@ -89,6 +91,16 @@ def feedback_terms(pool: DataFrame, text: str, top: int = 3, most: int = 5) -> l
     return list(out)[:most]
 
 
+def added(late: DataFrame, as_of: Column, mode: str) -> DataFrame:
+    """The composites of rows that feedback adds: at the default decay, with their links' strength but without centrality and
+    bonus.  Their own similarity counts as a match; the gate's largest cosine is that of the first candidates alone."""
+    out = late.withColumn("decay", S.base_level("access_count", S.days_between(as_of, F.col("created_at"))))
+    temporal = F.least(S.softplus(F.col("decay") + F.col("hebbian")), F.lit(3.0)) / 3
+    m = MODES[mode]
+    out = out.withColumn("composite", S.gated_composite("text_match", temporal, 0.0, 0.0, "confidence", m.text, m.temporal))
+    return out.withColumn("similarity", F.lit(None).cast("double"))
+
+
 def _beside(df: DataFrame, one: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Rows with the one row of their group, or of all."""
     return df.join(one, [*by]) if by else df.join(F.broadcast(one))
@@ -99,7 +111,8 @@ def _best_first(by: tuple[str, ...], *order: Column | str) -> Column:
 
 
 def bridged(pool: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The pool with boosts for entity tags shared with the two best anchors.
+    """The pool with boosts for entity tags shared with the two best text matches, the anchors; the further a row's own match is
+    below the best one, the more.  Anchors gain nothing.
 
     Tags on more than 30 % of a pool of over ten say nothing.  With columns ``by`` every value has a pool of its own."""
     tags = pool.select(*by, "id", "text_match", F.explode(F.transform("tags", F.lower)).alias("tag"))
@@ -107,17 +120,18 @@ def bridged(pool: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     size = pool.groupBy(*by).agg(F.count("*").alias("size"))
     df = _beside(tags.groupBy(*by, "tag").agg(F.count("*").alias("df")), size, by).where("size <= 10 or df <= 0.3 * size").select(*by, "tag")
     anchors = pool.where("text_match > 0.15").withColumn("rn", _best_first(by, F.desc("text_match"), "id")).where("rn <= 2")
-    near = anchors.select(*by, F.col("id").alias("anchor"), F.col("text_match").alias("best"), F.explode(F.transform("tags", F.lower)).alias("tag")).distinct()
-    shared = near.join(df, [*by, "tag"]).join(tags, [*by, "tag"]).where("id != anchor").groupBy(*by, "id", "anchor", "best").agg(F.count("*").alias("k"))
-    boost = shared.join(pool.select(*by, "id", F.col("text_match").alias("own")), [*by, "id"]).select(*by, "id", (F.least(F.lit(0.4), 0.15 * F.col("k")) * F.greatest(F.lit(0.0), F.col("best") - F.col("own"))).alias("b"))
-    boost = boost.groupBy(*by, "id").agg(F.max("b").alias("b"))
+    asked = anchors.select(*by, F.explode(F.transform("tags", F.lower)).alias("tag")).distinct()
+    best = anchors.groupBy(*by).agg(F.max("text_match").alias("best"))
+    shared = asked.join(df, [*by, "tag"]).join(tags, [*by, "tag"]).groupBy(*by, "id").agg(F.count("*").alias("k")).join(anchors.select(*by, "id"), [*by, "id"], "left_anti")
+    gap = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("best") - F.col("text_match")) / F.col("best")))
+    boost = _beside(shared.join(pool.select(*by, "id", "text_match"), [*by, "id"]), best, by).select(*by, "id", (F.least(F.lit(0.4), 0.15 * F.col("k")) * gap).alias("b"))
     out = pool.join(boost, [*by, "id"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
     return out.withColumn("composite", F.col("composite") + F.col("b")).withColumn("graph_boost", F.col("graph_boost") + F.col("b")).drop("b")
 
 
 def walked(pool: DataFrame, edges: DataFrame, mode: str, by: tuple[str, ...] = ()) -> DataFrame:
     m = MODES[mode]
-    boosts = graph.graph_walk(pool.select(*by, "id", F.col("composite").alias("score"), "text_match", "graph_boost"), edges, m.beam, m.hop, by)
+    boosts = graph.beam_walk(pool.select(*by, "id", F.col("composite").alias("score"), "text_match", "graph_boost"), edges, m.beam, m.hop, by)
     out = pool.join(boosts, [*by, "id"], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
     return out.withColumn("composite", F.col("composite") + F.col("boost")).withColumn("graph_boost", F.col("graph_boost") + F.col("boost")).drop("boost")
 
@@ -152,7 +166,8 @@ def blended(pool: DataFrame, rerank: str | None = None, cfg: RecallConfig = Reca
 
 
 def gated(pool: DataFrame, cfg: RecallConfig, by: tuple[str, ...] = ()) -> DataFrame:
-    """Weak pools are damped or refused: few agreeing channels in the first five, or no margin."""
+    """Weak pools are damped or refused: few agreeing channels in the first five, or no margin; with ``cfg.abstain``
+    also by the best reranker scores and their spread."""
     ranked = pool.withColumn("rn", _best_first(by, F.desc(F.round("final", 9)), "id"))  # the pool is cut before: a few dozen rows
     five = F.col("rn") <= 5
     stats = ranked.groupBy(*by).agg(
@@ -160,15 +175,17 @@ def gated(pool: DataFrame, cfg: RecallConfig, by: tuple[str, ...] = ()) -> DataF
         sum((F.coalesce(F.max((five & (F.col(c) > least)).cast("int")), F.lit(0)) for c, least in (("score", 0.3), ("vector_match", 0.05), ("reranker", 0.25))), F.lit(0)).alias("channels"),
         F.coalesce(F.max("similarity"), F.lit(1.0)).alias("max_cosine"),
         F.slice(F.sort_array(F.collect_list(F.when(five, F.col("reranker"))), asc=False), 1, 2).alias("two"),
-        F.max(F.when(five, F.col("final"))).alias("top"), F.coalesce(F.var_pop(F.when(five, F.col("final"))), F.lit(0.0)).alias("variance"),
+        F.slice(F.sort_array(F.collect_list("reranker"), asc=False), 1, 5).alias("best"),
     )
     stats = stats.withColumn("margin", F.get("two", F.lit(0)) - F.coalesce(F.get("two", F.lit(1)), F.lit(0.0))).drop("two")
+    mean = F.aggregate("best", F.lit(0.0), lambda s, x: s + x) / F.size("best")
+    stats = stats.withColumn("top", F.get("best", F.lit(0))).withColumn("mean", mean).withColumn("variance", F.aggregate("best", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("best")).drop("best", "mean")
     out = _beside(ranked, stats, by)
     weak = (F.col("size") >= 3) & ((F.col("channels") < 2) | (F.col("margin") < 0.05))
     floor = 0.5 if MODES[cfg.mode].gate > 0.5 else 0.35
     refused = (F.col("size") >= 3) & (F.col("channels") < (3 if cfg.abstain > 0 else 2)) & (F.col("max_cosine") < floor)
     if cfg.abstain > 0:
-        refused |= weak | (F.col("top") < cfg.abstain) | ((F.col("top") < 0.5) & (F.col("variance") < 0.01))
+        refused |= weak | ((F.col("size") >= 3) & ((F.col("top") < cfg.abstain) | ((F.col("top") < 0.5) & (F.col("variance") < 0.01))))
     out = out.where(~refused)
     if cfg.abstain <= 0 and cfg.weak_pool_penalty:
         out = out.withColumn("final", F.when(weak, F.col("final") * 0.4).otherwise(F.col("final")))
@@ -191,7 +208,8 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
     mode = query_mode(memories.sparkSession, text) if cfg.mode == "auto" else cfg.mode
     cfg = replace(cfg, mode=mode)
     live = in_scope(memories, cfg, agents)
-    hits = text_hits(live, memories.where(F.col("agent").isin(*agents)) if agents else memories, text, 3 * cfg.limit, index)
+    expanded = expanded_query(memories.where(F.col("agent").isin(*agents)) if agents else memories, text)
+    hits = text_hits(live, memories, text, 3 * cfg.limit, index, expanded)
     if vector is not None and embeddings is not None:
         near = search.vector_top(live, embeddings, vector, max(50, 5 * cfg.limit), 0.40 if MODES[mode].gate > 0.5 else 0.30, cfg.include_stages)
         candidates = search.hybrid_candidates(hits, near)
@@ -203,20 +221,22 @@ def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None,
     pool = pinned(scored(candidates, live.where(F.col("id").isin(ids)), near, text, as_of, mode), 6 * cfg.limit + max(50, 5 * cfg.limit))
     extra = feedback_terms(pool, text)
     if extra:
-        more = pinned(found(live, " ".join(extra), 2 * cfg.limit, index).where(~F.col("id").isin(ids)).select("id", "score", F.lit(None).cast("double").alias("similarity")), 2 * cfg.limit)
+        more = pinned(found(live, " ".join([expanded, *extra]), 2 * cfg.limit, index).where(~F.col("id").isin(ids)).select("id", "score"), 2 * cfg.limit)
         late_ids = [r["id"] for r in more.select("id").collect()]
         if late_ids:
             near.unpersist()
             near = edges_at(edges, ids + late_ids)
-        late = scored(more, live.where(F.col("id").isin(late_ids)), near, text, as_of, mode)
-        # what feedback adds is scored without links and bonus, at the default decay
-        age = S.days_between(as_of, F.col("created_at"))
-        temporal = F.least(S.softplus(S.base_level("access_count", age)), F.lit(3.0)) / 3
-        late = late.withColumn("composite", S.gated_composite("text_match", temporal, 0.0, 0.0, "confidence", MODES[mode].text, MODES[mode].temporal))
+        if vector is not None and embeddings is not None:
+            asked = F.array(*[F.lit(float(x)) for x in vector])
+            own = embeddings.where(F.col("id").isin(late_ids)).select("id", V.cosine(F.col("vector"), asked).alias("similarity"))
+            more = more.join(own, "id", "left")
+        else:
+            more = more.withColumn("similarity", F.lit(None).cast("double"))
+        late = added(scored(more, live.where(F.col("id").isin(late_ids)), near, text, as_of, mode), as_of, mode)
         pool = pool.unionByName(late)
-    pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), 11 * cfg.limit)
-    pool = bridged(pool)
-    pool = pinned(query_bridged(pool, text) if cfg.query_bridge else pool, 11 * cfg.limit)
+    pool = bridged(pinned(pool, 8 * cfg.limit + max(50, 5 * cfg.limit)))
+    pool = query_bridged(pool, text) if cfg.query_bridge else pool
+    pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), 8 * cfg.limit)
     pool = walked(pool, near, mode).where(F.col("composite") >= cfg.min_score)
     pool = pinned(pool.orderBy(F.desc(F.round("composite", 9)), "id"), max(4 * cfg.limit, 40))
     near.unpersist()

@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import MODES, RecallConfig
-from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
+from palimpsest.functions import vector as V
 from palimpsest.operators import models, nearest, search
 from palimpsest.operators.search import K1, B
 from palimpsest.plans import recall as R
@@ -152,7 +152,8 @@ def recall_many(memories: DataFrame, edges: DataFrame, vectors: DataFrame | None
         if index is None:
             index = f"{scratch.folder}/index"
             store_index(live, index)
-        hits = search_many(spark, index, asked_terms(own, every), 3 * limit, scratch).groupBy("query", "id").agg(F.max("score").alias("score"))
+        asked = scratch.stored(asked_terms(own, every), "asked")
+        hits = search_many(spark, index, asked, 3 * limit, scratch).groupBy("query", "id").agg(F.max("score").alias("score"))
         if vectors is not None:
             most, floor = max(50, 5 * limit), 0.40 if MODES[cfg.mode].gate > 0.5 else 0.30
             seen = live.where(~F.col("retracted")).select("id", F.col("scope").alias("list"))
@@ -166,17 +167,23 @@ def recall_many(memories: DataFrame, edges: DataFrame, vectors: DataFrame | None
         score = lambda c: R.scored(c.join(texts, "query"), rows, edges, F.col("__text"), as_of, cfg.mode)
         pool = scratch.stored(score(found), "pool")
         # words of the three best rows that the query has not
-        best = _cut(pool.where("text_match > 0.1"), 3, *_composite()).withColumn("rn", R._best_first(BY, *_composite()))
+        best = _cut(pool, 3, *_composite()).withColumn("rn", R._best_first(BY, *_composite())).where("text_match > 0.1")
         told = best.groupBy("query", "__scope", "__text").agg(F.array_sort(F.collect_list(F.struct("rn", F.coalesce("content", F.lit("")).alias("content")))).alias("c"))
         new = F.filter(F.array_distinct(_split(F.array_join(F.transform("c", lambda x: x.content), " "))), lambda w: (F.length(w) >= 4) & ~F.array_contains("__asked", w) & ~w.isin(*T.STOPWORDS))
-        extra = told.withColumn("__asked", _split(F.col("__text"))).select("query", F.col("__scope").alias("scope"), F.lit(0).alias("pass"), F.explode(_terms(F.array_join(F.slice(new, 1, 5), " "))).alias("term"))
-        more = search_many(spark, index, extra, 2 * limit, scratch).join(found.select("query", "id"), ["query", "id"], "left_anti")
-        late = score(more.select("query", "id", "score", F.lit(None).cast("double").alias("similarity")))
-        temporal = F.least(S.softplus(S.base_level("access_count", S.days_between(as_of, F.col("created_at")))), F.lit(3.0)) / 3
-        late = late.withColumn("composite", S.gated_composite("text_match", temporal, 0.0, 0.0, "confidence", MODES[cfg.mode].text, MODES[cfg.mode].temporal))
-        pool = scratch.stored(_cut(pool.unionByName(late), 11 * limit, *_composite()), "all")
-        pool = R.bridged(pool, BY)
-        pool = scratch.stored(R.query_bridged(pool, F.col("__text"), BY) if cfg.query_bridge else pool, "bridged")
+        told = scratch.stored(told.withColumn("__asked", _split(F.col("__text"))).select("query", F.col("__scope").alias("scope"), F.slice(new, 1, 5).alias("new")).where(F.size("new") > 0), "told")
+        # they are asked together with the query
+        terms = told.select("query", "scope", F.explode(_terms(F.array_join("new", " "))).alias("term"))
+        terms = terms.unionByName(asked.where("pass = 1").join(told.select("query"), "query", "left_semi").select("query", "scope", "term")).distinct()
+        more = search_many(spark, index, terms.withColumn("pass", F.lit(0)), 2 * limit, scratch).join(found.select("query", "id"), ["query", "id"], "left_anti").select("query", "id", "score")
+        if vectors is not None:
+            pairs = more.join(own.select("query", F.col("vector").alias("__asked")), "query").join(vectors.select("id", "vector"), "id")
+            more = more.join(pairs.select("query", "id", V.cosine(F.col("vector"), F.col("__asked")).alias("similarity")), ["query", "id"], "left")
+        else:
+            more = more.withColumn("similarity", F.lit(None).cast("double"))
+        late = R.added(score(scratch.stored(more, "more")), as_of, cfg.mode)
+        pool = R.bridged(scratch.stored(pool.unionByName(late), "all"), BY)
+        pool = R.query_bridged(pool, F.col("__text"), BY) if cfg.query_bridge else pool
+        pool = scratch.stored(_cut(pool, 8 * limit, *_composite()), "bridged")
         pool = R.walked(pool, edges, cfg.mode, BY).where(F.col("composite") >= cfg.min_score)
         pool = scratch.stored(_cut(pool, max(4 * limit, 40), *_composite()), "walked")
         if scorer is not None:
