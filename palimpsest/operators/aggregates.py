@@ -125,9 +125,9 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Rank correlation of each group by positions (ties in order of id); 0 under two rows."""
     wx, wy = (Window.partitionBy(*by).orderBy(c, "id") for c in (x, y))
     r = df.withColumn("rx", F.row_number().over(wx)).withColumn("ry", F.row_number().over(wy))
-    n = F.count("*")
-    d2 = F.sum((F.col("rx") - F.col("ry")) * (F.col("rx") - F.col("ry")))
-    return r.groupBy(*by).agg(F.when(n < 2, 0.0).otherwise(1 - 6 * d2 / (n * (n * n - 1))).alias("rho"))
+    n, d = F.count("*"), F.col("rx").cast("long") - F.col("ry")
+    d2 = F.sum((d * d).cast("decimal(20,0)"))  # past a long from some millions of rows on
+    return r.groupBy(*by).agg(F.when(n < 2, 0.0).otherwise(1 - (6 * d2).cast("double") / (n.cast("double") * (n * n - 1))).alias("rho"))
 
 
 def dedup_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
