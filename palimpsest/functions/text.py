@@ -133,10 +133,11 @@ def index_terms(text: Column) -> Column:
 
 def classify_query(text: Column) -> Column:
     """targeted, exploratory or balanced by the marks of each that the text has."""
-    n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    n = F.size(F.filter(F.split(text, r"[\t\n\f\r ]+"), lambda w: w != ""))
     low = F.lower(text)
-    marks = [(text, r"[A-Z]+-\d+", 2), (text, r"[a-z][A-Z]", 1), (text, r"\w+_\w+", 1), (low, r"[0-9a-f]{8}-[0-9a-f]{4}", 2), (text, r"[\"']", 1), (text, r"[/\\]", 1), (F.trim(text), r"\.\w{1,4}$", 1)]
-    vague = [(text, r"(?i)^(what|how|why|when|where|who|which|can|does|is|are)\b"), (low, r"\b(overview|general|about|related|similar|like|broad|concept|idea|approach|strategy)\b"), (low, r"\b(any|all|everything|anything)\b")]
+    # letters, digits and _ of ASCII make words: the JVM's own \b takes others for letters too, and its $ stands before a last line break
+    marks = [(text, r"[A-Z]+-\d+", 2), (text, r"[a-z][A-Z]", 1), (text, r"\w+_\w+", 1), (low, r"[0-9a-f]{8}-[0-9a-f]{4}", 2), (text, r"[\"']", 1), (text, r"[/\\]", 1), (F.trim(text), r"\.\w{1,4}\z", 1)]
+    vague = [(text, r"(?iu)^(what|how|why|when|where|who|which|can|does|is|are)(?!\w)"), (low, r"(?<!\w)(overview|general|about|related|similar|like|broad|concept|idea|approach|strategy)(?!\w)"), (low, r"(?<!\w)(any|all|everything|anything)(?!\w)")]
     score = F.when(n <= 5, 2).when(n <= 8, 1).otherwise(0) - F.when(n > 15, 2).when(n > 10, 1).otherwise(0)
     for c, p, w in marks:
         score = score + F.when(c.rlike(p), w).otherwise(0)
