@@ -41,12 +41,21 @@ def co_activated(activations: DataFrame, window_seconds: int = 10, by: str | Non
 
 
 def resolved_feedback(feedback: DataFrame, activations: DataFrame, seconds: int = 60) -> DataFrame:
-    """Feedback with the latest activation of the same memory in the seconds before it."""
+    """Feedback with the latest activation of the same memory in the seconds before it.
+
+    Both are sorted together by time within a memory's bucket, and what stands last of the activations before a row is its
+    latest there; else it is the last of the bucket before.  No row meets more than one other, however many a memory has."""
     width = seconds * 1_000_000
-    f = feedback.select(F.col("event_id").alias("feedback_id"), "memory_id", "useful", _micros("ts").alias("tf")).withColumn("bucket", F.explode(F.array(F.floor(F.col("tf") / width), F.floor(F.col("tf") / width) - 1)))
-    a = activations.select("memory_id", "event_id", _micros("ts").alias("ta")).withColumn("bucket", F.floor(F.col("ta") / width))
-    hit = f.join(a, ["memory_id", "bucket"]).where((F.col("ta") <= F.col("tf")) & (F.col("tf") - F.col("ta") <= width))
-    return hit.groupBy("feedback_id", "memory_id", "useful").agg(F.max_by("event_id", F.struct("ta", "event_id")).alias("activation_id"))
+    bucket = F.floor(F.col("t") / width).cast("long").alias("bucket")
+    none = lambda c: F.lit(None).cast(feedback.schema[c].dataType).alias(c)
+    f = feedback.where("memory_id is not null and ts is not null").select("memory_id", "event_id", "useful", _micros("ts").alias("t"), F.lit(1).alias("kind"))
+    a = activations.where("memory_id is not null and ts is not null").select("memory_id", "event_id", none("useful"), _micros("ts").alias("t"), F.lit(0).alias("kind"))
+    found = F.when(F.col("kind") == 0, F.struct("t", "event_id"))
+    carried = a.select("memory_id", "t", "event_id", bucket).groupBy("memory_id", (F.col("bucket") + 1).alias("bucket")).agg(F.max(F.struct("t", "event_id")).alias("carried"))
+    w = Window.partitionBy("memory_id", "bucket").orderBy("t", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    both = f.unionByName(a).select("*", bucket).withColumn("own", F.last(found, ignorenulls=True).over(w)).where("kind = 1")
+    hit = both.join(carried, ["memory_id", "bucket"], "left").withColumn("x", F.coalesce("own", "carried")).where(F.col("t") - F.col("x.t") <= width)
+    return hit.groupBy(F.col("event_id").alias("feedback_id"), "memory_id", "useful").agg(F.max("x").alias("x")).select("feedback_id", "memory_id", "useful", F.col("x.event_id").alias("activation_id"))
 
 
 def active_session(events: DataFrame, as_of_micros: int, key: str = "agent", gap_seconds: int = 3600) -> DataFrame:
