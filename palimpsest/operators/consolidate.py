@@ -2,83 +2,126 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import ConsolidationConfig
 from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
 from palimpsest.operators.aggregates import nearest_rank
+from palimpsest.operators.nearest import _matrix
 
 CFG = ConsolidationConfig()
 
 
-def similar_pairs(vectors: DataFrame, least: float, block: int = 512) -> DataFrame:
+BLOCK = 8192  # vectors of one block; what moves is each vector once for every block of its agent
+ROWS = 256  # rows of a product at a time
+
+
+def _block_pairs(vectors: DataFrame, block: int) -> GroupedData:
+    """An agent's vectors in blocks, each two of which meet in one group (agent, i, j)."""
+    n = vectors.groupBy("agent").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = vectors.join(n, "agent").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("blocks", "other").groupBy("agent", "i", "j")
+
+
+def _near(t: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of one block, row of the other, similarity) of the pairs of a group above a similarity, some rows at a time."""
+    block, ids, v = np.asarray(t.column("block")), np.asarray(t.column("id")), _matrix(t.column("vector"))
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    for s in range(0, len(left), ROWS):
+        sim = v[left[s : s + ROWS]] @ v[right].T
+        x, y = np.nonzero(sim >= least - 1e-6)
+        value = np.clip(sim[x, y], -1, 1)
+        x, y = left[s + x], right[y]
+        keep = np.round(value, 6) >= least
+        keep &= ids[x] < ids[y] if i == j else True
+        yield x[keep], y[keep], value[keep]
+
+
+def similar_pairs(vectors: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(agent, a, b, similarity), a < b: pairs of an agent's memories above a similarity.
 
     Vectors are dealt to blocks; two blocks meet in one task, which multiplies their
     matrices, so what moves is blocks and what comes out is only similar pairs."""
-    n = vectors.groupBy("agent").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = vectors.select("agent", "id", "vector").join(n, "agent").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("agent", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "vector")
-
-    def multiply(key, t):
-        import numpy as np
-        import pyarrow as pa
-
-        block, ids = np.array(t.column("block")), np.array(t.column("id"))
-        v = np.array(t.column("vector").to_pylist(), float).reshape(len(ids), -1)
-        left = block == key[1].as_py()
-        right = left if key[1] == key[2] else ~left
-        sim = np.clip(np.einsum("ik,jk->ij", v[left], v[right]), -1, 1)
-        x, y = np.nonzero(np.round(sim, 6) >= least)
-        a, b, s = ids[left][x], ids[right][y], sim[x, y]
-        if key[1] == key[2]:
-            keep = a < b
-            a, b, s = a[keep], b[keep], s[keep]
-        return pa.table({"agent": pa.array([key[0].as_py()] * len(a), t.schema.field("agent").type), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "similarity": pa.array(s)})
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        ids, agent = np.asarray(t.column("id")), t.column("agent")[0]
+        for x, y, value in _near(t, least):
+            a, b = ids[x], ids[y]
+            yield pa.RecordBatch.from_arrays([pa.repeat(agent, len(a)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(value)], names=["agent", "a", "b", "similarity"])
 
     agent = vectors.schema["agent"].dataType.simpleString()
-    return dealt.groupBy("agent", "i", "j").applyInArrow(multiply, f"agent {agent}, a long, b long, similarity double")
+    return _block_pairs(vectors.select("agent", F.col("id").cast("long").alias("id"), "vector"), block).applyInArrow(multiply, f"agent {agent}, a long, b long, similarity double")
 
 
 def clusters(memories: DataFrame, vectors: DataFrame, cfg: ConsolidationConfig = CFG) -> DataFrame:
     """(agent, cluster, id): greedy clusters from the most used memory on.
 
     A memory joins a cluster if it is close to one member and not too far from any.
-    The pairs come from Spark; the greedy pass is inherently in order, one agent at a time."""
-    live = memories.where("stage = 'active' and not retracted").select("agent", "id", "access_count")
-    pairs = similar_pairs(vectors.join(live.select("id"), "id", "left_semi"), cfg.complete_link).select("agent", "a", "b", "similarity")
-    nodes = live.join(vectors.select("id"), "id", "left_semi")
-
-    def greedy(key, left, right):
-        import pyarrow as pa
-
-        near: dict[int, dict[int, float]] = {}
-        for a, b, s in zip(*(right.column(c).to_pylist() for c in ("a", "b", "similarity"))):
-            near.setdefault(a, {})[b] = s
-            near.setdefault(b, {})[a] = s
-        order = [i for _, i in sorted((-(n or 0), i) for i, n in zip(left.column("id").to_pylist(), left.column("access_count").to_pylist()))]
-        place = {i: k for k, i in enumerate(order)}
-        used: set[int] = set()
-        out: list[tuple[int, int]] = []
-        for seed in order:
-            if seed in used or seed not in near:
+    The greedy pass is inherently in order, one agent at a time: it holds the agent's vectors, and no pairs."""
+    live = memories.where("stage = 'active' and not retracted").select("agent", F.col("id").cast("long").alias("id"), "access_count")
+    nodes = live.join(vectors.select("id", "vector"), "id").select("agent", "id", "access_count", "vector")
+    link = lambda s: np.round(s, 6) >= cfg.complete_link
+
+    def greedy(t: pa.Table) -> pa.Table:
+        ids, used = np.asarray(t.column("id")), -np.asarray(t.column("access_count").fill_null(0))
+        order = np.lexsort((ids, used))
+        ids, v = ids[order], _matrix(t.column("vector"))[order]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for _, members in _clustered(v, link, cfg.cluster_similarity):
+            out.append((np.full(len(members), ids[members[0]]), ids[members]))
+        cluster, member = (np.concatenate(c) for c in zip(*out)) if out else (ids[:0], ids[:0])
+        return pa.table({"agent": pa.repeat(t.column("agent")[0], len(member)), "cluster": pa.array(cluster, pa.int64()), "id": pa.array(member, pa.int64())})
+
+    agent = memories.schema["agent"].dataType.simpleString()
+    return nodes.groupBy("agent").applyInArrow(greedy, f"agent {agent}, cluster long, id long")
+
+
+def _clustered(v: np.ndarray, link, close: float, many: int = 64) -> Iterator[tuple[int, list[int]]]:
+    """(seed, members) of clusters among vectors in order.  The seeds' products come ``many`` at a time with all free vectors."""
+    free, start = np.arange(len(v)), 0
+    taken = np.zeros(len(v), bool)
+    while start < len(v):
+        seeds = _next_free(taken, start, many)
+        if not seeds:
+            return
+        free = free[~taken[free]]
+        own = v[free]
+        sims = np.clip(v[seeds] @ own.T, -1, 1)
+        for seed, sim in zip(seeds, sims):
+            if taken[seed]:
                 continue
-            members = [seed]
-            for c in sorted(near[seed], key=place.__getitem__):  # a member is near to every other, so to the seed
-                if c not in used:
-                    s = [near.get(c, {}).get(m) for m in members]
-                    if None not in s and max(s) >= cfg.cluster_similarity:
-                        members.append(c)
+            near = np.flatnonzero(link(sim) & ~taken[free] & (free != seed))
+            # similarity to the closest member, for those that are linked with every one
+            at, most, vectors, members = free[near], sim[near], own[near], [int(seed)]
+            while len(hit := np.flatnonzero(most >= close)):
+                k = hit[0]  # those before it stood too far from the members so far and are past
+                members.append(int(at[k]))
+                s = np.clip(vectors[k + 1 :] @ vectors[k], -1, 1)
+                keep = link(s)
+                at, most, vectors = at[k + 1 :][keep], np.maximum(most[k + 1 :], s)[keep], vectors[k + 1 :][keep]
             if len(members) > 1:
-                used.update(members)
-                out += [(seed, m) for m in members]
-        return pa.table({"agent": pa.array([key[0].as_py()] * len(out), left.schema.field("agent").type), "cluster": pa.array([c for c, _ in out], pa.int64()), "id": pa.array([i for _, i in out], pa.int64())})
+                taken[members] = True
+                yield int(seed), members
+        start = int(seeds[-1]) + 1
 
-    agent = memories.schema["agent"].dataType.simpleString()
-    return nodes.groupBy("agent").cogroup(pairs.groupBy("agent")).applyInArrow(greedy, f"agent {agent}, cluster long, id long")
+
+def _next_free(taken: np.ndarray, start: int, many: int) -> list[int]:
+    """The first ``many`` places from ``start`` on that are not taken."""
+    width = many
+    while True:
+        found = start + np.flatnonzero(~taken[start : start + width])
+        if len(found) >= many or start + width >= len(taken):
+            return found[:many].tolist()
+        width *= 2
 
 
 def cluster_edges(members: DataFrame, memories: DataFrame, edges: DataFrame, cfg: ConsolidationConfig = CFG) -> DataFrame:
@@ -105,10 +148,30 @@ def synthesis(memories: DataFrame, prefix: str, cfg: ConsolidationConfig = CFG)
 
 def bridges(members: DataFrame, vectors: DataFrame, edges: DataFrame, cfg: ConsolidationConfig = CFG) -> DataFrame:
     """The most similar pair of each two clusters of an agent, both ways, where no edge leads from one to the other."""
-    pairs = similar_pairs(vectors.join(members.select("id"), "id", "left_semi"), cfg.bridge_similarity)
-    of = lambda c: members.select(F.col("id").alias(c), F.col("cluster").alias(f"c{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where("ca != cb and similarity > 0")
-    best = both.groupBy("agent", F.least("ca", "cb").alias("c1"), F.greatest("ca", "cb").alias("c2")).agg(F.max_by(F.struct("a", "b", "similarity"), F.struct(F.round("similarity", 6), -F.col("a"), -F.col("b"))).alias("x")).select("x.*")
+    own = vectors.select("agent", F.col("id").cast("long").alias("id"), "vector").join(members.select("id", F.col("cluster").cast("long").alias("cluster")), "id")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best pair of each two clusters in a product; the rest doesn't leave the task."""
+        t = pa.Table.from_batches(batches)
+        ids, cluster, agent = np.asarray(t.column("id")), np.asarray(t.column("cluster")), t.column("agent")[0]
+        names, code = np.unique(cluster, return_inverse=True)
+        best = np.full((len(names),) * 2, -2.0) if len(names) <= 2000 else None  # what a pair of clusters has reached: less can't win
+        for x, y, value in _near(t, cfg.bridge_similarity):
+            keep = (code[x] != code[y]) & (value > 0)
+            if best is not None:
+                keep &= value >= best[code[x], code[y]] - 1e-6
+            x, y, value = x[keep], y[keep], value[keep]
+            if best is not None:
+                np.maximum.at(best, (code[x], code[y]), value)
+                best = np.maximum(best, best.T)
+            a, b, c1, c2 = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), np.minimum(cluster[x], cluster[y]), np.maximum(cluster[x], cluster[y])
+            order = np.lexsort((b, a, -np.rint(value * 1e6), c2, c1))
+            first = order[np.append(True, (np.diff(c1[order]) != 0) | (np.diff(c2[order]) != 0))[: len(order)]]
+            yield pa.RecordBatch.from_arrays([pa.repeat(agent, len(first)), *(pa.array(c[first]) for c in (c1, c2, a, b, value))], names=["agent", "c1", "c2", "a", "b", "similarity"])
+
+    kind = vectors.schema["agent"].dataType.simpleString()
+    found = _block_pairs(own, BLOCK).applyInArrow(multiply, f"agent {kind}, c1 long, c2 long, a long, b long, similarity double")
+    best = found.groupBy("agent", "c1", "c2").agg(F.max_by(F.struct("a", "b", "similarity"), F.struct(F.round("similarity", 6), -F.col("a"), -F.col("b"))).alias("x")).select("x.*")
     top = best.orderBy(F.desc(F.round("similarity", 6)), "a", "b").limit(cfg.max_bridges)
     two = top.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "similarity"))).alias("e")).select("e.*")
     return two.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
@@ -144,29 +207,32 @@ def deleted(memories: DataFrame, edges: DataFrame, as_of: Column, cfg: Consolida
 def redundant(memories: DataFrame, vectors: DataFrame, cfg: ConsolidationConfig = CFG) -> DataFrame:
     """(agent, id, kept): weak memories that a better one of the agent covers, at most a cycle's number.
 
-    The order decides who survives, so the pass over similar pairs is greedy, one agent at a time."""
-    weak = memories.where("stage = 'active' and not retracted").select("agent", "id", "confidence", "access_count", (F.col("access_count") + 10 * F.col("confidence")).alias("value"))
-    pairs = similar_pairs(vectors.join(weak.select("id"), "id", "left_semi"), cfg.redundancy_similarity).select("agent", "a", "b")
-
-    def greedy(key, left, right):
-        import pyarrow as pa
-
-        info = {i: (c, n, v) for i, c, n, v in zip(*(left.column(x).to_pylist() for x in ("id", "confidence", "access_count", "value")))}
-        near: dict[int, list[int]] = {}
-        for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist()):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        gone: dict[int, int] = {}
-        for i in sorted(near, key=lambda i: (-info[i][2], i)):
-            if i in gone:
-                continue
-            for j in sorted(near[i], key=lambda j: (-info[j][2], j)):
-                if j not in gone and info[j][0] < 0.6 and info[j][1] < 3 and (info[j][2], -j) < (info[i][2], -i) and len(gone) < cfg.redundancy_cap:
-                    gone[j] = i
-        return pa.table({"agent": pa.array([key[0].as_py()] * len(gone), left.schema.field("agent").type), "id": pa.array(list(gone), pa.int64()), "kept": pa.array(list(gone.values()), pa.int64())})
+    The order decides who survives, so the pass is greedy, one agent at a time: it holds the agent's vectors, and no pairs."""
+    weak = memories.where("stage = 'active' and not retracted").select("agent", F.col("id").cast("long").alias("id"), "confidence", "access_count", (F.col("access_count") + 10 * F.col("confidence")).alias("value"))
+    nodes = weak.join(vectors.select("id", "vector"), "id").select("agent", "id", "confidence", "access_count", "value", "vector")
+
+    def greedy(t: pa.Table) -> pa.Table:
+        ids, value = np.asarray(t.column("id")), np.asarray(t.column("value"))
+        order = np.lexsort((ids, -value))
+        ids, v = ids[order], _matrix(t.column("vector"))[order]
+        left = np.flatnonzero((np.asarray(t.column("confidence"))[order] < 0.6) & (np.asarray(t.column("access_count"))[order] < 3))  # who may go
+        kept = np.full(len(ids), -1)
+        gone: list[int] = []
+        for s in range(0, len(ids), 64):
+            left = left[(kept[left] < 0) & (left > s)]
+            if len(gone) >= cfg.redundancy_cap or not len(left):
+                break
+            near = np.round(np.clip(v[s : s + 64] @ v[left].T, -1, 1), 6) >= cfg.redundancy_similarity
+            for i, row in enumerate(near, s):
+                if kept[i] < 0:
+                    new = left[row]
+                    new = new[(kept[new] < 0) & (new > i)][: cfg.redundancy_cap - len(gone)]
+                    kept[new] = i
+                    gone += new.tolist()
+        return pa.table({"agent": pa.repeat(t.column("agent")[0], len(gone)), "id": pa.array(ids[gone], pa.int64()), "kept": pa.array(ids[kept[gone]], pa.int64())})
 
     agent = memories.schema["agent"].dataType.simpleString()
-    return weak.groupBy("agent").cogroup(pairs.groupBy("agent")).applyInArrow(greedy, f"agent {agent}, id long, kept long")
+    return nodes.groupBy("agent").applyInArrow(greedy, f"agent {agent}, id long, kept long")
 
 
 def moved_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
