@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 16_384  # vectors of one product
-QUERIES = 2_048  # queries of one product
+QUERIES = 8_192  # queries of one product
 PLACES = 5  # decimals by which similarities are ranked, unless said otherwise
 
 

@@ -260,12 +260,9 @@ def entity_edges(memories: DataFrame, most: int = 6) -> DataFrame:
 
 def discovered_links(vectors: DataFrame, least: float = 0.7, most: int = 5) -> DataFrame:
     """Connection edges of each memory to its ``most`` most similar ones of the agent, both ways."""
-    from palimpsest.operators.consolidate import similar_pairs
-
-    p = similar_pairs(vectors, least).withColumn("similarity", F.round("similarity", 6))
-    both = p.select("agent", "similarity", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("agent", "e.src", "e.dst", "similarity")
-    w = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
-    top = both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select("src", "dst", "similarity")
+    own = vectors.select(F.col("agent").alias("list"), "id", "vector")
+    near = nearest.exact(own.withColumn("query", F.col("id")).withColumn("self", F.col("id")), own, most, least - 1e-6, places=6)
+    top = near.select(F.col("query").alias("src"), F.col("id").alias("dst"), F.round("similarity", 6).alias("similarity")).where(F.col("similarity") >= least)
     return top.unionByName(top.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "similarity")).distinct().select("src", "dst", F.lit("connection").alias("type"), F.col("similarity").alias("weight"))
 
 
