@@ -20,10 +20,14 @@ def sessions(events: DataFrame, gap_seconds: int = 3600, late: str = "10 minutes
 
 
 def confirmed_feedback(feedback: DataFrame, activations: DataFrame, seconds: int = 60, late: str = "1 minute") -> DataFrame:
-    """Feedback joined with activations of the same memory in the seconds before it."""
+    """Feedback joined with activations of the same memory in the seconds before it.
+
+    A row meets those of its memory in its own stretch of that many seconds and, for feedback, in the one before, not all in the state."""
+    stretch = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000)).cast("long")
     f = feedback.select(F.col("event_id").alias("feedback_id"), F.col("memory_id").alias("fm"), "useful", F.col("ts").alias("fts")).withWatermark("fts", late)
-    a = activations.select(F.col("event_id").alias("activation_id"), "memory_id", F.col("ts").alias("ats")).withWatermark("ats", late)
-    return f.join(a, F.expr(f"fm = memory_id and ats <= fts and ats >= fts - interval {seconds} seconds"))
+    f = f.withColumn("fs", F.explode(F.array(stretch("fts"), stretch("fts") - 1)))
+    a = activations.select(F.col("event_id").alias("activation_id"), "memory_id", F.col("ts").alias("ats")).withWatermark("ats", late).withColumn("astretch", stretch("ats"))
+    return f.join(a, F.expr(f"fm = memory_id and fs = astretch and ats <= fts and ats >= fts - interval {seconds} seconds")).drop("fs", "astretch")
 
 
 def co_activated(activations: DataFrame, seconds: int = 10, late: str = "1 minute") -> DataFrame:
