@@ -18,8 +18,10 @@ approximate, while the order is exact) with its own tie-breaking hash.
 3. Two classes of one key that are not its hub are both members of its hub.  Hubs
    whose members now lie in one component are done: pairs inside a component can
    change nothing.  Members of the hubs that stay open are compared in blocks by matrix products,
-   after the same filters, only across components; only links come out.  So no group
-   of copies is ever expanded into rows of pairs, and no link between components is lost.
+   after the same filters, only across components.  A task returns of the links that it
+   finds those that a spanning forest of its components needs, fewer than it has rows.  So no
+   group of copies is ever expanded into rows of pairs, and no components that a link joins
+   stay apart.
 
 Classes are told apart by 64 bits of hash, n-grams by 64 (48 within a pair), under a key
 drawn for each run (see ``_words``), so no text can be made to collide with another.
@@ -395,10 +397,30 @@ def _open(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.stored(named.join(several, "hub", "left_semi"), "open")
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the links (a, b) that join what those before them leave apart."""
+    _, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = code[: len(a)], code[len(a) :]
+    _, once = np.unique(np.minimum(a, b) * (len(code) + 1) + np.maximum(a, b), return_index=True)
+    root, keep = list(range(len(code))), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for k, x, y in zip(once.tolist(), a[once].tolist(), b[once].tolist()):
+        x, y = top(x), top(y)
+        if x != y:
+            root[y] = x
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
 def _linked_in_blocks(rest: DataFrame, own: DataFrame, kept: DataFrame, counts, grams: Grams, percent: int, scratch: Scratch) -> DataFrame:
     """Links between classes of one hub that are in different components: classes whose
     profile allows none go, the others are dealt to blocks of about BLOCK; a task compares
-    two blocks by a matrix product and returns only links."""
+    two blocks by a matrix product and returns only links, at most one less than it has labels."""
     hubs = rest.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = _dealt(rest, hubs).join(own, "class").select("hub", "i", "j", "block", "class", "label", "size", "profile")
     near = dealt.groupBy("hub", "i", "j").applyInArrow(lambda t: _prune(t, percent), "class long, hub long").distinct()
@@ -429,6 +451,8 @@ def _linked_in_blocks(rest: DataFrame, own: DataFrame, kept: DataFrame, counts,
             common = _common([cells[k] for k in at[0][rows]], [cells[k] for k in at[1][cols]])[back, down].astype(np.int64)
             linked = 100 * common >= percent * (size[at[0][i]] + size[at[1][j]] - common)
             i, j = i[linked], j[linked]
+            tree = _forest(label[at[0][i]], label[at[1][j]])
+            i, j = i[tree], j[tree]
         return pa.table({"a": pa.array(name[at[0][i]], pa.int64()), "b": pa.array(name[at[1][j]], pa.int64())})
 
     return scratch.stored(rows.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "links")
