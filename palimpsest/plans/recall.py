@@ -62,12 +62,14 @@ def text_hits(live: DataFrame, scope: DataFrame, text: str, most: int, index: st
 
 def scored(candidates: DataFrame, memories: DataFrame, edges: DataFrame, text: str | Column, as_of: Column, mode: str = "balanced") -> DataFrame:
     """Candidates (id, score, similarity) with every part of their score; ``text`` may be a column of theirs."""
-    m = MODES[mode]
-    words = T.tokens(F.lit(text))
-    own = candidates.join(memories, "id")
     stats = graph.edge_stats(edges, candidates if isinstance(text, str) else candidates.select("id").distinct())
-    own = own.join(stats, "id")
-    concept, content = T.tokens(F.col("concept")), T.tokens(F.col("content"))
+    own = candidates.join(memories, "id").join(stats, "id")
+    return scored_tokens(own, T.tokens(F.lit(text)), T.tokens(F.col("concept")), T.tokens(F.col("content")), as_of, mode)
+
+
+def scored_tokens(own: DataFrame, words: Column, concept: Column, content: Column, as_of: Column, mode: str = "balanced") -> DataFrame:
+    """As scored, of candidates with their memory's columns and links (n, sum_weight), from the tokens of query, concept and content."""
+    m = MODES[mode]
     own = own.withColumn("keyword_match", F.least(F.lit(1.0), F.greatest(F.col("score"), T.keyword_score(words, concept, content)) + 0.3 * T.concept_overlap(words, concept)))
     own = own.withColumn("vector_match", S.vector_match("similarity", 0.5 if m.gate > 0.5 else 0.35))
     own = own.withColumn("text_match", S.text_match("keyword_match", "vector_match"))
@@ -251,7 +253,7 @@ def stored_index(memories: DataFrame, path: str, cfg: RecallConfig = RecallConfi
     search.store_index(in_scope(memories, cfg, agents), path)
 
 
-def finished(pool: DataFrame, cfg: RecallConfig, by: tuple[str, ...] = ()) -> DataFrame:
+def finished(pool: DataFrame, cfg: RecallConfig, by: tuple[str, ...] = (), texts: tuple[str, ...] = ("concept", "content")) -> DataFrame:
     """The pool's final scores and why, with the recall's confidence; none of it where that is below ``cfg.require_confidence``.
 
     What was superseded keeps .15 of its score.  Confidence comes from the ten best scores."""
@@ -263,7 +265,7 @@ def finished(pool: DataFrame, cfg: RecallConfig, by: tuple[str, ...] = ()) -> Da
     if cfg.require_confidence > 0:
         out = out.where(F.col("confidence") >= cfg.require_confidence)
     why = T.explain({"text": F.col("text_match"), "vector": F.col("vector_match"), "links": F.col("hebbian"), "graph": F.col("graph_boost")})
-    return out.where(F.col("rn") <= cfg.limit).select(*by, "id", "agent", "concept", "content", "final", "text_match", "vector_match", "decay", "hebbian", "graph_boost", "composite", why.alias("why"), F.col("confidence").alias("recall_confidence"))
+    return out.where(F.col("rn") <= cfg.limit).select(*by, "id", "agent", *texts, "final", "text_match", "vector_match", "decay", "hebbian", "graph_boost", "composite", why.alias("why"), F.col("confidence").alias("recall_confidence"))
 
 
 def side_effects(results: DataFrame, memories: DataFrame) -> DataFrame:
