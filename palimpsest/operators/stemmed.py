@@ -1,6 +1,6 @@
 """Stemmed full text with cover-density ranking.
 
-Stems come from a table of the distinct words, so the stemmer runs once a word.  The index holds, for
+The stemmer runs once a word in each task.  The index holds, for
 each stem and memory, the places of the stem among the memory's words; words that are left out
 keep their place.  A cover is a shortest stretch that satisfies the query: of any of its stems,
 one place; of all of them, a stretch with each.  It adds .1, divided by one more than
@@ -23,7 +23,7 @@ from palimpsest.functions.stems import STOP, stem
 from palimpsest.operators.search import _bucket
 
 WEIGHT = 0.1  # fixed: of a place without a label
-MOST_WORDS = 500_000  # distinct words whose table is broadcast at most (some 20 bytes each); more are joined by a shuffle
+MOST_WORDS = 500_000  # distinct words whose stems a task remembers at most
 
 
 def _words(text: Column) -> Column:
@@ -46,15 +46,38 @@ def stem_table(memories: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "word string, stem string")
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, kinds)], names=["id", "agent", "stem", "places"])
+
+
 def store_stemmed(memories: DataFrame, path: str, buckets: int = 64) -> None:
     """Write the stem table, and postings (agent, id, stem, places) in folders by a hash of the stem."""
     spark = memories.sparkSession
     stem_table(memories).write.parquet(f"{path}/stems")
-    stems = spark.read.schema("word string, stem string").parquet(f"{path}/stems")
-    own = memories.select("id", "agent", F.posexplode(_words(_text())).alias("place", "word")).where(~F.col("word").isin(*STOP))
-    own = own.groupBy("id", "agent", "word").agg(F.collect_list("place").alias("places"))  # a memory's places of one word
-    own = own.join(F.broadcast(stems) if stems.count() <= MOST_WORDS else stems, "word")
-    post = own.groupBy("id", "agent", "stem").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = dict.fromkeys(STOP)  # of one task
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, agent, words in zip(*(batch.column(c).to_pylist() for c in ("id", "agent", "w"))):
+                places: dict[str, list[int]] = {}
+                for place, word in enumerate(words or ()):
+                    if word not in known:
+                        if len(known) > MOST_WORDS:
+                            known = dict.fromkeys(STOP)
+                        known[word] = stem(word)
+                    if known[word] is not None:
+                        places.setdefault(known[word], []).append(place)
+                rows += [(i, agent, s, p) for s, p in places.items()]
+                if len(rows) > 100_000:
+                    yield _batch(rows)
+                    rows = []
+            yield _batch(rows)
+
+    # a memory's words lie in one row, so its postings are made without a shuffle
+    own = memories.select(F.col("id").cast("long").alias("id"), F.col("agent").cast("string").alias("agent"), _words(_text()).alias("w"))
+    post = own.mapInArrow(run, "id long, agent string, stem string, places array<int>")
     post = post.withColumn("bucket", _bucket(F.col("stem"), buckets))
     spread = post.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "stem", "id")
     spread.write.partitionBy("bucket").parquet(f"{path}/postings")
