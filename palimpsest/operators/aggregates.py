@@ -89,8 +89,10 @@ def consensus_tags(memories: DataFrame, edges: DataFrame, least: int = 2, most:
     """Topic and entity tags that at least ``least`` neighbours of a memory share."""
     from palimpsest.operators.graph import undirected
 
-    tags = memories.select(F.col("id").alias("other"), F.explode("tags").alias("tag")).distinct()
-    near = undirected(edges).select("id", "other").distinct().join(tags, "other").groupBy("id", "tag").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    tags = memories.groupBy(F.col("id").alias("other")).agg(F.array_distinct(F.flatten(F.collect_list("tags"))).alias("tags"))
+    pairs = undirected(edges).select("id", "other").repartition("other").distinct()  # dealt once by the neighbour, whose tags are met there
+    met = pairs.join(tags, "other").repartition("id")  # and once by the memory, with whole arrays; tags are taken apart and counted there
+    near = met.select("id", F.explode("tags").alias("tag")).groupBy("id", "tag").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     w = Window.partitionBy("id").orderBy(F.desc("n"), "tag")
     return near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
 
