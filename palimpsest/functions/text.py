@@ -146,13 +146,45 @@ def classify_query(text: Column) -> Column:
     return F.when(score >= 2, "targeted").when(score <= -2, "exploratory").otherwise("balanced")
 
 
+def _held(pattern: str) -> str:
+    r"""A pattern of the form ``\b(one|other )\b`` with Java's bounds of words (letters, decimal digits, _ and marks upon
+    them) spelt out for RE2, whose own know ASCII alone."""
+    word = r"\pL\p{Nd}_"
+    some = pattern.removeprefix(r"\b(").removesuffix(r")\b").split("|")
+    ends = [("|".join(x for x in some if not x.endswith(" ")), rf"(?:[^{word}\p{{Mn}}]|\z)"), ("|".join(x for x in some if x.endswith(" ")), f"[{word}]")]
+    return rf"(?:\A|[^{word}\p{{Mn}}])\p{{Mn}}*(?:" + "|".join(f"(?:{x}){end}" for x, end in ends if x) + ")"
+
+
+_NAMES = r"(?:\.[ \t-\r]+)?[A-Z][a-z]+(?:[ \t-\r]+[A-Z][a-z]+)*"
+
+
 def auto_tags(concept: Column, content: Column) -> Column:
-    """Topic tags, up to five entity tags, then tags of the kind of knowledge."""
-    low = F.lower(F.concat_ws(" ", concept, content))
-    of = lambda table: F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(t)) for t, p in table.items()]))
-    names = F.transform(F.regexp_extract_all(content, F.lit(r"(?:^|\.\s+)?([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"), 0), lambda x: F.trim(x))
-    names = F.slice(F.array_distinct(F.filter(names, lambda x: (F.length(x) > 2) & (F.length(x) < 30))), 1, 5)
-    return F.concat(of(TOPICS), F.transform(names, lambda x: F.concat(F.lit("entity:"), x)), of(KNOWLEDGE))
+    """Topic tags, up to five entity tags, then tags of the kind of knowledge.  A text is read once for each
+    table of words by an automaton, and for names only until it has five."""
+    topics, knowledge = ({t: _held(p) for t, p in table.items()} for table in (TOPICS, KNOWLEDGE))
+
+    @F.arrow_udf("array<string>")
+    def run(low, texts):
+        import re
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = re.compile(_NAMES)
+        held = lambda table: list(zip(*([t if x else None for x in pc.match_substring_regex(low, p).to_pylist()] for t, p in table.items())))
+        out = []
+        for before, text, after in zip(held(topics), texts, held(knowledge)):
+            if not text.is_valid:
+                out.append(None)
+                continue
+            names = {}
+            for m in found.finditer(text.as_py()):
+                if 2 < len(m[0]) < 30 and names.setdefault(f"entity:{m[0]}") is None and len(names) == 5:
+                    break
+            out.append([t for t in (*before, *names, *after) if t])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run(F.lower(F.concat_ws(" ", concept, content)), content)
 
 
 def entities(text: Column) -> Column:
