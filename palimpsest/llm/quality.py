@@ -177,9 +177,17 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col:
                 packed = [feature[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__y"), pa.array(packed, pa.binary())], names=["__id", "__y", "__x"])
 
-    found = drawn.mapInArrow(run, f"__id {drawn.schema['__id'].dataType.simpleString()}, __y int, __x binary").collect()
-    found.sort(key=lambda r: r["__id"])
-    return fit([np.frombuffer(r["__x"], "<i4").astype(np.int64) for r in found], np.array([r["__y"] for r in found], int))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["__id"])
+        m = fit([np.frombuffer(r["__x"], "<i4").astype(np.int64) for r in found], np.array([r["__y"] for r in found], int))
+        yield pa.RecordBatch.from_pylist([{"weight": m.weight.tobytes(), "scale2": m.scale2.tobytes(), "bias": float(m.bias), "slope": float(m.slope), "shift": float(m.shift)}])
+
+    # fitted in a task: at most max_rows rows, whose n-grams are more than a driver should hold beside its plans
+    rows = drawn.mapInArrow(run, f"__id {drawn.schema['__id'].dataType.simpleString()}, __y int, __x binary")
+    m = rows.repartition(1).mapInArrow(learn, "weight binary, scale2 binary, bias double, slope double, shift double").first()
+    if m is None:  # no row, no task
+        return fit([], np.zeros(0, int))
+    return Model(np.frombuffer(m["weight"], np.float32), np.frombuffer(m["scale2"], np.float32), m["bias"], m["slope"], m["shift"])
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
