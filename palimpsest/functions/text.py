@@ -6,6 +6,7 @@ White space in patterns is ASCII and lengths count code points.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -131,6 +132,16 @@ def index_terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\w\s]", " ")), r"\s+"), lambda w: w != "")
 
 
+def n_index_terms(text: Column) -> Column:
+    """The number of index_terms, without making them."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"\w++"), 0))
+
+
+def index_terms_among(text: Column, terms: Sequence[str]) -> Column:
+    """Those of index_terms that are among a few lower-case ``terms``, in order, with repeats."""
+    return F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)(?<!\w)(?:{'|'.join(terms)})(?!\w)"), 0), F.lower)  # letters, digits and _ of ASCII
+
+
 def classify_query(text: Column) -> Column:
     """targeted, exploratory or balanced by the marks of each that the text has."""
     n = F.size(F.filter(F.split(text, r"[\t\n\f\r ]+"), lambda w: w != ""))

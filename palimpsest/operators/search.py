@@ -129,16 +129,30 @@ def effective_state(memories: DataFrame, resolving: Sequence[str] = ("resolves",
 K1, B = 1.2, 0.75
 
 
+def _text() -> Column:
+    """Concept, content and tags."""
+    return F.concat_ws(" ", "concept", "content", F.array_join("tags", " "))
+
+
 def _indexed() -> Column:
     """The terms of concept, content and tags."""
-    return T.index_terms(F.concat_ws(" ", "concept", "content", F.array_join("tags", " ")))
+    return T.index_terms(_text())
 
 
-def postings(memories: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
-    """(id, len, term, tf) of concept, content and tags; given terms are filtered before the explode."""
+def postings(memories: DataFrame) -> DataFrame:
+    """(id, len, term, tf) of concept, content and tags."""
     own = memories.select("id", _indexed().alias("w")).select("id", F.size("w").alias("len"), "w")
-    kept = F.filter("w", lambda w: w.isin(*terms)) if terms is not None else F.col("w")
-    return own.select("id", "len", F.explode(kept).alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    return own.select("id", "len", F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+
+
+def scanned(memories: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(id, len, tfs): of each memory the number of its terms, and (term, tf) of those that are asked for.
+
+    A small row a memory: kept, it answers several searches by these terms with one look at the texts."""
+    own = memories.select("id", _text().alias("text"))
+    own = own.select("id", T.n_index_terms(F.col("text")).alias("len"), T.index_terms_among(F.col("text"), terms).alias("w"))
+    tfs = F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda w: w == t)).alias("tf")))
+    return own.select("id", "len", tfs.alias("tfs"))
 
 
 def query_terms(query: str) -> list[str]:
@@ -162,10 +176,17 @@ def bm25(memories: DataFrame, query: str, limit: int | None = None) -> DataFrame
     the query's terms; neither explodes whole texts.  ``indexed_bm25`` reads a stored index.
     """
     terms = query_terms(query)
+    return scanned_bm25(scanned(memories, terms) if terms else memories, query, limit)
+
+
+def scanned_bm25(own: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """As bm25, from what ``scanned`` yields for the query's terms, and maybe others."""
+    terms = query_terms(query)
     if not terms:
-        return memories.select("id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("score")).limit(0)
-    size = memories.select(F.size(_indexed()).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
-    return _ranked(postings(memories, terms), size, limit)
+        return own.select("id", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("score")).limit(0)
+    size = own.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
+    post = own.select("id", "len", F.explode(F.filter("tfs", lambda x: x["term"].isin(*terms))).alias("x"))
+    return _ranked(post.groupBy("id", "len", F.col("x.term").alias("term")).agg(F.sum("x.tf").alias("tf")), size, limit)
 
 
 def _bucket(term: Column, buckets: int) -> Column:

@@ -7,7 +7,7 @@ vector, mode) are literals, so the plan has no Python in it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,10 +26,12 @@ def pinned(df: DataFrame, most: int) -> DataFrame:
     return df.sparkSession.createDataFrame(df.limit(most).collect(), df.schema)
 
 
-def edges_at(edges: DataFrame, ids: list) -> DataFrame:
+def edges_at(edges: DataFrame | Callable[[list], DataFrame], ids: list) -> DataFrame:
     """Edges with an end among a few ids.  The ids are literals, so the filter reaches the
-    edge table's scan or aggregation, and the few edges left are kept while they are in use."""
-    return edges.where(F.col("src").isin(ids) | F.col("dst").isin(ids)).persist()
+    edge table's scan or aggregation, and the few edges left are kept while they are in use.
+    A function yields those of given ids by itself, where that takes less than the whole table."""
+    own = edges(ids) if callable(edges) else edges
+    return own.where(F.col("src").isin(ids) | F.col("dst").isin(ids)).persist()
 
 
 def query_mode(spark, text: str) -> str:
@@ -47,17 +49,25 @@ def expanded_query(memories: DataFrame, text: str) -> str:
     return " ".join([text, *list(tags)[:5]])
 
 
-def found(live: DataFrame, text: str, most: int, index: str | None = None) -> DataFrame:
-    """The best by BM25, from an index of these memories or from their texts."""
+def found(live: DataFrame, text: str, most: int, index: str | None = None, scan: DataFrame | None = None) -> DataFrame:
+    """The best by BM25, from an index of these memories, from a scan of their texts for the terms, or from the texts."""
+    if scan is not None:
+        return search.scanned_bm25(scan, text, most)
     return search.bm25(live, text, most) if index is None else search.indexed_bm25(live.sparkSession, index, text, most)
 
 
-def text_hits(live: DataFrame, scope: DataFrame, text: str, most: int, index: str | None = None, expanded: str | None = None) -> DataFrame:
+def scan_for(live: DataFrame, texts: Sequence[str], index: str | None = None) -> DataFrame | None:
+    """The scan that searches by these texts share, kept while it is in use; none where an index is read or nothing is asked."""
+    terms = search.query_terms(" ".join(texts))
+    return search.scanned(live, terms).persist() if index is None and terms else None
+
+
+def text_hits(live: DataFrame, scope: DataFrame, text: str, most: int, index: str | None = None, expanded: str | None = None, scan: DataFrame | None = None) -> DataFrame:
     """(id, score): the best of two passes, by the query's keywords and by the query with what its pronouns may mean."""
     expanded = expanded_query(scope, text) if expanded is None else expanded
     keywords = " ".join(dict.fromkeys(w for w in text.lower().split() if len(w) > 2 and w not in T.STOPWORDS))
-    passes = [found(live, q, most, index) for q in dict.fromkeys([keywords, expanded]) if len(q) > 2 or q != keywords]
-    return search.merged_text_hits(*passes or [found(live, text, most, index)])
+    passes = [found(live, q, most, index, scan) for q in dict.fromkeys([keywords, expanded]) if len(q) > 2 or q != keywords]
+    return search.merged_text_hits(*passes or [found(live, text, most, index, scan)])
 
 
 def scored(candidates: DataFrame, memories: DataFrame, edges: DataFrame, text: str | Column, as_of: Column, mode: str = "balanced") -> DataFrame:
@@ -202,28 +212,34 @@ def in_scope(memories: DataFrame, cfg: RecallConfig, agents: Sequence | None = N
     return live.where(F.col("memory_type") == cfg.memory_type) if cfg.memory_type else live
 
 
-def recall(memories: DataFrame, edges: DataFrame, embeddings: DataFrame | None, text: str, as_of: Column, vector: Sequence[float] | None = None, cfg: RecallConfig = RecallConfig(), agents: Sequence | None = None, scorer: models.Slot | None = None, index: str | None = None) -> DataFrame:
+def recall(memories: DataFrame, edges: DataFrame | Callable[[list], DataFrame], embeddings: DataFrame | None, text: str, as_of: Column, vector: Sequence[float] | None = None, cfg: RecallConfig = RecallConfig(), agents: Sequence | None = None, scorer: models.Slot | None = None, index: str | None = None) -> DataFrame:
     """The ranked memories for a query: id, concept, content, final score and its parts.
 
     ``scorer`` reranks the pool.  ``index`` is a store_index of the same memories in scope (``stored_index``); without one
-    the texts are searched."""
+    the texts are searched, once for each round.  ``edges`` may be a function that yields the edges at given ids."""
     mode = query_mode(memories.sparkSession, text) if cfg.mode == "auto" else cfg.mode
     cfg = replace(cfg, mode=mode)
     live = in_scope(memories, cfg, agents)
     expanded = expanded_query(memories.where(F.col("agent").isin(*agents)) if agents else memories, text)
-    hits = text_hits(live, memories, text, 3 * cfg.limit, index, expanded)
+    scan = scan_for(live, [text, expanded], index)
+    hits = text_hits(live, memories, text, 3 * cfg.limit, index, expanded, scan)
     if vector is not None and embeddings is not None:
         near = search.vector_top(live, embeddings, vector, max(50, 5 * cfg.limit), 0.40 if MODES[mode].gate > 0.5 else 0.30, cfg.include_stages)
         candidates = search.hybrid_candidates(hits, near)
     else:
         candidates = hits.select("id", "score", F.lit(None).cast("double").alias("similarity"))
     candidates = pinned(candidates, 6 * cfg.limit + max(50, 5 * cfg.limit))
+    if scan is not None:
+        scan.unpersist()
     ids = [r["id"] for r in candidates.select("id").collect()]
     near = edges_at(edges, ids)
     pool = pinned(scored(candidates, live.where(F.col("id").isin(ids)), near, text, as_of, mode), 6 * cfg.limit + max(50, 5 * cfg.limit))
     extra = feedback_terms(pool, text)
     if extra:
-        more = pinned(found(live, " ".join([expanded, *extra]), 2 * cfg.limit, index).where(~F.col("id").isin(ids)).select("id", "score"), 2 * cfg.limit)
+        scan = scan_for(live, [expanded, *extra], index)
+        more = pinned(found(live, " ".join([expanded, *extra]), 2 * cfg.limit, index, scan).where(~F.col("id").isin(ids)).select("id", "score"), 2 * cfg.limit)
+        if scan is not None:
+            scan.unpersist()
         late_ids = [r["id"] for r in more.select("id").collect()]
         if late_ids:
             near.unpersist()
