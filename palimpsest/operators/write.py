@@ -243,6 +243,111 @@ def heaviest_overlaps(queries: DataFrame, data: DataFrame, most: int, block: int
     return met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
 
 
+def most_shared(data: DataFrame, sizes: DataFrame, most: int, block: int = 1 << 17, asked: int = 1 << 13, budget: int = 2048) -> DataFrame:
+    """(query, id, k): for each row of (agent, id, terms) the ``most`` other rows of its agent that share most terms, ties to the
+    smallest id; terms are distinct 64-bit hashes.  ``sizes`` is (agent, n), n the agent's rows or more.
+
+    Rows are dealt to blocks, and each block asks each.  A row that shares s of m terms holds one of any m - s + 1 of them, so
+    only the postings of a query's rarest terms are read; the others must be among the block's most common, of which each row
+    has a bit.  What s is worth looking for is seen first, from rare terms with up to ``budget`` postings.  The work still
+    grows with the square of an agent's rows, but only where rows share their rarer terms."""
+    n = F.col("n")
+    deal = sizes.select("agent", F.greatest(F.ceil(n / block), F.least(F.lit(12), F.ceil(n / asked))).cast("int").alias("is"), F.ceil(n / block).cast("int").alias("js"))
+    part = lambda salt, of: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(of)).cast("int")
+    own = data.join(F.broadcast(deal), "agent").withColumn("i", part(1, "is")).withColumn("j", part(2, "js"))
+    place = lambda i, j, asks: F.struct(i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"))
+    asks = F.transform(F.sequence(F.lit(0), F.col("js") - 1), lambda j: place(F.col("i"), j, True))
+    held = F.transform(F.sequence(F.lit(0), F.col("is") - 1), lambda i: place(i, F.col("j"), False))
+    met = own.select("agent", "id", "terms", F.explode(F.concat(asks, held)).alias("at")).select("agent", "id", "terms", "at.i", "at.j", "at.asks")
+
+    def meet(t):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        arrays = lambda t: (t.column("id").to_numpy(), (x := t.column("terms").combine_chunks()).flatten().to_numpy(), x.value_lengths().to_numpy())
+        ids, asked, n_asked = arrays(t.filter(t.column("asks")))
+        own, term, n_own = arrays(t.filter(pc.invert(t.column("asks"))).sort_by("id"))
+        out = [(np.zeros(0, np.int64),) * 3]
+        row = np.repeat(np.arange(len(own)), n_own)
+        order = np.argsort(term, kind="stable")
+        term, row = term[order], row[order]  # the postings of the block's terms
+        begin = np.searchsorted(term, asked, "left")
+        df = np.searchsorted(term, asked, "right") - begin
+        who = np.repeat(np.arange(len(ids)), n_asked)
+
+        # a bit for each of the most common terms
+        first = np.flatnonzero(np.diff(term, prepend=term[:1] - 1)) if len(term) else np.zeros(0, np.int64)
+        size = np.diff(first, append=len(term))
+        head = np.argsort(-size, kind="stable")[:HEAD_TERMS]
+        bits = np.zeros((HEAD_TERMS // 64, len(own)), np.uint64)
+        for h, x in enumerate(head):
+            bits[h // 64, row[first[x] : first[x] + size[x]]] |= np.uint64(1 << h % 64)
+        at = np.argsort(first[head])
+        found = np.minimum(np.searchsorted(first[head][at], begin), max(len(head) - 1, 0))
+        common = np.where((first[head][at][found] == begin) & (df > 0), at[found], -1) if len(head) else np.full(len(begin), -1)
+
+        # a query's terms that the block has, the rarest first
+        order = np.lexsort((df, who))
+        order = order[df[order] > 0]
+        begin, df, who, common = begin[order], df[order], who[order], common[order]
+        start = np.searchsorted(who, np.arange(len(ids) + 1))
+        m, place = np.diff(start), np.arange(len(who)) - start[who]
+        passed = np.cumsum(df) - (np.cumsum(df) - df)[start[who]]  # postings of a query up to this term
+
+        def shared(upto):
+            """Batches (first query, number of queries, query, row, terms shared) by postings of the first ``upto`` terms, and by bits
+            of the rest; the query's own row is among them."""
+            used = place < upto[who]
+            cost = np.concatenate([[0], np.cumsum(np.bincount(who[used], df[used], len(ids)))])
+            rest = np.zeros((HEAD_TERMS // 64, len(ids)), np.uint64)
+            s = ~used & (common >= 0)
+            np.bitwise_or.at(rest, (common[s] // 64, who[s]), np.uint64(1) << (common[s] % 64).astype(np.uint64))
+            a = 0
+            while a < len(ids):
+                b = max(a + 1, min(int(np.searchsorted(cost, cost[a] + (1 << 20), "right")) - 1, a + (1 << 13)))
+                s = np.flatnonzero(used[start[a] : start[b]]) + start[a]
+                k = df[s]
+                pair = np.repeat((who[s] - a) << ROW_BITS, k) | row[np.repeat(begin[s] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+                pair.sort()
+                new = np.flatnonzero(np.concatenate([pair[:1] >= 0, pair[1:] != pair[:-1]]))
+                k = np.diff(new, append=len(pair))
+                pair = pair[new]
+                q, d = pair >> ROW_BITS, pair & ((1 << ROW_BITS) - 1)
+                for x, y in zip(bits, rest[:, a:b]):
+                    if y.any():
+                        k += np.bitwise_count(x[d] & y[q])
+                yield a, b - a, q, d, k
+                a = b
+
+        # at least so many are shared with each of the best: a bound from below
+        least, itself = np.zeros(len(ids), np.int64), np.isin(ids, own)
+        for a, n, q, _, k in shared(np.maximum(np.bincount(who[passed <= budget], minlength=len(ids)), 1)):
+            some = np.bincount(q * 128 + np.minimum(k, 127), minlength=n * 128).reshape(n, 128)
+            least[a : a + n] = (np.cumsum(some[:, ::-1], 1)[:, ::-1] >= most + itself[a : a + n, None]).sum(1) - 1
+        least = np.maximum(least, 0)
+        last = np.zeros(len(ids), np.int64)  # after the last term without a bit
+        np.maximum.at(last, who[common < 0], place[common < 0] + 1)
+        for a, n, q, d, k in shared(np.minimum(m, np.maximum(m - np.maximum(least, 1) + 1, last))):
+            s = k >= least[a + q]
+            q, d, k = q[s], d[s], k[s]
+            s = own[d] != ids[a + q]
+            q, d, k = q[s], d[s], k[s]
+            s = np.lexsort((d, -k, q))
+            q, d, k = q[s], d[s], k[s]
+            s = np.arange(len(q)) - np.searchsorted(q, q) < most
+            out.append((ids[a + q[s]], own[d[s]], k[s]))
+        return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("query", "id", "k"), zip(*out))})
+
+    best = met.groupBy("agent", "i", "j").applyInArrow(meet, "query long, id long, k long")
+    w = Window.partitionBy("query").orderBy(F.desc("k"), "id")
+    return best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
+
+
+HEAD_TERMS = 128  # terms of a block that have a bit in each of its rows
+ROW_BITS = 32  # a row of a block has a number of fewer bits
+
+
 def hashed(terms: Column) -> Column:
     """Distinct terms as 64-bit hashes: of N, two different ones count as equal with odds of about N^2 / 2^65."""
     return F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t)))
@@ -252,10 +357,10 @@ def entity_edges(memories: DataFrame, most: int = 6) -> DataFrame:
     """Edges between memories of an agent that name the same entities, at most ``most`` from each.
 
     Every shared entity counts, however many memories name it."""
-    e = memories.where("stage = 'active' and not retracted").select("agent", F.col("id").cast("long").alias("id"), hashed(T.entities(F.concat_ws(" ", "concept", "content"))).alias("terms")).where(F.size("terms") > 0)
-    top = heaviest_overlaps(e.withColumn("weights", F.transform("terms", lambda _: F.lit(1.0))), e, most)
-    k = F.round("s").cast("long")
-    return top.select(F.col("query").alias("src"), F.col("id").alias("dst"), F.lit("connection").alias("type"), F.least(F.lit(0.6), 0.4 + 0.1 * k).alias("weight"), k.alias("k"))
+    live = memories.where("stage = 'active' and not retracted and agent is not null and id is not null")
+    e = live.select("agent", F.col("id").cast("long").alias("id"), hashed(T.entities(F.concat_ws(" ", "concept", "content"))).alias("terms"))
+    top = most_shared(e, live.groupBy("agent").agg(F.count("*").alias("n")), most)
+    return top.select(F.col("query").alias("src"), F.col("id").alias("dst"), F.lit("connection").alias("type"), F.least(F.lit(0.6), 0.4 + 0.1 * F.col("k")).alias("weight"), "k")
 
 
 def discovered_links(vectors: DataFrame, least: float = 0.7, most: int = 5) -> DataFrame:
