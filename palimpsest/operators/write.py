@@ -339,7 +339,8 @@ def most_shared(data: DataFrame, sizes: DataFrame, most: int, block: int = 1 <<
             out.append((ids[a + q[s]], own[d[s]], k[s]))
         return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("query", "id", "k"), zip(*out))})
 
-    best = met.groupBy("agent", "i", "j").applyInArrow(meet, "query long, id long, k long")
+    # a fixed number of parts: blocks are few bytes and much work, and would else be put together into few tasks
+    best = met.repartition(96, "agent", "i", "j").groupBy("agent", "i", "j").applyInArrow(meet, "query long, id long, k long")
     w = Window.partitionBy("query").orderBy(F.desc("k"), "id")
     return best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
 
