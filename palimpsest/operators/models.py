@@ -40,7 +40,8 @@ def loaded(slot: Slot) -> Callable:
 
 
 class HashedEncoder:
-    """Stand-in: square roots of counts of words and of their letter triples in signed hashed places, of unit length."""
+    """Stand-in: square roots of counts of words and of their letter triples in signed hashed places, of unit length;
+    zeros for an empty text alone."""
 
     def __init__(self, dims: int = 64):
         self.dims = dims
@@ -55,12 +56,15 @@ class HashedEncoder:
             for g, n in parts.items():
                 h = zlib.crc32(g.encode())
                 row[h // 2 % self.dims] += n**0.5 * (1 - 2 * (h & 1))
+            if text and not row.any():  # no words, or parts that cancel out: one place, by the whole text
+                h = zlib.crc32(text.encode())
+                row[h // 2 % self.dims] = 1 - 2 * (h & 1)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=out, where=length > 0)
 
 
 def hashed_encoder(dims: int = 64) -> Slot:
-    return Slot(f"hashed-{dims}", partial(HashedEncoder, dims))
+    return Slot(f"hashed2-{dims}", partial(HashedEncoder, dims))
 
 
 def encoding(slot: Slot, text: Column, batch: int = 32) -> Column:
