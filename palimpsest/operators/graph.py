@@ -14,10 +14,14 @@ def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id"), "weight")
 
 
+def end_stats(edges: DataFrame) -> DataFrame:
+    """(id, n, sum_weight) of each id that has edges."""
+    return endpoints(edges).groupBy("id").agg(F.count("*").alias("n"), F.sum("weight").alias("sum_weight"))
+
+
 def edge_stats(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, n, sum_weight) of each asked id, zero without edges."""
-    stats = endpoints(edges).groupBy("id").agg(F.count("*").alias("n"), F.sum("weight").alias("sum_weight"))
-    return ids.select("id").join(stats, "id", "left").na.fill({"n": 0, "sum_weight": 0.0})
+    return ids.select("id").join(end_stats(edges), "id", "left").na.fill({"n": 0, "sum_weight": 0.0})
 
 
 def undirected(edges: DataFrame) -> DataFrame:
