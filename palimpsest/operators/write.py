@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scoring as S
 from palimpsest.functions import text as T
 from palimpsest.operators import nearest
+from palimpsest.sources.shared import Scratch, stored
 
 #: Fixed values of the write path.
 HEALTHY_CONFIDENCE, REINFORCE_STEP, REINFORCE_CEILING = 0.3, 0.05, 0.95
@@ -24,14 +25,18 @@ def best_text_match(writes: DataFrame, memories: DataFrame, most: int = 3) -> Da
     live = memories.where("not retracted")
     w = writes.select(F.col("write_id").cast("long").alias("id"), "agent", F.explode(hashed(T.search_terms(F.concat_ws(" ", "concept", F.substring("content", 1, 100))))).alias("term"))
     m = live.select("agent", F.col("id").cast("long").alias("id"), hashed(T.index_terms(F.concat_ws(" ", "concept", "content"))).alias("terms"))
-    df = m.select("agent", F.explode("terms").alias("term")).groupBy("agent", "term").agg(F.count("*").alias("df"))
-    n = live.groupBy("agent").agg(F.count("*").alias("n"))
-    idf = df.join(w.select("agent", "term").distinct(), ["agent", "term"], "left_semi").join(F.broadcast(n), "agent").select("agent", "term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    held = w.join(idf, ["agent", "term"]).groupBy("agent", "id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("x"))
-    total = F.aggregate("x.idf", F.lit(0.0), lambda a, x: a + x)
-    queries = held.withColumn("total", total).select("agent", "id", F.col("x.term").alias("terms"), F.transform("x.idf", lambda x: x / F.col("total")).alias("weights"))
-    top = heaviest_overlaps(queries, m, most, others=False).groupBy("query").agg(F.max_by(F.struct("id", "s"), F.struct(F.round("s", 9), -F.col("id"))).alias("x"))
-    named = top.select(F.col("query").alias("write_id"), "x.id", F.col("x.s").alias("score")).join(writes.select("write_id", F.col("concept").alias("__new")), "write_id").join(live.select("id", "concept"), "id")
+    with Scratch(memories.sparkSession) as scratch:
+        m = scratch.stored(m, "terms")  # texts are split once
+        df = m.select("agent", F.explode("terms").alias("term")).groupBy("agent", "term").agg(F.count("*").alias("df"))
+        n = live.groupBy("agent").agg(F.count("*").alias("n"))
+        idf = df.join(w.select("agent", "term").distinct(), ["agent", "term"], "left_semi").join(F.broadcast(n), "agent").select("agent", "term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
+        held = w.join(idf, ["agent", "term"]).groupBy("agent", "id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("x"))
+        total = F.aggregate("x.idf", F.lit(0.0), lambda a, x: a + x)
+        queries = held.withColumn("total", total).select("agent", "id", F.col("x.term").alias("terms"), F.transform("x.idf", lambda x: x / F.col("total")).alias("weights"))
+        queries = scratch.stored(queries, "writes")  # they are counted and dealt
+        top = heaviest_overlaps(queries, m, most, others=False).groupBy("query").agg(F.max_by(F.struct("id", "s"), F.struct(F.round("s", 9), -F.col("id"))).alias("x"))
+        top = stored(top.select(F.col("query").alias("write_id"), "x.id", F.col("x.s").alias("score")), "matches")
+    named = top.join(writes.select("write_id", F.col("concept").alias("__new")), "write_id").join(live.select("id", "concept"), "id")
     return named.select("write_id", "id", "score", (F.lower(F.trim("__new")) == F.lower(F.trim("concept"))).alias("same_concept"))
 
 
@@ -238,7 +243,10 @@ def heaviest_overlaps(queries: DataFrame, data: DataFrame, most: int, block: int
                 a = b
         return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("query", "id", "s"), zip(*out))})
 
-    met = every(left, rights, "j").groupBy("agent", "i", "j").cogroup(every(right, lefts, "i").toDF(*(f"d_{c}" for c in ("agent", "id", "terms", "j", "i"))).groupBy("d_agent", "d_i", "d_j")).applyInArrow(multiply, "query long, id long, s double")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not put together by their bytes: the work is that of pairs
+    left = every(left, rights, "j").repartition(parts, "agent", "i", "j")
+    right = every(right, lefts, "i").toDF(*(f"d_{c}" for c in ("agent", "id", "terms", "j", "i"))).repartition(parts, "d_agent", "d_i", "d_j")
+    met = left.groupBy("agent", "i", "j").cogroup(right.groupBy("d_agent", "d_i", "d_j")).applyInArrow(multiply, "query long, id long, s double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("s", 9)), "id")
     return met.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).drop("rn")
 
